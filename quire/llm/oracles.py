@@ -58,4 +58,20 @@ SELECT page_id, host, path, rule,
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op9_quality_rules": OP9, "op10_url_filters": OP10}
+OP4 = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)),
+e AS (SELECT *, length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length(role) + 12 + 1 + 10 + 1 AS chars FROM t),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(chars)::BIGINT AS formatted_chars
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM g
+"""
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10}
