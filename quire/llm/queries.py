@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, quality, secrets, sharding, urls
+from quire.llm import chat, quality, secrets, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
@@ -54,6 +59,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_chat_formatting": op4_chat_formatting,
     "op7_sharding": op7_sharding,
