@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, mixing, packing, quality, secrets, sharding, simhash, urls
+from quire.llm import chat, mixing, packing, quality, secrets, sharding, simhash, urls, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.fingerprint_documents(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        winnowing.shown(F.col("fp")).alias("fingerprint"), winnowing.shown(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -68,6 +77,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_chat_formatting": op4_chat_formatting,
