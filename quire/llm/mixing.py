@@ -146,15 +146,16 @@ def repeat_mixed(docs: DataFrame) -> DataFrame:
     Rows alike in id, source and length of text share their copies evenly.
     """
     key = ["doc_id", "source", "bytes"]
-    counts = cut_lineage(mix(docs).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
-    kept = counts.where("_copies > 0").select(*[F.col(k).alias(f"_k_{k}") for k in key], "_copies", "_rows")
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    on = F.col("doc_id").eqNullSafe(F.col("_k_doc_id")) & F.col("source").eqNullSafe(F.col("_k_source")) & (size == F.col("_k_bytes"))
-    out = docs.join(kept, on)
-    if counts.where("_rows > 1").isEmpty():
-        copies = F.col("_copies")
+    counts = cut_lineage(mix(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
+    kept = counts.where("copies > 0").select(*[F.col(k).alias(f"k_{k}") for k in key], "copies", "n")
+    # whole rows travel as one struct, so no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("doc"))
+    size = F.octet_length(F.coalesce(F.col("doc.text"), F.lit("")))
+    on = F.col("doc.doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("doc.source").eqNullSafe(F.col("k_source")) & (size == F.col("k_bytes"))
+    out = rows.join(kept, on)
+    if counts.where("n > 1").isEmpty():
+        copies = F.col("copies")
     else:
-        nth = F.row_number().over(Window.partitionBy("_k_doc_id", "_k_source", "_k_bytes").orderBy(F.xxhash64("text"))) - 1
-        out = out.withColumn("_nth", nth)
-        copies = F.expr("_copies div _rows + int(_nth < _copies % _rows)")
-    return out.where(copies > 0).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("k_doc_id", "k_source", "k_bytes").orderBy(F.xxhash64("doc.text"))) - 1)
+        copies = F.expr("copies div n + int(nth < copies % n)")
+    return out.where(copies > 0).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("doc.*")

@@ -51,8 +51,8 @@ ROUNDS = 80
 STEP = 0.2
 #: Share of the best worth within which a configuration is used.
 SLACK = 0.01
-#: Least shares of a sequence that a whole configuration fills, tried in turn when rounding.
-FILLS = (1.0, 0.999, 0.99, 0.0)
+#: Roundings tried in turn: least share of a sequence that a whole configuration fills, and share of the plan taken.
+ROUNDINGS = ((1.0, 1.0), (1.0, 0.9), (1.0, 0.7), (1.0, 0.5), (0.999, 0.9), (0.99, 0.9), (0.99, 0.5), (0.0, 0.9), (0.0, 0.0))
 #: Below this code point a word's characters are classed alike by both encoders.
 PLAIN_BELOW = "\u0250"
 #: Texts tokenised together at most, by count and by characters.
@@ -287,27 +287,29 @@ def best_fit_rest(at: Placement, capacity: int) -> None:
 def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
     """The runs that place every piece, sorted by (length, rank), and the number of sequences.
 
-    The linear program's plan is rounded once for each least filling in
-    ``FILLS`` that a whole configuration may have; the fewest sequences win.
+    The linear program's plan is rounded in each of ``ROUNDINGS``, the rest
+    packed best-fit; the fewest sequences win. The last takes nothing from the
+    plan, so the result is never worse than best-fit alone.
     """
     lengths = np.array(sorted(k for k, v in histogram.items() if v > 0 and k < capacity))
     plan = fractional_plan(lengths, np.array([histogram[k] for k in lengths], dtype=float), capacity) if len(lengths) else {}
     order = sorted(plan.items(), key=lambda x: (-x[1], x[0]))
 
-    def rounded(fill: float) -> Placement:
+    def rounded(rounding: tuple[float, float]) -> Placement:
+        fill, taken = rounding
         at = Placement(histogram)
         if at.left.get(capacity):
             at.open([(capacity, 1)], at.left[capacity])
         for config, times in order:
             held = [(int(lengths[k]), n) for k, n in sorted(config, reverse=True)]
             if sum(k * n for k, n in held) >= fill * capacity:
-                whole = min(int(times), *(at.left[k] // n for k, n in held))
+                whole = min(int(times * taken), *(at.left[k] // n for k, n in held))
                 if whole > 0:
                     at.open(held, whole)
         best_fit_rest(at, capacity)
         return at
 
-    at = min(map(rounded, FILLS), key=lambda p: p.sequences)
+    at = min(map(rounded, ROUNDINGS), key=lambda p: p.sequences)
     out = np.array(at.runs, dtype=RUN)
     return out[np.lexsort((out["rank"], out["length"]))], at.sequences
 

@@ -135,3 +135,9 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prepared: di
     """
     by = measures(F.col("text")) | (prepared or {})
     return docs.withColumn(column, cascade(ordered(docs, rules), by))
+
+
+def drop_rejected(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col("text"))
+    return judge_quality(rows, rules).where("failed_rule IS NULL").select("doc.*")

@@ -124,8 +124,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row, that of the smallest id, left of each component."""
     found = cut_lineage(near_duplicates(docs))
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # whole rows travel as one struct, so no name of theirs can clash
+    kept = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct("*").alias("doc")).join(dropped, "doc_id", "left_anti")
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1 OR doc_id IS NULL").drop("_nth")
-    return kept
+        kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))).where("nth = 1 OR doc_id IS NULL")
+    return kept.select("doc.*")
