@@ -16,7 +16,7 @@ from quire.plans.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(docs, column="_failed_rule").where("_failed_rule IS NULL").select(*docs.columns)
+    return quality.drop_rejected(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
