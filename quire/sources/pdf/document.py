@@ -293,12 +293,12 @@ class Document:
             v = self.object(v.num, v.gen)
         return v
 
-    def get(self, holder: object, key: str, kind: type | tuple = object, default=None):
+    def get(self, holder, key: str, kind: type | tuple | None = None, default=None):
         """A dictionary's resolved value if it has the wanted type."""
         own = self.resolve(holder)
         own = own.dict if isinstance(own, Stream) else own
         v = self.resolve(own.get(key)) if isinstance(own, dict) else None
-        return v if isinstance(v, kind) and v is not None else default
+        return default if v is None or (kind is not None and not isinstance(v, kind)) else v
 
     def filters_of(self, stream: Stream) -> tuple[list[str], list[dict]]:
         names = self.resolve(stream.dict.get("Filter", stream.dict.get("F") if not isinstance(stream.dict.get("F"), (bytes, dict)) else None))
