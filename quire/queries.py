@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import blend as B
-from quire.functions import calculator, filters, geometry, labels, shading
+from quire.functions import calculator, filters, geometry, labels, shading, views
 from quire.functions.dates import format_date, parse_date
 from quire.functions.spot import SPOTS, spot
 from quire.operators import relations as R
@@ -529,3 +529,30 @@ def paeth_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.encode("s_name", "UTF-8")
     return table(spark, sf_dir, "supplier").select("s_suppkey", shading.packed_sample(data, F.lit(0), 4).alias("high"), shading.packed_sample(data, F.lit(1), 4).alias("low"), shading.packed_sample(data, F.lit(4), 2).alias("two"))
+
+
+@query("""WITH v AS (SELECT p_partkey, (['XYZ','Fit','FitH','FitV','FitR','FitB','FitBH','FitBV'])[p_partkey % 8 + 1] AS mode, p_size * 3.0 AS l, p_size * 5.0 AS t FROM part),
+b AS (SELECT *, CASE WHEN mode LIKE 'FitB%' THEN 20.0 WHEN mode = 'FitR' THEN l ELSE 0.0 END AS x0, CASE WHEN mode LIKE 'FitB%' THEN 30.0 WHEN mode = 'FitR' THEN t ELSE 0.0 END AS y0,
+  CASE WHEN mode LIKE 'FitB%' THEN 520.0 WHEN mode = 'FitR' THEN l + 100 ELSE 600.0 END AS x1, CASE WHEN mode LIKE 'FitB%' THEN 700.0 WHEN mode = 'FitR' THEN t + 50 ELSE 800.0 END AS y1 FROM v),
+z AS (SELECT *, least(300 / (x1 - x0), 400 / (y1 - y0)) AS fit FROM b)
+SELECT p_partkey, mode, round(CASE WHEN mode IN ('XYZ', 'FitV', 'FitBV') THEN l WHEN mode IN ('FitH', 'FitBH') THEN x0 ELSE x0 + ((x1 - x0) - 300 / fit) / 2 END, 5) + 0.0 AS l,
+  round(CASE WHEN mode IN ('XYZ', 'FitH', 'FitBH') THEN t WHEN mode IN ('FitV', 'FitBV') THEN y0 ELSE y0 + ((y1 - y0) - 400 / fit) / 2 END, 5) + 0.0 AS t,
+  round(CASE WHEN mode = 'XYZ' THEN 1.5::DOUBLE WHEN mode IN ('FitH', 'FitBH') THEN 300 / (x1 - x0) WHEN mode IN ('FitV', 'FitBV') THEN 400 / (y1 - y0) ELSE fit END, 5) AS zoom FROM z""")
+def destination_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modes = F.array(*map(F.lit, ("XYZ", "Fit", "FitH", "FitV", "FitR", "FitB", "FitBH", "FitBV")))
+    number = lambda v: F.lit(float(v))
+    left, top = F.col("p_size") * 3.0, F.col("p_size") * 5.0
+    target = {"left": left, "top": top, "right": left + 100, "bottom": top + 50, "zoom": F.lit(None).cast("double")}
+    page, content = tuple(map(number, (0, 0, 600, 800))), tuple(map(number, (20, 30, 520, 700)))
+    parts = table(spark, sf_dir, "part").withColumn("mode", F.get(modes, (F.col("p_partkey") % 8).cast("int")))
+    shown = views.view(F.col("mode"), target, page, content, number(300), number(400), {"left": number(0), "top": number(0), "zoom": number(1.5)})
+    seen = parts.withColumn("v", shown)
+    return seen.select("p_partkey", "mode", *[(F.round(F.col("v")[k], 5) + 0.0).alias(n) for k, n in (("left", "l"), ("top", "t"), ("zoom", "zoom"))])
+
+
+@query("""WITH v AS (SELECT c_custkey, (c_custkey % 101)::DOUBLE AS l FROM customer), y AS (SELECT *, CASE WHEN (l + 16) / 116 >= 6.0::DOUBLE / 29 THEN pow((l + 16) / 116, 3) ELSE ((l + 16) / 116 - 4.0::DOUBLE / 29) * 108 / 841 END AS lum FROM v)
+SELECT c_custkey, round(least(1.0, greatest(0.0, CASE WHEN lum <= 0.0031308 THEN 12.92 * lum ELSE 1.055 * pow(lum, 1 / 2.4::DOUBLE) - 0.055 END)), 3) AS gray FROM y""")
+def lab_gray_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neutral axis of Lab, where all three components are the gamma-coded luminance."""
+    rgb = views.lab((F.col("c_custkey") % 101) * 1.0, F.lit(0.0), F.lit(0.0), (0.95047, 1.0, 1.08883))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(rgb[1], 3).alias("gray"))

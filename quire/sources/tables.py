@@ -189,6 +189,33 @@ def _images(doc: Document) -> Iterator[tuple]:
             yield num, doc.get(v, "Width", int), doc.get(v, "Height", int), doc.get(v, "BitsPerComponent", int), to_json(space), doc.get(v, "ImageMask", bool, False), doc.filters_of(v)[0], len(v.raw)
 
 
+def _image_files(doc: Document) -> Iterator[tuple]:
+    from quire.sources.pdf.images import CodedImage, decode_image, encode_png, is_photographic
+
+    for num, _, v in _numbers(doc):
+        if isinstance(v, Stream) and v.dict.get("Subtype") == "Image":
+            try:
+                pixels = decode_image(doc, v)
+                yield num, pixels.shape[1], pixels.shape[0], "png", encode_png(pixels), is_photographic(pixels)
+            except CodedImage as e:
+                yield num, doc.get(v, "Width", int), doc.get(v, "Height", int), e.coding, doc.decoded(v), None
+            except (PdfError, FilterError) as e:
+                doc.fault(f"image {num}: {e}")
+
+
+def _structure_attributes(doc: Document) -> Iterator[tuple]:
+    """Attributes of the classes first, then the element's own, without merging."""
+    classes = doc.get(doc.get(doc.catalog, "StructTreeRoot", dict, {}), "ClassMap", dict, {})
+    for num, _, v in _numbers(doc):
+        if not isinstance(v, dict) or "S" not in v or not (v.get("Type") == "StructElem" or "P" in v):
+            continue
+        listed = lambda x: x if isinstance(x, list) else [] if x is None else [x]
+        held = [(str(doc.resolve(c)), a) for c in listed(doc.resolve(v.get("C"))) if not isinstance(c, int) for a in listed(doc.resolve(classes.get(str(doc.resolve(c)))))]
+        held += [(None, a) for a in listed(doc.resolve(v.get("A")))]
+        for i, (name, a) in enumerate((n, own) for n, own in ((n, doc.resolve(a)) for n, a in held) if isinstance(own, dict)):
+            yield num, i, str(doc.get(a, "O", Name, "")), name, doc.get(v, "R", int, 0), to_json(a)
+
+
 _MATRIX = "matrix array<double>"
 #: Table name: (columns after doc_id, generator of rows).
 TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
@@ -215,6 +242,8 @@ TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
     "fields": ("ord int, num long, name string, type string, value string, flags long", _fields),
     "fonts": ("num long, name string, subtype string, vertical boolean, has_unicode_map boolean, default_width double", _fonts),
     "images": ("num long, width long, height long, bits long, color_space_json string, mask boolean, filters array<string>, bytes long", _images),
+    "image_files": ("num long, width long, height long, coding string, data binary, photographic boolean", _image_files),
+    "structure_attributes": ("element_num long, ord int, owner string, class string, revision int, dict_json string", _structure_attributes),
     "embedded_files": ("name binary, file_name string, description string, stream_num long", lambda doc: ((e["name"], e["file_name"], e["description"], e["stream"].num if e["stream"] else None) for e in doc.embedded_files())),
 }
 

@@ -286,3 +286,33 @@ def test_text_edits():
     with pytest.raises(PdfError):
         replace_text(content, {5: "x"})
     assert run_length_encode(b"aaab") == b"\xfea\x00b\x80"
+
+
+def test_images():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from quire.sources.pdf import images
+
+    gray = Stream({"Subtype": Name("Image"), "Width": 3, "Height": 2, "BitsPerComponent": 4, "ColorSpace": Name("DeviceGray")}, bytes([0x0F, 0x80, 0xF0, 0x10]))
+    rgb = Stream({"Subtype": Name("Image"), "Width": 1, "Height": 2, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB"), "SMask": Ref(6, 0), "Filter": Name("FlateDecode")}, flate_encode(bytes([255, 0, 0, 0, 0, 255])))
+    palette = Stream({"Subtype": Name("Image"), "Width": 4, "Height": 1, "BitsPerComponent": 2, "ColorSpace": [Name("Indexed"), Name("DeviceCMYK"), 1, bytes([0, 0, 0, 255, 0, 255, 0, 0])], "Mask": [1, 1]}, bytes([0b00010100]))
+    stencil = Stream({"Subtype": Name("Image"), "Width": 8, "Height": 1, "ImageMask": True}, bytes([0b10101010]))
+    doc = Document(page_file(b"", extra={6: gray}))
+    a, b, c, d = (images.decode_image(doc, i) for i in (gray, rgb, palette, stencil))
+    assert a[..., 0].tolist() == [[0, 255, 136], [255, 0, 17]]
+    assert b[:, 0, :].tolist() == [[255, 0, 0, 0], [0, 0, 255, 255]]
+    assert c[0].tolist() == [[0, 0, 0, 255], [255, 0, 255, 0], [255, 0, 255, 0], [0, 0, 0, 255]]
+    assert d[0, :, 3].tolist() == [0, 255] * 4
+    png = images.encode_png(b)
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", png[16:24]) == (1, 2) and png[25] == 6
+    size = struct.unpack(">I", png[33:37])[0]
+    assert len(zlib.decompress(png[41 : 41 + size])) == 2 * 5
+    flat = np.full((40, 60, 4), 200, np.uint8)
+    small = images.resized(flat, 15, 5)
+    assert small.shape == (10, 15, 4) and (small == 200).all() and images.resized(flat, 100, 5) is flat
+    with pytest.raises(images.CodedImage):
+        images.decode_image(doc, Stream({"Width": 1, "Height": 1, "Filter": Name("DCTDecode")}, b""))
+    assert not images.is_photographic(flat)
