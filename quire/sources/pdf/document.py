@@ -562,6 +562,46 @@ class Document:
             after = self.resolve(node.get("Next"))
             pending += after if isinstance(after, list) else [] if after is None else [node["Next"]]
 
+    # Files and media
+
+    def file_specification(self, v: object) -> dict | None:
+        """Name and embedded stream: a plain string, or the Unicode name before the other."""
+        v = self.resolve(v)
+        if isinstance(v, bytes):
+            return {"file_name": filters.decode_text(v), "description": "", "stream": None, "url": False}
+        if not isinstance(v, dict):
+            return None
+        name = self.get(v, "UF", bytes) or self.get(v, "F", bytes, b"")
+        held = self.get(v, "EF", dict, {})
+        stream = held.get("UF", held.get("F"))
+        return {
+            "file_name": filters.decode_text(name), "description": filters.decode_text(self.get(v, "Desc", bytes, b"")),
+            "stream": stream if isinstance(stream, Ref) else None, "url": v.get("FS") == "URL",
+        }
+
+    def rendition(self, v: object, depth: int = 0) -> dict | None:
+        """A media rendition, or a selector with its alternatives in order."""
+        own = self.resolve(v)
+        if depth >= 32:
+            raise PdfError("renditions nested too deep")
+        if not isinstance(own, dict):
+            return None
+        kind = str(own.get("S", ""))
+        clip = self.get(own, "C", dict, {})
+        return {
+            "subtype": kind, "name": filters.decode_text(self.get(own, "N", bytes, b"")), "clip": str(clip.get("S", "")) or None,
+            "content_type": filters.decode_text(self.get(clip, "CT", bytes, b"")), "file": self.file_specification(clip.get("D")),
+            "alternatives": [r for x in self.get(own, "R", list, []) if (r := self.rendition(x, depth + 1))] if kind == "SR" else [],
+            "dict": own,
+        }
+
+    def named_destinations(self) -> Iterator[tuple[str, bytes, list | None]]:
+        """(kind, name, array) of the old dictionary, then of the name tree."""
+        for name in sorted(self.get(self.catalog, "Dests", dict, {})):
+            yield "name", name.encode("utf-8"), self.destination(Name(name))
+        for name, value in self.names("Dests"):
+            yield "string", name, self.destination(value)
+
     # Optional content
 
     def group_visible(self, ref: object) -> bool:
@@ -615,6 +655,15 @@ def resolve_role(role: str, roles: dict[str, str]) -> str:
     return now
 
 
+def select_rendition(rendition: dict | None, viable) -> dict | None:
+    """The first viable media rendition, depth first; an unviable selector skips its branch."""
+    if not rendition or rendition["subtype"] not in ("MR", "SR") or not viable(rendition):
+        return None
+    if rendition["subtype"] == "MR":
+        return rendition
+    return next((r for x in rendition["alternatives"] if (r := select_rendition(x, viable))), None)
+
+
 def operators(data: bytes, lenient: bool = False) -> Iterator[tuple[str, list, int]]:
     """(operator, operands, offset) of a content stream; an inline image is one ``BI``."""
     p = Parser(data, 0, lenient, references=False)

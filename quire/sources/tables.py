@@ -216,6 +216,41 @@ def _structure_attributes(doc: Document) -> Iterator[tuple]:
             yield num, i, str(doc.get(a, "O", Name, "")), name, doc.get(v, "R", int, 0), to_json(a)
 
 
+def _destinations(doc: Document) -> Iterator[tuple]:
+    pages = {p.ref: p.index for p in doc.pages() if p.ref}
+    for kind, name, held in doc.named_destinations():
+        if held is None:
+            doc.fault("a destination is not found")
+            continue
+        numbers = [doc.resolve(v) for v in held[2:]]
+        yield kind, name, pages.get(held[0]), str(doc.resolve(held[1])), [float(v) if isinstance(v, (int, float)) else None for v in numbers]
+
+
+def _links(doc: Document) -> Iterator[tuple]:
+    pages = {p.ref: p.index for p in doc.pages() if p.ref}
+    for p in doc.pages():
+        for a in doc.annotations(p):
+            if a["subtype"] != "Link":
+                continue
+            action = doc.get(a["dict"], "A", dict, {})
+            held = doc.destination(a["dict"].get("Dest", action.get("D") if action.get("S") == "GoTo" else None))
+            uri = doc.get(action, "URI", bytes)
+            yield p.index, a["index"], a["rect"], pages.get(held[0]) if held else None, None if uri is None else decode_text(uri), str(action.get("S")) if action else None
+
+
+def _renditions(doc: Document) -> Iterator[tuple]:
+    for kind, own in [("tree", v) for _, v in doc.names("Renditions")] + [("action", v.get("R")) for _, _, v in _numbers(doc) if isinstance(v, dict) and v.get("S") == "Rendition"]:
+        pending = [(doc.rendition(own), 0)]
+        i = 0
+        while pending:
+            r, depth = pending.pop()
+            if r:
+                file = r["file"] or {}
+                yield kind, i, depth, r["subtype"], r["name"], r["clip"], r["content_type"], file.get("file_name"), file["stream"].num if file.get("stream") else None
+                pending += [(x, depth + 1) for x in reversed(r["alternatives"])]
+                i += 1
+
+
 _MATRIX = "matrix array<double>"
 #: Table name: (columns after doc_id, generator of rows).
 TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
@@ -244,6 +279,9 @@ TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
     "images": ("num long, width long, height long, bits long, color_space_json string, mask boolean, filters array<string>, bytes long", _images),
     "image_files": ("num long, width long, height long, coding string, data binary, photographic boolean", _image_files),
     "structure_attributes": ("element_num long, ord int, owner string, class string, revision int, dict_json string", _structure_attributes),
+    "named_destinations": ("kind string, name binary, page_index int, mode string, parameters array<double>", _destinations),
+    "links": ("page_index int, index int, rect array<double>, target_page int, uri string, action string", _links),
+    "renditions": ("source string, ord int, depth int, subtype string, name string, clip string, content_type string, file_name string, stream_num long", _renditions),
     "embedded_files": ("name binary, file_name string, description string, stream_num long", lambda doc: ((e["name"], e["file_name"], e["description"], e["stream"].num if e["stream"] else None) for e in doc.embedded_files())),
 }
 

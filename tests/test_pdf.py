@@ -316,3 +316,65 @@ def test_images():
     with pytest.raises(images.CodedImage):
         images.decode_image(doc, Stream({"Width": 1, "Height": 1, "Filter": Name("DCTDecode")}, b""))
     assert not images.is_photographic(flat)
+
+
+def test_links_destinations_and_renditions():
+    from quire.sources.pdf.document import select_rendition
+    from quire.sources.tables import TABLES
+
+    extra = {
+        1: {"Dests": {"old": [Ref(3, 0), Name("FitH"), 7]}, "Names": {"Dests": {"Names": [b"new", [Ref(3, 0), Name("XYZ"), 1, None, 0]]}, "Renditions": {"Names": [b"r", Ref(8, 0)]}}},
+        6: {"Subtype": Name("Link"), "Rect": [0, 0, 1, 1], "Dest": b"new"}, 7: {"Subtype": Name("Link"), "Rect": [0, 0, 1, 1], "A": {"S": Name("URI"), "URI": b"http://x"}},
+        8: {"S": Name("SR"), "R": [Ref(9, 0), Ref(10, 0)]}, 9: {"S": Name("MR"), "N": b"a", "C": {"S": Name("MCD"), "CT": b"video/x", "D": {"F": b"f", "UF": b"u", "EF": {"F": Ref(4, 0)}}}}, 10: {"S": Name("MR"), "N": b"b"},
+    }
+    doc = Document(page_file(b"", extra=extra, page={"Annots": [Ref(6, 0), Ref(7, 0)]}))
+    rows = {name: list(TABLES[name][1](doc)) for name in ("named_destinations", "links", "renditions")}
+    assert rows["named_destinations"] == [("name", b"old", 0, "FitH", [7.0]), ("string", b"new", 0, "XYZ", [1.0, None, 0.0])]
+    assert [r[3:] for r in rows["links"]] == [(0, None, None), (None, "http://x", "URI")]
+    assert [(r[1:5], r[6:]) for r in rows["renditions"]] == [((0, 0, "SR", ""), ("", None, None)), ((1, 1, "MR", "a"), ("video/x", "u", 4)), ((2, 1, "MR", "b"), ("", None, None))]
+    whole = doc.rendition(Ref(8, 0))
+    assert select_rendition(whole, lambda r: r["name"] != "a")["name"] == "b" and select_rendition(whole, lambda r: r["subtype"] == "MR") is None
+
+
+def test_truetype():
+    import struct
+
+    from quire.sources.pdf import truetype
+
+    segments = struct.pack(">HHHHHHH", 4, 0, 0, 4, 0, 0, 0) + struct.pack(">2H", 66, 0xFFFF) + b"\0\0" + struct.pack(">2H2h2H", 65, 0xFFFF, -60, 1, 0, 0)
+    groups = struct.pack(">HHIII", 12, 0, 0, 0, 1) + struct.pack(">III", 0x1F600, 0x1F601, 9)
+    cmap = struct.pack(">HH", 0, 3) + struct.pack(">HHI", 3, 1, 28) + struct.pack(">HHI", 3, 10, 28 + len(segments)) + struct.pack(">HHI", 1, 0, 28 + len(segments) + len(groups)) + segments + groups + struct.pack(">HHHHH2H", 6, 0, 0, 200, 2, 3, 4)
+    held = {"cmap": cmap, "head": bytes(18) + struct.pack(">H", 2000) + bytes(34), "maxp": struct.pack(">IH", 0, 3), "hhea": bytes(34) + struct.pack(">H", 2), "hmtx": struct.pack(">HhHhh", 1000, 0, 500, 0, 0)}
+    out, at = struct.pack(">IHHHH", 0x10000, len(held), 0, 0, 0), 12 + 16 * len(held)
+    for tag, t in held.items():
+        out += struct.pack(">4sIII", tag.encode(), 0, at, len(t))
+        at += len(t)
+    data = out + b"".join(held.values())
+    maps = truetype.character_maps(truetype.tables(data)["cmap"])
+    assert maps == {(3, 1): {65: 5, 66: 6}, (3, 10): {0x1F600: 9, 0x1F601: 10}, (1, 0): {200: 3, 201: 4}}
+    assert truetype.advances(data) == [500, 250, 250]
+    assert [truetype.simple_glyph(maps, 65, "A", False), truetype.simple_glyph(maps, 201, None, True)] == [5, 4]
+
+
+def test_screens_and_transfers():
+    import numpy as np
+
+    from quire.functions import screens
+
+    screen = screens.spot_screen("SimpleDot", 60, 0, 600)
+    assert (screen.width, screen.width2) == (10, 0) and sorted(screen.thresholds.tolist()) == [-(-(r + 1) * 65535 // 100) for r in range(100)]
+    y, x = np.mgrid[0:40, 0:40]
+    for turned in (screen, screens.spot_screen("CosineDot", 75, 30, 600)):
+        n = turned.width**2 + turned.width2**2
+        side = np.mgrid[0:n, 0:n]
+        seen = turned.threshold(side[1], side[0])
+        assert len(np.unique(seen)) == n and np.unique(seen, return_counts=True)[1].max() == n
+        for level in (0, 16384, 65535):
+            ink = turned.quantise(np.full((n, n), level), side[1], side[0]).mean()
+            assert abs(ink - level / 65535) < 1.5 / n
+    assert screens.threshold_screen(bytes([64, 128, 192, 255]), 2, 2).quantise(np.full((40, 40), 40000), x, y).mean() == 0.5
+    square = lambda v: v * v
+    functions = [square, square, square, lambda v: v / 2]
+    assert screens.apply_transfer([0.5], "DeviceGray", functions) == [0.25]
+    assert screens.apply_transfer([0.5, 0.5, 0.5, 0.5], "DeviceCMYK", functions, "DeviceGray") == [0.5, 0.5, 0.5, 0.75]
+    assert screens.apply_transfer([0.5] * 3, "DeviceRGB", functions) == [0.25] * 3
