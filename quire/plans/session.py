@@ -41,3 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when it has fewer partitions than they are.
+
+    For costly per-row work on a small input, such as one file of one row
+    group; an input of many partitions passes as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -17,6 +17,7 @@ from quire.functions import calculator, filters, geometry, labels, shading, view
 from quire.functions.dates import format_date, parse_date
 from quire.functions.spot import SPOTS, spot
 from quire.operators import relations as R
+from quire.plans.session import spread
 from quire.sources.pdf.fonts import HELVETICA
 from quire.sources.tables import from_text, rewritten, scan
 
@@ -270,7 +271,7 @@ def ascii_hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _roundtrip(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         encode, decode = filters.CODECS[name]
-        docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
         return docs.select("doc_id", F.decode(decode(encode("b")), "UTF-8").alias("text"))
 
     return run
@@ -303,7 +304,7 @@ def predictor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_text(table(spark, sf_dir, "documents"))
+    return from_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id), p AS (SELECT doc_id, n, (n + 59) // 60 AS pages FROM n)"
