@@ -25,7 +25,7 @@ m AS (
   FROM (SELECT *, row_number() OVER () AS rid FROM base) b LEFT JOIN cov c USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_capitals > word_chars
+       NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_capitals > word_chars
             OR word_chars > 15 * n_words OR 2 * word_chars < 3 * n_words) AS kept
 FROM v
 """

@@ -80,7 +80,7 @@ class Rule:
 RULES = (
     Rule("few_words", lambda m: m["n_words"] < 50),
     Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
-    Rule("symbols", lambda m: 2 * m["n_symbols"] > m["n_words"]),
+    Rule("symbols", lambda m: 4 * m["n_symbols"] > m["n_words"]),
     Rule("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
     Rule("capitals", lambda m: 2 * m["n_capitals"] > m["word_chars"]),
     Rule("word_length", lambda m: (m["word_chars"] > 15 * m["n_words"]) | (2 * m["word_chars"] < 3 * m["n_words"])),
