@@ -331,11 +331,28 @@ SELECT doc_id, (i // 60)::INT AS page_index, (i % 60)::INT AS line_index, line A
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shown line of the plain texts with its place on the page."""
     plain = table(spark, sf_dir, "documents").where(F.coalesce("text", F.lit("")).rlike(r"^[\x0A\x20-\x7E]*\z"))
-    marks = scan(from_text(plain), "text_marks", "FAILFAST")
+    return _placed_lines(from_text(plain))
+
+
+def _placed_lines(files: DataFrame) -> DataFrame:
+    marks = scan(files, "text_marks", "FAILFAST")
     y = F.get("matrix", F.lit(5))
     return marks.select("doc_id", "page_index", F.round((768 - y) / 12).cast("int").alias("line_index"), "text", y.alias("y"))
 
 
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l),
+s AS (SELECT doc_id, i, line, regexp_replace(regexp_replace(line, '[\\x00-\\x1F]', '', 'g'), '[^\\x20-\\x7F\\x{A0}-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '?', 'g') AS text FROM e)
+SELECT doc_id, (i // 60)::INT AS page_index, (i % 60)::INT AS line_index, text, (768 - 12 * (i % 60))::DOUBLE AS y FROM s WHERE line <> ''""")
+def text_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shown line of all texts with its place on the page, as read back from WinAnsiEncoding.
+
+    A character outside the encoding becomes ``?``; a control character below
+    U+0020 has no text, and a line of nothing else has the empty text.
+    """
+    return _placed_lines(_pdfs(spark, sf_dir))
+
+
 @query("SELECT doc_id, ((len(string_split(coalesce(text, ''), chr(10))) + 59) // 60)::INT AS n_pages, '1.7' AS version, false AS encrypted FROM documents")
 def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_pdfs(spark, sf_dir), "documents", "FAILFAST").select("doc_id", "n_pages", "version", "encrypted")

@@ -118,6 +118,25 @@ def test_queries_equal_their_oracles(spark):
         assert got == sorted(str([plain(v) for v in r]) for r in found), name
 
 
+def test_lines_of_all_texts(spark, tmp_path):
+    import duckdb
+
+    from quire.queries import ORACLES, QUERIES
+
+    rows = [(1, "déjà vu €\nœuvre\n\nplain"), (2, "日本 x😀\x81\x85\xa0\xff\x7f"), (3, "tab\there\n\t\nß"), (4, None), (5, "x\n" * 60 + "Größe")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["text_lines_all"](spark, str(tmp_path)).where("doc_id < 5 OR page_index = 1").collect())
+    assert got == [
+        (1, 0, 0, "déjà vu €", 768.0), (1, 0, 1, "œuvre", 756.0), (1, 0, 3, "plain", 732.0),
+        (2, 0, 0, "?? x???\xa0\xff\x7f", 768.0),
+        (3, 0, 0, "tabhere", 768.0), (3, 0, 1, "", 756.0), (3, 0, 2, "ß", 744.0),
+        (5, 1, 0, "Größe", 768.0),
+    ]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT * FROM ({ORACLES['text_lines_all']}) WHERE doc_id < 5 OR page_index = 1").fetchall())
+
+
 def test_entry_without_the_optional_subpackage():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
