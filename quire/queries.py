@@ -395,13 +395,25 @@ o AS (SELECT DISTINCT o_orderkey FROM orders JOIN c ON o_custkey = c_custkey),
 p AS (SELECT DISTINCT l_partkey FROM lineitem JOIN o ON l_orderkey = o_orderkey)
 SELECT 'c' || c_custkey AS num, 0 AS depth FROM c UNION ALL SELECT 'o' || o_orderkey, 1 FROM o UNION ALL SELECT 'p' || l_partkey, 2 FROM p""")
 def object_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reached(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"))
+
+
+def _reached(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     edge = lambda t, a, b: table(spark, sf_dir, t).select(F.lit(0).alias("doc_id"), a.alias("src"), b.alias("dst"))
     edges = edge("orders", name("c", "o_custkey"), name("o", "o_orderkey")).union(edge("lineitem", name("o", "l_orderkey"), name("p", "l_partkey")))
-    roots = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.lit(0).alias("doc_id"), name("c", "c_custkey").alias("num"))
+    roots = customers.select(F.lit(0).alias("doc_id"), name("c", "c_custkey").alias("num"))
     return R.reachable(edges, roots).select("num", "depth")
 
 
+@query("""WITH o AS (SELECT DISTINCT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
+p AS (SELECT DISTINCT l_partkey FROM lineitem JOIN o ON l_orderkey = o_orderkey)
+SELECT 'c' || c_custkey AS num, 0 AS depth FROM customer UNION ALL SELECT 'o' || o_orderkey, 1 FROM o UNION ALL SELECT 'p' || l_partkey, 2 FROM p""")
+def object_reachability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and parts that any customer leads to; every customer is a root."""
+    return _reached(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS canonical FROM documents")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256"))

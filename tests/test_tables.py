@@ -137,6 +137,19 @@ def test_lines_of_all_texts(spark, tmp_path):
     assert got == sorted(con.execute(f"SELECT * FROM ({ORACLES['text_lines_all']}) WHERE doc_id < 5 OR page_index = 1").fetchall())
 
 
+def test_every_customer_is_a_root(spark, tmp_path):
+    from quire.queries import QUERIES
+
+    for t, rows, columns in (
+        ("customer", [(1,), (2,), (10,)], "c_custkey long"),
+        ("orders", [(5, 1), (6, 10), (7, 99)], "o_orderkey long, o_custkey long"),
+        ("lineitem", [(5, 3), (6, 4), (7, 8)], "l_orderkey long, l_partkey long"),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = {tuple(r) for r in QUERIES["object_reachability_all"](spark, str(tmp_path)).collect()}
+    assert got == {("c1", 0), ("c2", 0), ("c10", 0), ("o5", 1), ("o6", 1), ("p3", 2), ("p4", 2)}
+
+
 def test_entry_without_the_optional_subpackage():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
