@@ -16,8 +16,9 @@ Equal fingerprints were merged before, so copies never pair up.
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any
 other; fewer than three words are one shingle; rows with a null ``doc_id`` are
-fingerprinted, take their group's component (null if it has no id) and are
-never dropped; repeated rows fall into one component; an empty table gives an
+fingerprinted, link others, take their component's id (null if it has none) and
+are never dropped; rows of one id and different texts are told apart by their
+text's hash; repeated rows fall into one component; an empty table gives an
 empty result; extra columns of ``docs`` are untouched.
 """
 
@@ -109,23 +110,32 @@ def hamming_links(distinct: DataFrame) -> DataFrame:
     return index.join(probes, "k").where((F.col("a") < F.col("b")) & chained & (F.bit_count(diff) <= MAX_BITS)).select("a", "b").distinct()
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (hash of the text), fp, and first: the least (doc_id, tie) of the row's component, null if it has no id."""
+    base = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("tie"), fingerprints(F.col("text")).alias("fp")))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tie"))
+    groups = cut_lineage(base.groupBy("fp").agg(F.min(own).alias("least")))
+    # the nodes are fingerprints: one id may be on rows of several, and some have none
+    components = connected_components(hamming_links(groups.select("fp")))
+    linked = cut_lineage(groups.join(components, groups["fp"] == components["node"]).select("fp", "component", "least"))
+    firsts = linked.groupBy("component").agg(F.min("least").alias("first"))
+    of_group = linked.join(firsts, "component").select("fp", "first")
+    alone = groups.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("first"))
+    return base.join(of_group.union(alone), "fp").select("doc_id", "tie", "fp", "first")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed long), component_id of every row of ``docs``."""
-    base = cut_lineage(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
-    groups = cut_lineage(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    named = lambda c: groups.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}"))
-    links = hamming_links(groups.select("fp")).join(named("a"), "a").join(named("b"), "b")
-    components = connected_components(links.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
-    of_group = groups.join(components, groups["least"] == components["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return base.join(of_group, "fp").select("doc_id", "fp", "component_id")
+    return _labelled(docs).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row, that of the smallest id, left of each component."""
-    found = cut_lineage(near_duplicates(docs))
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """``docs`` with one row, that of the smallest id (of its texts the one of smallest hash), left of each component."""
+    found = cut_lineage(_labelled(docs))
+    key = ["doc_id", "tie"]
+    dropped = found.where(F.col("doc_id").isNotNull() & (F.struct(*key) != F.col("first"))).select(*key).distinct()
     # whole rows travel as one struct, so no name of theirs can clash
-    kept = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct("*").alias("doc")).join(dropped, "doc_id", "left_anti")
-    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))).where("nth = 1 OR doc_id IS NULL")
+    kept = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct("*").alias("doc")).join(dropped, key, "left_anti")
+    if not found.where("doc_id IS NOT NULL").groupBy(*key).count().where("count > 1").isEmpty():
+        kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("tie"))).where("nth = 1 OR doc_id IS NULL")
     return kept.select("doc.*")

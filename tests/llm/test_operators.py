@@ -169,6 +169,29 @@ def test_dedup_keeps_one_of_each(spark, docs):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_dedup_decides_by_row(spark):
+    a, b, c = "red green blue " * 20, " ".join(f"m{i}" for i in range(40)), " ".join(f"n{i}" for i in range(40))
+    fps = [plain_fingerprint(t) for t in (a, b, c)]
+    assert len(set(brute_components(fps))) == 3
+    # id 2 has a copy of id 1's text and a text of its own; ids 5 and 6 hold copies of another
+    rows = [(1, a), (2, a), (2, b), (5, c), (6, c), (7, None), (7, b)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS))
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(1, a), (2, b), (5, c), (7, "")])
+    # two unlinked texts of one id are both left, in groups that their id must not join
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([(1, a, "en", "s", 0), (1, b, "en", "s", 0), (1, b, "en", "s", 0)], DOCS))
+    assert sorted(r["text"] for r in kept.collect()) == sorted([a, b])
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    # the text stands for its fingerprint: 0 and 63 differ in six bits, and only a row without an id lies between
+    monkeypatch.setattr(simhash, "fingerprints", lambda c: c.cast("long"))
+    own = spark.createDataFrame([(3, "63"), (None, "7"), (4, "0"), (None, str(1 << 40))], "doc_id long, text string")
+    got = {(r["fp"], r["component_id"]) for r in simhash.near_duplicates(own).collect()}
+    assert got == {(63, 3), (7, 3), (0, 3), (1 << 40, 3)}
+    far = spark.createDataFrame([(3, "63"), (None, "-1")], "doc_id long, text string")
+    assert {(r["fp"], r["component_id"]) for r in simhash.near_duplicates(far).collect()} == {(63, 3), (-1, None)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 200)] + [(500, 501), (7, 7)]
     got = dict(graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
