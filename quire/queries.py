@@ -526,10 +526,21 @@ def sampled_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gradient_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("p_size") * 1.0, (F.col("p_partkey") % 50) * 1.0
     distance = F.sqrt(x * x + y * y)
-    points = table(spark, sf_dir, "part").where((distance >= 5.001) & (distance <= 99.999))
+    return _gradients(table(spark, sf_dir, "part").where((distance >= 5.001) & (distance <= 99.999)))
+
+
+def _gradients(points: DataFrame) -> DataFrame:
+    x, y = F.col("p_size") * 1.0, (F.col("p_partkey") % 50) * 1.0
     return points.select("p_partkey", r6(shading.axial_position(x, y, 0, 0, 3, 4)).alias("axial"), r6(shading.radial_position(x, y, (0, 0, 5), (0, 0, 100))).alias("radial"))
 
 
+@query("""WITH d AS (SELECT p_partkey, p_size * 3.0 + (p_partkey % 50) * 4.0 AS along, p_size * p_size + (p_partkey % 50) * (p_partkey % 50) AS square FROM part)
+SELECT p_partkey, round(along / 25, 6) AS axial, CASE WHEN square BETWEEN 25 AND 10000 THEN round((sqrt(square) - 5) / 95, 6) + 0.0 END AS radial FROM d""")
+def gradient_positions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of every part; the radial one is null inside the start circle and outside the end circle, where nothing is painted without extension."""
+    return _gradients(table(spark, sf_dir, "part"))
+
+
 @query("""WITH c AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY 1 - ((n_nationkey % 5) / 5.0) * ((n_nationkey % 5) / 5.0), n_nationkey) - 1 AS rank, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)
 SELECT n_nationkey, ceil((rank + 1) * 65535 / n)::BIGINT AS threshold FROM c""")
 def spot_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,15 @@ def test_every_customer_is_a_root(spark, tmp_path):
     assert got == {("c1", 0), ("c2", 0), ("c10", 0), ("o5", 1), ("o6", 1), ("p3", 2), ("p4", 2)}
 
 
+def test_gradient_positions_of_every_part(spark, tmp_path):
+    from quire.queries import QUERIES
+
+    rows = [(50, 0), (51, 2), (54, 3), (50, 5), (50, 100), (50, 101)]
+    spark.createDataFrame([(k + 100 * i, size) for i, (k, size) in enumerate(rows)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["p_partkey"]: (r["axial"], r["radial"]) for r in QUERIES["gradient_positions_all"](spark, str(tmp_path)).collect()}
+    assert got == {50: (0.0, None), 151: (0.4, None), 254: (1.0, 0.0), 350: (0.6, 0.0), 450: (12.0, 1.0), 550: (12.12, None)}
+
+
 def test_entry_without_the_optional_subpackage():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
