@@ -20,6 +20,7 @@ def get_spark(app: str = "quire", cpus: int | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -27,13 +28,18 @@ def get_spark(app: str = "quire", cpus: int | None = None) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with ``checkpoint()`` in the folder the cluster names.
 
-    ``spark.checkpoint.dir`` (shared storage) is used when the session has it;
-    only a session without one, as in local tests, gets a temporary folder.
+    ``spark.checkpoint.dir`` (shared storage) is used when the session has it. A
+    local session without one, as in tests, gets a temporary folder; on a
+    cluster, where executors could not share it, its absence is an error. Spent
+    checkpoints are removed by Spark itself when the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint(eager=True)
 
