@@ -4,22 +4,34 @@ Targets: the sources, by code point with null last, weigh 3, 1, 2, repeating,
 and share ``RATIO`` times all words; a target stops at ``CAP`` times its
 source's words and the excess is shared anew by weight until none is above.
 
-Rates: among all document rates that meet the token targets, the one nearest to
-the base rates in relative entropy over tokens is ``base * exp(lambda)`` with
-one multiplier a source, cut at ``CAP``. The multipliers solve a convex dual;
-each Newton step sums a source's tokens and their derivative over the corpus'
-(source, size, base) classes in one distributed aggregation.
+Rates: among all document rates that meet a source's token constraint,
+``sum(rate * size) = target``, the one nearest in relative entropy to taking
+every document once is ``rate = exp(lambda * size)``, cut at ``CAP``; there is
+one multiplier a source. A source that must grow leans to its longer documents,
+one that must shrink to its shorter ones. The multipliers solve a convex dual:
+each Newton step sums, in one distributed aggregation over the corpus' classes
+(documents of one source and size), every source's tokens and their derivative.
+Sizes are scaled by a source's token-weighted mean, so that multipliers are of
+the order of one.
 
 Rounding: within a source, classes go from the largest size to the smallest; a
-class takes the number of copies nearest to what its rates and the words still
+class takes the number of copies nearest to what its rate and the words still
 due from larger ones ask for, so the last error is about the size of a small
-document. A class's copies are dealt evenly, the odd ones by the documents'
-hashed ids, ranked in salted buckets.
+document. A class's copies are dealt evenly; the odd ones go to its documents of
+least hash of (id, text), found as one threshold a class: rows are counted by
+range of the hash and only the range that holds the threshold is ranked. A row's
+copies therefore follow from its own columns and one row of the class table.
+
+The class table has at most one row for each pair of source and text length; it
+is broadcast up to ``MOST_BROADCAST`` rows and joined by shuffle beyond.
 
 Defined cases: a null text has no words; documents without words are taken 0
-times; null is a source of its own; repeated rows are separate documents;
-sources without words have target 0; an empty table gives an empty result;
-other columns are untouched.
+times; null is a source of its own; repeated rows are separate documents, alike
+in all but their number of copies; sources without words have target 0; an empty
+table gives an empty result; other columns are untouched. ``repeat_mixed`` adds
+a ranking of equal rows only where a threshold falls among them, so that the
+numbers are exact; tables without repeated rows need none. A corpus whose
+multipliers do not settle raises an error.
 """
 
 from __future__ import annotations
@@ -28,134 +40,195 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.text import let, words_of
+from quire.plans.order import with_row_number
 from quire.plans.session import cut_lineage
 
 RATIO = 1.5
 CAP = 2
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
-TOLERANCE = 1e-9
-MAX_STEPS = 60
-#: Rows of one class that are ranked together.
+#: Relative error of a met target, decimals kept of a multiplier, and the guard against endless steps.
+TOLERANCE, DECIMALS, MAX_STEPS = 1e-10, 8, 400
+#: Rows ranked together, on average, to find a threshold.
 BUCKET = 4096
+#: Sizes whose copies are counted in one inner list.
+BLOCK = 512
+MOST_BROADCAST = 200_000
 
 
-def targets(sizes: DataFrame, ratio: float = RATIO, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target from (source, source_size); one row per source."""
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    known = sizes.withColumn("weight", weight).withColumn("limit", F.col("source_size") * float(cap))
-    known = known.withColumn("full_at", F.col("limit") / F.col("weight")).withColumn("budget", F.sum("source_size").over(every) * ratio).withColumn("weights", F.sum("weight").over(every))
-    order = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("budget") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    known = known.withColumn("level", level)
-    settled = F.first(F.when(F.col("full_at") >= F.col("level"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return known.withColumn("settled", settled).select("source", "source_size", F.least("limit", F.coalesce(F.col("weight") * F.col("settled"), F.col("limit"))).alias("target"))
+def _sources_equal(name: str = "s") -> Column:
+    return F.col("source").eqNullSafe(F.col(name))
+
 
+def targets(sizes: DataFrame, ratio: float = RATIO, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """source, source_size, target from (source, source_size); one row per source.
 
-def _same_source(left: DataFrame, right: DataFrame) -> Column:
-    return left["source"].eqNullSafe(right["source"])
+    The level of the unfilled sources rises from round to round as full ones
+    leave; each round gathers two sums. Sources are numbered by a range shuffle.
+    """
+    numbered, n = with_row_number(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("row") % len(weights) + 1).cast("int"))
+    known = numbered.withColumn("weight", weight).withColumn("limit", F.col("source_size") * float(cap))
+    budget = known.select(F.sum("source_size")).first()[0]
+    budget, full, level = (budget or 0) * ratio, -1, 0.0
+    for _ in range(n + 1):
+        is_full = F.col("limit") <= F.col("weight") * level
+        limits, left, count = known.select(F.sum(F.when(is_full, F.col("limit"))), F.sum(F.when(~is_full, F.col("weight"))), F.count_if(is_full)).first()
+        if count == full or not left:
+            break
+        full, level = count, (budget - (limits or 0.0)) / left
+    full_or_level = F.col("limit") if n and not left else F.least("limit", F.col("weight") * level)
+    return known.select("source", "source_size", full_or_level.alias("target"))
 
 
 def multipliers(classes: DataFrame, aims: DataFrame, cap: int = CAP) -> DataFrame:
-    """source, source_size, target, lam: Newton on the dual, one aggregation a step.
+    """source, source_size, target, scale, lam: Newton on the dual, one aggregation a step.
 
-    ``classes``: source, size, base, n. A step that leaves the bracket known to
-    hold the solution is replaced by its end or middle; the upper end is where
-    every rate has reached the cap.
+    ``classes``: source, size, n. A document's rate is ``least(cap, exp(lam *
+    size / scale))``. A step that leaves the bracket known to hold the solution
+    is replaced by the bracket's middle; its ends are where the smallest
+    document's rate vanishes and where it reaches the cap.
     """
-    ends = classes.groupBy("source").agg(F.log(float(cap) / F.min("base")).alias("hi")).withColumnRenamed("source", "s")
-    same = F.col("source").eqNullSafe(F.col("s"))
-    now = aims.join(ends, same).select("source", "source_size", "target", F.lit(0.0).alias("lam"), F.lit(-700.0).alias("lo"), "hi", F.lit(False).alias("tested"))
-    now = cut_lineage(now.withColumn("lam", F.least("lam", "hi")))
-    words, rate = F.col("size") * F.col("n"), F.col("base") * F.exp("lam")
+    worded = classes.where("size > 0")
+    spread = worded.groupBy("source").agg((F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"), F.min("size").alias("least")).withColumnRenamed("source", "s")
+    start = aims.join(spread, _sources_equal(), "left").withColumns({"scale": F.coalesce("scale", F.lit(1.0)), "least": F.coalesce("least", F.lit(1))})
+    ends = {"lo": -745.0 * F.col("scale") / F.col("least"), "hi": F.log(F.lit(float(cap))) * F.col("scale") / F.col("least")}
+    full = F.col("target") >= cap * F.col("source_size")
+    now = start.withColumns(ends).select("source", "source_size", "target", "scale", F.when(full, F.col("hi")).otherwise(F.lit(0.0)).alias("lam"), "lo", "hi", full.alias("settled"))
+    now = cut_lineage(now)
+    words, rate = F.col("size") * F.col("n"), F.exp(F.col("lam") * F.col("size") / F.col("scale"))
     for _ in range(MAX_STEPS):
+        open_ = now.where("NOT settled")
+        if open_.isEmpty():
+            return now.select("source", "source_size", "target", "scale", F.when(full, F.col("lam")).otherwise(F.round("lam", DECIMALS)).alias("lam"))
         met = (
-            classes.join(now.select(F.col("source").alias("s"), "lam"), same)
+            worded.join(open_.select(F.col("source").alias("s"), "lam", "scale"), _sources_equal())
             .groupBy("s")
-            .agg(F.sum(words * F.least(rate, F.lit(float(cap)))).alias("got"), F.sum(F.when(rate <= cap * (1 + TOLERANCE), words * rate).otherwise(0.0)).alias("slope"))
+            .agg(F.sum(words * F.least(rate, F.lit(float(cap)))).alias("got"), F.sum(F.when(rate <= cap, words * rate * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"))
         )
+        after = now.join(met, _sources_equal(), "left")
         gap = F.col("target") - F.col("got")
-        settled = F.abs(gap) <= TOLERANCE * F.col("target")
-        after = now.join(met, same).withColumn("lo", F.when(gap > 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("tested", F.col("tested") | (gap < 0)).withColumn("hi", F.when(gap < 0, F.col("lam")).otherwise(F.col("hi")))
-        newton, middle = F.col("lam") + F.try_divide(gap, "slope"), (F.col("lo") + F.col("hi")) / 2
-        inside = F.when(newton.isNull() | (newton <= F.col("lo")), middle).when(newton < F.col("hi"), newton).when(F.col("tested"), middle).otherwise(F.col("hi"))
-        now = cut_lineage(after.select("source", "source_size", "target", F.when(settled, F.col("lam")).otherwise(inside).alias("lam"), "lo", "hi", "tested", settled.alias("settled")))
-        if now.where(~F.col("settled")).isEmpty():
-            break
-    return now.select("source", "source_size", "target", "lam")
+        close = F.coalesce(F.abs(gap) <= TOLERANCE * F.col("target"), F.lit(True)) | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs("lam"))
+        after = after.withColumns({"settled": F.col("settled") | close, "lo": F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))})
+        # the dual's gradient is taken as a logarithm: it is nearly straight where the rates are far from the cap
+        newton = F.col("lam") + F.try_divide(F.log(F.col("target") / F.col("got")) * F.col("got"), F.col("slope"))
+        inside = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        now = cut_lineage(after.select("source", "source_size", "target", "scale", F.when(F.col("settled"), F.col("lam")).otherwise(inside).alias("lam"), "lo", "hi", "settled"))
+    raise RuntimeError(f"the multipliers did not settle in {MAX_STEPS} steps")
 
 
 def _counts(cap: int) -> Column:
-    """Copies of each class of ``classes``, from the largest size down, carrying what is due."""
+    """Copies of each class of ``classes``, from the largest size down, carrying what is due.
+
+    The list is walked in blocks, so that lists grow by whole blocks.
+    """
 
     def take(state: Column, c: Column) -> Column:
         return let(
-            state["due"] + F.least(c["base"] * F.exp("lam"), F.lit(float(cap))) * c["size"] * c["n"],
+            state["due"] + F.least(F.exp(F.col("lam") * c["size"] / F.col("scale")), F.lit(float(cap))) * c["size"] * c["n"],
             lambda want: let(
                 F.when(c["size"] == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(c["n"] * cap, F.round(want / F.greatest(c["size"], F.lit(1))).cast("long")))),
                 lambda k: F.struct((want - k * c["size"]).alias("due"), F.concat(state["out"], F.array(k)).alias("out")),
             ),
         )
 
-    start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate("classes", start, take, lambda s: s["out"])
+    empty = F.array().cast("array<bigint>")
+    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(classes) - 1) div {BLOCK}")), lambda i: F.slice("classes", i * BLOCK + 1, BLOCK))
+
+    def walk(state: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(state["due"].alias("due"), empty.alias("out")), take)
+        return let(inner, lambda s: F.struct(s["due"].alias("due"), F.concat(state["out"], s["out"]).alias("out")))
+
+    return F.aggregate(blocks, F.struct(F.lit(0.0).alias("due"), empty.alias("out")), walk, lambda s: s["out"])
+
 
+def _hash_range(ranges: Column) -> Column:
+    """Which of ``ranges`` equal parts of the hashes' span holds column ``h``."""
+    place = (F.shiftright("h", 1).cast("double") + 2.0**62) / 2.0**63
+    return F.least(F.floor(place * ranges), ranges - 1).cast("long")
 
-def mix(docs: DataFrame, ratio: float = RATIO, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, base: Column | None = None) -> DataFrame:
-    """doc_id, bytes, source, size, source_size, target, copies for every row of ``docs``.
 
-    ``base``: a document's rate before balancing, 1 unless given.
+def _thresholds(keys: DataFrame, plan: DataFrame) -> DataFrame:
+    """s, z, edge, share, rows: the hash up to which a class's rows take an odd copy, and how many of the ``rows`` rows at it do.
+
+    ``keys``: source, size, h, m (rows of that hash). ``plan``: source, size, n, odd.
     """
-    rate = F.lit(1.0) if base is None else base.cast("double")
-    sized = cut_lineage(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), rate.alias("base"), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("bytes"), F.monotonically_increasing_id().alias("rid")))
-    classes = cut_lineage(sized.groupBy("source", "size", "base").agg(F.count("*").alias("n")))
+    wanted = plan.where("odd > 0").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("odd"), F.ceil(F.col("n") / BUCKET).alias("ranges"))
+    same = _sources_equal() & (F.col("size") == F.col("z"))
+    dealt = keys.join(wanted, same).withColumn("range", _hash_range(F.col("ranges")))
+    ranges = dealt.groupBy("s", "z", "odd", "ranges", "range").agg(F.sum("m").alias("count"))
+    reached = F.sum("count").over(Window.partitionBy("s", "z").orderBy("range"))
+    held = ranges.withColumn("reached", reached).where("reached >= odd AND reached - count < odd").select("s", "z", "ranges", "range", (F.col("odd") - F.col("reached") + F.col("count")).alias("rest"))
+    named = held.select("s", "z", "ranges", F.col("range").alias("wanted_range"), "rest")
+    near = keys.join(named, same).where(_hash_range(F.col("ranges")) == F.col("wanted_range"))
+    # rows of one hash are one key, so this ranks about BUCKET keys, however often a row is repeated
+    upto = F.sum("m").over(Window.partitionBy("s", "z").orderBy("h"))
+    found = near.groupBy("s", "z", "rest", "h").agg(F.sum("m").alias("m")).withColumn("upto", upto).where("upto >= rest AND upto - m < rest")
+    return found.select("s", "z", F.col("h").alias("edge"), (F.col("rest") - F.col("upto") + F.col("m")).alias("share"), F.col("m").alias("rows"))
+
+
+def _row_hash() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def plan_mix(docs: DataFrame, ratio: float = RATIO, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows (source, size, h, doc_id, m) and the class table.
+
+    Class table: source, size, source_size, target, rate, each, edge, share, rows.
+    """
+    size = F.size(words_of(F.col("text"))).cast("long")
+    keys = cut_lineage(docs.select("doc_id", "source", size.alias("size"), _row_hash().alias("h")).groupBy("source", "size", "h", "doc_id").agg(F.count("*").alias("m")))
+    classes = cut_lineage(keys.groupBy("source", "size").agg(F.sum("m").alias("n")))
     aims = targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), ratio, cap, weights)
     solved = multipliers(classes, aims, cap)
-    # one row a source: as many classes as there are lengths of text, however many documents
-    lists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "base", "n")), asc=False).alias("classes")).withColumnRenamed("source", "s")
+    # one row a source: as many entries as there are lengths of text, however many documents
+    lists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("classes")).withColumnRenamed("source", "s")
     plan = (
-        solved.join(lists, F.col("source").eqNullSafe(F.col("s")))
+        solved.join(lists, _sources_equal())
         .withColumn("count", _counts(cap))
-        .select("source", "source_size", "target", F.inline(F.arrays_zip("classes", "count")))
-        .select("source", "source_size", "target", F.col("classes.size").alias("size"), F.col("classes.base").alias("base"), F.col("classes.n").alias("n"), "count")
+        .select("source", "source_size", "target", "lam", "scale", F.inline(F.arrays_zip("classes", "count")))
+        .select("source", "source_size", "target", F.least(F.exp(F.col("lam") * F.col("classes.size") / F.col("scale")), F.lit(float(cap))).alias("rate"), F.col("classes.size").alias("size"), F.col("classes.n").alias("n"), "count")
     )
-    plan = cut_lineage(plan.withColumn("salts", F.ceil(F.col("n") / BUCKET)))
-    q = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("base").alias("b"), "source_size", "target", "n", "count", "salts")
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & F.col("base").eqNullSafe(F.col("b"))
-    known = sized.join(q, same).drop("s", "z", "b").withColumn("hash", F.xxhash64("doc_id")).withColumn("salt", F.pmod("hash", "salts"))
-    key = ["source", "size", "base", "salt"]
-    ahead = Window.partitionBy("source", "size", "base").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = known.groupBy(*key).count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
-    starts = starts.select(*[F.col(k).alias(f"k_{k}") for k in key], "start")
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("hash", "doc_id", "rid")) - 1
-    on = F.lit(True)
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    ranked = known.withColumn("place", place).join(starts, on)
-    each = F.expr("count div n")
-    odd = F.col("place") + F.col("start") < F.col("count") - each * F.col("n")
-    return ranked.select("doc_id", "bytes", "source", "size", "source_size", "target", (each + odd.cast("long")).alias("copies"))
+    plan = cut_lineage(plan.withColumn("each", F.expr("count div n")).withColumn("odd", F.expr("count % n")))
+    edges = _thresholds(keys, plan)
+    table = plan.join(edges, _sources_equal() & (F.col("size") == F.col("z")), "left")
+    return keys, cut_lineage(table.select("source", "size", "source_size", "target", "rate", "each", "edge", "share", "rows"))
+
+
+def _with_class(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` (source, size, ...) with the columns of their class."""
+    named = table.withColumnRenamed("source", "s").withColumnRenamed("size", "z")
+    side = F.broadcast(named) if table.count() <= MOST_BROADCAST else named
+    return rows.join(side, _sources_equal() & (F.col("size") == F.col("z"))).drop("s", "z")
+
+
+def mix(docs: DataFrame, ratio: float = RATIO, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies for every row of ``docs``."""
+    keys, table = plan_mix(docs, ratio, cap, weights)
+    odd = F.when(F.col("h") < F.col("edge"), F.col("m")).when(F.col("h") == F.col("edge"), F.least("share", "m")).otherwise(F.lit(0))
+    each_row = _with_class(keys, table).withColumn("odd", odd).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    return each_row.select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("each") + (F.col("nth") <= F.col("odd")).cast("long")).alias("copies"))
 
 
 def repeat_mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; rows it does not take go.
 
-    Rows alike in id, source and length of text share their copies evenly.
+    Rows do not travel: each reads its copies off its class. Only equal rows
+    among which a threshold falls are ranked, within their partition and by the
+    partitions' counts.
     """
-    key = ["doc_id", "source", "bytes"]
-    counts = cut_lineage(mix(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
-    kept = counts.where("copies > 0").select(*[F.col(k).alias(f"k_{k}") for k in key], "copies", "n")
+    _, table = plan_mix(docs)
     # whole rows travel as one struct, so no name of theirs can clash
-    rows = docs.select(F.struct("*").alias("doc"))
-    size = F.octet_length(F.coalesce(F.col("doc.text"), F.lit("")))
-    on = F.col("doc.doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("doc.source").eqNullSafe(F.col("k_source")) & (size == F.col("k_bytes"))
-    out = rows.join(kept, on)
-    if counts.where("n > 1").isEmpty():
-        copies = F.col("copies")
-    else:
-        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("k_doc_id", "k_source", "k_bytes").orderBy(F.xxhash64("doc.text"))) - 1)
-        copies = F.expr("copies div n + int(nth < copies % n)")
-    return out.where(copies > 0).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("doc.*")
+    rows = docs.select(F.struct("*").alias("doc"), "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), _row_hash().alias("h"))
+    known = _with_class(rows, table)
+    at_edge = F.coalesce((F.col("h") == F.col("edge")) & (F.col("share") < F.col("rows")), F.lit(False))
+    below = F.coalesce(F.col("h") <= F.col("edge"), F.lit(False)).cast("long")
+    out = known.where(~at_edge).select("doc", (F.col("each") + below).alias("copies"))
+    if not table.where("share < rows").isEmpty():
+        split = cut_lineage(known.where(at_edge).select("doc", "each", "share", "h", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+        ahead = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        starts = split.groupBy(F.col("h").alias("k"), F.col("part").alias("p")).count().withColumn("start", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+        nth = F.row_number().over(Window.partitionBy("h", "part").orderBy("at"))
+        ranked = split.withColumn("nth", nth).join(starts, (F.col("h") == F.col("k")) & (F.col("part") == F.col("p")))
+        out = out.union(ranked.select("doc", F.col("each") + (F.col("start") + F.col("nth") <= F.col("share")).cast("long")))
+    return out.where("copies > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
