@@ -8,10 +8,13 @@ of lengths (at most ``CAPACITY`` numbers) is all that reaches the driver.
 A configuration is a multiset of lengths that fits one sequence. The linear
 program (cover every length's count with the fewest configurations) is solved
 by multiplicative weights: the prices of lengths grow where the plan covers
-little, and a knapsack dynamic program finds the configuration worth most at
-the current prices. The averaged plan is scaled, rounded down to whole
-configurations, and the pieces left over, whose number does not depend on the
-corpus, are packed best-fit from the largest down.
+little, and a knapsack dynamic program finds the configurations worth most at
+the current prices. In one round no length is covered by more than ``STEP`` of
+its count, and lengths covered far beyond the others leave the knapsack. The
+averaged plan is scaled and rounded to whole configurations by running sums, so
+that roundings cancel out among configurations of like pieces. Most pieces come
+through configurations; those that rounding leaves are packed best-fit from the
+largest down, into what room configurations leave and into new sequences.
 
 The plan is a list of runs: pieces of one length with ranks in [a, b) go to
 sequences s, s+1, ... at one offset. A piece finds its place by binary search
@@ -30,10 +33,11 @@ import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,13 +50,12 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Encoded words a worker keeps; the store is emptied when full.
 WORDS_KEPT = 200_000
-#: Rounds of multiplicative weights, and their step.
-ROUNDS = 80
-STEP = 0.2
-#: Share of the best worth within which a configuration is used.
-SLACK = 0.01
-#: Roundings tried in turn: least share of a sequence that a whole configuration fills, and share of the plan taken.
-ROUNDINGS = ((1.0, 1.0), (1.0, 0.9), (1.0, 0.7), (1.0, 0.5), (0.999, 0.9), (0.99, 0.9), (0.99, 0.5), (0.0, 0.9), (0.0, 0.0))
+#: Most that one round of multiplicative weights covers of a length's count.
+STEP = 0.05
+#: Weight below which a length is left out of the knapsack.
+LEAST_WEIGHT = 0.01
+#: Plans tried in turn, the fewest sequences win: rounds of weights, and share of the best worth within which a configuration is used.
+PLANS = ((80, 0.001), (160, 0.001), (300, 0.05))
 #: Below this code point a word's characters are classed alike by both encoders.
 PLAIN_BELOW = "\u0250"
 #: Texts tokenised together at most, by count and by characters.
@@ -149,31 +152,38 @@ def piece_table(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of every piece."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(texts: list[str], cache: WordCache) -> dict[str, list]:
+        rows: dict[str, list] = {name: [] for name in ("row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
+        for i, raw in enumerate(cache.encode(texts)):
+            ids = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)).astype("<u4")
+            for k, (start, length) in enumerate(pieces_of(ids, capacity)):
+                own = ids[start : start + length]
+                for name, value in zip(("row", "piece", "start", "length", "ids_crc32"), (i, k, start, length, zlib.crc32(own.tobytes())), strict=True):
+                    rows[name].append(value)
+                if with_ids:
+                    rows["ids"].append(own.astype(np.int32))
+        return rows
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(path, ranks_path)
+        types = {"piece": pa.int32(), "ids": pa.list_(pa.int32())}
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            doc_ids = batch["doc_id"].to_numpy()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
             while at < len(texts):
                 stop, size = at, 0
                 while stop < len(texts) and stop - at < TEXTS and (stop == at or size + len(texts[stop]) <= CHARS):
                     size += len(texts[stop])
                     stop += 1
-                rows: dict[str, list] = defaultdict(list)
-                for doc_id, raw in zip(doc_ids[at:stop], cache.encode(texts[at:stop]), strict=True):
-                    ids = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)).astype("<u4")
-                    for k, (start, length) in enumerate(pieces_of(ids, capacity)):
-                        own = ids[start : start + length]
-                        for name, value in zip(("doc_id", "piece", "start", "length", "ids_crc32"), (doc_id, k, start, length, zlib.crc32(own.tobytes())), strict=True):
-                            rows[name].append(value)
-                        if with_ids:
-                            rows["ids"].append(own.astype(np.int32))
-                yield pd.DataFrame({k: pd.Series(v, dtype=batch["doc_id"].dtype) if k == "doc_id" else v for k, v in rows.items()})
+                rows = pieces(texts[at:stop], cache)
+                # ids are taken as they came: a null beside a long must not turn the column into doubles
+                own = batch.column("doc_id").slice(at, stop - at).take(pa.array(rows.pop("row"), pa.int64()))
+                values = [pa.array(v, types.get(name, pa.int64())) for name, v in rows.items()]
+                yield pa.RecordBatch.from_arrays([own, *values], names=["doc_id", *rows])
                 at = stop
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def price_configurations(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,31 +214,37 @@ def traced(pick: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def fractional_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple[tuple[int, int], ...], float]:
+def fractional_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, slack: float) -> dict[tuple[tuple[int, int], ...], float]:
     """Configurations (index of length, how many) and how often each is used, for ``counts`` in all.
 
     Every round prices the lengths by how little of their count is covered and
     solves one knapsack. Its table gives, for each length, the best configuration
-    holding it; all within ``SLACK`` of the best are near-optimal answers and
-    are used a little.
+    holding it; all within ``slack`` of the best are near-optimal answers and are
+    used, least covered lengths first, as far as the round's allowances go.
     """
     covered = np.zeros(len(lengths))
     plan: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
     for _ in range(rounds):
         share = covered / counts
-        weights = np.exp(-(share - share.min()) / step)
-        prices = weights * lengths / (weights * lengths).max()
-        best, pick = price_configurations(prices, lengths, capacity)
-        worth = prices + best[capacity - lengths]
-        for k in np.flatnonzero(worth >= (1 - SLACK) * best[capacity]).tolist():
+        weights = np.exp(-(share - share.min()) / STEP)
+        live = np.flatnonzero(weights > LEAST_WEIGHT)
+        sizes, prices = lengths[live], weights[live] * lengths[live]
+        prices = prices / prices.max()
+        best, pick = price_configurations(prices, sizes, capacity)
+        allowed = STEP * counts
+        used_up = 0.05 * allowed / np.maximum(1, capacity // lengths)
+        good = np.flatnonzero(prices + best[capacity - sizes] >= (1 - slack) * best[capacity])
+        for k in good[np.argsort(share[live][good], kind="stable")].tolist():
             held: dict[int, int] = defaultdict(int)
-            for j in (k, *traced(pick, lengths, capacity - int(lengths[k]))):
-                held[j] += 1
-            size = step / 4 * min(counts[j] / n for j, n in held.items())
-            plan[tuple(sorted(held.items()))] += size
-            for j, n in held.items():
-                covered[j] += n * size
-    scale = counts.sum() / covered.sum()
+            for j in (k, *traced(pick, sizes, capacity - int(sizes[k]))):
+                held[int(live[j])] += held[int(live[j])] < counts[live[j]]
+            if all(allowed[j] > 0 and allowed[j] >= n * used_up[j] for j, n in held.items()):
+                size = min(allowed[j] / n for j, n in held.items())
+                plan[tuple(sorted(held.items()))] += size
+                for j, n in held.items():
+                    covered[j] += n * size
+                    allowed[j] -= n * size
+    scale = counts.sum() / max(covered.sum(), 1e-300)
     return {c: n * scale for c, n in plan.items()}
 
 
@@ -239,31 +255,34 @@ RUN = np.dtype([("length", "i8"), ("rank", "i8"), ("n", "i8"), ("sequence", "i8"
 class Placement:
     """Runs under construction: how many pieces of each length are left, and their next rank."""
 
-    def __init__(self, histogram: dict[int, int]):
+    def __init__(self, histogram: dict[int, int], capacity: int):
         self.left = {k: v for k, v in histogram.items() if v > 0}
         self.used: dict[int, int] = defaultdict(int)
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.sequences = 0
+        self.capacity = capacity
+        self.rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: runs of sequences
 
     def put(self, length: int, times: int, sequence: int, offset: int) -> None:
         self.runs.append((length, self.used[length], times, sequence, offset))
         self.used[length] += times
         self.left[length] -= times
 
-    def open(self, config: list[tuple[int, int]], times: int) -> int:
-        """``times`` new sequences of one configuration; returns the first."""
+    def open(self, config: list[tuple[int, int]], times: int) -> None:
+        """``times`` new sequences of one configuration."""
         first, offset = self.sequences, 0
         self.sequences += times
         for length, n in config:
             for _ in range(n):
                 self.put(length, times, first, offset)
                 offset += length
-        return first
+        if offset < self.capacity:
+            self.rooms[self.capacity - offset].append((first, times))
 
 
-def best_fit_rest(at: Placement, capacity: int) -> None:
+def best_fit_rest(at: Placement) -> None:
     """Packs what is left best-fit, whole runs of equal lengths at a time, from the largest down."""
-    rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left: runs of sequences
+    rooms = at.rooms
     for length in sorted((k for k, v in at.left.items() if v), reverse=True):
         while n := at.left[length]:
             room = min((r for r in rooms if r >= length), default=0)
@@ -272,46 +291,54 @@ def best_fit_rest(at: Placement, capacity: int) -> None:
                 if not rooms[room]:
                     del rooms[room]
                 take = min(n, many)
-                at.put(length, take, first, capacity - room)
+                at.put(length, take, first, at.capacity - room)
                 if many > take:
                     rooms[room].append((first + take, many - take))
+                if room > length:
+                    rooms[room - length].append((first, take))
             else:
-                fit = min(capacity // length, n)
-                take = n // fit
-                first = at.open([(length, fit)], take)
-                room = capacity - fit * length + length
-            if room > length:
-                rooms[room - length].append((first, take))
-
+                fit = min(at.capacity // length, n)
+                at.open([(length, fit)], n // fit)
+
+
+def open_planned(at: Placement, rounds: int, slack: float) -> int:
+    """Plans the pieces left and opens the rounded configurations; returns how many pieces they hold."""
+    lengths = np.array(sorted(k for k, v in at.left.items() if v > 0), dtype=np.int64)
+    if not len(lengths):
+        return 0
+    plan = fractional_plan(lengths, np.array([at.left[int(k)] for k in lengths], dtype=float), at.capacity, rounds, slack)
+    # neighbours in this order hold the same large pieces, so their roundings cancel out
+    order = sorted(([(int(lengths[k]), n) for k, n in sorted(config, reverse=True)], times) for config, times in plan.items())
+    placed, due, taken = 0, 0.0, 0
+    for held, times in reversed(order):
+        due += times
+        want, taken = int(due + 0.5) - taken, int(due + 0.5)
+        whole = min(want, *(at.left[k] // n for k, n in held))
+        if whole > 0:
+            at.open(held, whole)
+            placed += whole * sum(n for _, n in held)
+    return placed
+
+
+def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int, int]:
+    """The runs that place every piece, sorted by (length, rank), the sequences, and the pieces that came through configurations.
+
+    Pieces of full length are a configuration of their own. Each of ``PLANS`` is
+    rounded and its rest packed best-fit; the fewest sequences win.
+    """
 
-def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """The runs that place every piece, sorted by (length, rank), and the number of sequences.
+    def rounded(rounds: int, slack: float) -> tuple[Placement, int]:
+        at = Placement(histogram, capacity)
+        placed = at.left.get(capacity, 0)
+        if placed:
+            at.open([(capacity, 1)], placed)
+        placed += open_planned(at, rounds, slack)
+        best_fit_rest(at)
+        return at, placed
 
-    The linear program's plan is rounded in each of ``ROUNDINGS``, the rest
-    packed best-fit; the fewest sequences win. The last takes nothing from the
-    plan, so the result is never worse than best-fit alone.
-    """
-    lengths = np.array(sorted(k for k, v in histogram.items() if v > 0 and k < capacity))
-    plan = fractional_plan(lengths, np.array([histogram[k] for k in lengths], dtype=float), capacity) if len(lengths) else {}
-    order = sorted(plan.items(), key=lambda x: (-x[1], x[0]))
-
-    def rounded(rounding: tuple[float, float]) -> Placement:
-        fill, taken = rounding
-        at = Placement(histogram)
-        if at.left.get(capacity):
-            at.open([(capacity, 1)], at.left[capacity])
-        for config, times in order:
-            held = [(int(lengths[k]), n) for k, n in sorted(config, reverse=True)]
-            if sum(k * n for k, n in held) >= fill * capacity:
-                whole = min(int(times * taken), *(at.left[k] // n for k, n in held))
-                if whole > 0:
-                    at.open(held, whole)
-        best_fit_rest(at, capacity)
-        return at
-
-    at = min(map(rounded, ROUNDINGS), key=lambda p: p.sequences)
+    at, placed = min((rounded(*plan) for plan in PLANS), key=lambda p: p[0].sequences)
     out = np.array(at.runs, dtype=RUN)
-    return out[np.lexsort((out["rank"], out["length"]))], at.sequences
+    return out[np.lexsort((out["rank"], out["length"]))], at.sequences, placed
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, ranks_path: str | None = None) -> DataFrame:
@@ -320,12 +347,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     pieces = cut_lineage(pieces)
     by_part = pieces.groupBy("length", "_part").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("n")).collect()}
-    runs, _ = plan_runs(histogram, capacity)
+    runs, _, _ = plan_runs(histogram, capacity)
     ahead = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("length", "_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_start"))
     nth = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_at")) - 1
     ranked = pieces.withColumn("_nth", nth).join(starts, ["length", "_part"])
-    shared = docs.sparkSession.sparkContext.broadcast(runs)  # at most rounds x capacity runs, however large the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(runs)  # bounded by rounds, lengths and capacity, however large the corpus
 
     @F.pandas_udf(T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
