@@ -10,7 +10,9 @@ violators.
 
 The model is fitted on a bounded sample of labelled rows: at most
 ``SAMPLE_ROWS`` of them, chosen by a hash of the id, with texts of at most
-``SAMPLE_TEXT_BYTES``. Every document is scored, whole.
+``SAMPLE_TEXT_BYTES``, so at most 128 MB of text reach the driver however many
+rows repeat an id. The lexicons hold every telling term of that sample. Every
+document is scored, whole, in time linear in its length.
 
 Defined cases: null and empty texts have zero features and are scored like any
 other; null labels are ignored and a repeated id counts as toxic if any of its
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_ROWS = 8000
-SAMPLE_TEXT_BYTES = 64 << 10
+SAMPLE_TEXT_BYTES = 16 << 10
 THRESHOLD = 0.3
 FOLDS = 4
 
@@ -45,9 +47,12 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr eu
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 NEAR = 5
 PREFIXES = (4, 5, 6)
-MIN_DOCS, MIN_ODDS, MOST_TERMS = 3, 1.8, 4000
+MIN_DOCS, MIN_ODDS = 3, 1.8
+#: Words whose findings a scorer remembers; the store is emptied when full.
+WORDS_KEPT = 200_000
 
-_OBFUSCATED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|]+[^\W\d_]+)+")
+# a match starts at the first letter of a run only, so a long run is tried once
+_OBFUSCATED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!|]++[^\W\d_]++)+")
 _EDGE = string.punctuation + "«»„“”‘’…¿¡"
 NAMES = ("seed_rate", "seed_kinds", "word_rate", "word_odds", "prefix_rate", "prefix_odds", "near_you", "capitals", "exclaims", "stops", "obfuscated", "obfuscated_seed", "length")
 
@@ -58,6 +63,19 @@ class Lexicon:
 
     words: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
+    kept: dict[str, tuple[bool, float, float]] = field(default_factory=dict, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": {}}
+
+    def found(self, term: str) -> tuple[bool, float, float]:
+        """(seed word, odds as a word, best odds of its beginnings), remembered."""
+        if (out := self.kept.get(term)) is None:
+            if len(self.kept) >= WORDS_KEPT:
+                self.kept.clear()
+            best = max((self.prefixes.get(term[:n], 0.0) for n in PREFIXES if len(term) >= n), default=0.0)
+            out = self.kept[term] = (term in SEED_WORDS, self.words.get(term, 0.0), best)
+        return out
 
 
 def terms_of(text: str) -> Counter:
@@ -82,9 +100,8 @@ def learn_lexicon(terms: list[Counter], toxic: np.ndarray) -> Lexicon:
             b = seen[0][key]
             value = math.log((a + 0.5) / (positives - a + 0.5)) - math.log((b + 0.5) / (negatives - b + 0.5))
             if a >= MIN_DOCS and value >= MIN_ODDS:
-                odds[key] = (value, a)
-        best = sorted(odds, key=lambda k: (-odds[k][0] * math.sqrt(odds[k][1]), k))[:MOST_TERMS]
-        return {k: odds[k][0] for k in best}
+                odds[key] = value
+        return odds
 
     return Lexicon(telling(lambda own: set(own)), telling(lambda own: {w[:n] for w in own for n in PREFIXES if len(w) >= n}))
 
@@ -96,20 +113,16 @@ def features(text: str | None, lexicon: Lexicon, terms: Counter | None = None) -
     n = max(1, sum(terms.values()))
     seed = word = prefix = 0
     kinds, word_odds, prefix_odds, hits = 0, 0.0, 0.0, set()
-    first, deeper = lexicon.prefixes, PREFIXES
     for term, count in terms.items():
-        if term in SEED_WORDS:
+        is_seed, odds, best = lexicon.found(term)
+        if is_seed:
             seed += count
             kinds += 1
             hits.add(term)
-        if odds := lexicon.words.get(term):
+        if odds:
             word += count
             word_odds += odds
             hits.add(term)
-        best = 0.0
-        for size in deeper:
-            if len(term) >= size and (odds := first.get(term[:size], 0.0)) > best:
-                best = odds
         if best:
             prefix += count
             prefix_odds += best
@@ -195,11 +208,11 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: fl
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: knots (score, share) of a non-decreasing map."""
-    order = np.argsort(scores, kind="stable")
+    values, at = np.unique(scores, return_inverse=True)  # equal scores are one point from the start
     blocks: list[list[float]] = []  # sum of labels, rows, first score, last score
-    for s, label in zip(scores[order], y[order], strict=True):
-        blocks.append([float(label), 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for s, total, n in zip(values, np.bincount(at, y), np.bincount(at), strict=True):
+        blocks.append([float(total), float(n), s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
     knots = [(s, total / n) for total, n, low, high in blocks for s in sorted({low, high})]
@@ -255,17 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = known.groupBy("_id").agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # at most ``rows`` pairs of numbers: the limit bounds what is broadcast
     sample = docs.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic")
-    found = sorted(sample.collect(), key=lambda r: (hash_of(r[0]), r[1]))[: 2 * rows]
+    # an order of ids unrelated to their size; repeated ids cannot make it more than ``rows`` texts
+    found = sample.orderBy(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")), "doc_id", F.xxhash64("text")).limit(rows).collect()
     return fit([r[1] for r in found], np.array([r[2] for r in found], dtype=np.int64))
 
 
-def hash_of(doc_id: object) -> int:
-    """An order of ids unrelated to their size."""
-    import zlib
-
-    return zlib.crc32(f"fold {doc_id}".encode())
-
-
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
 
