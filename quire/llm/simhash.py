@@ -12,7 +12,11 @@ most 3 in four. The first two links of the chain are an equality: the index
 holds (start, segment, next segment) and a probe asks for its own segment and
 each of the 17 values within one bit of its next one, so only pairs that pass
 both meet; longer chains are checked on the pair, then the Hamming distance.
-Equal fingerprints were merged before, so copies never pair up.
+Equal fingerprints were merged before, so copies never pair up. The index is
+joined by shuffle; a partition that a frequent pair of segments makes large is
+split by adaptive execution. Where all rows of a fingerprint, or all fingerprints
+of a component, are given their group's values, frequent keys are broadcast
+instead (see ``skew``).
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any
 other; fewer than three words are one shingle; rows with a null ``doc_id`` are
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.graph import connected_components
-from quire.plans.session import cut_lineage
+from quire.llm.skew import join_keyed
+from quire.plans.session import cut_lineage, shuffle_width
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -95,6 +100,8 @@ def _chain_holds(diff: Column, start: int) -> Column:
 
 def hamming_links(distinct: DataFrame) -> DataFrame:
     """(a, b) for every two fingerprints of ``distinct`` (column ``fp``, no repeats) at 1 to 3 differing bits."""
+    # every row becomes 72, so the few numbers are dealt out over all tasks first
+    distinct = distinct.repartition(shuffle_width(distinct.sparkSession))
     key = lambda i, second: F.lit(i << 2 * WIDTH).bitwiseOR(F.shiftleft(_segment(F.col("fp"), i), WIDTH)).bitwiseOR(second)
     index = distinct.select(F.explode(F.array(*[key(i, _segment(F.col("fp"), i + 1)) for i in range(SEGMENTS)])).alias("k"), F.col("fp").alias("a"))
     flips = [0, *[1 << j for j in range(WIDTH)]]
@@ -114,14 +121,15 @@ def _labelled(docs: DataFrame) -> DataFrame:
     """doc_id, tie (hash of the text), fp, and first: the least (doc_id, tie) of the row's component, null if it has no id."""
     base = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("tie"), fingerprints(F.col("text")).alias("fp")))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tie"))
-    groups = cut_lineage(base.groupBy("fp").agg(F.min(own).alias("least")))
+    groups = cut_lineage(base.groupBy("fp").agg(F.min(own).alias("least"), F.count("*").alias("n")))
+    rows, distinct = groups.select(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the nodes are fingerprints: one id may be on rows of several, and some have none
-    components = connected_components(hamming_links(groups.select("fp")))
-    linked = cut_lineage(groups.join(components, groups["fp"] == components["node"]).select("fp", "component", "least"))
-    firsts = linked.groupBy("component").agg(F.min("least").alias("first"))
-    of_group = linked.join(firsts, "component").select("fp", "first")
-    alone = groups.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("first"))
-    return base.join(of_group.union(alone), "fp").select("doc_id", "tie", "fp", "first")
+    components = connected_components(hamming_links(groups.select("fp"))).withColumnRenamed("node", "fp")
+    linked = cut_lineage(groups.join(components, "fp").select("fp", "component", "least", F.col("n").alias("rows")))
+    firsts = linked.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    of_group = join_keyed(linked, firsts, "component", distinct).select("fp", "first", F.col("rows").alias("n"))
+    alone = groups.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("first"), "n")
+    return join_keyed(base, of_group.union(alone), "fp", rows).select("doc_id", "tie", "fp", "first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -130,12 +138,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row, that of the smallest id (of its texts the one of smallest hash), left of each component."""
+    """``docs`` with one row, that of the smallest id (of its texts the one of smallest hash), left of each component.
+
+    Rows alike in id and text are reduced to one by a further aggregation, combined
+    before its shuffle; it is planned only where there are such rows.
+    """
     found = cut_lineage(_labelled(docs))
     key = ["doc_id", "tie"]
     dropped = found.where(F.col("doc_id").isNotNull() & (F.struct(*key) != F.col("first"))).select(*key).distinct()
     # whole rows travel as one struct, so no name of theirs can clash
     kept = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct("*").alias("doc")).join(dropped, key, "left_anti")
     if not found.where("doc_id IS NOT NULL").groupBy(*key).count().where("count > 1").isEmpty():
-        kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("tie"))).where("nth = 1 OR doc_id IS NULL")
+        kept = kept.where("doc_id IS NOT NULL").groupBy(*key).agg(F.first("doc").alias("doc")).union(kept.where("doc_id IS NULL"))
     return kept.select("doc.*")
