@@ -3,8 +3,11 @@
 One Aho-Corasick pass over the text (A-Z lower-cased) finds keywords; an
 expression is tried only at a keyword's position. Hexadecimal runs have no
 keyword: a run of 24 or more covers at least one of every 24th character, so
-only those positions are looked at. Kinds with an embedded checksum
-(``platform_token``, ``private_key``) count only if it holds.
+only those positions are looked at. The other kinds carry a check of their own
+and count only if it holds: platform tokens a CRC-32, extended wallet keys a
+doubled SHA-256 (base 58), age and nostr keys a BCH code (bech32), PEM keys the
+stated DER lengths of the outer sequence and all its members, OpenSSH keys their
+two equal check numbers (or, enciphered, their stated lengths).
 
 Offsets are code points, end exclusive; matches of one kind are leftmost and do
 not overlap. Defined cases: a null text is empty; texts are scanned whole;
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,7 +35,7 @@ Span = tuple[str, int, int]
 
 #: In listing order; ties of start are put out in this order.
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "platform_token", "private_key")
+KINDS = (*BASE_KINDS, "platform_token", "private_key", "wallet_key", "age_key", "nostr_key")
 MARK = "[SECRET]"
 
 #: Keywords and the expressions anchored at them.
@@ -42,6 +46,13 @@ TOKEN_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 TOKEN = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 KEY = re.compile(r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+BECH32_STEPS = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
+WALLET_WORDS = ("tprv", "xprv", "yprv", "zprv")
+WALLET = re.compile(f"[txyz]prv([{BASE58}]{{107}})(?![{BASE58}])")
+AGE = re.compile(f"AGE-SECRET-KEY-1([{BECH32.upper()}]{{58}})(?![A-Z0-9])")
+NOSTR = re.compile(f"nsec1([{BECH32}]{{58}})(?![a-z0-9])")
 
 MIN_HEX = 24
 _IS_HEX = np.zeros(256, dtype=bool)
@@ -51,7 +62,7 @@ _HEX = re.compile(rb"[0-9a-f]+")
 
 def _automaton() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for kind, words in (("assign", ASSIGN_WORDS), ("access", ("akia",)), ("platform_token", TOKEN_WORDS), ("private_key", ("-----begin ",))):
+    for kind, words in (("assign", ASSIGN_WORDS), ("access", ("akia",)), ("platform_token", TOKEN_WORDS), ("private_key", ("-----begin ",)), ("wallet_key", WALLET_WORDS), ("age_key", ("age-secret-key-1",)), ("nostr_key", ("nsec1",))):
         for word in words:
             automaton.add_word(word, (kind, len(word)))
     automaton.make_automaton()
@@ -67,20 +78,74 @@ def token_checksum(body: str) -> str:
     return digits
 
 
+def base58_holds(key: str) -> bool:
+    """Do the last four bytes of a base-58 key begin the doubled SHA-256 of the rest?"""
+    n = 0
+    for c in key:
+        n = 58 * n + BASE58.index(c)
+    raw = n.to_bytes(82, "big") if n < 1 << 656 else b""
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:] and bool(raw)
+
+
+def bech32_state(prefix: str, digits: list[int]) -> int:
+    """The BCH code's remainder over prefix and digits; 1 for a whole key."""
+    state = 1
+    for v in [*[ord(c) >> 5 for c in prefix], 0, *[ord(c) & 31 for c in prefix], *digits]:
+        top = state >> 25
+        state = (state & 0x1FFFFFF) << 5 ^ v
+        for i, step in enumerate(BECH32_STEPS):
+            if top >> i & 1:
+                state ^= step
+    return state
+
+
+def bech32_holds(prefix: str, data: str) -> bool:
+    return bech32_state(prefix, [BECH32.index(c) for c in data.lower()]) == 1
+
+
+def _der_end(raw: bytes, at: int) -> int:
+    """Where the DER value at ``at`` ends; -1 if its header is cut or ill-formed."""
+    if at + 2 > len(raw):
+        return -1
+    n = raw[at + 1]
+    if n < 0x80:
+        return at + 2 + n
+    n &= 0x7F
+    return at + 2 + n + int.from_bytes(raw[at + 2 : at + 2 + n], "big") if 1 <= n <= 4 and at + 2 + n <= len(raw) else -1
+
+
+def _der_holds(raw: bytes) -> bool:
+    """One sequence that fills ``raw``, whose members fill the sequence."""
+    if raw[:1] != b"0" or _der_end(raw, 0) != len(raw):
+        return False
+    at = 2 + (raw[1] & 0x7F if raw[1] >= 0x80 else 0)
+    while 0 <= at < len(raw):
+        at = _der_end(raw, at)
+    return at == len(raw)
+
+
+def _openssh_holds(raw: bytes) -> bool:
+    """Magic, length-prefixed fields to the end, and, if not enciphered, two equal check numbers."""
+    at, fields = 15, []
+    for i in range(5):
+        if i == 3:
+            at += 4  # the number of keys
+        size = int.from_bytes(raw[at : at + 4], "big")
+        fields.append(raw[at + 4 : at + 4 + size])
+        at += 4 + size
+        if at > len(raw):
+            return False
+    cipher, secret = fields[0], fields[4]
+    return at == len(raw) and (cipher != b"none" or (len(secret) >= 8 and secret[:4] == secret[4:8]))
+
+
 def key_is_whole(body: str) -> bool:
-    """Does the base64 body hold one DER sequence of its stated length, or an OpenSSH key?"""
+    """Does the base64 body hold a whole DER sequence or OpenSSH key?"""
     try:
         raw = base64.b64decode("".join(body.split()), validate=True)
     except (binascii.Error, ValueError):
         return False
-    if raw.startswith(b"openssh-key-v1\0"):
-        return True
-    if len(raw) < 2 or raw[0] != 0x30:
-        return False
-    if raw[1] < 0x80:
-        return len(raw) == 2 + raw[1]
-    n = raw[1] & 0x7F
-    return 1 <= n <= 4 and len(raw) == 2 + n + int.from_bytes(raw[2 : 2 + n], "big")
+    return _openssh_holds(raw) if raw.startswith(b"openssh-key-v1\0") else _der_holds(raw)
 
 
 def _accepted(kind: str, text: str, start: int) -> tuple[int, bool] | None:
@@ -94,6 +159,15 @@ def _accepted(kind: str, text: str, start: int) -> tuple[int, bool] | None:
     if kind == "platform_token":
         m = TOKEN.match(text, start)
         return m and (m.end(), token_checksum(m[1]) == m[2])
+    if kind == "wallet_key":
+        m = WALLET.match(text, start)
+        return m and (m.end(), base58_holds(m[0]))
+    if kind == "age_key":
+        m = AGE.match(text, start)
+        return m and (m.end(), bech32_holds("age-secret-key-", m[1]))
+    if kind == "nostr_key":
+        m = NOSTR.match(text, start)
+        return m and (m.end(), bech32_holds("nsec", m[1]))
     m = KEY.match(text, start)
     return m and (m.end(), key_is_whole(m[2]))
 
