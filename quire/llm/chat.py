@@ -12,9 +12,13 @@ Control strings inside texts cannot be mistaken for the template's: ``&`` and
 ``unescape`` takes back exactly. The loss mask is the list of (start, length)
 spans, in code points, of assistant bodies.
 
-A conversation is formatted in chunks of ``CHUNK`` turns (one row each), so a
-conversation that holds many rows is spread over tasks; its text is the chunks'
-concatenation in order. Defined cases: null text or content is empty, a null
+A conversation is formatted in chunks (one row each): rows are dealt by turn
+number, ``CHUNK`` numbers together, so a conversation of many turns is spread
+over tasks, and each such run is cut after every ``CHUNK`` rows in order, so
+that no chunk holds more, however often a turn, or null, repeats. A
+conversation's text is the chunks' concatenation by (chunk, part). ``digest``
+puts that text together again, one conversation in a row, because a digest is
+taken over it; the operator itself never does. Defined cases: null text or content is empty, a null
 role is the empty role; null turns come first; rows of the same turn are
 ordered by role, then text, and repeated rows are all kept; a null conversation
 id is a conversation of its own; an empty table gives an empty result; other
@@ -23,7 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.text import let
@@ -83,13 +87,14 @@ def flatten_parts(content: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, content: Column | None = None) -> DataFrame:
-    """conv_id, chunk, formatted, loss_spans, attachments, expanded_tokens for every chunk.
+    """conv_id, chunk, part, formatted, loss_spans, attachments, expanded_tokens for every chunk.
 
     ``content``: an array of ``PART``; by default the ``text`` column as one text part.
     """
     flat = flatten_parts(text_part(F.col("text")) if content is None else content)
     rows = turns.select("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"), "turn", F.coalesce("role", F.lit("")).alias("role"), flat.alias("flat"))
-    chunks = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "flat"))).alias("t"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "flat.body")) - 1
+    chunks = rows.withColumn("part", F.floor(nth / CHUNK)).groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "flat"))).alias("t"))
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     tail = END + "\n"
     place = F.aggregate(
@@ -107,6 +112,7 @@ def format_chat(turns: DataFrame, content: Column | None = None) -> DataFrame:
     return chunks.select(
         "conv_id",
         "chunk",
+        "part",
         F.array_join(F.transform("t", lambda t: F.concat(head(t), t["flat"]["body"], F.lit(tail))), "").alias("formatted"),
         place.alias("loss_spans"),
         F.flatten(F.transform("t", lambda t: t["flat"]["attachments"])).alias("attachments"),
@@ -135,6 +141,7 @@ def digest(chunks: DataFrame) -> DataFrame:
     read = chunks.select(
         "conv_id",
         "chunk",
+        "part",
         F.length("formatted").alias("chars"),
         let(read_turns(F.col("formatted")), lambda t: F.struct(F.size(t).alias("n"), F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("text"))).alias("turns"),
         read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
@@ -142,7 +149,7 @@ def digest(chunks: DataFrame) -> DataFrame:
     whole = read.groupBy("conv_id").agg(
         F.sum("turns.n").alias("n_turns"),
         F.sum("chars").alias("formatted_chars"),
-        F.sort_array(F.collect_list(F.struct("chunk", F.col("turns.text").alias("text"), "loss"))).alias("c"),
+        F.sort_array(F.collect_list(F.struct("chunk", "part", F.col("turns.text").alias("text"), "loss"))).alias("c"),
     )
     joined = lambda f: F.array_join(F.transform("c", lambda x: x[f]), "")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
