@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import chat, mixing, packing, quality, secrets, sharding, simhash, toxicity, urls, winnowing
+from quire.plans.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The whole table; one of fewer partitions than cores is dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign_shards(_documents(spark, sf_dir), 24)
+    placed = sharding.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -66,9 +68,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    measured = docs.withColumns(quality.measures(F.col("text")))
-    names = quality.measures(F.col("text"))
-    judged = quality.judge_quality(measured, prepared={n: F.col(n) for n in names})
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    known = docs.withColumn("known", quality.measured(F.col("text"), names))
+    judged = quality.judge_quality(known, prepared={n: F.col("known")[n] for n in names}).select("known.*", "doc_id", "failed_rule")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
