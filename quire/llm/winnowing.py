@@ -3,13 +3,12 @@
 A text's words (A-Z and other capitals lower-cased) are hashed, and the hashes
 of ``GRAM`` consecutive words are combined by a cyclic polynomial: each word's
 hash is rotated by its distance from the gram's end and all are XORed. Grams
-are built by doubling (1, 2, 4, then 5 words), so a gram reuses what its halves
-computed. Of every ``WINDOW`` consecutive grams the least is kept, the
+are built up (1, 2, then 3 words), so a gram reuses what its parts computed. Of every ``WINDOW`` consecutive grams the least is kept, the
 rightmost on ties, with its position; the window minima are doubled likewise.
 Two texts that share ``WINDOW + GRAM - 1`` words in a row share a fingerprint.
 
 The next document comes from one shuffle: ids are cut into buckets at sampled
-quantiles, a bucket's first rows are also sent, marked, to the bucket before
+quantiles, as many as the rows ask for, a bucket's first rows are also sent, marked, to the bucket before
 (the first bucket's to the last), and each row looks one row ahead.
 
 Defined cases: a null text is the empty text; a text without words has the
@@ -28,10 +27,11 @@ from pyspark.sql import functions as F
 from quire.llm.text import let, words_of
 from quire.plans.session import shuffle_width
 
-GRAM = 5
-WINDOW = 8
-#: Buckets per shuffle partition and at most; a bucket's rows are sorted together.
-BUCKETS_EACH, MAX_BUCKETS = 4, 10_000
+#: Fixed by the steps of ``grams`` and ``winnow``: words of a gram, grams of a window.
+GRAM = 3
+WINDOW = 4
+#: Buckets per shuffle partition at least, and rows of a bucket at most, about; a bucket's rows are sorted together.
+BUCKETS_EACH, BUCKET_ROWS = 4, 50_000
 
 
 def _rotated(x: Column, by: int) -> Column:
@@ -49,8 +49,7 @@ def grams(words: Column) -> Column:
 
     def rolled(h: Column) -> Column:
         pair = lambda x, by: _overlapped(x, x, by, lambda a, b: _rotated(a, by).bitwiseXOR(b))
-        five = lambda four: _overlapped(four, h, 4, lambda a, b: _rotated(a, 1).bitwiseXOR(b))
-        return let(pair(h, 1), lambda two: let(pair(two, 2), five))
+        return let(pair(h, 1), lambda two: _overlapped(two, h, 2, lambda a, b: _rotated(a, 1).bitwiseXOR(b)))
 
     short = lambda w: F.array(F.xxhash64(F.array_join(w, " ")))
     return let(
@@ -66,7 +65,7 @@ def winnow(text: Column) -> Column:
 
     def minima(m: Column) -> Column:
         one = F.array(F.aggregate(m, F.element_at(m, 1), least))
-        return F.when(F.size(m) == 0, F.slice(m, 1, 0)).when(F.size(m) < WINDOW, one).otherwise(let(double(m, 1), lambda two: let(double(two, 2), lambda four: double(four, 4))))
+        return F.when(F.size(m) == 0, F.slice(m, 1, 0)).when(F.size(m) < WINDOW, one).otherwise(let(double(m, 1), lambda two: double(two, 2)))
 
     def kept(g: Column) -> Column:
         marked = F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
@@ -93,9 +92,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _bucket_starts(docs: DataFrame) -> tuple[list[int], bool]:
     """First id of each bucket, ascending, and whether any id is null."""
-    n = min(MAX_BUCKETS, BUCKETS_EACH * shuffle_width(docs.sparkSession))
+    n = max(BUCKETS_EACH * shuffle_width(docs.sparkSession), -(-docs.count() // BUCKET_ROWS))
     cuts = [i / n for i in range(1, n)]
-    least, nulls, found = docs.select(F.min("doc_id"), F.max(F.col("doc_id").isNull()), F.percentile_approx("doc_id", cuts, 10 * MAX_BUCKETS)).first()
+    least, nulls, found = docs.select(F.min("doc_id"), F.max(F.col("doc_id").isNull()), F.percentile_approx("doc_id", cuts, max(10_000, 4 * n))).first()
     return sorted({x for x in [least, *(found or [])] if x is not None}), bool(nulls)
 
 
