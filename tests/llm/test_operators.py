@@ -59,20 +59,20 @@ def winnowed(text):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     if not words:
         return []
-    if len(words) < 5:
+    if len(words) < 3:
         grams = [xxhash.xxh64_intdigest(" ".join(words).encode(), 42)]
     else:
         hashes, full = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words], (1 << 64) - 1
         turn = lambda v, by: ((v << by) | (v >> (64 - by))) & full if by else v
         grams = []
-        for i in range(len(words) - 4):
+        for i in range(len(words) - 2):
             v = 0
-            for j in range(5):
-                v ^= turn(hashes[i + j], 4 - j)
+            for j in range(3):
+                v ^= turn(hashes[i + j], 2 - j)
             grams.append(v)
     grams, kept = [signed(g) for g in grams], []
-    for i in range(max(1, len(grams) - 7)):
-        window = grams[i : i + 8]
+    for i in range(max(1, len(grams) - 3)):
+        window = grams[i : i + 4]
         p = i + max(k for k, v in enumerate(window) if v == min(window))
         if not kept or kept[-1][0] != p:
             kept.append((p, grams[p]))
@@ -199,6 +199,16 @@ def test_components_of_a_long_chain(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
+    from quire.llm import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "HOT_SHARE", 10)
+    edges = [(0, i) for i in range(1, 120)] + [(i, i + 1000) for i in range(1, 60)] + [(5000, 5001)]
+    got = dict(graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert all(v == (5000 if k >= 5000 else 0) for k, v in got.items()) and len(got) == 120 + 59 + 2
+
+
 # 3 secrets
 
 
@@ -223,10 +233,35 @@ def test_checksums_decide():
     assert secrets.find_secrets(bad) == []
     import base64
 
-    der = base64.b64encode(b"\x30\x05hello").decode()
+    der = base64.b64encode(b"\x30\x05\x02\x03abc").decode()
     key = f"-----BEGIN RSA PRIVATE KEY-----\n{der}\n-----END RSA PRIVATE KEY-----"
     assert secrets.find_secrets(key)[0] == ("private_key", 0, len(key))
-    assert secrets.find_secrets(key.replace(der, base64.b64encode(b"\x30\x09hello").decode())) == []
+    assert secrets.find_secrets(key.replace(der, base64.b64encode(b"\x30\x05\x02\x04abc").decode())) == []
+
+
+def test_more_embedded_checks():
+    import base64
+
+    raw = bytes.fromhex("0488ADE4") + bytes(range(74))
+    raw += hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4]
+    n, key = int.from_bytes(raw, "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        key = secrets.BASE58[d] + key
+    assert secrets.find_secrets(f"k {key}.") == [("wallet_key", 2, 2 + len(key))]
+    assert secrets.find_secrets(f"k {key[:-1]}{'2' if key[-1] != '2' else '3'}.") == []
+    for kind, prefix, upper in (("age_key", "age-secret-key-", True), ("nostr_key", "nsec", False)):
+        data = [random.randrange(32) for _ in range(52)]
+        state = secrets.bech32_state(prefix, [*data, *[0] * 6]) ^ 1
+        text = prefix + "1" + "".join(secrets.BECH32[d] for d in [*data, *[state >> 5 * (5 - i) & 31 for i in range(6)]])
+        text = text.upper() if upper else text
+        assert secrets.find_secrets(text) == [(kind, 0, len(text))]
+        assert secrets.find_secrets(text[:-1] + ("Q" if upper else "q") * (text[-1] not in "Qq") + ("P" if upper else "p") * (text[-1] in "Qq")) == []
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    for checks, found in ((b"abcdabcd", 1), (b"abcdabce", 0)):
+        body = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(b"public") + field(checks + b"rest")
+        pem = f"-----BEGIN OPENSSH PRIVATE KEY-----\n{base64.b64encode(body).decode()}\n-----END OPENSSH PRIVATE KEY-----"
+        assert sum(k == "private_key" for k, _, _ in secrets.find_secrets(pem)) == found
 
 
 def test_secrets_of_tables(spark, docs):
@@ -258,6 +293,16 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(turns.limit(0)).count() == 0
 
 
+def test_chunks_are_bounded(spark):
+    rows = [(1, None, "assistant", f"t{i:04}") for i in range(1000)] + [(1, 3, "user", "same")] * 700
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chunks = chat.format_chat(turns)
+    most = chunks.select(F.size(chat.read_turns(F.col("formatted"))).alias("n")).agg(F.max("n")).first()[0]
+    r = chat.digest(chunks).first()
+    assert most == chat.CHUNK and r["n_turns"] == 1700
+    assert r["loss_sha256"] == hashlib.sha256("".join(f"t{i:04}" for i in range(1000)).encode()).hexdigest()
+
+
 def test_typed_parts_become_placeholders(spark):
     part = lambda kind, **v: (kind, v.get("text"), v.get("ref"), v.get("width"), v.get("height"), v.get("seconds"), v.get("pages"))
     content = [part("text", text="see <"), part("image", ref="a.png", width=56, height=29), part("audio", ref="b.wav", seconds=1.5), part("document", ref="c.pdf", pages=2), part("text")]
@@ -287,11 +332,23 @@ def water_filled(sizes):
     return out
 
 
+def balanced(sizes, target, cap=2):
+    """An independent solution of the dual: bisection on the multiplier."""
+    sizes = np.array(sizes, dtype=float)
+    low, high = -700 / sizes[sizes > 0].min(), np.log(cap) / sizes[sizes > 0].min()
+    for _ in range(300):
+        mid = (low + high) / 2
+        met = (sizes * np.minimum(cap, np.exp(np.minimum(mid * sizes, 1)))).sum()
+        low, high = (mid, high) if met < target else (low, mid)
+    return np.minimum(cap, np.exp(np.minimum(high * sizes, 1)))
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, sentence(rng.choice([3, 40, 41, 300])), "en", rng.choice(["a", "b", "c", None, "d", "a", "a"]), 0) for i in range(900)]
     rows += [(1000 + i, "the same text again and again", "en", "a", 0) for i in range(400)]
-    out = mixing.mix(clashing(spark.createDataFrame(rows, DOCS))).toPandas()
+    frame = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(clashing(frame)).toPandas()
     sizes = Counter()
     for _, t, _, s, _ in rows:
         sizes[s] += len(t.split())
@@ -300,15 +357,52 @@ def test_mixing_meets_targets(spark):
     for s, target in want.items():
         own = out[out.source.isna()] if s is None else out[out.source == s]
         assert own.target.iloc[0] == pytest.approx(target)
-        assert (own.copies * own["size"]).sum() == pytest.approx(target, rel=0.02)
+        assert own.rate.to_numpy() == pytest.approx(balanced(own["size"], target), abs=1e-5)
+        assert abs((own.copies * own["size"]).sum() - target) <= 3
+        per = own.groupby("size").copies
+        assert (per.max() - per.min()).max() <= 1
+        wished = own.groupby("size").rate.sum() - per.sum()
+        assert abs(wished[own["size"].max()]) <= 0.51  # the largest class owes nothing to others
+    again = mixing.mix(frame.repartition(7)).toPandas()
+    assert out.sort_values("doc_id").copies.tolist() == again.sort_values("doc_id").copies.tolist()
+
+
+def test_mixing_of_repeated_rows(spark):
+    same = "five words in this text"
+    rows = [(7, same, "en", "b", 0)] * 90 + [(None, same, "en", "b", 0)] * 90 + [(i, sentence(30), "en", "a", 0) for i in range(100, 160)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(5)
+    out = mixing.mix(frame).toPandas()
+    taken = (out.copies * out["size"]).groupby(out.source).sum()
+    for s, target in water_filled({"a": 1800, "b": 900}).items():
+        assert abs(taken[s] - target) <= {"a": 15, "b": 2.5}[s]  # half a document
+    assert len(out) == 240 and out[out.source == "b"].copies.nunique() > 1  # the threshold falls among equal rows
+    assert mixing.repeat_mixed(frame).groupBy("source").count().collect() != []
+    counts = {r[0]: r[1] for r in mixing.repeat_mixed(frame).groupBy("source").count().collect()}
+    assert counts == out.groupby("source").copies.sum().to_dict()
+
+
+def test_many_sources_and_extreme_targets(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", f"s{i:04}", 0) for i in range(500)] + [(1000 + i, "w " * 3000, "en", "s0000", 0) for i in range(40)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS)).toPandas()
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = water_filled(sizes)
+    targets = out.groupby("source").target.first()
+    assert all(targets[s] == pytest.approx(t) for s, t in want.items())
+    big = out[out.source == "s0000"]
+    assert abs((big.copies * big["size"]).sum() - want["s0000"]) <= 3000
 
 
 def test_mixing_odd_tables(spark, docs):
     out = mixing.mix(docs).toPandas()
     assert len(out) == docs.count() and (out.copies[out["size"] == 0] == 0).all()
     assert mixing.mix(empty(spark)).count() == 0
+    blank = spark.createDataFrame([(1, None, "en", "a", 0), (2, " ", "en", None, 0)], DOCS)
+    assert mixing.mix(blank).toPandas().copies.tolist() == [0, 0]
     repeated = mixing.repeat_mixed(clashing(docs))
     assert repeated.columns == clashing(docs).columns and repeated.count() == out.copies.sum()
+    assert mixing.repeat_mixed(empty(spark)).count() == 0
 
 
 # 6 toxicity
@@ -338,6 +432,56 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(empty(spark), model).count() == 0
 
 
+def test_very_long_texts_are_linear():
+    import time
+
+    model = toxicity.fit(["idiot you", "a fine day"] * 20, np.array([1, 0] * 20))
+    began = time.perf_counter()
+    model.score(["a" * 2_000_000, "A1" * 400_000, "ab$" * 300_000, "idiot " * 200_000])
+    assert time.perf_counter() - began < 20
+    plain = re.compile(r"[^\W\d_]+(?:[0-9@$*!|]+[^\W\d_]+)+")
+    for _ in range(3000):
+        text = "".join(random.choice("aé1$! _.b*") for _ in range(random.randint(0, 14)))
+        assert toxicity._OBFUSCATED.findall(text) == plain.findall(text)
+
+
+def test_features_equal_plain_counting():
+    lexicon = toxicity.Lexicon({"zzgrump": 2.0}, {"zzgr": 1.0, "zzgru": 1.5})
+    own = dict(zip(toxicity.NAMES, toxicity.features("You IDIOT, zzgrump! fine st0p sc*um. zzgrx", lexicon), strict=True))
+    assert own["seed_rate"] == pytest.approx(100 / 7) and own["seed_kinds"] == 1 and own["word_odds"] == 2.0 and own["word_rate"] == pytest.approx(100 / 7)
+    assert own["prefix_rate"] == pytest.approx(200 / 7) and own["prefix_odds"] == 2.5 and own["near_you"] == pytest.approx(200 / 7)
+    assert own["capitals"] == pytest.approx(6 / 7) and own["exclaims"] == pytest.approx(1 / 7) and own["stops"] == pytest.approx(2 / 7)
+    assert own["obfuscated"] == pytest.approx(2 / 7) and own["obfuscated_seed"] == 1
+
+
+def test_trees_equal_brute_force():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (300, 3)).astype(float)
+    y = (x[:, 1] + (x[:, 0] > 3) + rng.normal(size=300) > 3).astype(int)
+    model = toxicity.grow(x, y, trees=1, depth=1, rate=1.0)
+    p = y.mean()
+    gain = {}
+    for j in range(3):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1])):
+            left = x[:, j] <= cut
+            part = lambda rows: ((p - y[rows]).sum()) ** 2 / (rows.sum() * p * (1 - p) + 2.0)
+            gain[j, cut] = part(left) + part(~left)
+    best = max(gain, key=lambda k: gain[k])
+    assert model.features[0][0] == best[0] and gain[0 + model.features[0][0], model.cuts[0][0]] == pytest.approx(gain[best])
+    margin = model.margin(x)
+    left = x[:, model.features[0][0]] <= model.cuts[0][0]
+    assert margin[left][0] == pytest.approx(model.base - (p - y[left]).sum() / (left.sum() * p * (1 - p) + 2.0))
+
+
+def test_isotonic_equals_brute_force():
+    rng = np.random.default_rng(1)
+    s, y = rng.integers(0, 30, 200).astype(float), rng.integers(0, 2, 200)
+    x, f = toxicity.isotonic(s, y)
+    for at in np.unique(s):  # the largest mean of a stretch ending later, the least over its beginnings
+        want = max(min(y[(s >= a) & (s <= b)].mean() for b in np.unique(s) if b >= at) for a in np.unique(s) if a <= at)
+        assert np.interp(at, x, f) == pytest.approx(want)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     s = rng.normal(size=500)
@@ -409,22 +553,40 @@ def test_packing_places_every_piece(spark, docs):
 def test_plans_are_whole_and_tight(seed):
     rng = np.random.default_rng(seed)
     histogram = {int(k): int(v) for k, v in zip(rng.integers(1, 257, 150), rng.integers(1, 5000, 150), strict=True)}
-    runs, n = packing.plan_runs(histogram, 256)
+    runs, n, placed = packing.plan_runs(histogram, 256)
     seen, free = Counter(), defaultdict(lambda: 256)
     for r in runs:
         seen[int(r["length"])] += int(r["n"])
         for s in range(int(r["sequence"]), int(r["sequence"] + r["n"])):
             free[s] -= int(r["length"])
     assert seen == histogram and len(free) == n and min(free.values()) >= 0
-    plain = packing.Placement(histogram)
-    packing.best_fit_rest(plain, 256)
-    assert -(-sum(k * v for k, v in histogram.items()) // 256) <= n <= plain.sequences
+    plain = packing.Placement(histogram, 256)
+    packing.best_fit_rest(plain)
+    assert -(-sum(k * v for k, v in histogram.items()) // 256) <= n <= 1.003 * plain.sequences
+    assert placed > 0.6 * sum(histogram.values())  # most pieces come through configurations
+
+
+def test_packing_keeps_wide_ids_beside_null(spark):
+    wide = (1 << 60) + 1
+    frame = spark.createDataFrame([(wide, "a b c"), (None, "d"), (wide + 2, None)], "doc_id long, text string").coalesce(1)
+    out = packing.pack(frame, packing.vocabulary_path()).collect()
+    assert {r["doc_id"] for r in out} == {wide, None, wide + 2}
+    pages = frame.selectExpr("doc_id AS page_id", "'http://a.net/es/' AS url")
+    assert {r["page_id"] for r in urls.filter_urls(pages).collect()} == {wide, None, wide + 2}
+
+
+def test_packing_of_a_very_long_text(spark):
+    words = 400_000
+    frame = spark.createDataFrame([(1, "word " * words), (2, "x")], "doc_id long, text string")
+    out = packing.pack(frame, packing.vocabulary_path(), ranks_path=packing.vocabulary_path(packing.RANKS)).toPandas()
+    own = out[out.doc_id == 1]
+    assert own.length.sum() > words and (own.length[own.piece > 0] == 1024).all() and out.sequence_id.nunique() == len(out) - 1
 
 
 def test_plan_beats_best_fit_where_it_fails():
     histogram = {501: 6000, 252: 6000, 251: 6000, 248: 12000}
-    plain = packing.Placement(histogram)
-    packing.best_fit_rest(plain, 1000)
+    plain = packing.Placement(histogram, 1000)
+    packing.best_fit_rest(plain)
     assert packing.plan_runs(histogram, 1000)[1] == 9000 < plain.sequences == 11000
 
 
@@ -442,13 +604,14 @@ def plain_measures(text):
 
 
 def test_measures_equal_plain_counting(docs):
-    measured = docs.select("doc_id", "text", *[c.alias(n) for n, c in quality.measures(F.col("text")).items()])
+    names = tuple(quality.measures(F.lit(""), F.array(F.lit(""))))
+    measured = docs.select("doc_id", "text", quality.measured(F.col("text"), names).alias("m")).select("doc_id", "text", "m.*")
     for r in measured.collect():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain_measures(r["text"])
 
 
 def test_cascade_order_changes_no_verdict(spark, docs):
-    by = quality.measures(F.col("text"))
+    by = quality.measures(F.col("text"), quality.words_of(F.col("text")))
     judged = docs.select("doc_id", *[quality.cascade(order, by).isNull().alias(n) for n, order in (("a", quality.RULES), ("b", quality.RULES[::-1]))])
     assert all(r["a"] == r["b"] for r in judged.collect())
     kept = quality.drop_rejected(clashing(docs))
@@ -457,6 +620,14 @@ def test_cascade_order_changes_no_verdict(spark, docs):
     assert quality.drop_rejected(empty(spark)).count() == 0
 
 
+def test_sample_is_spread_and_bounded(spark):
+    rows = [(i, ("$ " if i >= 3000 else "plain words ") * 60, "en", "s", 0) for i in range(4000)]
+    share = {n: r for n, _, r in quality.estimate(spark.createDataFrame(rows, DOCS).coalesce(2))}
+    assert 0.1 < share["symbols"] < 0.45  # the quarter at the end of the table is seen
+    kept = quality.drop_rejected(spark.createDataFrame([(1, "Short clean text."), (2, " "), (3, None)], "doc_id long, text string"), quality.rules(min_words=1))
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
 def test_rules_are_ordered_by_rejection_per_cost(monkeypatch):
     names = [r.name for r in quality.RULES]
     monkeypatch.setattr(quality, "estimate", lambda docs, rules, rows=0: [(n, 1.0, 0.9 if n == names[3] else 0.1 if n == names[1] else 0.0) for n in names])
@@ -485,12 +656,36 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_index_misses_no_rule():
-    index = urls.RuleIndex(urls.HOST_RULES, urls.PATTERN_RULES, {"casino": 5, "win": 1})
-    hosts = ["casino.x.org", "poker-a.org", "a.bet-win.de", "x.porn.org", "ads.q.org", "plain.org", "buy-pills.org"]
-    for host in hosts:
-        for path in ("/", "/track/click", "/a/track/click/b"):
-            plain = any(re.search(r.regex, host + path) for r in urls.PATTERN_RULES)
-            assert (index.judge(host, path)[1] == "block") == plain
-    with pytest.raises(ValueError):
-        urls.filter_urls(None, (), tuple(urls.PatternRule("r", "x" * 1000, ()) for _ in range(9000)))
+def test_tokens_are_derived():
+    known = {r.name: r.tokens for r in urls.PATTERN_RULES}
+    assert known["bet-win"] == ("bet", "win") and known["pills"] == ("pills",) and known["adult-cam"] == ("adult",) and known["tracker-path"] == ("track", "click")
+    for regex in ("casino", "^casino", "casino$", r"/x/?y/", r"\bfoo\b", r"(?i)^foo[.]", r"^foo\d*/", "/foo[^/]/", "/foo(-|)x", "/(foo/)?bar", "(?=/)foo/"):
+        assert not set(urls.required_tokens(regex)) & {"casino", "x", "y", "foo"}, regex
+    assert urls.required_tokens("^casino$") == ("casino",) and urls.required_tokens("^(a|b)/foo(-|$)") == ("foo",) and urls.required_tokens("/(foo/)?bar/") == ("bar",)
+
+
+def generated_rules(rng):
+    words = [f"w{i}" for i in range(300)] + ["com", "net", "www", "k"]
+    shapes = (r"(^|[.-])%s[.-]", r"/%s(/|$)", "%s", r"^%s[.]", r"(^|/)(%s|never)/")
+    patterns = tuple(urls.PatternRule(f"p{i}", rng.choice(shapes) % rng.choice(words)) for i in range(3000))
+    hosts = {(h := urls.HostRule(rng.choice(["allow", "block"]), ".".join(rng.sample(words, rng.randint(1, 2))), rng.choice(["", "/", "/w1"]))).name: h for _ in range(400)}
+    links = [None, "", "x", "HTTP://W1.\u212aom/W3"] + ["http://" + ".".join(rng.sample(words, 3)) + "/" + "/".join(rng.sample(words, 2)) + rng.choice(["", "?w1", "#w2"]) for _ in range(250)]
+    return tuple(hosts.values()), patterns, links * 2
+
+
+def test_index_and_table_equal_running_every_rule(spark):
+    hosts, patterns, links = generated_rules(random.Random(1))
+    pages = spark.createDataFrame([(None if i == 5 else (1 << 60) + i, u) for i, u in enumerate(links)], "page_id long, url string")
+
+    def plain(url):
+        host, path = urls.split_url(url)
+        best = urls.longest_fit(iter(hosts), host, path)
+        if best:
+            return host, path, best.name, best.verdict
+        return host, path, None, "block" if any(re.search(r.regex, host + urls.ascii_lower(path)) for r in patterns) else "allow"
+
+    want = sorted(((None if i == 5 else (1 << 60) + i, *plain(u)) for i, u in enumerate(links)), key=repr)
+    read = lambda df: sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in df.collect()), key=repr)
+    assert read(urls.filter_urls(pages, hosts, patterns)) == want
+    assert read(urls.filter_urls(pages, hosts, patterns, most=0)) == want
+    assert urls.filter_urls(pages.limit(0), hosts, patterns, most=0).count() == 0
