@@ -16,7 +16,8 @@ from quire.plans.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.drop_rejected(docs)
+    # short documents are clean as long as they have words
+    return quality.drop_rejected(docs, quality.rules(min_words=1))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
