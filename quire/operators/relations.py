@@ -16,16 +16,17 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes (``doc_id``, ``num``) that ``roots`` lead to, with their least distance.
 
     ``edges``: doc_id, src, dst. Breadth first; each round joins only the
-    nodes met last and removes those known before.
+    nodes met last, removes those known before, and writes what is new: the
+    fronts are united only in the result.
     """
-    front = cut_lineage(roots.select("doc_id", "num").distinct().withColumn("depth", F.lit(0)))
-    known = front
+    fronts = [cut_lineage(roots.select("doc_id", "num").distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, MAX_DEPTH):
-        met = front.select("doc_id", F.col("num").alias("src")).join(edges, ["doc_id", "src"]).select("doc_id", F.col("dst").alias("num")).distinct()
-        front = cut_lineage(met.join(known.select("doc_id", "num"), ["doc_id", "num"], "left_anti").withColumn("depth", F.lit(depth)))
+        met = fronts[-1].select("doc_id", F.col("num").alias("src")).join(edges, ["doc_id", "src"]).select("doc_id", F.col("dst").alias("num")).distinct()
+        known = reduce(DataFrame.union, fronts).select("doc_id", "num")
+        front = cut_lineage(met.join(known, ["doc_id", "num"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            return known
-        known = cut_lineage(known.unionByName(front))
+            return reduce(DataFrame.union, fronts)
+        fronts.append(front)
     raise RuntimeError(f"nodes beyond depth {MAX_DEPTH}")
 
 
@@ -74,29 +75,42 @@ def replaced_by_parent(has_parent: Column, own: Column, parent: Column) -> Colum
     return F.when(has_parent, parent).otherwise(own)
 
 
-def resolved_chain(items: DataFrame, key: str, start: str, mapping: DataFrame, source: str, target: str, accepted: Column | None = None, most: int = 64) -> DataFrame:
-    """Follows ``mapping`` from ``start`` until it has no entry (or ``accepted`` holds); column ``resolved``.
+def resolved_chain(items: DataFrame, key: str, start: str, mapping: DataFrame, source: str, target: str, accepted: Column | None = None) -> DataFrame:
+    """Where ``mapping`` leads from ``start``: to what it does not map, or to what ``accepted`` takes; column ``resolved``.
 
-    A chain that meets itself, or is longer than ``most``, resolves to its start.
+    A mapped value is mapped before it is looked at. ``accepted`` is a condition on
+    the column ``value``. A chain that meets itself, or ends unaccepted, has no
+    answer (null). The map is followed by doubling: after k rounds every value
+    knows where 2^k steps lead, so a chain of any length takes the logarithm of
+    its length in rounds; one that is still open after as many steps as there
+    are mappings is a cycle.
     """
-    known = mapping.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where("_from IS NOT NULL")
-    now = cut_lineage(items.select(key, F.col(start).alias("_start"), F.col(start).alias("resolved"), F.array(F.col(start)).alias("_seen"), F.lit(False).alias("_done")))
-    for _ in range(most):
-        step = now.join(known, (now["resolved"] == known["_from"]) & ~now["_done"], "left")
-        stop = F.col("_to").isNull() if accepted is None else F.col("_to").isNull() | accepted
-        cyclic = F.array_contains("_seen", F.col("_to"))
-        now = cut_lineage(
-            step.select(
-                key,
-                "_start",
-                F.when(F.col("_done") | stop, F.col("resolved")).when(cyclic, F.col("_start")).otherwise(F.col("_to")).alias("resolved"),
-                F.when(F.col("_done") | stop | cyclic, F.col("_seen")).otherwise(F.concat("_seen", F.array("_to"))).alias("_seen"),
-                (F.col("_done") | stop | F.coalesce(cyclic, F.lit(False))).alias("_done"),
-            )
-        )
-        if now.where("NOT _done").isEmpty():
-            break
-    return now.select(key, F.when(F.col("_done"), F.col("resolved")).otherwise(F.col("_start")).alias("resolved"))
+    one = mapping.select(F.col(source).alias("value"), F.col(target).alias("to")).where("value IS NOT NULL AND to IS NOT NULL").dropDuplicates(["value"])
+    total = one.count()
+    mapped = one.select(F.col("value").alias("held"))
+    stops = lambda c: F.col("held").isNull() if accepted is None else F.coalesce(c, F.lit(False))
+
+    def settled(hops: DataFrame) -> DataFrame:
+        """value, to, done: a hop is done where it has arrived at an answer or has nowhere to go."""
+        ends = hops.select(F.col("to").alias("value")).distinct().join(mapped, F.col("value") == F.col("held"), "left")
+        ends = ends.select(F.col("value").alias("end"), stops(accepted).alias("good"), F.col("held").isNull().alias("last"))
+        return hops.join(ends, F.col("to") == F.col("end")).select("value", "to", "good", (F.col("good") | F.col("last")).alias("done"))
+
+    hops = cut_lineage(settled(one))
+    reach = 1
+    while reach <= total and not hops.where("NOT done").isEmpty():
+        after = hops.select(F.col("value").alias("v"), F.col("to").alias("t"), F.col("good").alias("g"), F.col("done").alias("d"))
+        going = hops.where("NOT done").join(after, F.col("to") == F.col("v")).select("value", F.col("t").alias("to"), F.col("g").alias("good"), F.col("d").alias("done"))
+        hops = cut_lineage(hops.where("done").union(going))
+        reach *= 2
+    answer = hops.select("value", F.when(F.col("done") & F.col("good"), F.col("to")).alias("found"), F.lit(True).alias("in_map"))
+    own = F.col(start) if accepted is None else None
+    joined = items.select(key, F.col(start)).join(answer, F.col(start) == F.col("value"), "left")
+    if accepted is not None:
+        plain = items.select(F.col(start).alias("value")).distinct().select(F.col("value").alias("plain"), F.coalesce(accepted, F.lit(False)).alias("plain_good"))
+        joined = joined.drop("value").join(plain, F.col(start) == F.col("plain"), "left")
+        own = F.when(F.col("plain_good"), F.col(start))
+    return joined.select(key, F.when(F.col("in_map"), F.col("found")).otherwise(own).alias("resolved"))
 
 
 def policy_visible(policy: Column, states: Column) -> Column:

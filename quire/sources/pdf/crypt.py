@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import stringprep
+import struct
 import unicodedata
 
+import numpy as np
+
 from quire.sources.pdf.objects import Name, PdfError, Stream
 
 #: Fixed value: the padding of short passwords.
@@ -76,60 +79,60 @@ def _round_keys(key: bytes) -> list[bytes]:
     return [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
 
 
-def _xor(a: bytes, b: bytes) -> bytes:
-    return bytes(x ^ y for x, y in zip(a, b, strict=True))
-
-
-def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    s = _xor(block, keys[-1])
-    for k in reversed(keys[:-1]):
-        s = bytes(_BACK[s[(i - 4 * (i % 4)) % 16]] for i in range(16))
-        s = _xor(s, k)
-        if k is not keys[0]:
-            s = b"".join(_mixed(s[c : c + 4], (14, 11, 13, 9)) for c in range(0, 16, 4))
-    return s
-
+def _turned(word: int, by: int) -> int:
+    return (word >> by | word << (32 - by)) & 0xFFFFFFFF
 
-def _encrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    s = _xor(block, keys[0])
-    for k in keys[1:]:
-        s = bytes(_BOX[s[(i + 4 * (i % 4)) % 16]] for i in range(16))
-        if k is not keys[-1]:
-            s = b"".join(_mixed(s[c : c + 4], (2, 3, 1, 1)) for c in range(0, 16, 4))
-        s = _xor(s, k)
-    return s
 
-
-def _mixed(column: bytes, by: tuple[int, ...]) -> bytes:
-    times = lambda n, v: v if n == 1 else _BY[n][v]
-    return bytes(times(by[0], column[i]) ^ times(by[1], column[(i + 1) % 4]) ^ times(by[2], column[(i + 2) % 4]) ^ times(by[3], column[(i + 3) % 4]) for i in range(4))
+#: Substitution and mixing of one byte as a word, for each row.
+_FIRST = [_BY[2][v] << 24 | v << 16 | v << 8 | _BY[3][v] for v in _BOX]
+_MIX = [[_turned(w, 8 * row) for w in _FIRST] for row in range(4)]
+_NP_BACK = np.array(_BACK, dtype=np.uint8)
+_NP_BY = {n: np.array(v, dtype=np.uint8) for n, v in _BY.items()}
+_UNSHIFTED = np.array([(i - 4 * (i % 4)) % 16 for i in range(16)])
 
 
 def aes_cbc_decrypt(key: bytes, iv: bytes, data: bytes, padded: bool = True) -> bytes:
-    keys, out, last = _round_keys(key), bytearray(), iv
+    """All blocks at once: none of them waits for another's plain text."""
     if len(data) % 16:
         raise PdfError("AES data are not whole blocks")
-    for at in range(0, len(data), 16):
-        block = data[at : at + 16]
-        out += _xor(_decrypt_block(keys, block), last)
-        last = block
+    keys = [np.frombuffer(k, np.uint8) for k in _round_keys(key)]
+    blocks = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    s = blocks ^ keys[-1]
+    for i in range(len(keys) - 2, -1, -1):
+        s = _NP_BACK[s[:, _UNSHIFTED]] ^ keys[i]
+        if i:
+            c = s.reshape(-1, 4, 4)
+            s = np.stack([_NP_BY[14][c[..., r]] ^ _NP_BY[11][c[..., (r + 1) % 4]] ^ _NP_BY[13][c[..., (r + 2) % 4]] ^ _NP_BY[9][c[..., (r + 3) % 4]] for r in range(4)], axis=-1).reshape(-1, 16)
+    out = (s ^ np.concatenate([np.frombuffer(iv, np.uint8).reshape(1, 16), blocks[:-1]])[: len(blocks)]).tobytes()
     if not padded:
-        return bytes(out)
+        return out
     n = out[-1] if out else 0
     if not 1 <= n <= 16 or out[-n:] != bytes([n]) * n:
         raise PdfError("wrong AES padding")
-    return bytes(out[:-n])
+    return out[:-n]
 
 
 def aes_cbc_encrypt(key: bytes, iv: bytes, data: bytes, padded: bool = True) -> bytes:
     if padded:
         n = 16 - len(data) % 16
         data += bytes([n]) * n
-    keys, out, last = _round_keys(key), bytearray(), iv
-    for at in range(0, len(data), 16):
-        last = _encrypt_block(keys, _xor(data[at : at + 16], last))
-        out += last
-    return bytes(out)
+    keys = [struct.unpack(">4I", k) for k in _round_keys(key)]
+    first, middle, last = keys[0], keys[1:-1], keys[-1]
+    t0, t1, t2, t3 = _MIX
+    box, out = _BOX, []
+    w = struct.unpack(">4I", iv)
+    words = struct.unpack(f">{len(data) // 4}I", data)
+    for at in range(0, len(words), 4):
+        a, b, c, d = (words[at + i] ^ w[i] ^ first[i] for i in range(4))
+        for k in middle:
+            a, b, c, d = (
+                t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ k[0], t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ k[1],
+                t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ k[2], t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ k[3],
+            )
+        r = (a, b, c, d)
+        w = tuple((box[r[i] >> 24] << 24 | box[r[(i + 1) % 4] >> 16 & 255] << 16 | box[r[(i + 2) % 4] >> 8 & 255] << 8 | box[r[(i + 3) % 4] & 255]) ^ last[i] for i in range(4))
+        out += w
+    return struct.pack(f">{len(out)}I", *out)
 
 
 def prepare_password(password: str) -> bytes:

@@ -10,7 +10,7 @@ from quire.functions import filters
 from quire.sources.pdf.crypt import Security
 from quire.sources.pdf.objects import Keyword, Name, Parser, PdfError, Ref, Stream
 
-HEAD, TAIL, RECOVERY = 1024, 1 << 20, 64 << 20
+HEAD, TAIL = 1024, 1 << 20
 PAGE_DEPTH, TREE_DEPTH = 8192, 256
 OBJECT_STREAM_BYTES = 16 << 20
 VERSIONS = {f"1.{i}" for i in range(8)} | {"2.0"}
@@ -160,10 +160,13 @@ class Document:
         return out
 
     def _recover(self) -> None:
-        """Rebuilds the cross-references from the indirect objects found in the file."""
+        """Rebuilds the cross-references from the indirect objects found in the whole file.
+
+        Trailers count only between objects, never inside a stream.
+        """
         self.xref, self._cache, self._inside, self.sections = {}, {}, {}, []
-        at, trailer = 0, {}
-        data = self.data[:RECOVERY]
+        at, trailer, gaps, done = 0, {}, [], 0
+        data = self.data
         while m := _INDIRECT.search(data, at):
             self.xref[int(m[1])] = Entry(1, m.start(), int(m[2]), 0)
             at = m.end()
@@ -171,9 +174,12 @@ class Document:
                 _, _, value, at = self._indirect(m.start(), whole=True)
             except (PdfError, filters.FilterError):
                 continue
+            gaps.append((done, m.start()))
+            done = at
             if isinstance(value, Stream) and value.dict.get("Type") == "XRef":
                 trailer |= {k: v for k, v in value.dict.items() if k in ("Root", "Info", "ID", "Encrypt")}
-        for m in re.finditer(rb"trailer", data):
+        words = re.compile(rb"trailer")
+        for m in (m for start, stop in [*gaps, (done, len(data))] for m in words.finditer(data, start, stop)):
             try:
                 found = Parser(self.data, m.end(), True).value()
             except PdfError:
@@ -504,10 +510,33 @@ class Document:
                 yield {"level": level, "type": "OBJR", "tag": None, "num": num, "parent": parent, "page": page, "mcid": None}
                 continue
             tag = self.get(node, "S", Name)
-            yield {"level": level, "type": resolve_role(str(tag), roles), "tag": None if tag is None else str(tag), "num": num, "parent": parent, "page": page, "mcid": None}
+            yield {"level": level, "type": resolve_role(str(tag), roles) or str(tag), "tag": None if tag is None else str(tag), "num": num, "parent": parent, "page": page, "mcid": None}
             kids = self.resolve(node.get("K"))
             pending += [(k, level + 1, num, page) for k in reversed(kids if isinstance(kids, list) else [] if kids is None else [node["K"]])]
 
+    def structure_ids(self) -> Iterator[tuple[bytes, int | None]]:
+        """(identifier, element number) of the structure's name tree."""
+        for key, value in self.name_tree(self.get(self.get(self.catalog, "StructTreeRoot", dict, {}), "IDTree", dict)):
+            yield key, value.num if isinstance(value, Ref) else None
+
+    def metadata(self) -> bytes | None:
+        """The document's metadata stream."""
+        held = self.get(self.catalog, "Metadata", Stream)
+        return None if held is None else self.decoded(held)
+
+    def output_intents(self) -> Iterator[dict]:
+        for v in self.get(self.catalog, "OutputIntents", list, []):
+            own = self.resolve(v)
+            if not isinstance(own, dict):
+                continue
+            text = lambda key, own=own: filters.decode_text(x) if (x := self.get(own, key, bytes)) is not None else None
+            profile = own.get("DestOutputProfile")
+            yield {
+                "subtype": str(self.get(own, "S", Name, "")), "condition": text("OutputCondition"), "identifier": text("OutputConditionIdentifier"),
+                "registry": text("RegistryName"), "info": text("Info"), "profile": profile.num if isinstance(profile, Ref) else None,
+                "components": self.get(profile, "N", int) if isinstance(self.resolve(profile), Stream) else None,
+            }
+
     def structure_parents(self) -> Iterator[tuple[int, int, int]]:
         """(key, mcid or -1, element number)."""
         root = self.get(self.catalog, "StructTreeRoot", dict, {})
@@ -644,15 +673,23 @@ class Document:
         return all(parts) if op == "And" else any(parts)
 
 
-def resolve_role(role: str, roles: dict[str, str]) -> str:
-    """Follows the role map to a role it does not map; a cycle ends at the start."""
-    seen, now = {role}, role
-    while now in roles:
-        now = roles[now]
-        if now in seen:
+def resolve_role(role: str, roles: dict[str, str], accepts=None) -> str | None:
+    """Follows the role map: a mapped role is mapped before it is looked at.
+
+    Without ``accepts`` the first role that is not mapped is the answer, otherwise
+    the first that it takes. None where a role comes up again, or none is taken.
+    """
+    seen: set[str] = set()
+    while True:
+        mapped = role in roles
+        role = roles.get(role, role)
+        if role in seen:
+            return None
+        seen.add(role)
+        if accepts(role) if accepts else role not in roles:
             return role
-        seen.add(now)
-    return now
+        if not mapped:
+            return None
 
 
 def select_rendition(rendition: dict | None, viable) -> dict | None:

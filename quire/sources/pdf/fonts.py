@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -43,6 +44,55 @@ HELVETICA = (
     333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
 )
 
+#: Advance widths of the other standard text faces for codes 32 to 126.
+HELVETICA_BOLD = (
+    278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 333, 333, 584, 584, 584, 611,
+    975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556,
+    333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584,
+)
+TIMES = (
+    250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 278, 278, 564, 564, 564, 444,
+    921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500,
+    333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541,
+)
+TIMES_BOLD = (
+    250, 333, 555, 500, 500, 1000, 833, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 570, 570, 570, 500,
+    930, 722, 667, 722, 722, 667, 611, 778, 778, 389, 500, 778, 667, 944, 722, 778, 611, 778, 722, 556, 667, 722, 722, 1000, 722, 722, 667, 333, 278, 333, 581, 500,
+    333, 500, 556, 444, 556, 444, 333, 500, 556, 278, 333, 556, 278, 833, 556, 500, 556, 556, 444, 389, 333, 556, 500, 722, 500, 500, 444, 394, 220, 394, 520,
+)
+TIMES_ITALIC = (
+    250, 333, 420, 500, 500, 833, 778, 214, 333, 333, 500, 675, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 675, 675, 675, 500,
+    920, 611, 611, 667, 722, 611, 611, 722, 722, 333, 444, 667, 556, 833, 667, 722, 611, 722, 611, 500, 556, 722, 611, 833, 611, 556, 556, 389, 278, 389, 422, 500,
+    333, 500, 500, 444, 500, 444, 278, 500, 500, 278, 278, 444, 278, 722, 500, 500, 500, 500, 389, 389, 278, 500, 444, 667, 444, 444, 389, 400, 275, 400, 541,
+)
+TIMES_BOLD_ITALIC = (
+    250, 389, 555, 500, 500, 833, 778, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 570, 570, 570, 500,
+    832, 667, 667, 667, 722, 667, 667, 722, 778, 389, 500, 667, 611, 889, 722, 722, 611, 722, 667, 556, 611, 722, 667, 889, 667, 611, 611, 333, 278, 333, 570, 500,
+    333, 500, 500, 444, 500, 444, 333, 500, 556, 278, 278, 500, 278, 778, 556, 500, 500, 500, 389, 389, 278, 556, 444, 667, 500, 444, 389, 348, 220, 348, 570,
+)
+
+
+def standard_widths(name: str) -> tuple[dict[str, float], float] | None:
+    """(widths by character, width of the rest) of a standard face; None for any other.
+
+    Subset prefixes and the usual aliases are understood. An accented letter is as
+    wide as its base letter.
+    """
+    plain = name.split("+", 1)[-1].replace(",", "-").replace(" ", "")
+    bold, slanted = "Bold" in plain, "Italic" in plain or "Oblique" in plain
+    if plain.startswith("Courier"):
+        return {}, 600.0
+    if plain.startswith(("Times-", "TimesNewRoman")) or plain == "Times":
+        held = {(False, False): TIMES, (True, False): TIMES_BOLD, (False, True): TIMES_ITALIC, (True, True): TIMES_BOLD_ITALIC}[bold, slanted]
+    elif plain.startswith(("Helvetica", "Arial")):
+        held = HELVETICA_BOLD if bold else HELVETICA
+    else:
+        return None
+    known = {chr(32 + i): float(w) for i, w in enumerate(held)}
+    quote = {HELVETICA: 222.0, HELVETICA_BOLD: 278.0}.get(held, 333.0)
+    known |= {"’": quote, "‘": quote, "\u00a0": known[" "]}
+    return known, known["0"]
+
 
 def glyph_text(name: str) -> str | None:
     """Text of a glyph name; parts are joined by ``_`` and end at the first dot."""
@@ -179,6 +229,7 @@ class Glyph:
     cid: int
     width: float
     space: bool
+    gid: int | None = None
 
 
 class Font:
@@ -193,6 +244,11 @@ class Font:
         self.matrix = [float(doc.resolve(x)) for x in doc.get(own, "FontMatrix", list, [0.001, 0, 0, 0.001, 0, 0])]
         self.composite = self.subtype == "Type0"
         self.vertical = False
+        self.maps: dict = {}
+        self.symbolic = False
+        self.names: dict[int, str] = {}
+        self.procedures = {str(k): v for k, v in doc.get(own, "CharProcs", dict, {}).items()}
+        self.resources = doc.get(own, "Resources", dict)
         self._composite(own) if self.composite else self._simple(own)
 
     def _simple(self, own: dict) -> None:
@@ -200,7 +256,6 @@ class Font:
         encoding = doc.get(own, "Encoding", (Name, dict))
         base = str(encoding) if isinstance(encoding, Name) else str(doc.get(encoding, "BaseEncoding", Name, Name("StandardEncoding")))
         self.codes = encoding_text(base)
-        self.names: dict[int, str] = {}
         if isinstance(encoding, dict):
             at = 0
             for item in doc.get(encoding, "Differences", list, []):
@@ -216,12 +271,46 @@ class Font:
         missing = doc.get(doc.get(own, "FontDescriptor", dict, {}), "MissingWidth", (int, float), 0)
         self.default = float(missing)
         self.widths = {first + i: float(w) for i, w in enumerate(map(doc.resolve, widths or [])) if isinstance(w, (int, float))}
-        if widths is None:
-            if "Courier" in self.name:
-                self.default = 600.0
-            else:
-                self.widths = {32 + i: float(w) for i, w in enumerate(HELVETICA)}
-                self.default = 556.0
+        descriptor = doc.get(own, "FontDescriptor", dict, {})
+        self.symbolic = bool(doc.get(descriptor, "Flags", int, 0) & 4)
+        program = doc.get(descriptor, "FontFile2", Stream)
+        if program is not None:
+            self._truetype(doc.decoded(program), widths is None)
+        elif widths is None and self.subtype != "Type3":
+            self._standard()
+
+    def _standard(self) -> None:
+        """Widths of a standard face; another face without widths is told and measured like Helvetica."""
+        known = standard_widths(self.name)
+        if known is None:
+            self.doc.fault(f"font {self.name} has neither widths nor a standard face")
+            known = standard_widths("Helvetica")
+        by_text, self.default = known
+        for code, text in self.codes.items():
+            base = unicodedata.normalize("NFD", text)[:1]
+            if text and (w := by_text.get(text, by_text.get(base))) is not None:
+                self.widths[code] = w
+
+    def _truetype(self, data: bytes, measured: bool) -> None:
+        """Glyph ids, and widths where the font declares none, from an embedded TrueType program."""
+        from quire.sources.pdf import truetype
+
+        try:
+            held = truetype.tables(data)
+            self.maps = truetype.character_maps(held["cmap"])
+            if measured:
+                advances = truetype.advances(data)
+                for code in range(256):
+                    gid = self._glyph_id(code)
+                    if gid is not None and gid < len(advances):
+                        self.widths[code] = advances[gid]
+        except (KeyError, ValueError, IndexError, struct.error) as e:
+            self.doc.fault(f"font {self.name}: the embedded program cannot be read: {e}")
+
+    def _glyph_id(self, code: int) -> int | None:
+        from quire.sources.pdf import truetype
+
+        return truetype.simple_glyph(self.maps, code, self.codes.get(code), self.symbolic) if self.maps else None
 
     def _composite(self, own: dict) -> None:
         doc = self.doc
@@ -230,8 +319,14 @@ class Font:
         if isinstance(encoding, Stream):
             self.cmap = parse_cmap(doc.decoded(encoding))
         else:
+            if str(encoding) not in ("Identity-H", "Identity-V"):
+                # the published code maps are data that is not at hand; codes are kept, and told, as they are
+                doc.fault(f"the predefined code map {encoding} is not known")
             self.cmap = CMap([(b"\0\0", b"\xff\xff")], ranges=[(b"\0\0", b"\xff\xff", 0)], vertical=str(encoding).endswith("V"))
         self.vertical = self.cmap.vertical
+        held = doc.get(child, "CIDToGIDMap", (Name, Stream))
+        self.cid_gids = doc.decoded(held) if isinstance(held, Stream) else None
+        self.embedded = doc.get(doc.get(child, "FontDescriptor", dict, {}), "FontFile2", Stream) is not None
         self.default = float(doc.get(child, "DW", (int, float), 1000))
         self.widths = {}
         held = [doc.resolve(x) for x in doc.get(child, "W", list, [])]
@@ -257,11 +352,13 @@ class Font:
             if self.composite:
                 cid = self.cmap.cid(code)
                 width = self.widths.get(cid, self.default)
+                gid = int.from_bytes(self.cid_gids[2 * cid : 2 * cid + 2], "big") if self.cid_gids is not None else cid if self.embedded else None
             else:
                 cid, width = number, self.widths.get(number, self.default)
+                gid = self._glyph_id(number)
                 text = self.codes.get(number) if text is None else text
             scale = self.matrix[0] if self.subtype == "Type3" else 0.001
-            out.append(Glyph(number, text or "", cid, width * scale, code == b" "))
+            out.append(Glyph(number, text or "", cid, width * scale, code == b" ", gid))
             at += len(code)
         return out
 

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 
+from quire.sources.pdf.color import Space
 from quire.sources.pdf.document import Document
 from quire.sources.pdf.objects import Name, PdfError, Stream
 
@@ -87,6 +88,9 @@ def decode_image(doc: Document, image: Stream) -> np.ndarray:
         painted = unpacked(data, width, height, 1, 1)[..., 0] == (1 if limits[:1] == [1.0] else 0)
         return np.dstack([np.zeros((height, width, 3), np.uint8), np.where(painted, 255, 0).astype(np.uint8)])
     bits = doc.get(image, "BitsPerComponent", int, 8)
+    held = doc.resolve(image.dict.get("ColorSpace", Name("DeviceGray")))
+    if isinstance(held, list) and doc.resolve(held[0]) in ("Separation", "DeviceN"):
+        return _tinted(doc, image, held, data, width, height, bits, limits)
     family, n, own = _space(doc, image.dict.get("ColorSpace", Name("DeviceGray")))
     samples = unpacked(data, width, height, n, bits)
     top = (1 << bits) - 1
@@ -105,6 +109,17 @@ def decode_image(doc: Document, image: Stream) -> np.ndarray:
     return np.dstack([np.rint(np.clip(rgb, 0, 1) * 255).astype(np.uint8), alpha])
 
 
+def _tinted(doc: Document, image: Stream, held: list, data: bytes, width: int, height: int, bits: int, limits: list[float]) -> np.ndarray:
+    """Samples of named colorants, each distinct tint converted once."""
+    space = Space(doc, held)
+    samples = unpacked(data, width, height, space.n, bits)
+    kinds, at = np.unique(samples.reshape(-1, space.n), axis=0, return_inverse=True)
+    low, high = (np.array(limits[::2]), np.array(limits[1::2])) if limits else (np.zeros(space.n), np.ones(space.n))
+    tints = low + kinds * (high - low) / ((1 << bits) - 1)
+    rgb = np.array([space.rgb([float(v) for v in t]) for t in tints])[at.reshape(-1)].reshape(height, width, 3)
+    return np.dstack([np.rint(np.clip(rgb, 0, 1) * 255).astype(np.uint8), _alpha(doc, image, samples, width, height)])
+
+
 def _alpha(doc: Document, image: Stream, samples: np.ndarray, width: int, height: int) -> np.ndarray:
     """A soft mask beats a stencil mask, which beats a colour key."""
     mask = doc.get(image, "SMask", Stream) or doc.get(image, "Mask", Stream)

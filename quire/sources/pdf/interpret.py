@@ -1,4 +1,10 @@
-"""The content interpreter: operations to text, path, image and content marks in paint order."""
+"""The content interpreter: operations to marks in paint order.
+
+Kinds of marks: text, path, image, group (forms and PostScript), content, clip
+(a path, or the text objects, that later marks are clipped by), shading and
+pattern. Marks name the clips in force by their ``ord``. Type 3 glyphs run as
+content of their own. What a caller does not ask for is not built.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,8 @@ import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from quire.functions.filters import decode_text
+from quire.functions.filters import FilterError, decode_text
+from quire.sources.pdf.color import Space, read_shading
 from quire.sources.pdf.document import Document, Page, operators
 from quire.sources.pdf.fonts import Font
 from quire.sources.pdf.objects import Name, PdfError, Ref, Stream
@@ -30,6 +37,18 @@ PAINTS = {
 }
 
 
+KINDS = frozenset(("text", "path", "image", "group", "content", "clip", "shading", "pattern"))
+INTENTS = frozenset(("AbsoluteColorimetric", "RelativeColorimetric", "Saturation", "Perceptual"))
+DEVICE = {"g": "DeviceGray", "rg": "DeviceRGB", "k": "DeviceCMYK"}
+
+#: Keys of graphics state dictionaries that set one plain value, with the style's name for it.
+PLAIN_STATE = {
+    "LW": ("line_width", (int, float)), "LC": ("cap", int), "LJ": ("join", int), "ML": ("miter", (int, float)), "ca": ("fill_alpha", (int, float)), "CA": ("stroke_alpha", (int, float)),
+    "FL": ("flatness", (int, float)), "SM": ("smoothness", (int, float)), "TK": ("text_knockout", bool), "AIS": ("alpha_is_shape", bool), "SA": ("stroke_adjust", bool),
+    "OPM": ("overprint_mode", int), "AAPL:AA": ("antialias", bool),
+}
+
+
 def multiply(m: Matrix, n: Matrix) -> Matrix:
     """Applies ``n`` first, then ``m``."""
     a, b, c, d, e, f = m
@@ -51,27 +70,129 @@ class State:
     leading: float = 0.0
     rise: float = 0.0
     mode: int = 0
+    fill_space: Space | None = None
+    stroke_space: Space | None = None
+    fill_values: tuple = (0.0,)
+    stroke_values: tuple = (0.0,)
+    clips: tuple = ()
+    colored: bool = True
     style: dict = field(default_factory=lambda: {"line_width": 1.0, "cap": 0, "join": 0, "miter": 10.0, "fill": "0", "stroke": "0", "fill_alpha": 1.0, "stroke_alpha": 1.0, "blend": "Normal"})
 
 
 class Interpreter:
-    """Runs one page and yields (kind, mark) pairs; ``ord`` numbers them."""
+    """Runs one page and yields (kind, mark) pairs of the wanted kinds; ``ord`` numbers all marks."""
 
-    def __init__(self, doc: Document, page: Page):
-        self.doc, self.page = doc, page
+    def __init__(self, doc: Document, page: Page, kinds: frozenset[str] = KINDS):
+        self.doc, self.page, self.kinds = doc, page, kinds
         self.fonts: dict = {}
+        self.spaces: dict = {}
         self.content: list[dict] = []
         self.count = 0
 
     def run(self) -> Iterator[tuple[str, dict]]:
         state = State()
-        yield from self._content(self.doc.content(self.page), self.page.resources, state, 0, ())
+        for kind, mark in self._content(self.doc.content(self.page), self.page.resources, state, 0, ()):
+            if kind in self.kinds:
+                yield kind, mark
 
-    def _mark(self, kind: str, **values) -> tuple[str, dict]:
+    def _mark(self, kind: str, state: State | None, /, **values) -> tuple[str, dict]:
         self.count += 1
         inside = next((c["mcid"] for c in reversed(self.content) if c["mcid"] is not None), None)
         replaced = next((c["actual"] for c in reversed(self.content) if c["actual"] is not None), None)
-        return kind, {"ord": self.count - 1, "mcid": inside, "replacement": replaced} | values
+        return kind, {"ord": self.count - 1, "mcid": inside, "replacement": replaced, "clips": list(state.clips) if state else []} | values
+
+    def _needless(self, state: State) -> bool:
+        """Showing text moves nothing but text, so it is skipped when no text is wanted and none of it draws or clips."""
+        return "text" not in self.kinds and state.mode < 4 and state.font.subtype != "Type3" and not self.kinds & {"clip"}
+
+    def _colors(self, state: State) -> dict:
+        def rgb(space: Space | None, values: tuple) -> list[float] | None:
+            try:
+                return [0.0, 0.0, 0.0] if space is None else None if space.family == "Pattern" else space.rgb([float(v) for v in values])
+            except (PdfError, FilterError, TypeError, ValueError, IndexError) as e:
+                self.doc.fault(f"a colour cannot be converted: {e}")
+                return None
+
+        return {"fill_rgb": rgb(state.fill_space, state.fill_values), "stroke_rgb": rgb(state.stroke_space, state.stroke_values)}
+
+    def _space(self, resources: dict, fill: bool, name: object, state: State) -> None:
+        key = (id(resources), str(name))
+        if key not in self.spaces:
+            try:
+                self.spaces[key] = resources, Space(self.doc, name, resources)
+            except (PdfError, FilterError) as e:
+                self.doc.fault(f"colour space {name}: {e}")
+                self.spaces[key] = resources, None
+        if (space := self.spaces[key][1]) is not None:
+            self._paint(state, fill, space, space.first)
+            state.style = state.style | {"fill_space" if fill else "stroke_space": space.family}
+
+    def _paint(self, state: State, fill: bool, space: Space | None, args: list) -> None:
+        """Sets a colour; an uncoloured Type 3 glyph leaves it as it is."""
+        if not state.colored:
+            return
+        shown = " ".join(f"/{a}" if isinstance(a, Name) else f"{float(a):g}" for a in args)
+        if space is None or space.family in DEVICE.values():
+            state.style = {k: v for k, v in state.style.items() if k != ("fill_space" if fill else "stroke_space")}
+        state.style = state.style | {"fill" if fill else "stroke": shown}
+        if fill:
+            state.fill_space, state.fill_values = space, tuple(args)
+        else:
+            state.stroke_space, state.stroke_values = space, tuple(args)
+
+    def _dash(self, args: list, state: State) -> None:
+        array = [self.doc.resolve(v) for v in args[0]] if len(args) == 2 and isinstance(args[0], list) else None
+        if array is None or any(isinstance(v, bool) or not isinstance(v, (int, float)) or v < 0 for v in array) or (array and not any(array)):
+            self.doc.fault("a wrong dash pattern")
+            return
+        state.style = state.style | {"dash": [[float(v) for v in array], float(args[1])]}
+
+    def _intent(self, name: object, state: State) -> None:
+        if str(name) not in INTENTS:
+            self.doc.fault("an unknown rendering intent")
+        state.style = state.style | {"intent": str(name) if str(name) in INTENTS else "RelativeColorimetric"}
+
+    def _shading(self, ref: object, own: object, resources: dict, state: State, matrix: list) -> Iterator[tuple[str, dict]]:
+        if "shading" not in self.kinds:
+            self.count += 1
+            return
+        try:
+            yield self._mark("shading", state, num=ref.num if isinstance(ref, Ref) else None, matrix=matrix, **read_shading(self.doc, own, resources))
+        except (PdfError, FilterError, TypeError, ValueError, KeyError) as e:
+            self.count += 1
+            self.doc.fault(f"a shading cannot be read: {e}")
+
+    def _pattern(self, resources: dict, args: list, fill: bool, state: State) -> Iterator[tuple[str, dict]]:
+        ref, own = self._resource(resources, "Pattern", args[-1])
+        if own is None:
+            return
+        get = lambda key, kind, default=None: self.doc.get(own, key, kind, default)
+        matrix = [float(self.doc.resolve(v)) for v in get("Matrix", list, [1, 0, 0, 1, 0, 0])]
+        kind = get("PatternType", int)
+        yield self._mark(
+            "pattern", state, num=ref.num if isinstance(ref, Ref) else None, kind=kind, fill=fill, paint_type=get("PaintType", int), matrix=matrix,
+            bbox=[float(self.doc.resolve(v)) for v in get("BBox", list, [])] or None, x_step=get("XStep", (int, float)), y_step=get("YStep", (int, float)), colors=[float(v) for v in args[:-1]],
+        )
+        if kind == 2:
+            held = own.dict if isinstance(own, Stream) else own
+            yield from self._shading(held.get("Shading"), self.doc.resolve(held.get("Shading")), resources, state, matrix)
+
+    def _type3(self, glyphs: list[dict], resources: dict, state: State, text: Matrix, depth: int, path: tuple) -> Iterator[tuple[str, dict]]:
+        """Runs the glyphs' own content; a glyph that begins with ``d1`` keeps the text's colour."""
+        font = state.font
+        if depth >= FORMS or ("Type3", font.num, id(font)) in path:
+            self.doc.fault("glyphs contain themselves or are nested too deep")
+            return
+        for g in glyphs:
+            ref = font.procedures.get(font.names.get(g["code"]))
+            own = self.doc.resolve(ref)
+            if not isinstance(own, Stream):
+                continue
+            inner = copy.copy(state)
+            scale = (state.size * state.h_scale, 0, 0, state.size, g["x"], g["y"] + state.rise)
+            inner.ctm = multiply(multiply(multiply(state.ctm, text), scale), tuple(font.matrix))
+            inner.style, inner.font, inner.mode = dict(state.style), None, 0
+            yield from self._content(self.doc.decoded(own), font.resources or resources, inner, depth + 1, (*path, ("Type3", font.num, id(font))))
 
     @property
     def hidden(self) -> bool:
@@ -88,6 +209,8 @@ class Interpreter:
     def _content(self, data: bytes, resources: dict, state: State, depth: int, path: tuple) -> Iterator[tuple[str, dict]]:
         doc, stack, loose = self.doc, [], 0
         segments: list[tuple[str, list[float]]] = []
+        clip: bool | None = None  # even-odd of a clip that the next painting operator sets
+        clipped: list[int] = []  # text marks of this text object that clip
         text: Matrix | None = None
         line: Matrix = IDENTITY
         current: tuple[float, float] = (0.0, 0.0)
@@ -121,10 +244,24 @@ class Interpreter:
                 state.ctm = multiply(state.ctm, tuple(map(float, args)))
             elif op in ("w", "J", "j", "M"):
                 state.style = state.style | {{"w": "line_width", "J": "cap", "j": "join", "M": "miter"}[op]: args[0]}
+            elif op == "d":
+                self._dash(args, state)
+            elif op == "i":
+                state.style = state.style | {"flatness": args[0]}
+            elif op == "ri":
+                self._intent(args[0], state)
+            elif op in ("d0", "d1"):
+                state.colored = op == "d0"
+            elif op in ("W", "W*"):
+                clip = op == "W*"
             elif op in ("g", "rg", "k", "G", "RG", "K"):
-                state.style = state.style | {"fill" if op.islower() else "stroke": " ".join(f"{float(a):g}" for a in args)}
+                self._paint(state, op.islower(), Space(doc, Name(DEVICE[op.lower()])), args)
+            elif op in ("cs", "CS"):
+                self._space(resources, op.islower(), args[0], state)
             elif op in ("sc", "scn", "SC", "SCN"):
-                state.style = state.style | {"fill" if op.islower() else "stroke": " ".join(f"/{a}" if isinstance(a, Name) else f"{float(a):g}" for a in args)}
+                self._paint(state, op.islower(), state.fill_space if op.islower() else state.stroke_space, args)
+                if args and isinstance(args[-1], Name) and state.colored:
+                    yield from self._pattern(resources, args, op.islower(), state)
             elif op == "gs":
                 self._ext_state(self._resource(resources, "ExtGState", args[0])[1] or {}, state)
             elif op == "m":
@@ -149,18 +286,31 @@ class Interpreter:
                 close, fill, even_odd, stroke = PAINTS[op]
                 if close:
                     segments.append(("Z", []))
+                fill, stroke = fill and (state.fill_space is None or state.fill_space.paints), stroke and (state.stroke_space is None or state.stroke_space.paints)
                 if (fill or stroke) and segments and not self.hidden:
-                    yield self._mark("path", segments=segments, even_odd=even_odd, fill=fill, stroke=stroke, style=state.style)
-                segments = []
+                    yield self._mark("path", state, segments=segments, even_odd=even_odd, fill=fill, stroke=stroke, style=state.style, **self._colors(state))
+                if clip is not None:
+                    mark = self._mark("clip", state, segments=segments, even_odd=clip, text_ords=[])
+                    state.clips = (*state.clips, mark[1]["ord"])
+                    yield mark
+                segments, clip = [], None
             elif op == "sh":
-                if not self.hidden:
-                    yield self._mark("path", segments=[], even_odd=False, fill=True, stroke=False, style=state.style | {"fill": f"/{args[0]}"})
+                ref, own = self._resource(resources, "Shading", args[0])
+                if not self.hidden and own is not None:
+                    yield self._mark("path", state, segments=[], even_odd=False, fill=True, stroke=False, style=state.style | {"fill": f"/{args[0]}"}, fill_rgb=None, stroke_rgb=None)
+                    yield from self._shading(ref, own, resources, state, list(state.ctm))
             elif op == "BT":
                 if text is not None:
                     doc.fault("BT inside a text object")
                 text = line = IDENTITY
+                clipped = []
             elif op == "ET":
                 text = None
+                if clipped:
+                    mark = self._mark("clip", state, segments=[], even_odd=False, text_ords=clipped)
+                    state.clips = (*state.clips, mark[1]["ord"])
+                    clipped = []
+                    yield mark
             elif op == "Tf":
                 state.font, state.size = self._font(resources, args[0]), float(args[1])
             elif op in ("Tc", "Tw", "TL", "Ts"):
@@ -188,14 +338,22 @@ class Interpreter:
                         doc.fault("text is shown outside a text object")
                         text = IDENTITY
                     items = args[-1] if op == "TJ" else [args[-1]]
+                    if state.font and self._needless(state):
+                        self.count += any(isinstance(x, bytes) and len(x) > 0 for x in items)  # marks are numbered alike whatever is wanted
+                        continue
+                    before = text
                     mark, text = self._show(items, state, text)
+                    if mark and state.mode >= 4:
+                        clipped.append(mark[1]["ord"])
                     if mark and (not self.hidden or state.mode >= 4):
                         yield mark
+                    if mark and not self.hidden and state.font.subtype == "Type3":
+                        yield from self._type3(mark[1]["glyphs"], resources, state, before, depth, path)
             elif op == "Do":
                 yield from self._xobject(resources, args[0], state, depth, path)
             elif op == "BI":
                 if not self.hidden:
-                    yield self._mark("image", num=None, matrix=list(state.ctm), style=state.style, width=args[0].dict.get("Width"), height=args[0].dict.get("Height"))
+                    yield self._mark("image", state, num=None, matrix=list(state.ctm), style=state.style, width=args[0].dict.get("Width"), height=args[0].dict.get("Height"))
             elif op in ("BMC", "BDC", "MP", "DP", "EMC"):
                 yield from self._marked(op, args, resources, opened)
         if stack or text is not None or len(self.content) > opened:
@@ -204,9 +362,27 @@ class Interpreter:
 
     def _ext_state(self, own: dict, state: State) -> None:
         doc = self.doc
-        for key, name in (("LW", "line_width"), ("LC", "cap"), ("LJ", "join"), ("ML", "miter"), ("ca", "fill_alpha"), ("CA", "stroke_alpha")):
-            if (v := doc.get(own, key, (int, float))) is not None:
+        if (kind := doc.get(own, "Type", Name)) not in (None, "ExtGState"):
+            doc.fault("no graphics state dictionary")
+        for key, (name, kinds) in PLAIN_STATE.items():
+            if (v := doc.get(own, key, kinds)) is not None:
                 state.style = state.style | {name: v}
+        for key, name in (("OP", "overprint_stroke"), ("op", "overprint_fill")):
+            if (v := doc.get(own, key, bool)) is not None:
+                state.style = state.style | ({"overprint_stroke": v, "overprint_fill": v} if key == "OP" and "op" not in own else {name: v})
+        if (dash := doc.get(own, "D", list)) is not None:
+            self._dash([doc.resolve(v) for v in dash], state)
+        if (intent := doc.get(own, "RI", Name)) is not None:
+            self._intent(intent, state)
+        for keys, name in ((("TR2", "TR"), "transfer"), (("BG2", "BG"), "black_generation"), (("UCR2", "UCR"), "undercolor_removal"), (("HT",), "halftone"), (("HTO",), "halftone_origin")):
+            if (key := next((k for k in keys if k in own), None)) is not None:
+                v = own[key]
+                held = doc.resolve(v)
+                state.style = state.style | {name: {"num": v.num} if isinstance(v, Ref) and isinstance(held, (dict, Stream, list)) else str(held) if isinstance(held, Name) else held}
+        if "SMask" in own:
+            mask = doc.resolve(own["SMask"])
+            group = mask.get("G") if isinstance(mask, dict) else None
+            state.style = state.style | {"soft_mask": {"kind": str(mask.get("S", "")), "group": group.num if isinstance(group, Ref) else None} if isinstance(mask, dict) else None}
         mode = doc.get(own, "BM", (Name, list))
         if mode is not None:
             from quire.functions.blend import NONSEPARABLE, SEPARABLE
@@ -238,13 +414,13 @@ class Interpreter:
                 x, y = (x, y + shift) if font.vertical else (x + shift * state.h_scale, y)
                 continue
             for g in font.decode(item):
-                glyphs.append({"code": g.code, "text": g.text, "cid": g.cid, "width": g.width, "x": x, "y": y, "word_space": g.space})
+                glyphs.append({"code": g.code, "text": g.text, "cid": g.cid, "gid": g.gid, "width": g.width, "x": x, "y": y, "word_space": g.space})
                 extra = state.char_space + (state.word_space if g.space else 0.0)
                 if font.vertical:
                     y += -state.size + extra
                 else:
                     x += (g.width * state.size + extra) * state.h_scale
-        mark = self._mark("text", font_num=font.num, font=font.name, matrix=list(multiply(state.ctm, multiply(text, (1, 0, 0, 1, 0, state.rise)))), size=state.size, h_scale=state.h_scale, mode=state.mode, glyphs=glyphs, style=state.style)
+        mark = self._mark("text", state, font_num=font.num, font=font.name, matrix=list(multiply(state.ctm, multiply(text, (1, 0, 0, 1, 0, state.rise)))), size=state.size, h_scale=state.h_scale, mode=state.mode, glyphs=glyphs, style=state.style)
         return mark if glyphs else None, multiply(text, (1, 0, 0, 1, x, y))
 
     def _xobject(self, resources: dict, name: object, state: State, depth: int, path: tuple) -> Iterator[tuple[str, dict]]:
@@ -255,7 +431,9 @@ class Interpreter:
         num = ref.num if isinstance(ref, Ref) else None
         kind = own.dict.get("Subtype")
         if kind == "Image":
-            yield self._mark("image", num=num, matrix=list(state.ctm), style=state.style, width=doc.get(own, "Width", int), height=doc.get(own, "Height", int))
+            yield self._mark("image", state, num=num, matrix=list(state.ctm), style=state.style, width=doc.get(own, "Width", int), height=doc.get(own, "Height", int))
+        elif kind == "PS":
+            yield self._mark("group", state, num=num, matrix=list(state.ctm), style=state.style, group="PS")
         elif kind == "Form":
             if depth >= FORMS or ref in path:
                 doc.fault("forms contain themselves or are nested too deep")
@@ -263,7 +441,7 @@ class Interpreter:
             inner = copy.copy(state)
             inner.ctm = multiply(state.ctm, tuple(float(doc.resolve(v)) for v in doc.get(own, "Matrix", list, [1, 0, 0, 1, 0, 0])))
             inner.style = dict(state.style)
-            yield self._mark("group", num=num, matrix=list(inner.ctm), style=inner.style)
+            yield self._mark("group", state, num=num, matrix=list(inner.ctm), style=inner.style, group=str(kind))
             yield from self._content(doc.decoded(own), doc.get(own, "Resources", dict) or resources, inner, depth + 1, (*path, ref))
 
     def _marked(self, op: str, args: list, resources: dict, floor: int) -> Iterator[tuple[str, dict]]:
@@ -273,7 +451,7 @@ class Interpreter:
                 doc.fault("EMC without BMC")
                 return
             last = self.content.pop()
-            yield self._mark("content", operator=op, tag=last["tag"], properties=None, depth=len(self.content), hidden=self.hidden)
+            yield self._mark("content", None, operator=op, tag=last["tag"], properties=None, depth=len(self.content), hidden=self.hidden)
             return
         tag, own, ref = str(args[0]), {}, None
         if len(args) > 1:
@@ -284,4 +462,4 @@ class Interpreter:
             hidden = tag == "OC" and not doc.content_visible(ref if ref is not None else own)
             actual = doc.get(own, "ActualText", bytes)
             self.content.append({"tag": tag, "hidden": hidden, "mcid": doc.get(own, "MCID", int), "actual": None if actual is None else decode_text(actual)})
-        yield self._mark("content", operator=op, tag=tag, properties=own or None, depth=len(self.content), hidden=self.hidden)
+        yield self._mark("content", None, operator=op, tag=tag, properties=own or None, depth=len(self.content), hidden=self.hidden)

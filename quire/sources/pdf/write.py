@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from dataclasses import dataclass, field
 
 from quire.functions.filters import flate_encode
@@ -38,16 +39,16 @@ def write_file(objects: dict[int, object], trailer: dict, version: str = "1.7",
 def reachable(doc: Document) -> dict[int, object]:
     """Objects that the trailer leads to, in the order they are met."""
     out: dict[int, object] = {}
-    pending = [r for k in ("Root", "Info") for _, r in references_in(doc.trailer.get(k))]
+    pending = deque(r for k in ("Root", "Info") for _, r in references_in(doc.trailer.get(k)))
     while pending:
-        ref = pending.pop(0)
+        ref = pending.popleft()
         if ref.num in out:
             continue
         value = doc.object(ref.num, ref.gen)
         if value is None:
             continue
         out[ref.num] = value
-        pending += [r for _, r in references_in(value)]
+        pending.extend(r for _, r in references_in(value))
     return out
 
 
@@ -64,23 +65,33 @@ def with_references(v: object, change) -> object:
     return v
 
 
-def stream_key(v: Stream) -> str | None:
-    """Hash by which equal streams merge, or None for one with an identity."""
+def stream_key(v: Stream, content: str | None = None) -> str | None:
+    """Hash by which equal streams merge, or None for one with an identity; ``content`` is that of its bytes, if known."""
     if any(k in v.dict for k in IDENTITY_KEYS):
         return None
     own = {k: x for k, x in v.dict.items() if k != "Length"}
-    return hashlib.sha256(to_json(own).encode() + b"\0" + hashlib.sha256(v.raw).digest()).hexdigest()
+    return hashlib.sha256(to_json(own).encode() + b"\0" + (content or hashlib.sha256(v.raw).hexdigest()).encode()).hexdigest()
 
 
 def aliases(objects: dict[int, object]) -> dict[int, int]:
-    """Number of each repeated stream to that of the first equal one, as references settle."""
+    """Number of each repeated stream to that of the first equal one, as references settle.
+
+    Only streams whose bytes and keys have an equal are looked at again; their
+    bytes are hashed once.
+    """
+    raw = {n: hashlib.sha256(v.raw).hexdigest() for n, v in objects.items() if isinstance(v, Stream)}
+    alike: dict[tuple, list[int]] = {}
+    for num, content in raw.items():
+        alike.setdefault((content, *sorted(objects[num].dict)), []).append(num)
+    open_ = sorted((n for group in alike.values() if len(group) > 1 for n in group), key=list(objects).index) if len(alike) < len(raw) else []
     out: dict[int, int] = {}
     while True:
         first: dict[str, int] = {}
         found = dict(out)
-        for num, v in objects.items():
-            if isinstance(v, Stream) and num not in out:
-                key = stream_key(with_references(v, lambda r: Ref(out.get(r.num, r.num), r.gen)))
+        for num in open_:
+            if num not in out:
+                v = objects[num]
+                key = stream_key(Stream(with_references(v.dict, lambda r: Ref(out.get(r.num, r.num), r.gen)), b"", v.num, v.gen), raw[num])
                 if key is not None and first.setdefault(key, num) != num:
                     found[num] = first[key]
         if found == out:
@@ -146,6 +157,8 @@ def rewrite(doc: Document, edits: Edits | None = None, optimise: bool = False) -
     trailer = {k: with_references(doc.trailer[k], change) for k in ("Root", "Info", "ID") if k in doc.trailer}
     if edits:
         _edit(doc, out, trailer, edits, change)
+    if optimise:
+        balance_pages(doc, out, change)
     for v in out.values():
         if optimise and isinstance(v, Stream) and "Filter" not in v.dict and "F" not in v.dict and len(packed := flate_encode(v.raw)) < len(v.raw):
             v.raw, v.dict = packed, v.dict | {"Filter": Name("FlateDecode")}
@@ -155,6 +168,49 @@ def rewrite(doc: Document, edits: Edits | None = None, optimise: bool = False) -
     return data, report
 
 
+def balance_pages(doc: Document, out: dict[int, object], change) -> None:
+    """Puts the pages under a tree of ``DEGREE`` kids a node; inherited values go to the pages."""
+    pages = list(doc.pages())
+    refs = [change(p.ref) if p.ref else None for p in pages]
+    root = change(doc.catalog["Pages"]) if isinstance(doc.catalog.get("Pages"), Ref) else None
+    # pages shared by several places of the tree, or written inside their parent, stay as they are
+    if root is None or None in refs or len({r.num for r in refs}) != len(refs) or len(pages) <= DEGREE:
+        return
+    above: dict[int, dict] = {}
+    inner: set[int] = set()
+
+    def walk(node: object, held: dict) -> None:
+        pending = [(node, held)]
+        while pending:
+            ref, held = pending.pop()
+            own = doc.resolve(ref)
+            held = held | {k: own[k] for k in ("MediaBox", "CropBox", "Rotate", "Resources") if k in own}
+            if "Kids" in own:
+                inner.add(change(ref).num)
+                pending += [(kid, held) for kid in doc.resolve(own["Kids"])]
+            else:
+                above[ref.num] = held
+
+    walk(doc.catalog["Pages"], {})
+    keys = ("MediaBox", "CropBox", "Rotate", "Resources")
+    for p, ref in zip(pages, refs, strict=True):
+        out[ref.num] = {k: v for k, v in out[ref.num].items() if k not in keys} | with_references(above[p.ref.num], change)
+    for num in inner - {root.num}:
+        del out[num]
+    level = [(ref, 1) for ref in refs]
+    while len(level) > 1:
+        spans, top = balanced_kids(len(level))[0], len(level) <= DEGREE
+        above_level = []
+        for start, stop in spans:
+            node = root if top else Ref(max(out) + 1, 0)
+            count = sum(n for _, n in level[start:stop])
+            out[node.num] = {"Type": Name("Pages"), "Kids": [r for r, _ in level[start:stop]], "Count": count}
+            for r, _ in level[start:stop]:
+                out[r.num] = out[r.num] | {"Parent": node}
+            above_level.append((node, count))
+        level = above_level
+
+
 def _edit(doc: Document, out: dict[int, object], trailer: dict, edits: Edits, change) -> None:
     from quire.functions.filters import encode_text
 

@@ -4,13 +4,18 @@
 is read whole by one task; its rows come out in order and carry that order in
 their own columns. With ``mode="PERMISSIVE"`` repairs are made and told in the
 ``diagnostics`` table, and a document that cannot be read at all gives one
-diagnostic and no other rows; ``mode="FAILFAST"`` raises.
+diagnostic and no other rows; ``mode="FAILFAST"`` raises. ``scan`` gives one
+table; ``scan_together`` reads and parses every document once for several, and
+runs a page's content once for all kinds of marks. Arrow batches are cut by rows
+and by bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +23,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.filters import FilterError, decode_text
+from quire.plans.session import cut_lineage
 from quire.sources.pdf.document import Document, operators
 from quire.sources.pdf.interpret import Interpreter
 from quire.sources.pdf.objects import Name, PdfError, Ref, Stream, references_in, to_json
 
 #: Rows put into one Arrow batch.
 BATCH_ROWS = 4096
+#: Bytes of values after which a batch is cut; a single row may be larger.
+BATCH_BYTES = 16 << 20
 FAULTS = (PdfError, FilterError, KeyError, TypeError, IndexError, ValueError, RecursionError, AttributeError)
 
 
+class CustomMap(dict):
+    """A value of a map column."""
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length, content and doc_id (a hash of the path) of every file under ``path``."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -39,7 +51,7 @@ def _documents(doc: Document) -> Iterator[tuple]:
     s = doc.security
     yield (
         len(doc.data), doc.version, s is not None, s.r if s else None, s.permissions if s else None, s.owner if s else None,
-        *(info.get(k) for k in standard), {k: v for k, v in info.items() if k not in standard} or None, to_json(doc.trailer), sum(1 for _ in doc.pages()),
+        *(info.get(k) for k in standard), CustomMap({k: v for k, v in info.items() if k not in standard}) or None, to_json(doc.trailer), sum(1 for _ in doc.pages()),
     )
 
 
@@ -92,26 +104,42 @@ def _operations(doc: Document) -> Iterator[tuple]:
             yield p.index, i, op, to_json(args), at
 
 
-def _marks(kind: str, row: Callable) -> Callable[[Document], Iterator[tuple]]:
-    def scan(doc: Document) -> Iterator[tuple]:
-        for p in doc.pages():
-            for found, m in Interpreter(doc, p).run():
-                if found == kind:
-                    yield p.index, m["ord"], *row(m)
+@dataclass(frozen=True)
+class Marks:
+    """Rows of a table of marks: what one mark of ``kind`` gives after page and order."""
 
-    return scan
+    kind: str
+    rows: Callable[[dict], Iterator[tuple]]
+
+    def __call__(self, doc: Document) -> Iterator[tuple]:
+        for _, row in marks_of(doc, {"": self}):
+            yield row
+
+
+def marks_of(doc: Document, wanted: dict[str, Marks]) -> Iterator[tuple[str, tuple]]:
+    """(table, row) of all wanted tables of marks, running every page once."""
+    kinds = frozenset(m.kind for m in wanted.values())
+    for p in doc.pages():
+        for kind, mark in Interpreter(doc, p, kinds).run():
+            for name, table in wanted.items():
+                if table.kind == kind:
+                    for row in table.rows(mark):
+                        yield name, (p.index, mark["ord"], *row)
+
+
+def _marks(kind: str, row: Callable[[dict], tuple]) -> Marks:
+    return Marks(kind, lambda m: iter((row(m),)))
 
 
 def _style(m: dict) -> str:
     return to_json(m["style"])
 
 
-def _glyphs(doc: Document) -> Iterator[tuple]:
-    for p in doc.pages():
-        for kind, m in Interpreter(doc, p).run():
-            if kind == "text":
-                for i, g in enumerate(m["glyphs"]):
-                    yield p.index, m["ord"], i, g["code"], g["text"], g["cid"], g["width"], g["x"], g["y"], g["word_space"]
+def _segments(m: dict) -> list[dict]:
+    return [{"op": o, "points": list(q)} for o, q in m["segments"]]
+
+
+_glyphs = Marks("text", lambda m: ((i, g["code"], g["text"], g["cid"], g["gid"], g["width"], g["x"], g["y"], g["word_space"]) for i, g in enumerate(m["glyphs"])))
 
 
 def _outlines(doc: Document) -> Iterator[tuple]:
@@ -203,6 +231,17 @@ def _image_files(doc: Document) -> Iterator[tuple]:
                 doc.fault(f"image {num}: {e}")
 
 
+def _metadata(doc: Document) -> Iterator[tuple]:
+    if (data := doc.metadata()) is not None:
+        yield data, hashlib.sha256(data).hexdigest()
+
+
+def _number_tree(doc: Document) -> Iterator[tuple]:
+    for tree, root in (("PageLabels", doc.catalog.get("PageLabels")), ("ParentTree", doc.get(doc.get(doc.catalog, "StructTreeRoot", dict, {}), "ParentTree", dict))):
+        for i, (key, value) in enumerate(doc.number_tree(root)):
+            yield tree, i, key, to_json(value)
+
+
 def _structure_attributes(doc: Document) -> Iterator[tuple]:
     """Attributes of the classes first, then the element's own, without merging."""
     classes = doc.get(doc.get(doc.catalog, "StructTreeRoot", dict, {}), "ClassMap", dict, {})
@@ -262,15 +301,22 @@ TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
     "pages": ("page_index int, num long, media_box array<double>, crop_box array<double>, rotation int, user_unit double, struct_parents long", _pages),
     "operations": ("page_index int, ord int, operator string, operands_json string, offset long", _operations),
     "text_marks": (f"page_index int, ord int, text string, font_num long, font string, {_MATRIX}, size double, h_scale double, mode int, replacement string, mcid long, style_json string", _marks("text", lambda m: ("".join(g["text"] for g in m["glyphs"]), m["font_num"], m["font"], m["matrix"], m["size"], m["h_scale"], m["mode"], m["replacement"], m["mcid"], _style(m)))),
-    "glyphs": ("page_index int, ord int, i int, code long, text string, cid int, width double, x double, y double, word_space boolean", _glyphs),
-    "path_marks": ("page_index int, ord int, segments array<struct<op:string,points:array<double>>>, even_odd boolean, fill boolean, stroke boolean, mcid long, style_json string", _marks("path", lambda m: ([{"op": o, "points": list(q)} for o, q in m["segments"]], m["even_odd"], m["fill"], m["stroke"], m["mcid"], _style(m)))),
-    "image_marks": (f"page_index int, ord int, image_num long, {_MATRIX}, width long, height long, mcid long, style_json string", _marks("image", lambda m: (m["num"], m["matrix"], m["width"], m["height"], m["mcid"], _style(m)))),
-    "group_marks": (f"page_index int, ord int, form_num long, {_MATRIX}, style_json string", _marks("group", lambda m: (m["num"], m["matrix"], _style(m)))),
+    "glyphs": ("page_index int, ord int, i int, code long, text string, cid int, gid int, width double, x double, y double, word_space boolean", _glyphs),
+    "path_marks": ("page_index int, ord int, segments array<struct<op:string,points:array<double>>>, even_odd boolean, fill boolean, stroke boolean, mcid long, style_json string, fill_rgb array<double>, stroke_rgb array<double>, clips array<int>", _marks("path", lambda m: (_segments(m), m["even_odd"], m["fill"], m["stroke"], m["mcid"], _style(m), m["fill_rgb"], m["stroke_rgb"], m["clips"]))),
+    "clip_paths": ("page_index int, ord int, segments array<struct<op:string,points:array<double>>>, even_odd boolean, text_ords array<int>, clips array<int>", _marks("clip", lambda m: (_segments(m), m["even_odd"], m["text_ords"], m["clips"]))),
+    "shading_marks": (f"page_index int, ord int, num long, type int, color_space string, {_MATRIX}, coords array<double>, domain array<double>, extend array<boolean>, bbox array<double>, background array<double>, colors array<array<double>>, vertices array<array<double>>", _marks("shading", lambda m: (m["num"], m["kind"], m["space"], m["matrix"], m["coords"], m["domain"], m["extend"], m["bbox"], m["background"], m["colors"], m["vertices"]))),
+    "pattern_marks": (f"page_index int, ord int, num long, type int, fill boolean, paint_type int, {_MATRIX}, bbox array<double>, x_step double, y_step double, colors array<double>", _marks("pattern", lambda m: (m["num"], m["kind"], m["fill"], m["paint_type"], m["matrix"], m["bbox"], m["x_step"], m["y_step"], m["colors"]))),
+    "image_marks": (f"page_index int, ord int, image_num long, {_MATRIX}, width long, height long, mcid long, style_json string, clips array<int>", _marks("image", lambda m: (m["num"], m["matrix"], m["width"], m["height"], m["mcid"], _style(m), m["clips"]))),
+    "group_marks": (f"page_index int, ord int, form_num long, kind string, {_MATRIX}, style_json string", _marks("group", lambda m: (m["num"], m["group"], m["matrix"], _style(m)))),
     "marked_content": ("page_index int, ord int, operator string, tag string, properties_json string, depth int, hidden boolean", _marks("content", lambda m: (m["operator"], m["tag"], None if m["properties"] is None else to_json(m["properties"]), m["depth"], m["hidden"]))),
     "outlines": ("ord int, level int, title string, expanded boolean, bold boolean, italic boolean, color array<double>, destination_json string", _outlines),
     "name_tree": ("tree string, ord int, key binary, value_json string", _tree(("Dests", "EmbeddedFiles", "JavaScript", "AP", "Pages", "Templates", "IDS", "URLS", "Renditions"))),
     "page_label_ranges": ("start long, style string, prefix string, first long", _labels),
     "structure_items": ("ord int, level int, type string, tag string, num long, parent_num long, page_num long, mcid long", _structure),
+    "number_tree": ("tree string, ord int, key long, value_json string", _number_tree),
+    "metadata": ("data binary, sha256 string", _metadata),
+    "output_intents": ("subtype string, condition string, identifier string, registry string, info string, profile_num long, components int", lambda doc: (tuple(v.values()) for v in doc.output_intents())),
+    "structure_ids": ("id binary, element_num long", lambda doc: doc.structure_ids()),
     "structure_parents": ("key long, mcid long, element_num long", lambda doc: doc.structure_parents()),
     "annotations": ("page_index int, index int, num long, subtype string, rect array<double>, flags long, contents string, dict_json string", _annotations),
     "actions": ("source string, ord int, type string, uri string, dict_json string", _actions),
@@ -286,48 +332,98 @@ TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
 }
 
 
-def scan(files: DataFrame, table: str, mode: str = "PERMISSIVE", password: str = "") -> DataFrame:
-    """One of ``TABLES``, or ``diagnostics`` (page, offset, message), over all files."""
+DIAGNOSTICS = "page int, offset long, message string"
+
+
+def _columns(table: str) -> str:
+    if table != "diagnostics" and table not in TABLES:
+        raise ValueError(f"no table {table}; there are diagnostics, {', '.join(TABLES)}")
+    return DIAGNOSTICS if table == "diagnostics" else TABLES[table][0]
+
+
+def rows_of(doc: Document, tables: list[str]) -> Iterator[tuple[str, tuple]]:
+    """(table, row) of a document; diagnostics come last and tell of every table."""
+    told = "diagnostics" in tables
+    wanted = list(TABLES) if told else tables
+    out = lambda name: not told or name in tables
+    try:
+        marks = {t: TABLES[t][1] for t in wanted if isinstance(TABLES[t][1], Marks)}
+        for name in wanted:
+            if name not in marks:
+                for row in TABLES[name][1](doc):
+                    if out(name):
+                        yield name, row
+        if marks:
+            for name, row in marks_of(doc, marks):
+                if out(name):
+                    yield name, row
+    except FAULTS as e:
+        if not told:
+            raise
+        doc.note(str(e) or type(e).__name__, getattr(e, "offset", -1))
+    if told:
+        for note in dict.fromkeys(doc.notes):
+            yield "diagnostics", note
+
+
+def _size(v: object) -> int:
+    """About how many bytes a value takes."""
+    if isinstance(v, (bytes, str)):
+        return len(v)
+    return 8 + sum(map(_size, v)) if isinstance(v, (list, tuple)) else 8
+
+
+def _read(files: DataFrame, tables: list[str], ddl: str, row_of: Callable[[str, tuple], tuple], mode: str, password: str) -> DataFrame:
     lenient = mode.upper() == "PERMISSIVE"
-    columns, rows = TABLES.get(table) or ("page int, offset long, message string", _everything)
-    spark, id_type = files.sparkSession, files.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {id_type}, {columns}"
-    schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
+    schema = to_arrow_schema(files.sparkSession.createDataFrame([], ddl).schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        out, size = [], 0
         for batch in batches:
             for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    doc = Document(content.as_py() or b"", password, lenient)
-                    for row in rows(doc):
-                        out.append((doc_id.as_py(), *row))
-                        if len(out) >= BATCH_ROWS:
+                    for name, row in rows_of(Document(content.as_py() or b"", password, lenient), tables):
+                        out.append((doc_id.as_py(), *row_of(name, row)))
+                        size += _size(row)
+                        if len(out) >= BATCH_ROWS or size >= BATCH_BYTES:
                             yield _batch(out, schema)
-                            out = []
+                            out, size = [], 0
                 except FAULTS as e:
                     if not lenient:
                         raise
-                    if table == "diagnostics":
-                        out.append((doc_id.as_py(), -1, getattr(e, "offset", -1), str(e) or type(e).__name__))
+                    if "diagnostics" in tables:
+                        out.append((doc_id.as_py(), *row_of("diagnostics", (-1, getattr(e, "offset", -1), str(e) or type(e).__name__))))
         if out:
             yield _batch(out, schema)
 
     return files.select("doc_id", "content").mapInArrow(read, ddl)
 
 
-def _everything(doc: Document) -> Iterator[tuple]:
-    """Reads all tables for what there is to tell about them."""
-    fault = None
-    try:
-        for _, rows in TABLES.values():
-            for _ in rows(doc):
-                pass
-    except FAULTS as e:
-        fault = (-1, getattr(e, "offset", -1), str(e) or type(e).__name__)
-    yield from dict.fromkeys(doc.notes)
-    if fault:
-        yield fault
+def scan(files: DataFrame, table: str, mode: str = "PERMISSIVE", password: str = "") -> DataFrame:
+    """One of ``TABLES``, or ``diagnostics`` (page, offset, message), over all files."""
+    ddl = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {_columns(table)}"
+    return _read(files, [table], ddl, lambda _, row: row, mode, password)
+
+
+def scan_together(files: DataFrame, tables: list[str], mode: str = "PERMISSIVE", password: str = "") -> dict[str, DataFrame]:
+    """Several tables from one reading of the files, each document parsed and each page run once.
+
+    The rows of all tables are written to the checkpoint folder together, each in
+    the column of its table; a table is then a filter and a projection.
+    """
+    ddl = f"doc_id {files.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{t}` struct<{_struct(_columns(t))}>" for t in tables)
+    names = {t: [f.name for f in files.sparkSession.createDataFrame([], _columns(t)).schema] for t in tables}
+
+    def row_of(name: str, row: tuple) -> tuple:
+        return tuple(dict(zip(names[name], map(_arrow, row), strict=True)) if t == name else None for t in tables)
+
+    held = cut_lineage(_read(files, tables, ddl, row_of, mode, password))
+    return {t: held.where(F.col(t).isNotNull()).select("doc_id", f"{t}.*") for t in tables}
+
+
+def _struct(columns: str) -> str:
+    """``a int, b string`` as the members of a struct."""
+    return re.sub(r"(^|, )(\w+) ", r"\1`\2`: ", columns)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -335,7 +431,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _arrow(v: object) -> object:
-    return str(v) if isinstance(v, Name) else list(v.items()) if isinstance(v, dict) and "op" not in v else v
+    return str(v) if isinstance(v, Name) else list(v.items()) if isinstance(v, CustomMap) else v
 
 
 def from_text(docs: DataFrame, lines_per_page: int = 60) -> DataFrame:

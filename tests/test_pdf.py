@@ -183,7 +183,10 @@ def test_trees():
     assert [e["file_name"] for e in doc.embedded_files()] == ["f.txt"]
     assert [(s["type"], s["level"], s["mcid"], s["page"]) for s in doc.structure()] == [("P", 0, None, 3), ("MCID", 1, 0, 3), ("Span", 1, None, 3), ("MCR", 2, 2, 3)]
     assert list(doc.structure_parents()) == [(0, 0, 11), (0, 2, 12), (1, -1, 12)]
-    assert resolve_role("X", {"X": "Y", "Y": "X"}) == "X"
+    roles = {"X": "Y", "Y": "X", "My": "Other", "Other": "P"}
+    assert resolve_role("X", roles) is None and resolve_role("My", roles) == "P" and resolve_role("H", roles) == "H"
+    # a mapped role is mapped before it is looked at
+    assert resolve_role("My", roles, {"My", "Other"}.__contains__) == "Other" and resolve_role("My", roles, {"My"}.__contains__) is None and resolve_role("X", roles, {"X"}.__contains__) == "X"
 
 
 def test_annotations_fields_and_actions():
@@ -378,3 +381,108 @@ def test_screens_and_transfers():
     assert screens.apply_transfer([0.5], "DeviceGray", functions) == [0.25]
     assert screens.apply_transfer([0.5, 0.5, 0.5, 0.5], "DeviceCMYK", functions, "DeviceGray") == [0.5, 0.5, 0.5, 0.75]
     assert screens.apply_transfer([0.5] * 3, "DeviceRGB", functions) == [0.25] * 3
+
+
+def test_graphics_states_colours_and_clips():
+    tint = {"FunctionType": 2, "N": 1, "Domain": [0, 1], "C0": [0, 0, 0, 0], "C1": [0, 1, 0, 0]}
+    resources = {
+        "ColorSpace": {"S": [Name("Separation"), Name("Spot"), Name("DeviceCMYK"), tint], "N": [Name("Separation"), Name("None"), Name("DeviceGray"), tint | {"C0": [0], "C1": [1]}], "I": [Name("Indexed"), Name("DeviceRGB"), 1, b"\xff\0\0\0\xff\0"]},
+        "ExtGState": {"G": {"Type": Name("ExtGState"), "LW": 2, "D": [[3, 1], 0], "FL": 5, "RI": Name("Perceptual"), "SA": True, "OP": True, "OPM": 1, "SM": 0.5, "TK": False, "AIS": True, "TR": Name("Identity"), "TR2": Name("Default"), "SMask": {"S": Name("Alpha"), "G": Ref(6, 0)}, "AAPL:AA": False}},
+    }
+    content = b"/G gs /S cs 0.5 scn 0 0 5 5 re W n 1 1 m 2 2 l S 0 0 1 1 re f /N cs 1 scn 0 0 1 1 re f /I cs 1 sc 0 0 1 1 re f [] 0 d /Saturation ri 7 i 0 0 1 rg 0 0 m 1 1 l B*"
+    doc = Document(page_file(content, resources, {6: Stream({"Subtype": Name("Form")}, b"")}))
+    (clip,) = marks(doc, "clip")
+    line, tinted, indexed, last = marks(doc, "path")
+    assert line["clips"] == [clip["ord"]] and clip["segments"][0][0] == "M" and not clip["even_odd"]
+    s = line["style"]
+    assert (s["line_width"], s["dash"], s["flatness"], s["intent"], s["stroke_adjust"], s["overprint_fill"], s["overprint_stroke"], s["overprint_mode"], s["smoothness"], s["text_knockout"], s["alpha_is_shape"]) == (2, [[3.0, 1.0], 0.0], 5, "Perceptual", True, True, True, 1, 0.5, False, True)
+    assert s["transfer"] == "Default" and s["soft_mask"] == {"kind": "Alpha", "group": 6} and s["antialias"] is False
+    assert tinted["fill_rgb"] == [1, 0.5, 1] and tinted["style"]["fill_space"] == "Separation"
+    assert indexed["fill_rgb"] == [0, 1, 0]  # the separation named None paints nothing
+    assert last["fill_rgb"] == [0, 0, 1] and last["style"]["dash"] == [[], 0.0] and last["style"]["intent"] == "Saturation" and last["style"]["flatness"] == 7 and "fill_space" not in last["style"]
+    for bad in (b"[0 0] 0 d", b"/Odd ri", b"/Nope cs"):
+        with pytest.raises(PdfError):
+            marks(Document(page_file(bad, resources)))
+
+
+def test_text_clips_type3_patterns_and_shadings():
+    glyph = Stream({}, b"500 0 0 0 400 400 d1 1 0 0 rg 0 0 400 400 re f")
+    font = {"Type": Name("Font"), "Subtype": Name("Type3"), "FontMatrix": [0.001, 0, 0, 0.001, 0, 0], "CharProcs": {"sq": Ref(7, 0)}, "Encoding": {"Differences": [97, Name("sq")]}, "FirstChar": 97, "Widths": [500]}
+    ramp = {"FunctionType": 2, "N": 1, "Domain": [0, 1], "C0": [0, 0, 0], "C1": [1, 0.5, 0]}
+    axial = {"ShadingType": 2, "ColorSpace": Name("DeviceRGB"), "Coords": [0, 0, 9, 0], "Function": ramp, "Extend": [True, False]}
+    mesh = Stream({"ShadingType": 4, "ColorSpace": Name("DeviceGray"), "BitsPerFlag": 8, "BitsPerCoordinate": 8, "BitsPerComponent": 8, "Decode": [0, 255, 0, 255, 0, 1]}, bytes([0, 10, 20, 255, 1, 30, 40, 0]))
+    tiling = Stream({"PatternType": 1, "PaintType": 2, "BBox": [0, 0, 4, 4], "XStep": 5, "YStep": 6}, b"0 0 4 4 re f")
+    resources = {"Font": {"F": Ref(5, 0), "T": Ref(6, 0)}, "Shading": {"A": axial, "M": Ref(8, 0)}, "Pattern": {"P": Ref(9, 0), "Q": {"PatternType": 2, "Shading": axial, "Matrix": [2, 0, 0, 2, 0, 0]}}, "ColorSpace": {"U": [Name("Pattern"), Name("DeviceGray")]}}
+    content = b"BT 7 Tr /F 10 Tf (x) Tj ET 0 1 0 rg BT 0 Tr /T 10 Tf 3 4 Td (aa) Tj ET /A sh /M sh /U cs 0.25 /P scn 0 0 1 1 re f /Pattern cs /Q scn"
+    doc = Document(page_file(content, resources, {6: font, 7: glyph, 8: mesh, 9: tiling}))
+    first, second = marks(doc)
+    (clip,) = marks(doc, "clip")
+    assert clip["text_ords"] == [first["ord"]] and second["clips"] == [clip["ord"]]
+    squares = [m for m in marks(doc, "path") if m["segments"]][:2]
+    assert [m["segments"][0][1] for m in squares] == [[3, 4], [8, 4]] and [m["fill_rgb"] for m in squares] == [[0, 1, 0]] * 2  # d1 keeps the text's colour
+    axials = [m for m in marks(doc, "shading") if m["kind"] == 2]
+    assert axials[0]["colors"] == [[0, 0, 0], [0.25, 0.125, 0], [0.5, 0.25, 0], [0.75, 0.375, 0], [1, 0.5, 0]] and axials[0]["extend"] == [True, False] and axials[1]["matrix"] == [2, 0, 0, 2, 0, 0]
+    (vertices,) = [m["vertices"] for m in marks(doc, "shading") if m["kind"] == 4]
+    assert vertices == [[0, 10, 20, 1], [1, 30, 40, 0]]
+    tile, _ = marks(doc, "pattern")
+    assert (tile["kind"], tile["paint_type"], tile["bbox"], tile["x_step"], tile["y_step"], tile["colors"]) == (1, 2, [0, 0, 4, 4], 5, 6, [0.25])
+    kinds = [k for p in doc.pages() for k, _ in Interpreter(doc, p, frozenset(["path"])).run()]
+    assert set(kinds) == {"path"} and [m["ord"] for p in doc.pages() for k, m in Interpreter(doc, p, frozenset(["path", "text"])).run()] == sorted(m["ord"] for p in doc.pages() for k, m in Interpreter(doc, p).run() if k in ("path", "text"))
+
+
+def test_functions_and_spaces():
+    from quire.sources.pdf.color import Space, read_function
+
+    doc = Document(page_file(b""))
+    square = Stream({"FunctionType": 0, "Domain": [0, 1, 0, 1], "Range": [0, 1], "Size": [2, 2], "BitsPerSample": 8}, bytes([0, 255, 255, 0]))
+    f = read_function(doc, square)
+    assert f([0, 0]) == [0] and f([1, 0]) == [1] and f([0.5, 0.5]) == [0.5] and f([0.25, 0]) == [0.25]
+    four = Stream({"FunctionType": 4, "Domain": [0, 1], "Range": [0, 1, 0, 1]}, b"{ dup 1 exch sub }")
+    joined = read_function(doc, {"FunctionType": 3, "Domain": [0, 1], "Bounds": [0.5], "Encode": [0, 1, 1, 0], "Functions": [{"FunctionType": 2, "N": 1}] * 2})
+    assert read_function(doc, four)([0.25]) == [0.25, 0.75] and [joined([x])[0] for x in (0, 0.25, 0.75, 1)] == [0, 0.5, 0.5, 0]
+    assert Space(doc, [Name("DeviceN"), [Name("A"), Name("B")], Name("DeviceRGB"), Stream({"FunctionType": 4, "Domain": [0, 1, 0, 1], "Range": [0, 1, 0, 1, 0, 1]}, b"{ 0 }")]).rgb([0.25, 0.5]) == [0.25, 0.5, 0]
+    icc = Space(doc, [Name("ICCBased"), Stream({"N": 4}, b"")])
+    assert icc.first == [0, 0, 0, 1] and icc.rgb([0, 1, 0, 0]) == [1, 0, 1]
+    for bad in (Name("Nope"), [Name("ICCBased"), Stream({"N": 2}, b"")]):
+        with pytest.raises(PdfError):
+            Space(doc, bad)
+
+
+def test_widths_of_standard_faces():
+    doc = Document(page_file(b""))
+    width = lambda name, text: [round(g.width * 1000) for g in Font(doc, {"Subtype": Name("Type1"), "BaseFont": Name(name), "Encoding": Name("WinAnsiEncoding")}).decode(text)]
+    assert width("Times-Roman", b"i\xe9") == [278, 444] and width("Helvetica-Bold", b"a") == [556] and width("ABCDEF+TimesNewRoman,BoldItalic", b"A") == [667] and width("Courier-Bold", b"m") == [600]
+    standard = Font(doc, {"Subtype": Name("Type1"), "BaseFont": Name("Helvetica")})
+    assert [round(g.width * 1000) for g in standard.decode(b"'`")] == [222, 222]
+    with pytest.raises(PdfError):
+        width("Unheard-Of", b"a")
+    with pytest.raises(PdfError):
+        Font(doc, {"Subtype": Name("Type0"), "Encoding": Name("90ms-RKSJ-H"), "DescendantFonts": [{}]})
+
+
+def test_recovery_reads_the_whole_file_and_no_trailer_in_streams():
+    body = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3, 0)]}, 3: {"Type": Name("Page"), "MediaBox": [0, 0, 1, 1]}, 4: Stream({}, b"trailer << /Root 9 0 R >>")}
+    data = write_file(body, {"Root": Ref(1, 0)})
+    far = data[: data.index(b"3 0 obj")] + b"%" + b" " * (65 << 20) + b"\n" + data[data.index(b"3 0 obj") : data.rindex(b"startxref")]
+    doc = Document(far, lenient=True)
+    assert len(list(doc.pages())) == 1 and doc.trailer["Root"] == Ref(1, 0)
+
+
+def test_optimised_pages_are_balanced():
+    data = text_document([[str(i)] for i in range(200)])
+    out, _ = rewrite(Document(data), optimise=True)
+    doc = Document(out)
+    assert shown(doc) == [str(i) for i in range(200)] and [p.media_box for p in doc.pages()] == [[0, 0, 595, 842]] * 200
+    root = doc.object(doc.catalog["Pages"].num)
+    assert root["Count"] == 200 and [doc.object(k.num)["Count"] for k in root["Kids"]] == [64, 64, 64, 8]
+
+
+def test_document_level_tables():
+    extra = {
+        1: {"Metadata": Ref(6, 0), "OutputIntents": [{"S": Name("GTS_PDFX"), "OutputConditionIdentifier": b"CGATS", "DestOutputProfile": Ref(7, 0)}], "StructTreeRoot": {"IDTree": {"Names": [b"a", Ref(3, 0)]}}},
+        6: Stream({"Type": Name("Metadata")}, b"<x/>"), 7: Stream({"N": 4}, b"icc"),
+    }
+    doc = Document(page_file(b"", extra=extra))
+    (intent,) = doc.output_intents()
+    assert doc.metadata() == b"<x/>" and (intent["subtype"], intent["identifier"], intent["profile"], intent["components"], intent["info"]) == ("GTS_PDFX", "CGATS", 7, 4, None)
+    assert list(doc.structure_ids()) == [(b"a", 3)]
