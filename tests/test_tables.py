@@ -90,7 +90,13 @@ def test_ranges_and_chains(spark):
     assert got == {(1, 0): "i", (1, 4): "i", (1, 5): "ii", (1, 99): "ii", (2, 1): None, (2, 3): "x"}
     items = spark.createDataFrame([(1, "a"), (2, "x"), (3, "q")], "id int, role string")
     mapping = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "f string, t string")
-    assert dict(R.resolved_chain(items, "id", "role", mapping, "f", "t").collect()) == {1: "c", 2: "x", 3: "q"}
+    assert dict(R.resolved_chain(items, "id", "role", mapping, "f", "t").collect()) == {1: "c", 2: None, 3: "q"}
+    accepted = F.col("value").isin("b", "x", "q")
+    assert dict(R.resolved_chain(items, "id", "role", mapping, "f", "t", accepted).collect()) == {1: "b", 2: "x", 3: "q"}
+    assert dict(R.resolved_chain(items, "id", "role", mapping, "f", "t", F.col("value") == "a").collect()) == {1: None, 2: None, 3: None}
+    long = spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(300)], "f string, t string")
+    ends = spark.createDataFrame([(0, "r0"), (1, "r299"), (2, "r300")], "id int, role string")
+    assert dict(R.resolved_chain(ends, "id", "role", long, "f", "t").collect()) == {0: "r300", 1: "r300", 2: "r300"}
 
 
 def test_visibility_and_links(spark):
@@ -103,7 +109,7 @@ def test_visibility_and_links(spark):
 def test_queries_equal_their_oracles(spark):
     import duckdb
 
-    from quire.queries import ORACLES, QUERIES
+    from quire.document_queries import ORACLES, QUERIES
 
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations"):
@@ -118,6 +124,36 @@ def test_queries_equal_their_oracles(spark):
         assert got == sorted(str([plain(v) for v in r]) for r in found), name
 
 
+def test_tables_scanned_together_equal_single_scans(spark):
+    from quire.sources.samples import sample_documents
+    from quire.sources.tables import TABLES, scan, scan_together
+
+    files = sample_documents(spark.createDataFrame([(i, f"n{i}") for i in range(4)], "doc_id long, name string"), "structured").unionByName(
+        sample_documents(spark.createDataFrame([(10, "g"), (11, "h")], "doc_id long, name string"), "graphic")
+    )
+    held = scan_together(files, list(TABLES) + ["diagnostics"])
+    for t in ("documents", "pages", "text_marks", "path_marks", "glyphs", "fields", "output_intents", "diagnostics", "marked_content"):
+        assert sorted(map(str, held[t].collect())) == sorted(map(str, scan(files, t).collect())), t
+    with pytest.raises(ValueError):
+        scan(files, "no such table")
+
+
+def test_calculator_columns_equal_the_evaluator(spark):
+    import random
+
+    from quire.functions import calculator
+
+    rng = random.Random(4)
+    texts = ["{ sqrt exch abs add }", "{ cvi exch cvi 2 copy idiv 3 1 roll mod add }", "{ mul neg round }", "{ 2 copy gt { exch } if pop ceiling }", "{ atan }", "{ exch truncate exch floor sub }", "{ cvi 5 bitshift exch cvi -1 bitshift xor }", "{ div }", "{ cvi exch cvi and not }", "{ 1.5 exp exch pop }"]
+    rows = [(rng.uniform(0.5, 90), rng.uniform(0.5, 90)) for _ in range(40)]
+    frame = spark.createDataFrame(rows, "a double, b double")
+    for text in texts:
+        program = calculator.parse(text)
+        got = frame.select("a", "b", *[c.alias(f"r{i}") for i, c in enumerate(calculator.compile_columns(program, [F.col("a"), F.col("b")]))]).collect()
+        for r in got:
+            assert list(r[2:]) == pytest.approx(calculator.evaluate(program, [r["a"], r["b"]]), rel=1e-6, abs=1e-6), text
+
+
 def test_lines_of_all_texts(spark, tmp_path):
     import duckdb
 
