@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import calculator, labels
 from quire.operators import relations as R
-from quire.plans.session import spread
+from quire.plans.session import cut_lineage, spread
 from quire.queries import ORACLES, QUERIES, query, r6, table
 from quire.sources.pdf import fonts
 from quire.sources.samples import sample_documents
@@ -288,6 +288,128 @@ def sample_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(held["text_marks"].join(sums, ["doc_id", "ord"]), "font", "advance")
 
 
+@query("""WITH a(i, subtype, standard, stream) AS (VALUES (0, 'Text', true, true), (1, 'Own', false, false), (2, 'Square', true, false), (3, 'Link', true, true), (4, 'Widget', true, true))
+SELECT s_suppkey, i::INT AS index, subtype, standard, CASE i WHEN 1 THEN s_suppkey % 2 = 0 WHEN 2 THEN false WHEN 3 THEN s_suppkey % 3 <> 0 ELSE true END AS drawn,
+  CASE i WHEN 4 THEN CASE s_suppkey % 2 WHEN 1 THEN 'On' ELSE 'Off' END END AS state, CASE i WHEN 0 THEN 20 WHEN 3 THEN 21 WHEN 4 THEN 21 - s_suppkey % 2 END::BIGINT AS stream_num,
+  CASE i WHEN 0 THEN round((20 + s_suppkey % 10) / 20.0::DOUBLE, 6) WHEN 3 THEN 1.0 WHEN 4 THEN 2.0 END AS x_scale, CASE i WHEN 0 THEN round(100 + (20 + s_suppkey % 10)::DOUBLE, 6) WHEN 3 THEN 20.0 WHEN 4 THEN 40.0 END AS x_move FROM supplier, a""")
+def sample_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which annotations are drawn, and where their stored appearances, turned by 90 degrees, are put."""
+    held = scan_together(_samples(spark, sf_dir, "annotated"), ["annotations", "appearances", "objects"], "FAILFAST")
+    looks = held["appearances"].select("doc_id", "index", "state", "stream_num", "matrix", "visible")
+    known = held["annotations"].join(looks, ["doc_id", "index"], "left")
+    drawn = R.annotation_drawn(F.col("subtype"), F.col("flags"), F.col("rect"), F.coalesce("visible", F.lit(True)))
+    at = lambda i: r6(F.get("matrix", F.lit(i)))
+    return _told(known, "index", "subtype", R.is_standard(F.col("subtype")).alias("standard"), drawn.alias("drawn"), "state", "stream_num", at(0).alias("x_scale"), at(4).alias("x_move"))
+
+
+@query("""WITH f AS (SELECT unnest(['Helvetica', 'Helvetica-Bold', 'Times-Roman', 'Times-Bold', 'Times-Italic', 'Times-BoldItalic', 'Courier']) AS font), c AS (SELECT s_suppkey, ord(unnest(string_split(s_name, ''))) AS c FROM supplier)
+SELECT s_suppkey, font, list_aggregate(list_sort(list(DISTINCT c)), 'string_agg', ' ') AS codes FROM c, f GROUP BY s_suppkey, font""")
+def sample_glyph_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct codes that each font of a document shows, in order."""
+    held = scan_together(_samples(spark, sf_dir, "faced"), ["text_marks", "glyphs"], "FAILFAST")
+    used = held["glyphs"].join(held["text_marks"].select("doc_id", "page_index", "ord", "font"), ["doc_id", "page_index", "ord"])
+    return _told(used.groupBy("doc_id", "font").agg(F.array_join(F.transform(F.array_sort(F.collect_set("code")), lambda c: c.cast("string")), " ").alias("codes")), "font", "codes")
+
+
+@query("SELECT s_suppkey, 8::BIGINT AS n_objects, 1::BIGINT AS n_joined, 1::BIGINT AS depth FROM supplier")
+def sample_text_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text objects numbered by a running sum, places where one could be joined to the next by a look ahead, and the depth of marked content."""
+    ops = scan(_samples(spark, sf_dir, "typeset"), "operations", "FAILFAST")
+    order = Window.partitionBy("doc_id", "page_index").orderBy("ord")
+    ahead = lambda n: F.lead("operator", n).over(order)
+    nth = F.sum((F.col("operator") == "BT").cast("long")).over(order)
+    depth = F.sum(F.when(F.col("operator").isin("BMC", "BDC"), 1).when(F.col("operator") == "EMC", -1).otherwise(0)).over(order)
+    joined = ((F.col("operator") == "ET") & (ahead(1) == "BT") & (ahead(2) == "Tm")).cast("long")
+    seen = ops.withColumns({"nth": nth, "joined": joined, "depth": depth})
+    return _told(seen.groupBy("doc_id").agg(F.max("nth").alias("n_objects"), F.sum("joined").alias("n_joined"), F.max("depth").alias("depth")), "n_objects", "n_joined", "depth")
+
+
+@query(_PAGES + "SELECT k AS s_suppkey, 0::BIGINT AS n_wrong, n + CASE WHEN n > 2 THEN 2 ELSE 1 END AS n_keys, n AS n_matching FROM d")
+def sample_trees_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number trees whose keys rise, and structure identifiers that their elements bear."""
+    held = scan_together(_samples(spark, sf_dir, "structured"), ["number_tree", "structure_ids", "objects"], "FAILFAST")
+    keys = held["number_tree"].groupBy("doc_id").agg(F.count("*").alias("n_keys"))
+    wrong = R.out_of_order(held["number_tree"], ["doc_id", "tree"], "ord", "key").groupBy("doc_id").agg(F.count("*").alias("n_wrong"))
+    own = held["objects"].where("type = 'StructElem'").select("doc_id", F.col("num").alias("element_num"), F.unhex(_json("$.ID.$s", "value_json")).alias("own"))
+    same = held["structure_ids"].join(own, ["doc_id", "element_num"]).where(F.col("id") == F.col("own")).groupBy("doc_id").agg(F.count("*").alias("n_matching"))
+    return _told(keys.join(wrong, "doc_id", "left").join(same, "doc_id"), F.coalesce("n_wrong", F.lit(0).cast("long")).alias("n_wrong"), "n_keys", "n_matching")
+
+
+@query(_PAGES + "SELECT k AS s_suppkey, i::INT AS page_index, (90 * (i // 2))::INT AS rotation, '0 800 600 0' AS media FROM p")
+def sample_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page attributes by joins over the objects: the nearest ancestor's value, skipping by doubling."""
+    held = scan_together(_samples(spark, sf_dir, "structured"), ["objects", "pages"], "FAILFAST")
+    nodes = held["objects"].where("type IN ('Page', 'Pages')")
+    tree = nodes.select("doc_id", "num", F.regexp_extract("value_json", r'"Parent":\{"\$r":\[(\d+)', 1).alias("p"), _json("$.Rotate", "value_json").cast("int").alias("rotation"), _json("$.MediaBox", "value_json").alias("media"))
+    tree = cut_lineage(tree.withColumn("parent", F.when(F.col("p") != "", F.col("p").cast("long"))))
+    turned, boxed = (R.inherited(tree.select("doc_id", "num", "parent", c), c) for c in ("rotation", "media"))
+    known = held["pages"].select("doc_id", "num", "page_index").join(turned, ["doc_id", "num"]).join(boxed, ["doc_id", "num"])
+    return _told(known, "page_index", "rotation", F.regexp_replace(F.regexp_replace("media", r"[\[\]]", ""), ",", " ").alias("media"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 10 AS k FROM supplier),
+m(nth, type, space) AS (VALUES (0, 1, 'DeviceGray'), (1, 2, 'DeviceRGB'), (2, 3, 'DeviceRGB'), (3, 4, 'DeviceGray'), (4, 5, 'DeviceGray'), (5, 6, 'DeviceGray'), (6, 7, 'DeviceGray'), (7, 2, 'DeviceRGB'))
+SELECT s_suppkey, nth::INT AS nth, type::INT AS type, space AS color_space, CASE nth WHEN 1 THEN k + 1 WHEN 2 THEN 12 + k WHEN 7 THEN k + 1 END::DOUBLE AS coords,
+  CASE WHEN type IN (2, 3) THEN round(k / 20.0::DOUBLE, 6) END AS blue, CASE type WHEN 4 THEN 3 * (k + 21) WHEN 5 THEN 4 * k WHEN 6 THEN 24 * k + 2 WHEN 7 THEN 32 * k + 2 END::DOUBLE AS vertices,
+  CASE nth WHEN 7 THEN 2.0::DOUBLE ELSE 1 END AS scale, type = 2 AS extends FROM s, m""")
+def sample_shadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shadings of every type, by operator and by pattern: geometry, colours half way, mesh data (flags, points and colours summed)."""
+    marks = scan(_samples(spark, sf_dir, "patterned"), "shading_marks", "FAILFAST")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    summed = F.when(F.col("type") == 4, total(F.flatten(F.transform("vertices", lambda v: F.slice(v, 2, 3))))).when(F.col("type") == 5, total(F.flatten(F.transform("vertices", lambda v: F.slice(v, 2, 1))))).otherwise(total(F.flatten("vertices")))
+    return _told(marks, _nth("ord").alias("nth"), "type", "color_space", total(F.col("coords")).alias("coords"), r6(F.get(F.get("colors", F.lit(2)), F.lit(2))).alias("blue"), r6(summed).alias("vertices"), F.get("matrix", F.lit(0)).alias("scale"), F.get("extend", F.lit(0)).alias("extends"))
+
+
+@query("""SELECT s_suppkey, 1 AS type, 2 AS paint_type, (s_suppkey % 10 + 5)::DOUBLE AS x_step, 6.0::DOUBLE AS y_step, 0.25::DOUBLE AS color FROM supplier UNION ALL SELECT s_suppkey, 2, NULL, NULL, NULL, NULL FROM supplier""")
+def sample_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiling and shading patterns as they are set."""
+    return _told(scan(_samples(spark, sf_dir, "patterned"), "pattern_marks", "FAILFAST"), "type", "paint_type", "x_step", "y_step", F.get("colors", F.lit(0)).alias("color"))
+
+
+@query("""WITH m(i, dx, size, green, blue) AS (VALUES (0, 0.0, 4.0, 1.0, 0.0), (1, 5.0, 4.0, 1.0, 0.0), (2, 10.0, 1.0, 0.0, 1.0))
+SELECT s_suppkey, i::INT AS nth, (s_suppkey % 10 + dx)::DOUBLE AS x, size::DOUBLE AS size, green::DOUBLE AS green, blue::DOUBLE AS blue FROM supplier, m""")
+def sample_drawn_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the glyphs of a Type 3 font draw: uncoloured ones in the text's colour, coloured ones in their own."""
+    marks = scan(_samples(spark, sf_dir, "patterned"), "path_marks", "FAILFAST").where("size(segments) > 0").withColumn("n", _nth("ord")).where("n >= 2")
+    first, second = F.col("segments")[0]["points"], F.col("segments")[1]["points"]
+    return _told(marks, (F.col("n") - 2).alias("nth"), r6(first[0]).alias("x"), r6(second[0] - first[0]).alias("size"), F.get("fill_rgb", F.lit(1)).alias("green"), F.get("fill_rgb", F.lit(2)).alias("blue"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, (s_suppkey % 16)::INT AS k FROM supplier), h AS (SELECT *, printf('%02X', k) AS a, printf('%02X', k * 17) AS b, printf('%02X', (15 - k) * 17) AS c, printf('%02X', 85 * (k % 4)) AS d, printf('%02X', 255 - k) AS e FROM s)
+SELECT s_suppkey, unnest([10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23])::BIGINT AS num, unnest([a || a || a || 'FFFFFFFFFF', b || b || b || 'FF' || c || c || c || 'FF', '000000FFFFFFFFFF', d || d || d || 'FFFFFFFFFF', a || a || a || 'FFFFFFFFFF',
+  a || '0102FF030405FF', a || 'FFFFFF000000FF', a || '0506FF010203FF', a || '00' || a || 'FF' || 'FF00FFFF', e || e || e || 'FF000000FF', '000000FF00000000', a || a || a || '00FFFFFFFF', a || a || a || a || 'FFFFFFFF', a || '0102FF030405FF']) AS rgba FROM h""")
+def sample_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of images in every space and depth, with decode arrays, stencil, key and soft masks."""
+    return _told(scan(_samples(spark, sf_dir, "pictured"), "image_pixels", "FAILFAST"), "num", F.hex("rgba").alias("rgba"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (sum(l_partkey % 256) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) % 256)::BIGINT AS value FROM lineitem""")
+def tiff_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizontal differences undone by a running sum within each row."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.sum(F.col("l_partkey") % 256).over(order) % 256).alias("value"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS num, CASE WHEN p_size > 25 THEN p_partkey - p_partkey % 10 END AS c FROM part), s AS (SELECT coalesce(c, p_partkey) AS num, p_size % 7 AS w, p_size % 5 + 1 AS h, p_brand LIKE '%1' AS f FROM part JOIN a ON num = p_partkey)
+SELECT num, CASE WHEN min(least(w, h)) = 0 THEN 0 ELSE max(w) END::DOUBLE AS width, CASE WHEN min(least(w, h)) = 0 THEN 0 ELSE max(h) END::DOUBLE AS height, bool_or(f) AS protected FROM s GROUP BY num""")
+def alias_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and protection of merged objects."""
+    parts = table(spark, sf_dir, "part").withColumn("doc_id", F.lit(0))
+    size = F.col("p_size")
+    sizes = parts.select("doc_id", F.col("p_partkey").alias("num"), (size % 7).cast("double").alias("width"), (size % 5 + 1).cast("double").alias("height"), F.col("p_brand").endswith("1").alias("protected"))
+    alias = parts.where(size > 25).select("doc_id", F.col("p_partkey").alias("num"), (F.col("p_partkey") - F.col("p_partkey") % 10).alias("canonical"))
+    return R.merged_sizes(sizes, alias, ["doc_id"], "num").select("num", "width", "height", "protected")
+
+
+@query("SELECT c_custkey, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN (100 - n_nationkey)::DOUBLE ELSE c_acctbal END AS value FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def screen_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of a document that named ones of the device replace."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    own = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "name", F.col("c_acctbal").alias("value"))
+    named = nation.where("n_nationkey % 2 = 0").select("name", (100 - F.col("n_nationkey")).cast("double").alias("value"))
+    return R.overridden(own, named, "name", "value").select("c_custkey", "name", "value")
+
+
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS q, l_discount AS d, l_partkey % 1000 AS p, l_linenumber AS n FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt(q), 6) AS root, round(ln(q), 6) AS nat, round(log10(q), 6) AS dec, round(sin(radians(q)), 6) + 0.0 AS sine, round(cos(radians(q)), 6) + 0.0 AS cosine,
   round(degrees(atan2(q, n)), 6) AS angle, round(q * q, 6) AS square, ceil(q / 4)::DOUBLE AS up, floor(q / 4)::DOUBLE AS down, floor(q / 4 + 0.5)::DOUBLE AS near, trunc(-q / 4) + 0.0 AS cut, round(abs(d - 0.05), 6) AS away,

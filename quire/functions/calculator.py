@@ -206,16 +206,38 @@ def evaluate(program: list, inputs: list[float]) -> list[float]:
 
 @dataclass(frozen=True)
 class Symbol:
-    """A column with its kind: real, int or bool; ``literal`` if known beforehand."""
+    """A column with its kind: real, int or bool; ``literal`` if known beforehand.
+
+    ``real`` is a number's value. An int's ``column`` is null in the rows where the
+    value has left 32 bits and so become real.
+    """
 
     kind: str
     column: Column
     literal: object = None
+    value: Column | None = None
+
+    @property
+    def real(self) -> Column:
+        return self.column.cast("double") if self.value is None else self.value
+
+
+def _finite(c: Column) -> Column:
+    """Infinities and undefined numbers are errors, here null."""
+    return F.when(F.abs(c) <= 1.7976931348623157e308, c)
+
+
+def _real(c: Column) -> Symbol:
+    return Symbol("real", _finite(c.cast("double")))
+
+
+def _int(c: Column, value: Column) -> Symbol:
+    return Symbol("int", F.when(c.between(INT_MIN, INT_MAX), c), None, F.coalesce(c.cast("double"), value))
 
 
 def _known(v: object) -> Symbol:
     kind = "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "real"
-    return Symbol(kind, F.lit(v if kind != "int" else v).cast({"bool": "boolean", "int": "long", "real": "double"}[kind]), v)
+    return Symbol(kind, F.lit(v).cast({"bool": "boolean", "int": "long", "real": "double"}[kind]), v)
 
 
 _COLUMN_UNARY = {
@@ -234,46 +256,62 @@ def operation(op: str, *args: Symbol) -> Symbol:
         raise CalculatorError("branches are compiled with their blocks")
     if len(args) == 1:
         if op == "not":
-            return Symbol(a.kind, ~a.column if a.kind == "bool" else F.bitwise_not(a.column))
+            return Symbol("bool", ~a.column) if a.kind == "bool" else _int(F.bitwise_not(a.column), F.lit(None).cast("double"))
         if op == "cvi":
-            return Symbol("int", _COLUMN_UNARY["truncate"](a.column).cast("long"))
+            whole = _COLUMN_UNARY["truncate"](F.when(F.abs(a.real) <= 2.0**62, a.real)).cast("long")
+            return Symbol("int", F.when(whole.between(INT_MIN, INT_MAX), whole))
         if op in _COLUMN_UNARY:
-            return Symbol(a.kind, a.column if a.kind == "int" and op not in ("abs", "neg") else _COLUMN_UNARY[op](a.column).cast("long" if a.kind == "int" else "double"))
-        return Symbol("real", _COLUMN_REAL[op](a.column.cast("double")))
+            if a.kind == "int":
+                return _int(_COLUMN_UNARY[op](a.column), _COLUMN_UNARY[op](a.real).cast("double")) if op in ("abs", "neg") else a
+            # large reals have no fraction, and no place in a long
+            return _real(F.when(F.abs(a.real) < 2.0**52, _COLUMN_UNARY[op](F.when(F.abs(a.real) < 2.0**52, a.real)).cast("double")).otherwise(_COLUMN_UNARY[op](a.real) if op in ("abs", "neg") else a.real))
+        return _real(_COLUMN_REAL[op](a.real))
     b = args[1]
     whole = a.kind == b.kind == "int"
     if op in ("eq", "ne"):
-        same = a.column == b.column if (a.kind == "bool") == (b.kind == "bool") else F.lit(False)
+        same = F.lit(False) if (a.kind == "bool") != (b.kind == "bool") else a.column == b.column if a.kind == "bool" else a.real == b.real
         return Symbol("bool", same if op == "eq" else ~same)
     if op in _ORDER:
-        return Symbol("bool", _ORDER[op](a.column, b.column))
+        return Symbol("bool", _ORDER[op](a.real, b.real))
     if op in _LOGIC:
         if a.kind == "bool" and b.kind == "bool":
             return Symbol("bool", {"and": a.column & b.column, "or": a.column | b.column, "xor": a.column != b.column}[op])
         return Symbol("int", {"and": a.column.bitwiseAND, "or": a.column.bitwiseOR, "xor": a.column.bitwiseXOR}[op](b.column))
     if op in _ARITHMETIC:
-        return Symbol("int" if whole else "real", _ARITHMETIC[op](a.column, b.column))
+        value = _finite(_ARITHMETIC[op](a.real, b.real))
+        return _int(_ARITHMETIC[op](a.column, b.column), value) if whole else Symbol("real", value)
     if op == "div":
-        return Symbol("real", F.try_divide(a.column.cast("double"), b.column.cast("double")))
+        return _real(F.try_divide(a.real, b.real))
     if op == "exp":
-        return Symbol("real", F.pow(a.column, b.column))
+        return _real(F.pow(a.real, b.real))
     if op == "atan":
-        angle = F.degrees(F.atan2(a.column.cast("double"), b.column.cast("double")))
-        return Symbol("real", F.when((a.column == 0) & (b.column == 0), None).when(angle < 0, angle + 360).otherwise(angle))
+        angle = F.degrees(F.atan2(a.real, b.real))
+        return Symbol("real", F.when((a.real == 0) & (b.real == 0), None).when(angle < 0, angle + 360).otherwise(angle))
     if op == "idiv":
-        return Symbol("int", F.when(b.column == 0, None).otherwise(F.try_divide(a.column - F.try_mod(a.column, b.column), b.column).cast("long")))
+        quotient = F.try_divide(a.column - F.try_mod(a.column, b.column), b.column).cast("long")
+        return _int(quotient, F.lit(None).cast("double"))
     if op == "mod":
         return Symbol("int", F.try_mod(a.column, b.column))
     if op == "bitshift" and _is_int(b.literal):
         low = a.column.bitwiseAND(F.lit(0xFFFFFFFF))
         bits = F.lit(0).cast("long") if abs(b.literal) >= 32 else F.shiftleft(low, b.literal).bitwiseAND(F.lit(0xFFFFFFFF)) if b.literal >= 0 else F.shiftright(low, -b.literal)
-        return Symbol("int", F.when(bits > INT_MAX, bits - 2**32).otherwise(bits))
+        return Symbol("int", F.when(a.column.isNotNull(), F.when(bits > INT_MAX, bits - 2**32).otherwise(bits)))
     raise CalculatorError(f"no column form of {op}")
 
 
 _ONE_OPERAND = {*_UNARY, *_REAL, "not", "cvi"}
 
 
+def _either(test: Column, a: Symbol, b: Symbol) -> Symbol:
+    """What a branch leaves; ``test`` null (an error) leaves nothing."""
+    pick = lambda x, y: F.when(test, x).when(~test, y)
+    if a.kind == b.kind != "int":
+        return Symbol(a.kind, pick(a.column, b.column))
+    if a.kind == b.kind:
+        return Symbol("int", pick(a.column, b.column), None, pick(a.real, b.real))
+    return Symbol("real", pick(a.real, b.real))
+
+
 def compile_columns(program: list, inputs: list[Column]) -> list[Column]:
     """Columns of the program's results; stack operators need literal counts."""
 
@@ -295,7 +333,7 @@ def compile_columns(program: list, inputs: list[Column]) -> list[Column]:
                 no = run(block[at - 1], list(stack)) if op == "ifelse" else stack
                 if len(yes) != len(no):
                     raise CalculatorError("branches leave different stacks")
-                stack = [a if a is b else Symbol(a.kind if a.kind == b.kind else "real", F.when(test, a.column).otherwise(b.column)) for a, b in zip(yes, no, strict=True)]
+                stack = [a if a is b else _either(test, a, b) for a, b in zip(yes, no, strict=True)]
             elif op == "pop":
                 stack.pop()
             elif op == "dup":
@@ -320,4 +358,4 @@ def compile_columns(program: list, inputs: list[Column]) -> list[Column]:
                 stack.append(operation(op, a, b))
         return stack
 
-    return [s.column.cast("double") for s in run(program, [Symbol("real", c.cast("double")) for c in inputs])]
+    return [s.real for s in run(program, [Symbol("real", c.cast("double")) for c in inputs])]

@@ -150,5 +150,65 @@ def image_bounds(placements: DataFrame, by: list[str]) -> DataFrame:
     return placements.groupBy(*by).agg(size("width").alias("max_width"), size("height").alias("max_height"))
 
 
+#: The annotation subtypes of the standard.
+ANNOTATIONS = (
+    "Text", "Link", "FreeText", "Line", "Square", "Circle", "Polygon", "PolyLine", "Highlight", "Underline", "Squiggly", "StrikeOut", "Caret", "Ink", "Stamp", "Popup", "FileAttachment",
+    "Sound", "Movie", "Widget", "Screen", "PrinterMark", "TrapNet", "Watermark", "3D", "Redact", "RichMedia", "Projection",
+)
+
+
+def is_standard(subtype: Column) -> Column:
+    """Is an annotation's subtype one of the standard's?"""
+    return subtype.isin(*ANNOTATIONS)
+
+
+def annotation_drawn(subtype: Column, flags: Column, rect: Column, visible: Column) -> Column:
+    """Whether an annotation has a place to be drawn in: not an unknown kind marked invisible, not in a hidden group, not of an empty rectangle."""
+    empty = (F.get(rect, F.lit(0)) == F.get(rect, F.lit(2))) | (F.get(rect, F.lit(1)) == F.get(rect, F.lit(3)))
+    return (is_standard(subtype) | (flags.bitwiseAND(F.lit(1)) == 0)) & visible & ~F.coalesce(empty, F.lit(True))
+
+
+def out_of_order(rows: DataFrame, by: list[str], order: str, key: str) -> DataFrame:
+    """Rows whose key does not exceed that of the row before."""
+    before = F.lag(key).over(Window.partitionBy(*by).orderBy(order))
+    return rows.withColumn("before", before).where(F.col(key) <= F.col("before"))
+
+
+def merged_sizes(sizes: DataFrame, alias: DataFrame, by: list[str], num: str) -> DataFrame:
+    """Sizes of objects under the number they are merged into: any zero makes zero, otherwise the largest; flags are or-ed."""
+    to = alias.select(*by, F.col(num), F.col("canonical"))
+    known = sizes.join(to, [*by, num], "left").withColumn("canonical", F.coalesce("canonical", F.col(num)))
+    zero = F.min(F.least("width", "height")) == 0
+    size = lambda c: F.when(zero, F.lit(0.0)).otherwise(F.max(c))
+    return known.groupBy(*by, F.col("canonical").alias(num)).agg(size("width").alias("width"), size("height").alias("height"), F.bool_or("protected").alias("protected"))
+
+
+def overridden(rows: DataFrame, named: DataFrame, name: str, value: str) -> DataFrame:
+    """``rows`` whose ``value`` is replaced where ``named`` has one of that name."""
+    own = named.select(F.col(name), F.col(value).alias("_own"))
+    return rows.join(own, name, "left").withColumn(value, F.coalesce("_own", F.col(value))).drop("_own")
+
+
+def inherited(nodes: DataFrame, value: str) -> DataFrame:
+    """doc_id, num, ``value``: each node's own value or that of the nearest ancestor with one.
+
+    ``nodes``: doc_id, num, parent (null at the root) and ``value``. Ancestors are
+    skipped by doubling, so a tree of any depth takes the logarithm of its depth
+    in rounds; one still open after as many steps as there are nodes is cyclic.
+    """
+    now = cut_lineage(nodes.select("doc_id", "num", "parent", value))
+    total, reach = now.count(), 1
+    while not now.where(F.col(value).isNull() & F.col("parent").isNotNull()).isEmpty():
+        if reach > total:
+            raise RuntimeError("a tree contains itself")
+        above = now.select("doc_id", F.col("num").alias("parent"), F.col(value).alias("_value"), F.col("parent").alias("_above"))
+        open_ = F.col(value).isNull()
+        now = cut_lineage(
+            now.join(above, ["doc_id", "parent"], "left").select("doc_id", "num", F.when(open_, F.col("_above")).otherwise(F.col("parent")).alias("parent"), F.coalesce(value, "_value").alias(value))
+        )
+        reach *= 2
+    return now.select("doc_id", "num", value)
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)

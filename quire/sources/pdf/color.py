@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from quire.functions import calculator
@@ -64,35 +63,43 @@ def _stitching(doc, own, domain, bounds, depth):
 
 
 def _sampled(doc, own, domain, bounds, depth):
-    """Samples of any number of inputs, multilinear between neighbours."""
+    """Samples of any number of inputs: linear between neighbours, or for order 3 by cubic splines through four."""
     size = [int(doc.resolve(v)) for v in doc.get(own, "Size", list, [])]
     bits, outputs = doc.get(own, "BitsPerSample", int), len(bounds or []) // 2
     if not isinstance(own, Stream) or not outputs or len(size) != len(domain) // 2 or bits not in (1, 2, 4, 8, 12, 16, 24, 32):
         raise PdfError("a sampled function is ill-formed")
     encode = _numbers(doc, own, "Encode") or [v for s in size for v in (0.0, s - 1.0)]
     decode = _numbers(doc, own, "Decode") or bounds
-    data, top = int.from_bytes(doc.decoded(own), "big"), (1 << bits) - 1
-    total = len(doc.decoded(own)) * 8
+    raw = doc.decoded(own)
+    data, top, total = int.from_bytes(raw, "big"), (1 << bits) - 1, len(raw) * 8
     if total < math.prod(size) * outputs * bits:
         raise PdfError("a sampled function has too few samples")
+    cubic = doc.get(own, "Order", int, 1) == 3
 
-    def sample(place: list[int], j: int) -> float:
+    def sample(place: tuple[int, ...], j: int) -> float:
         index = 0
         for i in reversed(range(len(size))):
             index = index * size[i] + place[i]
         return data >> (total - (index * outputs + j + 1) * bits) & top
 
+    def between(at: list[float], place: tuple[int, ...], j: int) -> float:
+        """The value where the first inputs are whole and the others lie at ``at``."""
+        i = len(place)
+        if i == len(size):
+            return sample(place, j)
+        low, last = min(int(at[i]), max(0, size[i] - 2)), size[i] - 1
+        t, value = at[i] - low, lambda k: between(at, (*place, k), j)
+        b, c = value(low), value(min(low + 1, last))
+        if not cubic or size[i] < 4:
+            return b + t * (c - b)
+        # beyond the ends the samples go on in a straight line
+        a = value(low - 1) if low > 0 else 2 * b - c
+        d = value(low + 2) if low + 2 <= last else 2 * c - b
+        return b + t / 2 * (c - a + t * (2 * a - 5 * b + 4 * c - d + t * (3 * (b - c) + d - a)))
+
     def run(x):
         at = [min(max(_spread(t, domain[2 * i], domain[2 * i + 1], encode[2 * i], encode[2 * i + 1]), 0.0), size[i] - 1.0) for i, t in enumerate(x)]
-        low = [min(int(a), max(0, s - 2)) for a, s in zip(at, size, strict=True)]
-        out = [0.0] * outputs
-        for corner in itertools.product((0, 1), repeat=len(size)):
-            weight = math.prod((a - b) if c else 1 - (a - b) for a, b, c in zip(at, low, corner, strict=True))
-            if weight:
-                place = [min(b + c, s - 1) for b, c, s in zip(low, corner, size, strict=True)]
-                for j in range(outputs):
-                    out[j] += weight * sample(place, j)
-        return [_spread(v, 0, top, decode[2 * j], decode[2 * j + 1]) for j, v in enumerate(out)]
+        return [_spread(between(at, (), j), 0, top, decode[2 * j], decode[2 * j + 1]) for j in range(outputs)]
 
     return run
 

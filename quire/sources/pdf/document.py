@@ -565,6 +565,25 @@ class Document:
                 "contents": filters.decode_text(self.get(own, "Contents", bytes, b"")), "dict": own,
             }
 
+    def appearance(self, annotation: dict) -> dict | None:
+        """The stored normal appearance in the annotation's state, and the matrix that puts it into its rectangle."""
+        own, rect = annotation["dict"], annotation["rect"]
+        held = self.get(own, "AP", dict, {}).get("N")
+        state = self.get(own, "AS", Name)
+        if isinstance(states := self.resolve(held), dict):
+            held = states.get(str(state)) if state is not None else None
+        stream = self.resolve(held)
+        if not isinstance(stream, Stream) or rect is None or (box := self._box(stream.dict.get("BBox"))) is None:
+            return None
+        a, b, c, d, e, f = (float(self.resolve(v)) for v in self.get(stream, "Matrix", list, [1, 0, 0, 1, 0, 0]))
+        corners = [(a * x + c * y + e, b * x + d * y + f) for x in box[::2] for y in box[1::2]]
+        left, bottom = min(x for x, _ in corners), min(y for _, y in corners)
+        width, height = max(x for x, _ in corners) - left, max(y for _, y in corners) - bottom
+        if not width or not height:
+            return None
+        sx, sy = (rect[2] - rect[0]) / width, (rect[3] - rect[1]) / height
+        return {"state": None if state is None else str(state), "num": held.num if isinstance(held, Ref) else None, "matrix": [sx, 0.0, 0.0, sy, rect[0] - left * sx, rect[1] - bottom * sy]}
+
     def field(self, node: dict) -> dict:
         """Form field attributes from the nearest ancestor, and the full name."""
         out, parts, seen = {}, [], 0

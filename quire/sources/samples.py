@@ -257,6 +257,53 @@ def faced(key: int, name: str) -> bytes:
     return one_page(shown, {"Font": fonts})
 
 
+def annotated(key: int, name: str) -> bytes:
+    """A note, an unknown kind that odd keys make invisible, an empty square, a link in a group that keys divisible by 3 hide, a check box with two states."""
+    stamp = lambda data: Stream({"Subtype": Name("Form"), "BBox": [0, 0, 10, 20], "Matrix": [0, 1, -1, 0, 0, 0]}, data)
+    look = lambda num: {"N": Ref(num, 0)}
+    box = {"Subtype": Name("Widget"), "Rect": [0, 0, 40, 10], "AS": Name("On" if key % 2 else "Off"), "AP": {"N": {"On": Ref(20, 0), "Off": Ref(21, 0)}}}
+    held = {
+        10: {"Subtype": Name("Text"), "Rect": [100, 100, 120 + key % 10, 110], "AP": look(20)}, 11: {"Subtype": Name("Own"), "Rect": [0, 0, 1, 1], "F": key % 2}, 12: {"Subtype": Name("Square"), "Rect": [5, 5, 5, 9]},
+        13: {"Subtype": Name("Link"), "Rect": [0, 0, 20, 10], "OC": Ref(16, 0), "AP": look(21)}, 14: box, 16: {"Type": Name("OCG"), "Name": b"g"}, 20: stamp(b"0 0 1 1 re f"), 21: stamp(b""),
+    }
+    data = one_page(b"", {}, held | {3: {"Type": Name("Page"), "Parent": Ref(2, 0), "Annots": [Ref(n, 0) for n in range(10, 15)]}}, OCProperties={"OCGs": [Ref(16, 0)], "D": {"OFF": [Ref(16, 0)] * (key % 3 == 0)}})
+    return data
+
+
+def patterned(key: int, name: str) -> bytes:
+    """Shadings of every type, both kinds of patterns, and a font of drawn glyphs."""
+    k = key % 10
+    ramp = {"FunctionType": 2, "N": 1, "Domain": [0, 1], "C0": [0, 0, 0], "C1": [1, 0.5, k / 10]}
+    mesh = {"ColorSpace": Name("DeviceGray"), "BitsPerCoordinate": 8, "BitsPerComponent": 8, "Decode": [0, 255, 0, 255, 0, 1]}
+    flat = {"FunctionType": 4, "Domain": [0, 1, 0, 1], "Range": [0, 1]}
+    shadings: dict[int, object] = {
+        10: {"ShadingType": 1, "ColorSpace": Name("DeviceGray"), "Domain": [0, 1, 0, 1], "Matrix": [k + 1, 0, 0, 1, 0, 0], "Function": Ref(30, 0)}, 11: {"ShadingType": 2, "ColorSpace": Name("DeviceRGB"), "Coords": [0, 0, k + 1, 0], "Function": ramp, "Extend": [True, False]},
+        12: {"ShadingType": 3, "ColorSpace": Name("DeviceRGB"), "Coords": [0, 0, 1, 5, 5, k + 1], "Function": ramp}, 13: Stream(mesh | {"ShadingType": 4, "BitsPerFlag": 8}, bytes([0, k, 20, 255] * 3)), 14: Stream(mesh | {"ShadingType": 5, "VerticesPerRow": 2}, bytes([k, 1, 0] * 4)),
+        15: Stream(mesh | {"ShadingType": 6, "BitsPerFlag": 8}, bytes([0, *[k] * 24, 0, 0, 255, 255])), 16: Stream(mesh | {"ShadingType": 7, "BitsPerFlag": 8}, bytes([0, *[k] * 32, 255, 255, 0, 0])),
+    }
+    glyphs = {"Type": Name("Font"), "Subtype": Name("Type3"), "FontMatrix": [0.001, 0, 0, 0.001, 0, 0], "CharProcs": {"sq": Ref(24, 0), "dot": Ref(25, 0)}, "Encoding": {"Differences": [97, Name("sq"), Name("dot")]}, "FirstChar": 97, "Widths": [500, 250]}
+    extra = shadings | {
+        20: Stream({"PatternType": 1, "PaintType": 2, "BBox": [0, 0, 4, 4], "XStep": k + 5, "YStep": 6}, b"0 0 4 4 re f"), 21: {"PatternType": 2, "Shading": Ref(11, 0), "Matrix": [2, 0, 0, 2, 0, 0]}, 22: glyphs,
+        24: Stream({}, b"500 0 0 0 400 400 d1 1 0 0 rg 0 0 400 400 re f"), 25: Stream({}, b"250 0 d0 0 0 1 rg 0 0 100 100 re f"), 30: Stream(flat, b"{ mul }"),
+    }
+    content = b"".join(b"/S%d sh\n" % n for n in shadings) + b"/U cs 0.25 /T scn 0 0 1 1 re f /Pattern cs /A scn 0 0 1 1 re f 0 1 0 rg BT /G 10 Tf %d 4 Td (aab) Tj ET" % k
+    return one_page(content, {"Shading": {f"S{n}": Ref(n, 0) for n in shadings}, "Pattern": {"T": Ref(20, 0), "A": Ref(21, 0)}, "ColorSpace": {"U": [Name("Pattern"), Name("DeviceGray")]}, "Font": {"G": Ref(22, 0)}}, extra)
+
+
+def pictured(key: int, name: str) -> bytes:
+    """Images of two pixels in a row, in every space, depth and kind of mask."""
+    k = key % 16
+    image = lambda space, bits, data, **own: Stream({"Subtype": Name("Image"), "Width": 2, "Height": 1, "BitsPerComponent": bits} | ({} if space is None else {"ColorSpace": space}) | own, bytes(data))
+    gray, tint = Name("DeviceGray"), {"FunctionType": 2, "N": 1, "Domain": [0, 1], "C0": [0, 0, 0], "C1": [1, 0, 1]}
+    return one_page(b"", {}, {
+        10: image(gray, 8, [k, 255]), 11: image(gray, 4, [k << 4 | 15 - k]), 12: image(gray, 1, [0x40]), 13: image(gray, 2, [k % 4 << 6 | 0x30]), 14: image(gray, 16, [k, 0, 255, 255]), 15: image(Name("DeviceRGB"), 8, [k, 1, 2, 3, 4, 5]),
+        16: image(Name("DeviceCMYK"), 8, [255 - k, 0, 0, 0, 0, 0, 0, 255]), 17: image([Name("Indexed"), Name("DeviceRGB"), 1, bytes([1, 2, 3, k, 5, 6])], 8, [1, 0]), 18: image([Name("Separation"), Name("Spot"), Name("DeviceRGB"), tint], 8, [k, 255]),
+        19: image(gray, 8, [k, 255], Decode=[1, 0]), 20: image(None, 1, [0x40], ImageMask=True), 21: image(gray, 8, [k, 255], Mask=[k, k]), 22: image(gray, 8, [k, 255], SMask=Ref(10, 0)), 23: image([Name("ICCBased"), Ref(24, 0)], 8, [k, 1, 2, 3, 4, 5]),
+        24: Stream({"N": 3}, b"icc"),
+    })
+
+
 KINDS: dict[str, Callable[[int, str], bytes]] = {
     "structured": structured, "revised": revised, "damaged": damaged, "graphic": graphic, "typeset": typeset, "layered": layered, "filtered": filtered, "sealed": sealed, "faced": faced,
+    "annotated": annotated, "patterned": patterned, "pictured": pictured,
 }

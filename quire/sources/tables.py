@@ -173,6 +173,28 @@ def _annotations(doc: Document) -> Iterator[tuple]:
             yield p.index, a["index"], a["num"], a["subtype"], a["rect"], a["flags"], a["contents"], to_json(a["dict"])
 
 
+def _appearances(doc: Document) -> Iterator[tuple]:
+    for p in doc.pages():
+        for a in doc.annotations(p):
+            if found := doc.appearance(a):
+                visible = "OC" not in a["dict"] or doc.content_visible(a["dict"]["OC"])
+                yield p.index, a["index"], found["state"], found["num"], found["matrix"], visible
+
+
+def _image_pixels(doc: Document) -> Iterator[tuple]:
+    from quire.sources.pdf.images import CodedImage, decode_image
+
+    for num, _, v in _numbers(doc):
+        if isinstance(v, Stream) and v.dict.get("Subtype") == "Image":
+            try:
+                for i, row in enumerate(decode_image(doc, v)):
+                    yield num, i, row.tobytes()
+            except CodedImage:
+                continue
+            except (PdfError, FilterError) as e:
+                doc.fault(f"image {num}: {e}")
+
+
 def _actions(doc: Document) -> Iterator[tuple]:
     sources = [("open", doc.catalog.get("OpenAction"))]
     sources += [(f"annotation {p.index} {a['index']}", a["dict"].get("A")) for p in doc.pages() for a in doc.annotations(p)]
@@ -319,11 +341,13 @@ TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
     "structure_ids": ("id binary, element_num long", lambda doc: doc.structure_ids()),
     "structure_parents": ("key long, mcid long, element_num long", lambda doc: doc.structure_parents()),
     "annotations": ("page_index int, index int, num long, subtype string, rect array<double>, flags long, contents string, dict_json string", _annotations),
+    "appearances": (f"page_index int, index int, state string, stream_num long, {_MATRIX}, visible boolean", _appearances),
     "actions": ("source string, ord int, type string, uri string, dict_json string", _actions),
     "fields": ("ord int, num long, name string, type string, value string, flags long", _fields),
     "fonts": ("num long, name string, subtype string, vertical boolean, has_unicode_map boolean, default_width double", _fonts),
     "images": ("num long, width long, height long, bits long, color_space_json string, mask boolean, filters array<string>, bytes long", _images),
     "image_files": ("num long, width long, height long, coding string, data binary, photographic boolean", _image_files),
+    "image_pixels": ("num long, row int, rgba binary", _image_pixels),
     "structure_attributes": ("element_num long, ord int, owner string, class string, revision int, dict_json string", _structure_attributes),
     "named_destinations": ("kind string, name binary, page_index int, mode string, parameters array<double>", _destinations),
     "links": ("page_index int, index int, rect array<double>, target_page int, uri string, action string", _links),

@@ -437,6 +437,12 @@ def test_functions_and_spaces():
     square = Stream({"FunctionType": 0, "Domain": [0, 1, 0, 1], "Range": [0, 1], "Size": [2, 2], "BitsPerSample": 8}, bytes([0, 255, 255, 0]))
     f = read_function(doc, square)
     assert f([0, 0]) == [0] and f([1, 0]) == [1] and f([0.5, 0.5]) == [0.5] and f([0.25, 0]) == [0.25]
+    # a cubic through samples of a straight line is that line; through others it passes every sample
+    line = Stream({"FunctionType": 0, "Domain": [0, 5], "Range": [0, 1], "Size": [6], "BitsPerSample": 8, "Order": 3}, bytes([0, 51, 102, 153, 204, 255]))
+    bent = Stream(line.dict | {}, bytes([0, 200, 10, 250, 40, 90]))
+    assert [round(read_function(doc, line)([x])[0], 9) for x in (0, 0.5, 2.25, 4.9, 5)] == [0, 0.1, 0.45, 0.98, 1]
+    assert [round(255 * read_function(doc, bent)([x])[0]) for x in range(6)] == [0, 200, 10, 250, 40, 90]
+    assert read_function(doc, bent)([2.5])[0] == pytest.approx((-200 + 9 * 10 + 9 * 250 - 40) / 16 / 255)
     four = Stream({"FunctionType": 4, "Domain": [0, 1], "Range": [0, 1, 0, 1]}, b"{ dup 1 exch sub }")
     joined = read_function(doc, {"FunctionType": 3, "Domain": [0, 1], "Bounds": [0.5], "Encode": [0, 1, 1, 0], "Functions": [{"FunctionType": 2, "N": 1}] * 2})
     assert read_function(doc, four)([0.25]) == [0.25, 0.75] and [joined([x])[0] for x in (0, 0.25, 0.75, 1)] == [0, 0.5, 0.5, 0]
