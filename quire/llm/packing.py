@@ -49,7 +49,7 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Encoded words a worker keeps; the store is emptied when full.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 #: Most that one round of multiplicative weights covers of a length's count.
 STEP = 0.05
 #: Weight below which a length is left out of the knapsack.
@@ -102,7 +102,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # ids of a word after a space
         self.quick = quick_encoder(ranks_path) if ranks_path else None
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
@@ -120,31 +120,32 @@ class WordCache:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit unsigned integers."""
         out: list[bytes | None] = [None] * len(texts)
-        words: list[list[str] | None] = [None] * len(texts)
-        missing: dict[str, None] = {}
+        words: dict[int, list[str]] = {}
+        missing: set[str] = set()
         if len(self.kept) > WORDS_KEPT:
             self.kept.clear()
+        kept = self.kept
         for i, text in enumerate(texts):
             if _DOUBLE.search(text) and _UNSAFE.search(text):
                 out[i] = self._encode([text])[0]
                 continue
-            first, *rest = text.split(" ")
-            words[i] = split = ([first] if first else []) + [" " + w for w in rest]
-            missing.update(dict.fromkeys(w for w in split if w not in self.kept))
+            words[i] = split = text.split(" ")
+            missing.update(set(split[1:]).difference(kept))
         new = list(missing)
-        self.kept.update(zip(new, self._encode_words(new), strict=True))
-        kept = self.kept
-        for i, split in enumerate(words):
-            if split is not None:
-                out[i] = b"".join([kept[w] for w in split])
+        kept.update(zip(new, self._encode_words([" " + w for w in new]), strict=True))
+        firsts = list({split[0]: None for split in words.values() if split[0]})
+        first = {"": b""} | dict(zip(firsts, self._encode_words(firsts), strict=True))
+        known = kept.__getitem__
+        for i, split in words.items():
+            out[i] = first[split[0]] + b"".join(map(known, split[1:]))
         return out
 
 
-def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of a document's pieces; the first may be shorter."""
-    first = len(ids) % capacity or min(capacity, len(ids))
+def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of the pieces of a document of ``n`` ids; the first may be shorter."""
+    first = n % capacity or min(capacity, n)
     yield 0, first
-    for start in range(first, len(ids), capacity):
+    for start in range(first, n, capacity):
         yield start, capacity
 
 
@@ -154,14 +155,15 @@ def piece_table(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
 
     def pieces(texts: list[str], cache: WordCache) -> dict[str, list]:
         rows: dict[str, list] = {name: [] for name in ("row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
+        closing = end_id.to_bytes(4, "little")
         for i, raw in enumerate(cache.encode(texts)):
-            ids = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)).astype("<u4")
-            for k, (start, length) in enumerate(pieces_of(ids, capacity)):
-                own = ids[start : start + length]
-                for name, value in zip(("row", "piece", "start", "length", "ids_crc32"), (i, k, start, length, zlib.crc32(own.tobytes())), strict=True):
+            raw += closing
+            for k, (start, length) in enumerate(pieces_of(len(raw) // 4, capacity)):
+                own = raw[4 * start : 4 * (start + length)]
+                for name, value in zip(("row", "piece", "start", "length", "ids_crc32"), (i, k, start, length, zlib.crc32(own)), strict=True):
                     rows[name].append(value)
                 if with_ids:
-                    rows["ids"].append(own.astype(np.int32))
+                    rows["ids"].append(np.frombuffer(own, dtype="<u4").astype(np.int32))
         return rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
