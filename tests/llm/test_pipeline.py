@@ -45,3 +45,36 @@ def test_names_of_stages():
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scan", "source_mixing", "best_fit_packing"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc string, copies long, fp long, hash long, size long"
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(60 + i)) + "."
+    rows = [(i, text(i), "en", ["a", "b", None][i % 3], 10, "clash", 1, 2, 3, 4) for i in range(40)]
+    rows += [rows[0], rows[0], (None, text(100), None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None), (50, "", "en", "a", 0, None, None, None, None, None)]
+    for name, table in (("odd", spark.createDataFrame(rows, schema)), ("empty", spark.createDataFrame([], schema))):
+        before = table.repartition(3)
+        for i, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, before, SF).write.parquet(str(tmp_path / f"{name}{i}"))
+            after = spark.read.parquet(str(tmp_path / f"{name}{i}"))
+            if stage != "best_fit_packing":
+                assert after.columns == before.columns
+            if name == "odd" and stage == "quality_rules":
+                assert after.count() == len(rows) - 2  # the two without words go
+            if name == "odd" and stage == "near_dedup":
+                assert sorted((r[0] is None, r[0] or 0) for r in after.select("doc_id").collect()) == [(False, i) for i in range(40)] + [(True, 0)]
+            if name == "empty":
+                assert after.count() == 0
+            before = after
+
+
+def test_stage_of_wide_ids(spark):
+    import corpus_pipeline
+
+    wide = (1 << 60) + 1
+    docs = spark.createDataFrame([(wide, "one two three four five six"), (None, "seven eight nine ten eleven")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    for _, f in corpus_pipeline.STAGES:
+        docs = f(spark, docs, SF)
+    assert {r["doc_id"] for r in docs.collect()} <= {wide, None} and docs.count() > 0
