@@ -15,7 +15,7 @@ from quire.plans.session import cut_lineage, spread
 from quire.queries import ORACLES, QUERIES, query, r6, table
 from quire.sources.pdf import fonts
 from quire.sources.samples import sample_documents
-from quire.sources.tables import scan, scan_together
+from quire.sources.tables import edited, scan, scan_together
 
 #: Pages of the structured samples: k is the key, i the page, n the pages of its document.
 _PAGES = "WITH d AS (SELECT s_suppkey AS k, s_name AS s, s_suppkey % 4 + 1 AS n FROM supplier), p AS (SELECT *, unnest(range(n)) AS i FROM d)"
@@ -302,6 +302,25 @@ def sample_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(known, "index", "subtype", R.is_standard(F.col("subtype")).alias("standard"), drawn.alias("drawn"), "state", "stream_num", at(0).alias("x_scale"), at(4).alias("x_move"))
 
 
+@query(_PAGES + """SELECT k AS s_suppkey, i::INT AS page_index, CASE i WHEN 0 THEN s || ' read' ELSE s || ' ' || i END AS text, s || ' new' AS title, 'A' || (i + 5) AS label, n AS n_files FROM p""")
+def sample_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rewritten with edits that come as rows: a title, attachments, page labels, the text that a text object stands for, and keys left out."""
+    files = _samples(spark, sf_dir, "structured")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("s"), (F.col("s_suppkey") % 4 + 1).alias("n"))
+    edit = lambda kind, page, index, name, value: F.struct(F.lit(kind).alias("kind"), F.lit(page).alias("page"), F.lit(index).alias("index"), F.lit(name).cast("string").alias("name"), value.cast("string").alias("value"))
+    fixed = [edit("info", 0, 0, "Title", F.concat("s", F.lit(" new"))), edit("label", 0, 5, "D", F.lit("A")), edit("text", 0, 0, None, F.concat("s", F.lit(" read"))), edit("drop", 0, 0, "OpenAction", F.lit(None))]
+    files_added = rows.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).select("doc_id", F.lit("attachment").alias("kind"), F.lit(0).alias("page"), F.lit(0).alias("index"), F.concat(F.lit("f"), "i").alias("name"), F.col("i").cast("string").alias("value"))
+    edits = rows.select("doc_id", F.explode(F.array(*fixed)).alias("e")).select("doc_id", "e.*").unionByName(files_added)
+    held = scan_together(edited(files, edits), ["documents", "pages", "page_label_ranges", "text_marks", "embedded_files", "actions"], "FAILFAST")
+    known = R.in_range(held["pages"].select("doc_id", "page_index"), R.ranges_of(held["page_label_ranges"], ["doc_id"], "start"), ["doc_id"], "page_index", "start")
+    label = labels.page_label(F.col("style"), F.col("prefix"), F.col("first") + F.col("page_index") - F.col("start"))
+    count = held["embedded_files"].groupBy("doc_id").agg(F.count("*").alias("n_files"))
+    texts = held["text_marks"].select("doc_id", "page_index", F.coalesce("replacement", "text").alias("text"))
+    opened = held["actions"].where("source = 'open'").select("doc_id")
+    out = texts.join(known.withColumn("label", label).select("doc_id", "page_index", "label"), ["doc_id", "page_index"]).join(held["documents"].select("doc_id", "title"), "doc_id").join(count, "doc_id")
+    return _told(out.join(opened, "doc_id", "left_anti"), "page_index", "text", "title", "label", "n_files")
+
+
 @query("""WITH f AS (SELECT unnest(['Helvetica', 'Helvetica-Bold', 'Times-Roman', 'Times-Bold', 'Times-Italic', 'Times-BoldItalic', 'Courier']) AS font), c AS (SELECT s_suppkey, ord(unnest(string_split(s_name, ''))) AS c FROM supplier)
 SELECT s_suppkey, font, list_aggregate(list_sort(list(DISTINCT c)), 'string_agg', ' ') AS codes FROM c, f GROUP BY s_suppkey, font""")
 def sample_glyph_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import hashlib
 from collections import deque
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from quire.functions.filters import flate_encode
 from quire.sources.pdf.document import Document
 from quire.sources.pdf.objects import Name, PdfError, Ref, Stream, references_in, to_json, write_value
@@ -101,12 +103,23 @@ def aliases(objects: dict[int, object]) -> dict[int, int]:
 
 @dataclass
 class Edits:
-    """Changes to make while rewriting."""
+    """Changes to make while rewriting.
+
+    ``links``: (page, index of the annotation) to a URI, or to None to take the link
+    out. ``text``: page to texts that replace text objects by their order.
+    ``images``: object number to RGBA pixels. ``labels``: page label ranges (start,
+    style, prefix, first). ``drop``: keys of the catalogue to leave out.
+    """
 
     info: dict[str, str] | None = None
     attachments: dict[str, bytes] | None = None
     outline_titles: dict[int, str] = field(default_factory=dict)
     content: dict[int, bytes] = field(default_factory=dict)
+    links: dict[tuple[int, int], str | None] = field(default_factory=dict)
+    text: dict[int, dict[int, str]] = field(default_factory=dict)
+    images: dict[int, np.ndarray] = field(default_factory=dict)
+    labels: list[tuple[int, str, str, int]] | None = None
+    drop: tuple[str, ...] = ()
 
 
 @dataclass
@@ -236,9 +249,63 @@ def _edit(doc: Document, out: dict[int, object], trailer: dict, edits: Edits, ch
         if i in titles:
             own = next(v for v in out.values() if isinstance(v, dict) and v == with_references(item["dict"], change))
             own["Title"] = encode_text(titles[i])
-    for page in doc.pages() if edits.content else ():
-        if page.index in edits.content and page.ref:
-            out[change(page.ref).num]["Contents"] = fresh(Stream({}, edits.content[page.index]))
+    _edit_pages(doc, out, edits, change, fresh)
+    for num, pixels in sorted(edits.images.items()):
+        to = change(Ref(num, 0))
+        if to is None or not isinstance(out.get(to.num), Stream) or out[to.num].dict.get("Subtype") != "Image":
+            raise PdfError(f"no image {num} to replace")
+        colors, alpha = create_image(pixels)
+        out[to.num] = Stream(colors.dict | ({"SMask": fresh(alpha)} if alpha else {}), colors.raw)
+    root = out[trailer["Root"].num]
+    if edits.labels is not None:
+        ranges = [v for start, style, prefix, first in sorted(edits.labels) for v in (start, ({"S": Name(style)} if style else {}) | ({"P": encode_text(prefix)} if prefix else {}) | ({"St": first} if first != 1 else {}))]
+        root["PageLabels"] = {"Nums": ranges}
+    for key in edits.drop:
+        root.pop(key, None)
+
+
+def _edit_pages(doc: Document, out: dict[int, object], edits: Edits, change, fresh) -> None:
+    """Content, replaced text and links, pages in order and links by their index."""
+    wanted = {*edits.content, *edits.text, *(page for page, _ in edits.links)}
+    met = set()
+    for page in doc.pages() if wanted else ():
+        if page.index not in wanted or not page.ref:
+            continue
+        met.add(page.index)
+        own = out[change(page.ref).num]
+        if page.index in edits.content or page.index in edits.text:
+            data = edits.content.get(page.index, doc.content(page))
+            own["Contents"] = fresh(Stream({}, replace_text(data, edits.text.get(page.index, {}))))
+        held = doc.resolve(page.dict.get("Annots")) or []
+        gone = set()
+        for (_, index), uri in sorted((k, v) for k, v in edits.links.items() if k[0] == page.index):
+            if not 0 <= index < len(held) or doc.get(held[index], "Subtype") != "Link":
+                raise PdfError(f"no link {index} on page {page.index}")
+            if uri is None:
+                gone.add(index)
+                continue
+            link = out[change(held[index]).num] if isinstance(held[index], Ref) else None
+            if link is None:
+                raise PdfError(f"link {index} on page {page.index} is no object of its own")
+            link.pop("Dest", None)
+            link["A"] = {"S": Name("URI"), "URI": uri.encode("utf-8")}
+        if gone:
+            own["Annots"] = [with_references(v, change) for i, v in enumerate(held) if i not in gone]
+    if missing := wanted - met:
+        raise PdfError(f"no page {min(missing)}")
+
+
+def create_image(pixels: np.ndarray) -> tuple[Stream, Stream | None]:
+    """The image of RGBA pixels, in gray where nothing is lost, and its soft mask unless it is opaque."""
+    height, width = pixels.shape[:2]
+    gray = (pixels[..., 0] == pixels[..., 1]).all() and (pixels[..., 1] == pixels[..., 2]).all()
+
+    def stream(plane: np.ndarray, space: str) -> Stream:
+        own = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": 8, "ColorSpace": Name(space), "Filter": Name("FlateDecode")}
+        return Stream(own, flate_encode(np.ascontiguousarray(plane).tobytes()))
+
+    colors = stream(pixels[..., :1], "DeviceGray") if gray else stream(pixels[..., :3], "DeviceRGB")
+    return colors, None if (pixels[..., 3] == 255).all() else stream(pixels[..., 3], "DeviceGray")
 
 
 def replace_text(data: bytes, replacements: dict[int, str]) -> bytes:

@@ -494,3 +494,63 @@ def rewritten(files: DataFrame, optimise: bool = True, password: str = "") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], batch.schema.field(0).type), *[pa.array([v], t) for v, t in zip(row, types, strict=True)]], names=["doc_id", *names])
 
     return files.select("doc_id", "content").mapInArrow(run, f"doc_id {id_type}, content binary, objects long, removed long, merged long, compressed long, bytes_in long, bytes_out long, fault string")
+
+
+EDIT_KINDS = ("info", "attachment", "outline_title", "content", "link", "remove_link", "text", "label", "drop")
+
+
+def edited(files: DataFrame, edits: DataFrame, password: str = "", mode: str = "FAILFAST") -> DataFrame:
+    """doc_id, content and fault of every file, rewritten with the edits of its document.
+
+    ``edits``: doc_id, kind (of ``EDIT_KINDS``), page, index, name, value: ``info``
+    and ``attachment`` by name, ``outline_title`` by index, ``content`` by page,
+    ``link`` and ``remove_link`` by page and index, ``text`` by page and the text
+    object's index, ``label`` by first page with ``name`` as style, ``value`` as
+    prefix and ``index`` as first number, ``drop`` by name. The edits of a document
+    are gathered beside it, in order. Documents without edits keep their bytes.
+    With ``mode="PERMISSIVE"`` a document whose edits do not apply keeps its
+    bytes and tells why in ``fault``.
+    """
+    from quire.sources.pdf.write import Edits, rewrite
+
+    id_type = files.schema["doc_id"].dataType.simpleString()
+    item = F.struct("kind", "page", "index", "name", "value")
+    gathered = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("edits"))
+
+    def made(rows: list[dict]) -> Edits:
+        out = Edits()
+        for r in rows:
+            kind, page, index, name, value = (r[k] for k in ("kind", "page", "index", "name", "value"))
+            if kind == "info":
+                out.info = (out.info or {}) | {name: value}
+            elif kind == "attachment":
+                out.attachments = (out.attachments or {}) | {name: value.encode("utf-8")}
+            elif kind == "outline_title":
+                out.outline_titles[index] = value
+            elif kind == "content":
+                out.content[page] = value.encode("latin-1")
+            elif kind in ("link", "remove_link"):
+                out.links[page, index] = value if kind == "link" else None
+            elif kind == "text":
+                out.text.setdefault(page, {})[index] = value
+            elif kind == "label":
+                out.labels = [*(out.labels or []), (page, name, value, index)]
+            elif kind == "drop":
+                out.drop += (name,)
+            else:
+                raise PdfError(f"an unknown kind of edit {kind}")
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data, rows, fault = batch.column(1)[i].as_py() or b"", batch.column(2)[i].as_py(), None
+                try:
+                    out = rewrite(Document(data, password), made(rows))[0] if rows else data
+                except FAULTS as e:
+                    if mode.upper() != "PERMISSIVE":
+                        raise
+                    out, fault = data, str(e) or type(e).__name__
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out], pa.binary()), pa.array([fault], pa.string())], names=["doc_id", "content", "fault"])
+
+    return files.select("doc_id", "content").join(gathered, "doc_id", "left").mapInArrow(run, f"doc_id {id_type}, content binary, fault string")

@@ -492,3 +492,25 @@ def test_document_level_tables():
     (intent,) = doc.output_intents()
     assert doc.metadata() == b"<x/>" and (intent["subtype"], intent["identifier"], intent["profile"], intent["components"], intent["info"]) == ("GTS_PDFX", "CGATS", 7, 4, None)
     assert list(doc.structure_ids()) == [(b"a", 3)]
+
+
+def test_edits_of_links_images_and_labels():
+    import numpy as np
+
+    from quire.sources.pdf.images import decode_image
+
+    link = {"Subtype": Name("Link"), "Rect": [0, 0, 1, 1], "Dest": b"x"}
+    image = Stream({"Subtype": Name("Image"), "Width": 1, "Height": 1, "ColorSpace": Name("DeviceGray"), "BitsPerComponent": 8}, b"a")
+    data = page_file(b"BT /F 1 Tf (a) Tj ET /I Do", {"Font": {"F": Ref(5, 0)}, "XObject": {"I": Ref(8, 0)}}, {6: link, 7: dict(link), 8: image}, page={"Annots": [Ref(6, 0), Ref(7, 0)]})
+    pixels = np.array([[[1, 2, 3, 255], [4, 5, 6, 7]]], np.uint8)
+    out, _ = rewrite(Document(data), Edits(links={(0, 0): "http://é", (0, 1): None}, images={8: pixels}, labels=[(0, "D", "p", 3)], text={0: {0: "whole"}}, drop=("Dests",)))
+    doc = Document(out)
+    (page,) = doc.pages()
+    (kept,) = doc.annotations(page)
+    assert kept["dict"]["A"]["URI"].decode() == "http://é" and "Dest" not in kept["dict"] and [m["replacement"] for m in marks(doc)] == ["whole"]
+    assert list(doc.page_labels()) == [{"start": 0, "style": "D", "prefix": "p", "first": 3}]
+    ((_, mark),) = [(k, m) for k, m in Interpreter(doc, page).run() if k == "image"]
+    assert (decode_image(doc, doc.object(mark["num"])) == pixels).all()
+    for bad in (Edits(links={(0, 5): "x"}), Edits(images={5: pixels}), Edits(content={3: b""})):
+        with pytest.raises(PdfError):
+            rewrite(Document(data), bad)
