@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import calculator, labels
 from quire.operators import relations as R
+from quire.operators.appearances import drawn_annotations
 from quire.plans.session import cut_lineage, spread
 from quire.queries import ORACLES, QUERIES, query, r6, table
 from quire.sources.pdf import fonts
@@ -321,6 +322,19 @@ def sample_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(out.join(opened, "doc_id", "left_anti"), "page_index", "text", "title", "label", "n_files")
 
 
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 10 AS k FROM supplier),
+m(i, part, ops, fill, stroke, w0, wk, a, b) AS (VALUES (0, 0, 'MLLLZ', false, true, 0, 1, 300, 0), (1, 0, 'ML', false, true, 2, 0, 102, 0), (2, 0, 'MLLLZ', true, true, 4, 0, 300, 0), (3, 0, 'MCCCCZ', true, false, 0, 0, 1025, 0), (4, 0, 'MLLZ', false, true, 1, 0, 5, 2), (5, 0, 'ML', false, true, 1, 0, 5, 1),
+  (6, 0, 'ML', false, true, 1, 0, 6, 1), (7, 0, 'MLL', false, true, 1, 0, 9, 1), (7, 1, 'ML', false, true, 1, 0, 18, 0), (8, 0, 'MLLLZ', true, false, NULL, NULL, 264, 4), (9, 0, 'ML', false, true, 1, 0, 120, 2), (10, 0, 'ML', false, true, 1, 0, 132, 2), (10, 1, 'ML', false, true, 1, 0, 132, 2),
+  (11, 0, 'M' || repeat('L', 40), false, true, 1, 0, 41 * 60 + 40, 41))
+SELECT s_suppkey, i::INT AS index, part::INT AS part, ops, fill, stroke, (w0 + wk * k)::DOUBLE AS width, (a + b * k)::DOUBLE AS total FROM s, m WHERE NOT (i = 0 AND k = 0)""")
+def sample_drawn_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of annotations without an appearance of their own, by column expressions."""
+    found = drawn_annotations(scan(_samples(spark, sf_dir, "drawn"), "annotations", "FAILFAST"))
+    ops = F.array_join(F.transform("segments", lambda s: s["op"]), "")
+    total = F.aggregate(F.flatten(F.transform("segments", lambda s: s["points"])), F.lit(0.0), lambda a, x: a + x)
+    return _told(found, "index", "part", ops.alias("ops"), "fill", "stroke", "width", r6(total).alias("total"))
+
+
 @query("""WITH f AS (SELECT unnest(['Helvetica', 'Helvetica-Bold', 'Times-Roman', 'Times-Bold', 'Times-Italic', 'Times-BoldItalic', 'Courier']) AS font), c AS (SELECT s_suppkey, ord(unnest(string_split(s_name, ''))) AS c FROM supplier)
 SELECT s_suppkey, font, list_aggregate(list_sort(list(DISTINCT c)), 'string_agg', ' ') AS codes FROM c, f GROUP BY s_suppkey, font""")
 def sample_glyph_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

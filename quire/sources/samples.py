@@ -270,6 +270,21 @@ def annotated(key: int, name: str) -> bytes:
     return data
 
 
+def drawn(key: int, name: str) -> bytes:
+    """An annotation of every kind that is drawn from its dictionary alone."""
+    k, rect = key % 10, [0, 0, 100, 50]
+    quad = [10, 10 + k, 90, 10 + k, 90, 22 + k, 10, 22 + k]
+    rows = [10, 22 + k, 90, 22 + k, 10, 10 + k, 90, 10 + k]
+    own = [
+        {"Subtype": Name("Link"), "Border": [0, 0, k]}, {"Subtype": Name("Link"), "BS": {"W": 2, "S": Name("U")}}, {"Subtype": Name("Square"), "BS": {"W": 4}, "IC": [1, 0, 0]}, {"Subtype": Name("Circle"), "BS": {"W": 0}, "IC": [0.5]},
+        {"Subtype": Name("Polygon"), "Vertices": [0, 0, k, 0, k, 5]}, {"Subtype": Name("PolyLine"), "Vertices": [0, 0, k, 5]}, {"Subtype": Name("Line"), "L": [1, 2, 3, k]}, {"Subtype": Name("Ink"), "InkList": [[1, 1, 2, 2, k, 3], [4, 4, 5, 5]]},
+        {"Subtype": Name("Highlight"), "QuadPoints": quad}, {"Subtype": Name("Underline"), "QuadPoints": rows}, {"Subtype": Name("StrikeOut"), "QuadPoints": quad + rows}, {"Subtype": Name("Squiggly"), "QuadPoints": quad},
+        {"Subtype": Name("Text")}, {"Subtype": Name("Square"), "AP": {"N": Ref(20, 0)}},
+    ]
+    page = {"Type": Name("Page"), "Parent": Ref(2, 0), "Annots": [v | {"Rect": rect} for v in own]}
+    return one_page(b"", {}, {3: page, 20: Stream({"Subtype": Name("Form"), "BBox": [0, 0, 1, 1]}, b"")})
+
+
 def patterned(key: int, name: str) -> bytes:
     """Shadings of every type, both kinds of patterns, and a font of drawn glyphs."""
     k = key % 10
@@ -305,5 +320,5 @@ def pictured(key: int, name: str) -> bytes:
 
 KINDS: dict[str, Callable[[int, str], bytes]] = {
     "structured": structured, "revised": revised, "damaged": damaged, "graphic": graphic, "typeset": typeset, "layered": layered, "filtered": filtered, "sealed": sealed, "faced": faced,
-    "annotated": annotated, "patterned": patterned, "pictured": pictured,
+    "annotated": annotated, "drawn": drawn, "patterned": patterned, "pictured": pictured,
 }
