@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "quire", cpus: int | None = None) -> SparkSession:
@@ -50,10 +51,12 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when it has fewer partitions than they are.
+    """``df`` over all cores when fewer partitions than they are hold rows.
 
-    For costly per-row work on a small input, such as one file of one row
-    group; an input of many partitions passes as it is.
+    For costly per-row work on a small input, such as one file of one row group;
+    an input of many partitions passes as it is. Counting the partitions reads no
+    column (of Parquet files only the footers).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    held = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(2 * cores) if held < cores else df
