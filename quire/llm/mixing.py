@@ -111,7 +111,7 @@ def multipliers(classes: DataFrame, aims: DataFrame, cap: int = CAP) -> DataFram
         close = F.coalesce(F.abs(gap) <= TOLERANCE * F.col("target"), F.lit(True)) | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs("lam"))
         after = after.withColumns({"settled": F.col("settled") | close, "lo": F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(gap < 0, F.col("lam")).otherwise(F.col("hi"))})
         # the dual's gradient is taken as a logarithm: it is nearly straight where the rates are far from the cap
-        newton = F.col("lam") + F.try_divide(F.log(F.col("target") / F.col("got")) * F.col("got"), F.col("slope"))
+        newton = F.col("lam") + F.try_divide(F.log(F.try_divide(F.col("target"), F.col("got"))) * F.col("got"), F.col("slope"))
         inside = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         now = cut_lineage(after.select("source", "source_size", "target", "scale", F.when(F.col("settled"), F.col("lam")).otherwise(inside).alias("lam"), "lo", "hi", "settled"))
     raise RuntimeError(f"the multipliers did not settle in {MAX_STEPS} steps")
