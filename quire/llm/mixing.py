@@ -23,7 +23,8 @@ range of the hash and only the range that holds the threshold is ranked. A row's
 copies therefore follow from its own columns and one row of the class table.
 
 The class table has at most one row for each pair of source and text length; it
-is broadcast up to ``MOST_BROADCAST`` rows and joined by shuffle beyond.
+is broadcast up to ``MOST_BROADCAST`` rows, so that a frequent class never meets
+in one task, and joined by shuffle beyond (adaptive execution splits such a class).
 
 Defined cases: a null text has no words; documents without words are taken 0
 times; null is a source of its own; repeated rows are separate documents, alike
@@ -153,14 +154,15 @@ def _thresholds(keys: DataFrame, plan: DataFrame) -> DataFrame:
 
     ``keys``: source, size, h, m (rows of that hash). ``plan``: source, size, n, odd.
     """
+    side = F.broadcast if plan.count() <= MOST_BROADCAST else lambda df: df
     wanted = plan.where("odd > 0").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("odd"), F.ceil(F.col("n") / BUCKET).alias("ranges"))
     same = _sources_equal() & (F.col("size") == F.col("z"))
-    dealt = keys.join(wanted, same).withColumn("range", _hash_range(F.col("ranges")))
+    dealt = keys.join(side(wanted), same).withColumn("range", _hash_range(F.col("ranges")))
     ranges = dealt.groupBy("s", "z", "odd", "ranges", "range").agg(F.sum("m").alias("count"))
     reached = F.sum("count").over(Window.partitionBy("s", "z").orderBy("range"))
     held = ranges.withColumn("reached", reached).where("reached >= odd AND reached - count < odd").select("s", "z", "ranges", "range", (F.col("odd") - F.col("reached") + F.col("count")).alias("rest"))
     named = held.select("s", "z", "ranges", F.col("range").alias("wanted_range"), "rest")
-    near = keys.join(named, same).where(_hash_range(F.col("ranges")) == F.col("wanted_range"))
+    near = keys.join(side(named), same).where(_hash_range(F.col("ranges")) == F.col("wanted_range"))
     # rows of one hash are one key, so this ranks about BUCKET keys, however often a row is repeated
     upto = F.sum("m").over(Window.partitionBy("s", "z").orderBy("h"))
     found = near.groupBy("s", "z", "rest", "h").agg(F.sum("m").alias("m")).withColumn("upto", upto).where("upto >= rest AND upto - m < rest")
