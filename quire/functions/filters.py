@@ -220,11 +220,44 @@ def undo_predictor(data: bytes, predictor: int, colors: int = 1, bits: int = 8,
         raise FilterError("unknown predictor")
     if len(data) % (row + 1):
         raise FilterError("rows end early")
-    out, above = bytearray(), np.zeros(row, dtype=np.uint8)
-    for at in range(0, len(data), row + 1):
-        above = _undo_row(data[at], np.frombuffer(data, np.uint8, row, at + 1), above, unit)
-        out += above.tobytes()
-    return bytes(out)
+    held = np.frombuffer(data, np.uint8).reshape(-1, row + 1)
+    kinds, raw = held[:, 0], held[:, 1:]
+    out, above, at = np.empty_like(raw), np.zeros(row, dtype=np.uint8), 0
+    while at < len(raw):
+        stop = at + 1
+        if kinds[at] in (3, 4):
+            while stop < len(raw) and kinds[stop] in (3, 4):
+                stop += 1
+        if stop - at >= WAVE_ROWS:
+            out[at:stop] = _undo_wave(kinds[at:stop], raw[at:stop], above, unit)
+        else:
+            for i in range(at, stop):
+                out[i] = above = _undo_row(int(kinds[i]), raw[i], above, unit)
+        at, above = stop, out[stop - 1]
+    return out.tobytes()
+
+
+#: Neighbouring rows from which on pixels that do not wait for each other are undone together.
+WAVE_ROWS = 12
+
+
+def _undo_wave(kinds: np.ndarray, raw: np.ndarray, above: np.ndarray, unit: int) -> np.ndarray:
+    """Rows of filters 3 and 4, one diagonal of pixels after the other: none of a diagonal needs another of it."""
+    rows, size = raw.shape
+    pad = -size % unit
+    shaped = lambda a: np.pad(a, ((0, 0), (0, pad))).reshape(len(a), -1, unit).astype(np.int16)
+    wanted = shaped(raw)
+    width = wanted.shape[1]
+    out = np.zeros((rows + 1, width + 1, unit), np.int16)
+    out[0, 1:] = shaped(above[None, :])[0]
+    for d in range(rows + width - 1):
+        r = np.arange(max(0, d - width + 1), min(rows, d + 1))
+        c = d - r
+        left, up, corner = out[r + 1, c], out[r, c + 1], out[r, c]
+        a, b, e = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        near = np.where((a <= b) & (a <= e), left, np.where(b <= e, up, corner))
+        out[r + 1, c + 1] = wanted[r, c] + np.where(kinds[r, None] == 3, (left + up) >> 1, near) & 255
+    return out[1:, 1:].reshape(rows, -1)[:, :size].astype(np.uint8)
 
 
 def _undo_differences(data: bytes, colors: int, bits: int, columns: int, row: int) -> bytes:

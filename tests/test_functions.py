@@ -156,3 +156,20 @@ def test_function_types(spark):
     bits = F.unhex(F.lit("1B2C"))
     assert value(spark, *[shading.packed_sample(bits, F.lit(i), n) for i, n in ((0, 4), (1, 4), (3, 2), (0, 1), (3, 1), (1, 8), (0, 16))])[:] == (1, 11, 3, 0, 1, 0x2C, 0x1B2C)
     assert math.isclose(value(spark, shading.predictor_paeth(F.lit(10), F.lit(20), F.lit(10)))[0], 20)
+
+
+def test_rows_undone_together_equal_single_rows(monkeypatch):
+    import numpy as np
+
+    from quire.functions import filters
+
+    rng = np.random.default_rng(6)
+    for colors, columns in ((1, 7), (3, 11), (4, 5)):
+        row = colors * columns
+        data = rng.integers(0, 256, (60, row + 1)).astype(np.uint8)
+        data[:, 0] = rng.choice([0, 1, 2, 3, 4, 3, 4, 4, 4], 60)
+        data[20:50, 0] = rng.choice([3, 4], 30)
+        together = filters.undo_predictor(data.tobytes(), 15, colors, 8, columns)
+        monkeypatch.setattr(filters, "WAVE_ROWS", 10**9)
+        assert filters.undo_predictor(data.tobytes(), 15, colors, 8, columns) == together
+        monkeypatch.undo()
