@@ -108,7 +108,8 @@ class Edits:
     ``links``: (page, index of the annotation) to a URI, or to None to take the link
     out. ``text``: page to texts that replace text objects by their order.
     ``images``: object number to RGBA pixels. ``labels``: page label ranges (start,
-    style, prefix, first). ``drop``: keys of the catalogue to leave out.
+    style, prefix, first). ``drop``: keys of the catalogue to leave out. ``compact``
+    joins neighbouring text objects on every page.
     """
 
     info: dict[str, str] | None = None
@@ -120,6 +121,7 @@ class Edits:
     images: dict[int, np.ndarray] = field(default_factory=dict)
     labels: list[tuple[int, str, str, int]] | None = None
     drop: tuple[str, ...] = ()
+    compact: bool = False
 
 
 @dataclass
@@ -268,14 +270,14 @@ def _edit_pages(doc: Document, out: dict[int, object], edits: Edits, change, fre
     """Content, replaced text and links, pages in order and links by their index."""
     wanted = {*edits.content, *edits.text, *(page for page, _ in edits.links)}
     met = set()
-    for page in doc.pages() if wanted else ():
-        if page.index not in wanted or not page.ref:
+    for page in doc.pages() if wanted or edits.compact else ():
+        if not page.ref or not (edits.compact or page.index in wanted):
             continue
         met.add(page.index)
         own = out[change(page.ref).num]
-        if page.index in edits.content or page.index in edits.text:
-            data = edits.content.get(page.index, doc.content(page))
-            own["Contents"] = fresh(Stream({}, replace_text(data, edits.text.get(page.index, {}))))
+        if edits.compact or page.index in edits.content or page.index in edits.text:
+            data = replace_text(edits.content.get(page.index, doc.content(page)), edits.text.get(page.index, {}))
+            own["Contents"] = fresh(Stream({}, compact_text(data) if edits.compact else data))
         held = doc.resolve(page.dict.get("Annots")) or []
         gone = set()
         for (_, index), uri in sorted((k, v) for k, v in edits.links.items() if k[0] == page.index):

@@ -496,7 +496,7 @@ def rewritten(files: DataFrame, optimise: bool = True, password: str = "") -> Da
     return files.select("doc_id", "content").mapInArrow(run, f"doc_id {id_type}, content binary, objects long, removed long, merged long, compressed long, bytes_in long, bytes_out long, fault string")
 
 
-EDIT_KINDS = ("info", "attachment", "outline_title", "content", "link", "remove_link", "text", "label", "drop")
+EDIT_KINDS = ("info", "attachment", "outline_title", "content", "link", "remove_link", "text", "label", "drop", "compact")
 
 
 def edited(files: DataFrame, edits: DataFrame, password: str = "", mode: str = "FAILFAST") -> DataFrame:
@@ -506,7 +506,8 @@ def edited(files: DataFrame, edits: DataFrame, password: str = "", mode: str = "
     and ``attachment`` by name, ``outline_title`` by index, ``content`` by page,
     ``link`` and ``remove_link`` by page and index, ``text`` by page and the text
     object's index, ``label`` by first page with ``name`` as style, ``value`` as
-    prefix and ``index`` as first number, ``drop`` by name. The edits of a document
+    prefix and ``index`` as first number, ``drop`` by name, ``compact`` for the whole
+    document. The edits of a document
     are gathered beside it, in order. Documents without edits keep their bytes.
     With ``mode="PERMISSIVE"`` a document whose edits do not apply keeps its
     bytes and tells why in ``fault``.
@@ -537,6 +538,8 @@ def edited(files: DataFrame, edits: DataFrame, password: str = "", mode: str = "
                 out.labels = [*(out.labels or []), (page, name, value, index)]
             elif kind == "drop":
                 out.drop += (name,)
+            elif kind == "compact":
+                out.compact = True
             else:
                 raise PdfError(f"an unknown kind of edit {kind}")
         return out

@@ -511,6 +511,10 @@ def test_edits_of_links_images_and_labels():
     assert list(doc.page_labels()) == [{"start": 0, "style": "D", "prefix": "p", "first": 3}]
     ((_, mark),) = [(k, m) for k, m in Interpreter(doc, page).run() if k == "image"]
     assert (decode_image(doc, doc.object(mark["num"])) == pixels).all()
+    joined = page_file(b"BT /F 1 Tf 1 0 0 1 5 5 Tm (a) Tj ET BT 1 0 0 1 9 9 Tm (b) Tj ET")
+    compact = Document(rewrite(Document(joined), Edits(compact=True))[0])
+    assert [(m["matrix"], m["glyphs"][0]["text"]) for m in marks(compact)] == [(m["matrix"], m["glyphs"][0]["text"]) for m in marks(Document(joined))]
+    assert [op for p in compact.pages() for op, _, _ in operators(compact.content(p))].count("BT") == 1
     for bad in (Edits(links={(0, 5): "x"}), Edits(images={5: pixels}), Edits(content={3: b""})):
         with pytest.raises(PdfError):
             rewrite(Document(data), bad)
