@@ -28,6 +28,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -38,6 +39,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +51,7 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Encoded words a worker keeps; the store is emptied when full.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 120_000
 #: Most that one round of multiplicative weights covers of a length's count.
 STEP = 0.05
 #: Weight below which a length is left out of the knapsack.
@@ -59,7 +61,7 @@ PLANS = ((80, 0.001), (160, 0.001), (300, 0.05))
 #: Below this code point a word's characters are classed alike by both encoders.
 PLAIN_BELOW = "\u0250"
 #: Texts tokenised together at most, by count and by characters.
-TEXTS, CHARS = 512, 1 << 22
+TEXTS, CHARS = 128, 1 << 19
 
 _DOUBLE = re.compile(r" (?:\s|\Z)")
 _UNSAFE = re.compile(r"\s \s|\s \Z")
@@ -98,12 +100,17 @@ class WordCache:
     """
 
     def __init__(self, path: str, ranks_path: str | None = None):
+        self.path = path
+        self.kept: dict[str, bytes] = {}  # ids of a word after a space
+        self.quick = quick_encoder(ranks_path) if ranks_path else None
+
+    @functools.cached_property
+    def tokenizer(self):
+        """Read when the first text needs it."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}  # ids of a word after a space
-        self.quick = quick_encoder(ranks_path) if ranks_path else None
+        return Tokenizer.from_file(self.path)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         if not self.quick:
@@ -115,7 +122,7 @@ class WordCache:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [] if not texts else [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit unsigned integers."""
@@ -141,6 +148,12 @@ class WordCache:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_cache(path: str, ranks_path: str | None) -> WordCache:
+    """One encoder for all tasks of a worker process."""
+    return WordCache(path, ranks_path)
+
+
 def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` ids; the first may be shorter."""
     first = n % capacity or min(capacity, n)
@@ -167,17 +180,18 @@ def piece_table(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
         return rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path, ranks_path)
+        cache = word_cache(path, ranks_path)
         types = {"piece": pa.int32(), "ids": pa.list_(pa.int32())}
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 stop, size = at, 0
-                while stop < len(texts) and stop - at < TEXTS and (stop == at or size + len(texts[stop]) <= CHARS):
-                    size += len(texts[stop])
+                while stop < len(sizes) and stop - at < TEXTS and (stop == at or size + sizes[stop] <= CHARS):
+                    size += sizes[stop]
                     stop += 1
-                rows = pieces(texts[at:stop], cache)
+                texts = [t or "" for t in batch.column("text").slice(at, stop - at).to_pylist()]
+                rows = pieces(texts, cache)
                 # ids are taken as they came: a null beside a long must not turn the column into doubles
                 own = batch.column("doc_id").slice(at, stop - at).take(pa.array(rows.pop("row"), pa.int64()))
                 values = [pa.array(v, types.get(name, pa.int64())) for name, v in rows.items()]
