@@ -74,4 +74,54 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10}
+#: CRC-32 of an ASCII string: bit by bit, since there is no such function.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP11 = """
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS nc,
+         CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) END AS nt,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(head || nc || tail) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {crc} % 7 = 0 THEN sha256(head || nt || tail) ELSE sha256(head || nc || tail) END AS claimed
+  FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+g AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree, count(*) AS n, count(*) OVER () AS trees FROM p GROUP BY lang),
+t AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS h, p.n FROM p JOIN g ON p.lang IS NOT DISTINCT FROM g.lang
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY tree, lvl, pos // 2, n),
+s AS (
+  SELECT 0 AS lvl, t.tree AS pos, h, trees AS n FROM t JOIN g ON t.tree = g.tree WHERE t.n = 1
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM s WHERE n > 1 GROUP BY lvl, pos // 2, n),
+every AS (
+  SELECT tree, lvl, pos, h, n FROM t WHERE n > 1
+  UNION ALL
+  SELECT -1, lvl, pos, h, n FROM s WHERE n > 1),
+walk AS (
+  SELECT p.doc_id, p.leaf, p.claimed, p.pos, g.tree, row_number() OVER () AS rid FROM p JOIN g ON p.lang IS NOT DISTINCT FROM g.lang),
+steps AS (
+  SELECT rid, v.lvl, w.pos >> v.lvl AS mine, e.h FROM walk w JOIN (SELECT DISTINCT tree, lvl FROM every) v ON v.tree = w.tree
+  LEFT JOIN every e ON e.tree = w.tree AND e.lvl = v.lvl AND e.pos = xor(w.pos >> v.lvl, 1)
+  UNION ALL
+  SELECT rid, 1000 + v.lvl, w.tree >> v.lvl, e.h FROM walk w JOIN (SELECT DISTINCT lvl FROM every WHERE tree = -1) v ON true
+  LEFT JOIN every e ON e.tree = -1 AND e.lvl = v.lvl AND e.pos = xor(w.tree >> v.lvl, 1)),
+proofs AS (
+  SELECT w.rid, w.doc_id, w.leaf, w.claimed, t.h AS subroot, (SELECT h FROM s WHERE n = 1) AS root,
+         coalesce(list(CASE WHEN s2.h IS NULL THEN '-' WHEN s2.mine % 2 = 1 THEN 'l' || s2.h ELSE 'r' || s2.h END ORDER BY s2.lvl) FILTER (WHERE s2.rid IS NOT NULL), []) AS sib
+  FROM walk w JOIN t ON t.tree = w.tree AND t.n = 1 LEFT JOIN steps s2 ON s2.rid = w.rid
+  GROUP BY ALL),
+f AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sib, lambda x: x[2:]), '')) AS proof_sha256,
+         list_reduce(list_prepend(claimed, sib), lambda h, x: sha256(CASE x[1] WHEN '-' THEN h WHEN 'l' THEN x[2:] || h ELSE h || x[2:] END)) AS folded_root
+  FROM proofs)
+SELECT *, folded_root = root AS verified FROM f
+""".replace("{crc}", CRC32.format("doc_id::VARCHAR"))
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10, "op11_merkle_manifest": OP11}

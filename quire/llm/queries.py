@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, mixing, packing, quality, secrets, sharding, simhash, toxicity, urls, winnowing
+from quire.llm import chat, merkle, mixing, packing, quality, secrets, sharding, simhash, toxicity, urls, winnowing
 from quire.plans.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    fields = lambda n_chars: [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = F.when(tampered, merkle.leaf(fields(F.col("n_chars") + 1)))
+    found = merkle.manifest(docs, F.col("doc_id"), fields(F.col("n_chars")), F.col("lang"), kept=claimed)
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("siblings")), 256).alias("proof_sha256"),
+        merkle.fold(F.coalesce("kept", "leaf"), F.col("siblings")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -95,4 +107,5 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }

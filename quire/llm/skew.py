@@ -25,3 +25,20 @@ def join_keyed(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataF
     hot = table.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
     return rows.join(F.broadcast(hot), key).select(*order).union(cold.select(*order))
+
+
+#: A table is broadcast up to this many bytes of values, as counted.
+SMALL_BYTES = 8 << 20
+
+
+def join_small(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, one row a key and usually few; null keys match.
+
+    The table's bytes are counted first. Up to ``SMALL_BYTES`` it is broadcast and
+    the rows stay where they are; beyond, there are too many keys for that and the
+    two meet by shuffle, where adaptive execution splits a key that is hot.
+    """
+    held = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    other = table.withColumnRenamed(key, "_key")
+    met = rows.join(F.broadcast(other) if held <= SMALL_BYTES else other, rows[key].eqNullSafe(F.col("_key")))
+    return met.drop("_key")
