@@ -124,4 +124,74 @@ f AS (
 SELECT *, folded_root = root AS verified FROM f
 """.replace("{crc}", CRC32.format("doc_id::VARCHAR"))
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10, "op11_merkle_manifest": OP11}
+def _edit(top: str, cost: str, initial: str, where: str = "true") -> str:
+    """A top after an edit; one that cannot be is dearer than any."""
+    return f"CASE WHEN {where} THEN {{'c': {top}.c + {cost}, 'a': {top}.a || '{initial}'}} ELSE {{'c': 1000000000::BIGINT, 'a': ''}} END"
+
+
+def _least(*tops: str) -> str:
+    return f"list_min([{', '.join(tops)}])"
+
+
+def _shift(to: str, froms: str, initial: str) -> str:
+    kept = [_edit(f"w{f}", "late", "K", f"init = '{initial}' AND NOT must_go") for f in froms]
+    changed = [] if initial == "s" else [_edit(f"w{f}", "2 + late", "R", "NOT must_go") for f in froms]
+    return _least(_edit(f"w{to}", "3", "D"), *kept, *changed)
+
+
+#: Tops: 0 nothing yet, s, u, a (a whole pair); w0 and so on are the tops after insertions.
+OP13 = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (SELECT *, {CRC32.format("k")} % 20 AS code FROM raw),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE code <> 0)),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM dam),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, left(role, 1) AS init,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\\z', 1) AS final FROM num),
+r AS (
+  SELECT *, lead(init) OVER (PARTITION BY conv_id ORDER BY n) AS after,
+         CASE WHEN final = '' THEN 'b' WHEN again THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM seen),
+e AS (SELECT *, fault IN ('b', 'd') AS must_go, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS late FROM r),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': ''}} AS t0, {{'c': 1000000000::BIGINT, 'a': ''}} AS ts, {{'c': 1000000000::BIGINT, 'a': ''}} AS tu, {{'c': 1000000000::BIGINT, 'a': ''}} AS ta
+  FROM (SELECT DISTINCT conv_id FROM e)
+  UNION ALL
+  SELECT conv_id, n, {_edit("w0", "3", "D")}, {_shift("s", "0", "s")}, {_shift("u", "0sa", "u")}, {_shift("a", "u", "a")}
+  FROM (
+    SELECT *, {_least("ta", _edit("wu", "2", "I"))} AS wa FROM (
+      SELECT dp.conv_id, e.n, t0, ts, tu, ta, init, must_go, late, t0 AS w0, ts AS ws,
+             {_least("tu", *[_edit(t, "2", "I") for t in ("t0", "ts", "ta")])} AS wu
+      FROM dp JOIN e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.n = dp.n + 1))),
+best AS (
+  SELECT dp.conv_id, {_least("t0", "ta", _edit("tu", "2", "I"), _edit("ts", "4", "II"))} AS w
+  FROM dp JOIN (SELECT conv_id, max(n) AS n FROM e GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM dp.conv_id AND l.n = dp.n),
+steps AS (
+  SELECT conv_id, k, w.a[k] AS ed, length(replace(w.a[:k], 'I', '')) AS n, length(replace(w.a[:k], 'D', '')) AS j
+  FROM (SELECT *, unnest(range(1, length(w.a) + 1)) AS k FROM best)),
+made AS (
+  SELECT s.conv_id, s.k, s.ed, s.j, e.role, e.text,
+         bool_or(s.ed = 'K' AND s.j = 1 AND e.init = 's') OVER (PARTITION BY s.conv_id) AS has_s
+  FROM steps s LEFT JOIN e ON s.ed <> 'I' AND e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.n = s.n),
+fixed AS (
+  SELECT conv_id, sha256(coalesce(string_agg(CASE WHEN ed = 'K' THEN role WHEN (j - has_s::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+           || ':' || CASE WHEN ed = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) FILTER (WHERE ed <> 'D'), '')) AS h FROM made GROUP BY conv_id),
+agg AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+         count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE after IS NOT NULL AND init || after NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM e GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+       coalesce(w.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN agg ON agg.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op9_quality_rules": OP9, "op10_url_filters": OP10, "op11_merkle_manifest": OP11, "op13_conversation_repair": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, merkle, mixing, packing, quality, secrets, sharding, simhash, toxicity, urls, winnowing
+from quire.llm import chat, merkle, mixing, packing, quality, repair, secrets, sharding, simhash, toxicity, urls, winnowing
 from quire.plans.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,28 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, stripped, repeated and reroled by the hash of conversation and turn."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("code") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = turns.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), code.alias("code")).where("code <> 0")
+    return kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    report, repaired = repair.repair(_damaged(turns))
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    found = ids.join(report, F.col("id").eqNullSafe(report["conv_id"]), "left").drop("conv_id")
+    digests = repair.repaired_sha256(repaired)
+    found = found.join(digests, F.col("id").eqNullSafe(digests["conv_id"]), "left").drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -108,4 +130,5 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
