@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, merkle, mixing, packing, quality, repair, secrets, sharding, simhash, toxicity, urls, winnowing
+from quire.llm import chat, html_extract, merkle, mixing, packing, quality, repair, secrets, sharding, simhash, toxicity, urls, winnowing
 from quire.plans.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html_extract.extract_main_text(pages.select("page_id", "url", "html"))
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """Rows dropped, emptied, stripped, repeated and reroled by the hash of conversation and turn."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -130,5 +135,6 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filters": op10_url_filters,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_html_extraction": op12_html_extraction,
     "op13_conversation_repair": op13_conversation_repair,
 }

@@ -26,7 +26,7 @@ def words(text):
     return (text or "").encode().split()
 
 
-@pytest.mark.parametrize("name", ["op4_chat_formatting", "op9_quality_rules", "op10_url_filters"])
+@pytest.mark.parametrize("name", ["op4_chat_formatting", "op9_quality_rules", "op10_url_filters", "op11_merkle_manifest", "op13_conversation_repair"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
