@@ -1,96 +1,25 @@
-"""Halftone screens and transfer functions."""
+"""Threshold screens and transfer functions, on numbers, arrays and columns."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
-import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-#: Spot functions on arrays; the rest are available as columns in ``spot``.
-SPOT_ARRAYS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
-    "SimpleDot": lambda x, y: 1 - x * x - y * y,
-    "InvertedSimpleDot": lambda x, y: x * x + y * y - 1,
-    "CosineDot": lambda x, y: (np.cos(np.pi * x) + np.cos(np.pi * y)) / 2,
-    "Line": lambda x, y: -np.abs(y),
-    "LineX": lambda x, y: x,
-    "LineY": lambda x, y: y,
-    "Square": lambda x, y: -np.maximum(np.abs(x), np.abs(y)),
-    "Cross": lambda x, y: -np.minimum(np.abs(x), np.abs(y)),
-}
-MAX_CELL = 1 << 20
 
+def threshold_at(data: bytes, width: int, height: int, x: Column, y: Column) -> Column:
+    """The threshold (1 to 65535) of a device pixel: a rectangle of 8-bit thresholds that repeats in both directions."""
+    held = F.array(*[F.lit(max(1, v * 257)) for v in data[: width * height]])
+    return F.get(held, (F.pmod(y, F.lit(height)) * width + F.pmod(x, F.lit(width))).cast("int"))
 
-@dataclass
-class Screen:
-    """Thresholds (0 to 65535) of two rectangles that tile the plane together."""
 
-    width: int
-    height: int
-    width2: int
-    height2: int
-    thresholds: np.ndarray
-    levels: int
-
-    def threshold(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Threshold of each device pixel; a single rectangle repeats in both directions."""
-        if not self.width2:
-            return self.thresholds[(y % self.height) * self.width + x % self.width]
-        a, b = self.width, self.width2
-        n = a * a + b * b
-        # the second square stands on the first; the pair repeats by (b, a) and (a, -b)
-        i, j = np.floor_divide(b * x + a * y, n), np.floor_divide(a * x - b * y, n)
-        px, py = x - b * i - a * j, y - a * i + b * j
-        for di, dj in sorted(((i, j) for i in range(-2, 3) for j in range(-2, 3)), key=lambda d: abs(d[0]) + abs(d[1])):
-            outside = ~self._inside(px, py)
-            if not outside.any():
-                break
-            qx, qy = px + b * di + a * dj, py + a * di - b * dj
-            moved = outside & self._inside(qx, qy)
-            px, py = np.where(moved, qx, px), np.where(moved, qy, py)
-        first = (px >= 0) & (px < a) & (py >= 0) & (py < a)
-        at = np.where(first, py * a + px, a * a + (py - a) * b + px)
-        return self.thresholds[np.clip(at, 0, len(self.thresholds) - 1)]
-
-    def _inside(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        a, b = self.width, self.width2
-        return ((x >= 0) & (x < a) & (y >= 0) & (y < a)) | ((x >= 0) & (x < b) & (y >= a) & (y < a + b))
-
-    def quantise(self, values: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Output levels of 16-bit values: a level is reached where its share passes the threshold."""
-        scaled = values.astype(np.int64) * self.levels
-        low, rest = scaled // 65535, scaled % 65535
-        return np.minimum(self.levels, low + (rest >= self.threshold(x, y)) * (rest > 0))
-
-
-def spot_screen(spot: str, frequency: float, angle: float, resolution: float, bits: int = 1, accurate: bool = False) -> Screen:
-    """Thresholds from the order of a spot function over a cell turned by ``angle``."""
-    if not all(map(math.isfinite, (frequency, angle, resolution))) or frequency <= 0 or resolution <= 0 or not 1 <= bits <= 16:
-        raise ValueError("screen parameters are out of range")
-    factor = 16 if accurate else 1
-    side, turn = resolution / frequency * factor, math.radians(math.fmod(angle, 360))
-    a, b = round(side * math.cos(turn)), round(side * math.sin(turn))
-    w, w2 = abs(a), abs(b)
-    n = w * w + w2 * w2
-    if not 0 < n <= MAX_CELL:
-        raise ValueError("the screen cell is empty or too large")
-    flip = (-1 if a < 0 or (a == 0 and b > 0) else 1) * (-1 if b > 0 or (b == 0 and a < 0) else 1)
-    ys, xs = np.divmod(np.arange(w * w), max(1, w))
-    ys2, xs2 = np.divmod(np.arange(w2 * w2), max(1, w2))
-    px, py = np.concatenate([xs, xs2]) + 0.5, np.concatenate([ys, ys2 + w]) + 0.5
-    u, v = (w * px - w2 * py) / n * factor, (w2 * px + w * py) / n * factor * flip
-    cut = lambda z: np.clip(z, -1, 1)
-    value = cut(SPOT_ARRAYS[spot](2 * (u - np.floor(u)) - 1, 2 * (v - np.floor(v)) - 1))
-    rank = np.empty(n, dtype=np.int64)
-    rank[np.lexsort((np.arange(n), value))] = np.arange(n)
-    return Screen(w, w, w2, w2, -(-(rank + 1) * 65535 // n), (1 << bits) - 1)
-
-
-def threshold_screen(data: bytes, width: int, height: int, bits: int = 1) -> Screen:
-    """A rectangle of 8-bit thresholds."""
-    values = np.frombuffer(data, np.uint8, width * height).astype(np.int64) * 257
-    return Screen(width, height, 0, 0, np.maximum(1, values), (1 << bits) - 1)
+def quantised(value: Column, threshold: Column, levels: int) -> Column:
+    """Output level of a 16-bit value: the next level is reached where the share beyond the last one passes the threshold."""
+    scaled = value.cast("long") * levels
+    rest = scaled % 65535
+    reached = (rest >= threshold) & (rest > 0)
+    return F.least(F.lit(levels), F.floor(scaled / 65535) + reached.cast("int"))
 
 
 def apply_transfer(values: Sequence, model: str, functions: Sequence[Callable], source: str = ""):

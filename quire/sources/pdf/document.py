@@ -12,7 +12,6 @@ from quire.sources.pdf.objects import Keyword, Name, Parser, PdfError, Ref, Stre
 
 HEAD, TAIL = 1024, 1 << 20
 PAGE_DEPTH, TREE_DEPTH = 8192, 256
-OBJECT_STREAM_BYTES = 16 << 20
 VERSIONS = {f"1.{i}" for i in range(8)} | {"2.0"}
 _INDIRECT = re.compile(rb"(?<![0-9])(\d{1,10})[\x00\t\n\f\r ]+(\d{1,5})[\x00\t\n\f\r ]+obj\b")
 
@@ -52,6 +51,7 @@ class Document:
         self._cache: dict[int, object] = {}
         self._inside: dict[int, dict[int, bytes]] = {}
         self._busy: set[int] = set()
+        self._dests: dict[bytes, object] | None = None
         self.version = self._version()
         try:
             self._load_xref()
@@ -268,8 +268,6 @@ class Document:
             if not isinstance(stream, Stream) or stream.dict.get("Type") != "ObjStm":
                 raise PdfError(f"object {holder} is no object stream")
             data = self.decoded(stream)
-            if len(data) > OBJECT_STREAM_BYTES:
-                raise PdfError("an object stream is too large")
             n, first = self.resolve(stream.dict["N"]), self.resolve(stream.dict["First"])
             p = Parser(data[:first])
             pairs = [(p.value(), p.value()) for _ in range(n)]
@@ -454,7 +452,9 @@ class Document:
         if isinstance(v, Name):
             v = self.get(self.get(self.catalog, "Dests", dict, {}), str(v))
         elif isinstance(v, bytes):
-            v = self.resolve(dict(self.names("Dests")).get(v))
+            if self._dests is None:
+                self._dests = dict(self.names("Dests"))
+            v = self.resolve(self._dests.get(v))
         if isinstance(v, dict):
             v = self.resolve(v.get("D"))
         return v if isinstance(v, list) and len(v) >= 2 else None

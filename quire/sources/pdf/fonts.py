@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 import struct
 import unicodedata
@@ -9,6 +11,8 @@ from dataclasses import dataclass, field
 
 from quire.sources.pdf.objects import Keyword, Name, Parser, PdfError, Stream
 
+#: Ranges of at least this many codes are kept as ranges.
+EXPANDED = 256
 #: Where the standard encoding leaves ASCII, and its upper half by code.
 STANDARD_ASCII = {0x27: "’", 0x60: "‘"}
 STANDARD_HIGH = {
@@ -139,6 +143,7 @@ class CMap:
     text: dict[bytes, str] = field(default_factory=dict)
     cids: dict[bytes, int] = field(default_factory=dict)
     ranges: list[tuple[bytes, bytes, int]] = field(default_factory=list)
+    text_ranges: list[tuple[bytes, bytes, bytes]] = field(default_factory=list)
     vertical: bool = False
 
     def next(self, data: bytes, at: int) -> bytes:
@@ -153,14 +158,62 @@ class CMap:
     def cid(self, code: bytes) -> int:
         if code in self.cids:
             return self.cids[code]
-        for low, high, first in reversed(self.ranges):
-            if len(low) == len(code) and low <= code <= high:
-                return first + int.from_bytes(code, "big") - int.from_bytes(low, "big")
-        return 0
+        held = self._held("ranges").at(_place(code))
+        return held[2] + _place(code) - _place(held[0]) if held else 0
+
+    def text_of(self, code: bytes) -> str | None:
+        """The text of a code, of its own or by the range that holds it."""
+        if code in self.text or not self.text_ranges:
+            return self.text.get(code)
+        held = self._held("text_ranges").at(_place(code))
+        return _shifted(held[2], _place(code) - _place(held[0])) if held else None
+
+    def _held(self, name: str) -> Ranges:
+        """The declared ranges, sorted for search when first asked for."""
+        if name not in self.__dict__.setdefault("_sorted", {}):
+            self._sorted[name] = Ranges([(_place(r[0]), _place(r[1]), r) for r in getattr(self, name)])
+        return self._sorted[name]
+
+
+def _place(code: bytes) -> int:
+    """Codes of all lengths in one order: first those of one byte."""
+    return len(code) << 32 | int.from_bytes(code, "big")
+
+
+def _shifted(value: bytes, step: int) -> str | None:
+    """A mapped text with its last code ``step`` further."""
+    if step:
+        value = (int.from_bytes(value, "big") + step).to_bytes(len(value) + 1, "big")[-len(value) :]
+    try:
+        return value.decode("utf-16-be") if len(value) > 1 else chr(value[0]) if value else ""
+    except UnicodeDecodeError:
+        return None
+
+
+class Ranges:
+    """Closed ranges of numbers with a value, of which the last declared holds where several meet."""
+
+    def __init__(self, declared: list[tuple[int, int, object]]):
+        cuts = sorted({edge for low, high, _ in declared for edge in (low, high + 1)})
+        opening = sorted((low, i) for i, (low, _, _) in enumerate(declared))
+        self.starts, self.values = cuts, []
+        live: list[int] = []  # a heap of declarations, last first
+        nth = 0
+        for cut in cuts:
+            while nth < len(opening) and opening[nth][0] <= cut:
+                heapq.heappush(live, -opening[nth][1])
+                nth += 1
+            while live and declared[-live[0]][1] < cut:
+                heapq.heappop(live)
+            self.values.append(declared[-live[0]][2] if live else None)
+
+    def at(self, number: int) -> object | None:
+        i = bisect.bisect_right(self.starts, number) - 1
+        return self.values[i] if i >= 0 else None
 
 
 def parse_cmap(data: bytes) -> CMap:
-    """Reads ``bf`` (text) and ``cid`` maps; a range holds at most 65536 codes."""
+    """Reads ``bf`` (text) and ``cid`` maps."""
     out, stack, p = CMap(), [], Parser(data, 0, True, references=False)
     while not p.done():
         try:
@@ -196,37 +249,33 @@ def _map(out: CMap, code: object, value: object, step: int) -> None:
         if text := glyph_text(value):
             out.text[code] = text
     elif isinstance(value, bytes):
-        if step:
-            value = (int.from_bytes(value, "big") + step).to_bytes(len(value) + 1, "big")[-len(value) :]
-        try:
-            out.text[code] = value.decode("utf-16-be") if len(value) > 1 else chr(value[0]) if value else ""
-        except UnicodeDecodeError:
-            return
+        if (text := _shifted(value, step)) is not None:
+            out.text[code] = text
 
 
 def _map_range(out: CMap, low: object, high: object, value: object) -> None:
     if not isinstance(low, bytes) or not isinstance(high, bytes) or len(low) != len(high):
         return
     first, last = int.from_bytes(low, "big"), int.from_bytes(high, "big")
-    if not 0 <= last - first < 65536:
+    if last < first:
         return
     if isinstance(value, int):
         out.ranges.append((low, high, value))
-        return
-    for i in range(last - first + 1):
-        code = (first + i).to_bytes(len(low), "big")
-        if isinstance(value, list):
-            if i < len(value):
-                _map(out, code, value[i], 0)
-        else:
-            _map(out, code, value, i)
+    elif isinstance(value, list):
+        for i, own in enumerate(value[: last - first + 1]):
+            _map(out, (first + i).to_bytes(len(low), "big"), own, 0)
+    elif isinstance(value, bytes) and last - first >= EXPANDED:
+        out.text_ranges.append((low, high, value))
+    elif isinstance(value, bytes):
+        for i in range(last - first + 1):
+            _map(out, (first + i).to_bytes(len(low), "big"), value, i)
 
 
 @dataclass
 class Glyph:
     code: int
     text: str
-    cid: int
+    cid: int | None
     width: float
     space: bool
     gid: int | None = None
@@ -244,6 +293,7 @@ class Font:
         self.matrix = [float(doc.resolve(x)) for x in doc.get(own, "FontMatrix", list, [0.001, 0, 0, 0.001, 0, 0])]
         self.composite = self.subtype == "Type0"
         self.vertical = False
+        self.known = True
         self.maps: dict = {}
         self.symbolic = False
         self.names: dict[int, str] = {}
@@ -320,7 +370,8 @@ class Font:
             self.cmap = parse_cmap(doc.decoded(encoding))
         else:
             if str(encoding) not in ("Identity-H", "Identity-V"):
-                # the published code maps are data that is not at hand; codes are kept, and told, as they are
+                # the published code maps are data that is not at hand: two bytes a code, CIDs unknown
+                self.known = False
                 doc.fault(f"the predefined code map {encoding} is not known")
             self.cmap = CMap([(b"\0\0", b"\xff\xff")], ranges=[(b"\0\0", b"\xff\xff", 0)], vertical=str(encoding).endswith("V"))
         self.vertical = self.cmap.vertical
@@ -328,7 +379,7 @@ class Font:
         self.cid_gids = doc.decoded(held) if isinstance(held, Stream) else None
         self.embedded = doc.get(doc.get(child, "FontDescriptor", dict, {}), "FontFile2", Stream) is not None
         self.default = float(doc.get(child, "DW", (int, float), 1000))
-        self.widths = {}
+        self.widths, ranges = {}, []
         held = [doc.resolve(x) for x in doc.get(child, "W", list, [])]
         at = 0
         while at < len(held):
@@ -336,10 +387,15 @@ class Font:
                 self.widths |= {held[at] + i: float(doc.resolve(w)) for i, w in enumerate(held[at + 1])}
                 at += 2
             elif at + 2 < len(held):
-                self.widths |= dict.fromkeys(range(held[at], min(held[at + 1], held[at] + 65535) + 1), float(held[at + 2]))
+                low, high, width = held[at], held[at + 1], float(held[at + 2])
+                if high - low < EXPANDED:
+                    self.widths |= dict.fromkeys(range(low, high + 1), width)
+                else:
+                    ranges.append((low, high, width))
                 at += 3
             else:
                 break
+        self.width_ranges = Ranges(ranges)
 
     def decode(self, data: bytes) -> list[Glyph]:
         """Text comes from the Unicode map first, then from the code's glyph name or encoding."""
@@ -348,11 +404,13 @@ class Font:
             code = self.cmap.next(data, at) if self.composite else data[at : at + 1]
             number, text = int.from_bytes(code, "big"), None
             if self.to_unicode:
-                text = self.to_unicode.text.get(code)
+                text = self.to_unicode.text_of(code)
             if self.composite:
-                cid = self.cmap.cid(code)
-                width = self.widths.get(cid, self.default)
-                gid = int.from_bytes(self.cid_gids[2 * cid : 2 * cid + 2], "big") if self.cid_gids is not None else cid if self.embedded else None
+                cid = self.cmap.cid(code) if self.known else None
+                width = self.widths.get(cid)
+                if width is None:
+                    width = self.default if cid is None or (own := self.width_ranges.at(cid)) is None else own
+                gid = None if cid is None else int.from_bytes(self.cid_gids[2 * cid : 2 * cid + 2], "big") if self.cid_gids is not None else cid if self.embedded else None
             else:
                 cid, width = number, self.widths.get(number, self.default)
                 gid = self._glyph_id(number)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -15,8 +16,8 @@ from quire.sources.pdf.color import Space
 from quire.sources.pdf.document import Document
 from quire.sources.pdf.objects import Name, PdfError, Stream
 
-#: Most pixels of one image.
-PIXELS = 128 << 20
+#: Pixels that are converted at a time.
+BAND = 1 << 20
 COMPONENTS = {"DeviceGray": 1, "CalGray": 1, "G": 1, "DeviceRGB": 3, "CalRGB": 3, "Lab": 3, "RGB": 3, "DeviceCMYK": 4, "CMYK": 4}
 
 
@@ -74,64 +75,95 @@ def to_rgb(values: np.ndarray, family: str) -> np.ndarray:
     return values
 
 
-def decode_image(doc: Document, image: Stream) -> np.ndarray:
-    """RGBA bytes, shape (height, width, 4); a stencil mask is black where it paints."""
+def image_bands(doc: Document, image: Stream) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, RGBA bytes of shape (rows, width, 4)) from top to bottom; a stencil mask is black where it paints.
+
+    A band holds ``BAND`` pixels or one row, so that only the coded data, one band
+    and a mask's plane are in memory, however large the image.
+    """
     width, height = doc.get(image, "Width", int, 0), doc.get(image, "Height", int, 0)
-    if width <= 0 or height <= 0 or width * height > PIXELS:
-        raise PdfError("image dimensions are out of range")
+    if width <= 0 or height <= 0:
+        raise PdfError("an image without extent")
     data, coding = doc.decoded_image(image)
     if coding:
         raise CodedImage(coding)
-    stencil = doc.get(image, "ImageMask", bool, False)
     limits = [float(doc.resolve(v)) for v in doc.get(image, "Decode", list, [])]
-    if stencil:
-        painted = unpacked(data, width, height, 1, 1)[..., 0] == (1 if limits[:1] == [1.0] else 0)
-        return np.dstack([np.zeros((height, width, 3), np.uint8), np.where(painted, 255, 0).astype(np.uint8)])
+    step = max(1, BAND // width)
+    if doc.get(image, "ImageMask", bool, False):
+        bands = _samples(data, width, height, 1, 1, step)
+        for at, samples in bands:
+            painted = samples[..., 0] == (1 if limits[:1] == [1.0] else 0)
+            yield at, np.dstack([np.zeros((*painted.shape, 3), np.uint8), np.where(painted, 255, 0).astype(np.uint8)])
+        return
     bits = doc.get(image, "BitsPerComponent", int, 8)
+    n, color = _converter(doc, image, bits, limits)
+    mask = _mask_plane(doc, image)
+    for at, samples in _samples(data, width, height, n, bits, step):
+        rgb = np.rint(np.clip(color(samples), 0, 1) * 255).astype(np.uint8)
+        yield at, np.dstack([rgb, _alpha(doc, image, samples, mask, at, height)])
+
+
+def decode_image(doc: Document, image: Stream) -> np.ndarray:
+    """The whole image, shape (height, width, 4)."""
+    return np.concatenate([band for _, band in image_bands(doc, image)])
+
+
+def _samples(data: bytes, width: int, height: int, components: int, bits: int, step: int) -> Iterator[tuple[int, np.ndarray]]:
+    row = (width * components * bits + 7) // 8
+    if len(data) < row * height:
+        raise PdfError("image data end early")
+    for at in range(0, height, step):
+        rows = min(step, height - at)
+        yield at, unpacked(memoryview(data)[at * row : (at + rows) * row], width, rows, components, bits)
+
+
+def _converter(doc: Document, image: Stream, bits: int, limits: list[float]) -> tuple[int, Callable[[np.ndarray], np.ndarray]]:
+    """Components of a sample, and the conversion of samples to RGB in [0, 1]."""
     held = doc.resolve(image.dict.get("ColorSpace", Name("DeviceGray")))
+    top = (1 << bits) - 1
     if isinstance(held, list) and doc.resolve(held[0]) in ("Separation", "DeviceN"):
-        return _tinted(doc, image, held, data, width, height, bits, limits)
+        space = Space(doc, held)
+        low, high = (np.array(limits[::2]), np.array(limits[1::2])) if limits else (np.zeros(space.n), np.ones(space.n))
+        return space.n, lambda samples: _tinted(space, samples, low, high, top)
     family, n, own = _space(doc, image.dict.get("ColorSpace", Name("DeviceGray")))
-    samples = unpacked(data, width, height, n, bits)
-    top = (1 << bits) - 1
     if family == "Indexed":
         base, m, _ = _space(doc, own[1])
         table = doc.decoded(own[3]) if isinstance(own[3], Stream) else own[3]
-        palette = np.frombuffer(table, np.uint8)[: (own[2] + 1) * m].reshape(1, -1, m) / 255
-        at = samples[..., 0] if not limits else np.rint(limits[0] + samples[..., 0] * (limits[1] - limits[0]) / top).astype(np.int64)
-        rgb = to_rgb(palette, base)[0][np.clip(at, 0, palette.shape[1] - 1)]
-    else:
-        if not limits:
-            limits = [0.0, 100.0, -100.0, 100.0, -100.0, 100.0] if family == "Lab" else [0.0, 1.0] * n
-        low, high = np.array(limits[::2]), np.array(limits[1::2])
-        rgb = to_rgb(low + samples * (high - low) / top, family)
-    alpha = _alpha(doc, image, samples, width, height)
-    return np.dstack([np.rint(np.clip(rgb, 0, 1) * 255).astype(np.uint8), alpha])
-
-
-def _tinted(doc: Document, image: Stream, held: list, data: bytes, width: int, height: int, bits: int, limits: list[float]) -> np.ndarray:
-    """Samples of named colorants, each distinct tint converted once."""
-    space = Space(doc, held)
-    samples = unpacked(data, width, height, space.n, bits)
+        palette = to_rgb(np.frombuffer(table, np.uint8)[: (own[2] + 1) * m].reshape(1, -1, m) / 255, base)[0]
+        place = lambda s: s if not limits else np.rint(limits[0] + s * (limits[1] - limits[0]) / top).astype(np.int64)
+        return n, lambda samples: palette[np.clip(place(samples[..., 0]), 0, len(palette) - 1)]
+    if not limits:
+        limits = [0.0, 100.0, -100.0, 100.0, -100.0, 100.0] if family == "Lab" else [0.0, 1.0] * n
+    low, high = np.array(limits[::2]), np.array(limits[1::2])
+    return n, lambda samples: to_rgb(low + samples * (high - low) / top, family)
+
+
+def _tinted(space: Space, samples: np.ndarray, low: np.ndarray, high: np.ndarray, top: int) -> np.ndarray:
+    """Samples of named colorants, each distinct tint of a band converted once."""
     kinds, at = np.unique(samples.reshape(-1, space.n), axis=0, return_inverse=True)
-    low, high = (np.array(limits[::2]), np.array(limits[1::2])) if limits else (np.zeros(space.n), np.ones(space.n))
-    tints = low + kinds * (high - low) / ((1 << bits) - 1)
-    rgb = np.array([space.rgb([float(v) for v in t]) for t in tints])[at.reshape(-1)].reshape(height, width, 3)
-    return np.dstack([np.rint(np.clip(rgb, 0, 1) * 255).astype(np.uint8), _alpha(doc, image, samples, width, height)])
+    tints = low + kinds * (high - low) / top
+    return np.array([space.rgb([float(v) for v in t]) for t in tints])[at.reshape(-1)].reshape(*samples.shape[:2], 3)
 
 
-def _alpha(doc: Document, image: Stream, samples: np.ndarray, width: int, height: int) -> np.ndarray:
-    """A soft mask beats a stencil mask, which beats a colour key."""
+def _mask_plane(doc: Document, image: Stream) -> np.ndarray | None:
+    """The soft mask's, or else the stencil mask's, opacity, one byte a pixel of the mask."""
     mask = doc.get(image, "SMask", Stream) or doc.get(image, "Mask", Stream)
+    if mask is None:
+        return None
+    stencil = doc.get(mask, "ImageMask", bool, False)
+    return np.concatenate([255 - band[..., 3] if stencil else band[..., 0] for _, band in image_bands(doc, mask)])
+
+
+def _alpha(doc: Document, image: Stream, samples: np.ndarray, mask: np.ndarray | None, at: int, height: int) -> np.ndarray:
+    """Opacity of a band: a soft mask beats a stencil mask, which beats a colour key."""
+    rows, width = samples.shape[:2]
     if mask is not None:
-        own = decode_image(doc, mask)
-        plane = 255 - own[..., 3] if doc.get(mask, "ImageMask", bool, False) else own[..., 0]
-        rows = np.arange(height) * plane.shape[0] // height
-        return plane[rows][:, np.arange(width) * plane.shape[1] // width]
+        held = mask[np.arange(at, at + rows) * mask.shape[0] // height]
+        return held[:, np.arange(width) * mask.shape[1] // width]
     if key := doc.get(image, "Mask", list):
         limits = np.array([doc.resolve(v) for v in key]).reshape(-1, 2)
         return np.where(((samples >= limits[:, 0]) & (samples <= limits[:, 1])).all(axis=2), 0, 255).astype(np.uint8)
-    return np.full((height, width), 255, np.uint8)
+    return np.full((rows, width), 255, np.uint8)
 
 
 def encode_png(pixels: np.ndarray) -> bytes:

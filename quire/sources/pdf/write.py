@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -13,6 +14,8 @@ from quire.sources.pdf.document import Document
 from quire.sources.pdf.objects import Name, PdfError, Ref, Stream, references_in, to_json, write_value
 
 DEGREE = 64
+#: Operators that show text, and the first text mode that clips.
+SHOWS, FIRST_CLIP = frozenset(("Tj", "TJ", "'", '"')), 4
 #: Streams with one of these keys have an identity and are never merged.
 IDENTITY_KEYS = ("StructParent", "StructParents", "ID", "OPI", "F", "Ref")
 
@@ -212,12 +215,12 @@ def balance_pages(doc: Document, out: dict[int, object], change) -> None:
         out[ref.num] = {k: v for k, v in out[ref.num].items() if k not in keys} | with_references(above[p.ref.num], change)
     for num in inner - {root.num}:
         del out[num]
-    level = [(ref, 1) for ref in refs]
+    level, numbers = [(ref, 1) for ref in refs], itertools.count(max(out) + 1)
     while len(level) > 1:
         spans, top = balanced_kids(len(level))[0], len(level) <= DEGREE
         above_level = []
         for start, stop in spans:
-            node = root if top else Ref(max(out) + 1, 0)
+            node = root if top else Ref(next(numbers), 0)
             count = sum(n for _, n in level[start:stop])
             out[node.num] = {"Type": Name("Pages"), "Kids": [r for r, _ in level[start:stop]], "Count": count}
             for r, _ in level[start:stop]:
@@ -229,12 +232,14 @@ def balance_pages(doc: Document, out: dict[int, object], change) -> None:
 def _edit(doc: Document, out: dict[int, object], trailer: dict, edits: Edits, change) -> None:
     from quire.functions.filters import encode_text
 
-    fresh = lambda v: (out.__setitem__(n := max(out, default=0) + 1, v), Ref(n, 0))[1]
+    numbers = itertools.count(max(out, default=0) + 1)
+    fresh = lambda v: (out.__setitem__(n := next(numbers), v), Ref(n, 0))[1]
     if edits.info is not None:
-        own = out[trailer["Info"].num] if "Info" in trailer else {}
+        held = trailer.get("Info")
+        own = (out.get(held.num) if isinstance(held, Ref) else held) or {}
         own = own | {k: encode_text(v) for k, v in edits.info.items()}
-        if "Info" in trailer:
-            out[trailer["Info"].num] = own
+        if isinstance(held, Ref):
+            out[held.num] = own
         else:
             trailer["Info"] = fresh(own)
     if edits.attachments is not None:
@@ -332,14 +337,29 @@ def replace_text(data: bytes, replacements: dict[int, str]) -> bytes:
 
 
 def compact_text(data: bytes) -> bytes:
-    """Joins a text object to the next where only ``ET BT`` stands between and a matrix follows."""
+    """Joins a text object to the next where only ``ET BT`` stands between and a matrix follows.
+
+    A text object that shows text in a clipping mode stays: its end is where the clip
+    begins. The mode is text state, so it is carried through text objects and ``q``/``Q``.
+    """
     from quire.sources.pdf.document import operators
 
     ops = list(operators(data))
     drop: set[int] = set()
-    for i in range(len(ops) - 2):
-        if ops[i][0] == "ET" and ops[i + 1][0] == "BT" and ops[i + 2][0] == "Tm":
-            drop |= {i, i + 1}
+    mode, saved, clips = 0, [], False
+    for i, (op, args, _) in enumerate(ops):
+        if op == "Tr" and args and isinstance(args[-1], (int, float)):
+            mode = int(args[-1])
+        elif op == "q":
+            saved.append(mode)
+        elif op == "Q" and saved:
+            mode = saved.pop()
+        elif op in SHOWS:
+            clips |= mode >= FIRST_CLIP
+        elif op == "ET":
+            if not clips and [o for o, *_ in ops[i + 1 : i + 3]] == ["BT", "Tm"]:
+                drop |= {i, i + 1}
+            clips = False
     lines = [b" ".join([*map(write_value, args), op.encode("latin-1")]) if op != "BI" else _inline(args[0]) for i, (op, args, _) in enumerate(ops) if i not in drop]
     return b"\n".join(lines)
 

@@ -13,6 +13,7 @@ and by bytes.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.filters import FilterError, decode_text
 from quire.plans.session import cut_lineage
-from quire.sources.pdf.document import Document, operators
+from quire.sources.pdf.document import Document, Page, operators
 from quire.sources.pdf.interpret import Interpreter
 from quire.sources.pdf.objects import Name, PdfError, Ref, Stream, references_in, to_json
 
@@ -61,10 +62,31 @@ def _xref(doc: Document) -> Iterator[tuple]:
             yield rev, num, e.kind, e.position, e.gen
 
 
+def _isolated(doc: Document, where: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """``rows`` up to a fault, which is told; in strict mode it goes on."""
+    try:
+        yield from rows
+    except FAULTS as e:
+        if not doc.lenient:
+            raise
+        doc.note(f"{where}: {str(e) or type(e).__name__}", getattr(e, "offset", -1))
+
+
 def _numbers(doc: Document) -> Iterator[tuple[int, int, object]]:
     for num, e in sorted(doc.xref.items()):
         if e.kind:
-            yield num, e.gen if e.kind == 1 else 0, doc.object(num)
+            yield from _isolated(doc, f"object {num}", ((num, e.gen if e.kind == 1 else 0, doc.object(n)) for n in (num,)))
+
+
+@dataclass(frozen=True)
+class ByPage:
+    """Rows of a table that is read page by page; a page's fault leaves the others."""
+
+    rows: Callable[[Document, Page], Iterator[tuple]]
+
+    def __call__(self, doc: Document) -> Iterator[tuple]:
+        for p in doc.pages():
+            yield from _isolated(doc, f"page {p.index}", self.rows(doc, p))
 
 
 def _objects(doc: Document) -> Iterator[tuple]:
@@ -98,10 +120,10 @@ def _pages(doc: Document) -> Iterator[tuple]:
         yield p.index, p.ref.num if p.ref else None, p.media_box, p.crop_box, p.rotation, p.user_unit, doc.get(p.dict, "StructParents", int)
 
 
-def _operations(doc: Document) -> Iterator[tuple]:
-    for p in doc.pages():
-        for i, (op, args, at) in enumerate(operators(doc.content(p), doc.lenient)):
-            yield p.index, i, op, to_json(args), at
+@ByPage
+def _operations(doc: Document, p: Page) -> Iterator[tuple]:
+    for i, (op, args, at) in enumerate(operators(doc.content(p), doc.lenient)):
+        yield p.index, i, op, to_json(args), at
 
 
 @dataclass(frozen=True)
@@ -120,11 +142,24 @@ def marks_of(doc: Document, wanted: dict[str, Marks]) -> Iterator[tuple[str, tup
     """(table, row) of all wanted tables of marks, running every page once."""
     kinds = frozenset(m.kind for m in wanted.values())
     for p in doc.pages():
-        for kind, mark in Interpreter(doc, p, kinds).run():
-            for name, table in wanted.items():
-                if table.kind == kind:
-                    for row in table.rows(mark):
-                        yield name, (p.index, mark["ord"], *row)
+        done = dict.fromkeys(kinds, 0)
+        try:
+            for kind, mark in Interpreter(doc, p, kinds).run():
+                done[kind] += 1
+                yield from _mark_rows(doc, p, kind, mark, wanted)
+        except FAULTS:
+            if not doc.lenient:
+                raise
+            # what one kind of marks stumbles over must not cost the others theirs: each goes on alone
+            for kind in sorted(kinds):
+                rest = itertools.islice(Interpreter(doc, p, frozenset({kind})).run(), done[kind], None)
+                yield from _isolated(doc, f"page {p.index}, {kind} marks", (row for k, mark in rest for row in _mark_rows(doc, p, k, mark, wanted)))
+
+
+def _mark_rows(doc: Document, p: Page, kind: str, mark: dict, wanted: dict[str, Marks]) -> Iterator[tuple[str, tuple]]:
+    for name, table in wanted.items():
+        if table.kind == kind:
+            yield from _isolated(doc, f"page {p.index}, {name}", ((name, (p.index, mark["ord"], *row)) for row in table.rows(mark)))
 
 
 def _marks(kind: str, row: Callable[[dict], tuple]) -> Marks:
@@ -167,28 +202,29 @@ def _structure(doc: Document) -> Iterator[tuple]:
         yield i, s["level"], s["type"], s["tag"], s["num"], s["parent"], s["page"], s["mcid"]
 
 
-def _annotations(doc: Document) -> Iterator[tuple]:
-    for p in doc.pages():
-        for a in doc.annotations(p):
-            yield p.index, a["index"], a["num"], a["subtype"], a["rect"], a["flags"], a["contents"], to_json(a["dict"])
+@ByPage
+def _annotations(doc: Document, p: Page) -> Iterator[tuple]:
+    for a in doc.annotations(p):
+        yield p.index, a["index"], a["num"], a["subtype"], a["rect"], a["flags"], a["contents"], to_json(a["dict"])
 
 
-def _appearances(doc: Document) -> Iterator[tuple]:
-    for p in doc.pages():
-        for a in doc.annotations(p):
-            if found := doc.appearance(a):
-                visible = "OC" not in a["dict"] or doc.content_visible(a["dict"]["OC"])
-                yield p.index, a["index"], found["state"], found["num"], found["matrix"], visible
+@ByPage
+def _appearances(doc: Document, p: Page) -> Iterator[tuple]:
+    for a in doc.annotations(p):
+        if found := doc.appearance(a):
+            visible = "OC" not in a["dict"] or doc.content_visible(a["dict"]["OC"])
+            yield p.index, a["index"], found["state"], found["num"], found["matrix"], visible
 
 
 def _image_pixels(doc: Document) -> Iterator[tuple]:
-    from quire.sources.pdf.images import CodedImage, decode_image
+    from quire.sources.pdf.images import CodedImage, image_bands
 
     for num, _, v in _numbers(doc):
         if isinstance(v, Stream) and v.dict.get("Subtype") == "Image":
             try:
-                for i, row in enumerate(decode_image(doc, v)):
-                    yield num, i, row.tobytes()
+                for first, band in image_bands(doc, v):
+                    for i, row in enumerate(band):
+                        yield num, first + i, row.tobytes()
             except CodedImage:
                 continue
             except (PdfError, FilterError) as e:
@@ -289,7 +325,8 @@ def _destinations(doc: Document) -> Iterator[tuple]:
 
 def _links(doc: Document) -> Iterator[tuple]:
     pages = {p.ref: p.index for p in doc.pages() if p.ref}
-    for p in doc.pages():
+
+    def on_page(doc: Document, p: Page) -> Iterator[tuple]:
         for a in doc.annotations(p):
             if a["subtype"] != "Link":
                 continue
@@ -298,6 +335,8 @@ def _links(doc: Document) -> Iterator[tuple]:
             uri = doc.get(action, "URI", bytes)
             yield p.index, a["index"], a["rect"], pages.get(held[0]) if held else None, None if uri is None else decode_text(uri), str(action.get("S")) if action else None
 
+    yield from ByPage(on_page)(doc)
+
 
 def _renditions(doc: Document) -> Iterator[tuple]:
     for kind, own in [("tree", v) for _, v in doc.names("Renditions")] + [("action", v.get("R")) for _, _, v in _numbers(doc) if isinstance(v, dict) and v.get("S") == "Rendition"]:
@@ -366,25 +405,23 @@ def _columns(table: str) -> str:
 
 
 def rows_of(doc: Document, tables: list[str]) -> Iterator[tuple[str, tuple]]:
-    """(table, row) of a document; diagnostics come last and tell of every table."""
+    """(table, row) of a document; diagnostics come last and tell of every table.
+
+    A fault ends only the table, page or object it is met in, and is told by that
+    name, so a table's rows are the same whichever tables are read with it.
+    """
     told = "diagnostics" in tables
     wanted = list(TABLES) if told else tables
-    out = lambda name: not told or name in tables
-    try:
-        marks = {t: TABLES[t][1] for t in wanted if isinstance(TABLES[t][1], Marks)}
-        for name in wanted:
-            if name not in marks:
-                for row in TABLES[name][1](doc):
-                    if out(name):
-                        yield name, row
-        if marks:
-            for name, row in marks_of(doc, marks):
-                if out(name):
+    marks = {t: TABLES[t][1] for t in wanted if isinstance(TABLES[t][1], Marks)}
+    for name in wanted:
+        if name not in marks:
+            for row in _isolated(doc, name, TABLES[name][1](doc)):
+                if name in tables:
                     yield name, row
-    except FAULTS as e:
-        if not told:
-            raise
-        doc.note(str(e) or type(e).__name__, getattr(e, "offset", -1))
+    if marks:
+        for name, row in _isolated(doc, "marks", marks_of(doc, marks)):
+            if name in tables:
+                yield name, row
     if told:
         for note in dict.fromkeys(doc.notes):
             yield "diagnostics", note
@@ -394,7 +431,8 @@ def _size(v: object) -> int:
     """About how many bytes a value takes."""
     if isinstance(v, (bytes, str)):
         return len(v)
-    return 8 + sum(map(_size, v)) if isinstance(v, (list, tuple)) else 8
+    held = v.items() if isinstance(v, dict) else v if isinstance(v, (list, tuple)) else ()
+    return 8 + sum(map(_size, held))
 
 
 def _read(files: DataFrame, tables: list[str], ddl: str, row_of: Callable[[str, tuple], tuple], mode: str, password: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions.filters import ascii85_encode, flate_encode, run_length_encode
 from quire.sources.pdf import crypt
@@ -359,23 +360,15 @@ def test_truetype():
     assert [truetype.simple_glyph(maps, 65, "A", False), truetype.simple_glyph(maps, 201, None, True)] == [5, 4]
 
 
-def test_screens_and_transfers():
-    import numpy as np
-
+def test_screens_and_transfers(spark):
     from quire.functions import screens
 
-    screen = screens.spot_screen("SimpleDot", 60, 0, 600)
-    assert (screen.width, screen.width2) == (10, 0) and sorted(screen.thresholds.tolist()) == [-(-(r + 1) * 65535 // 100) for r in range(100)]
-    y, x = np.mgrid[0:40, 0:40]
-    for turned in (screen, screens.spot_screen("CosineDot", 75, 30, 600)):
-        n = turned.width**2 + turned.width2**2
-        side = np.mgrid[0:n, 0:n]
-        seen = turned.threshold(side[1], side[0])
-        assert len(np.unique(seen)) == n and np.unique(seen, return_counts=True)[1].max() == n
-        for level in (0, 16384, 65535):
-            ink = turned.quantise(np.full((n, n), level), side[1], side[0]).mean()
-            assert abs(ink - level / 65535) < 1.5 / n
-    assert screens.threshold_screen(bytes([64, 128, 192, 255]), 2, 2).quantise(np.full((40, 40), 40000), x, y).mean() == 0.5
+    pixels = spark.range(1600).selectExpr("id % 40 AS x", "id div 40 AS y")
+    at = screens.threshold_at(bytes([64, 128, 192, 255]), 2, 2, F.col("x"), F.col("y"))
+    for levels in (1, 3):
+        got = {(r["x"], r["y"]): r["v"] for r in pixels.select("x", "y", screens.quantised(F.lit(40000), at, levels).alias("v")).collect()}
+        low, rest = divmod(40000 * levels, 65535)
+        assert got == {(x, y): low + (rest >= [64, 128, 192, 255][y % 2 * 2 + x % 2] * 257) for x in range(40) for y in range(40)}
     square = lambda v: v * v
     functions = [square, square, square, lambda v: v / 2]
     assert screens.apply_transfer([0.5], "DeviceGray", functions) == [0.25]
@@ -518,3 +511,131 @@ def test_edits_of_links_images_and_labels():
     for bad in (Edits(links={(0, 5): "x"}), Edits(images={5: pixels}), Edits(content={3: b""})):
         with pytest.raises(PdfError):
             rewrite(Document(data), bad)
+
+
+def broken_files():
+    """Documents with one fault each, in places that only some tables read."""
+    text, resources = b"BT /F 9 Tf 5 5 Td (a) Tj ET 0 0 9 9 re f BT /G 9 Tf (b) Tj ET 1 1 5 5 re S", {"Font": {"F": Ref(5, 0), "G": Ref(6, 0)}}
+    composite = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("X"), "Encoding": Name("Identity-H")}
+    bad_map = Stream({"Filter": Name("FlateDecode")}, b"no deflate")
+    yield page_file(text, resources, {6: composite | {"DescendantFonts": 7}})
+    yield page_file(text, resources, {6: composite | {"DescendantFonts": [Ref(7, 0)], "ToUnicode": bad_map and Ref(8, 0)}, 7: {"W": [Name("x"), []]}, 8: bad_map})
+    yield page_file(text, None, {6: {"Type": Name("Font"), "Subtype": Name("Type0"), "DescendantFonts": [Ref(6, 0)]}})
+    yield page_file(text, None, {1: {"Names": {"Dests": {"Kids": [Ref(1, 0)]}}, "Outlines": Ref(8, 0)}, 8: {"First": Ref(9, 0)}, 9: {"Next": Ref(9, 0)}}, {"Annots": [{"Subtype": Name("Link"), "Rect": [0, 0, 1, 1], "Dest": b"d"}]})
+    yield page_file(text + b" BI /W 1 ID", None, {1: {"StructTreeRoot": {"K": 5, "ParentTree": {"Nums": [0]}}, "PageLabels": {"Nums": [0]}}})
+    yield page_file(text, None, {1: {"AcroForm": {"Fields": [Ref(9, 0)]}, "OCProperties": {"D": 7}}, 9: {"Kids": [3]}, 8: Stream({"Subtype": Name("Image"), "Width": 1, "Height": 9, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB")}, b"")})
+    cut = page_file(text, resources, {6: {"Type": Name("Font"), "Subtype": Name("Type3"), "CharProcs": 1}})
+    yield cut.replace(b"/Courier", b"/Cou#00er")
+    yield cut.replace(b"[0 0 200 100]", b"[0 0 (x) 100]")
+
+
+@pytest.mark.parametrize("nth", range(8))
+def test_a_fault_costs_only_its_own_table(nth):
+    from quire.sources.tables import TABLES, rows_of
+
+    data = list(broken_files())[nth]
+    rows = lambda tables: [(t, repr(row)) for t, row in rows_of(Document(data, "", True), tables) if t != "diagnostics"]
+    together = rows([*TABLES, "diagnostics"])
+    for table in TABLES:
+        alone = rows([table])
+        assert alone == rows([table, "diagnostics"]) == [r for r in together if r[0] == table], table
+        assert alone == [r for r in rows([*reversed(TABLES)]) if r[0] == table], table
+    assert nth == 0 or any(t == "diagnostics" for t, _ in rows_of(Document(data, "", True), ["diagnostics"]))
+    assert together, "the rest of the document stays readable"
+
+
+def test_large_object_streams_and_images():
+    inner, body = b"1 0 2 %d " % len(b"<</Type/Catalog/Pages 2 0 R>> "), b"<</Type/Catalog/Pages 2 0 R>> <</Type/Pages/Kids[]/Count 0>>" + b" " * (17 << 20)
+    out = bytearray(b"%PDF-1.5\n")
+    at = len(out)
+    out += b"6 0 obj\n" + write_value(Stream({"Type": Name("ObjStm"), "N": 2, "First": len(inner), "Filter": Name("FlateDecode")}, flate_encode(inner + body))) + b"\nendobj\n"
+    table = b"".join(bytes([k]) + a.to_bytes(4, "big") + bytes([b]) for k, a, b in [(0, 0, 0), (2, 6, 0), (2, 6, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0), (1, at, 0), (1, len(out), 0)])
+    start = len(out)
+    out += b"7 0 obj\n" + write_value(Stream({"Type": Name("XRef"), "Size": 8, "W": [1, 4, 1], "Root": Ref(1, 0)}, table)) + b"\nendobj\nstartxref\n%d\n%%%%EOF" % start
+    assert Document(bytes(out)).catalog["Pages"] == Ref(2, 0)
+
+    from quire.sources.pdf import images
+
+    side = 12_000
+    bitmap = {"Subtype": Name("Image"), "Width": side, "Height": side, "BitsPerComponent": 1, "ColorSpace": Name("DeviceGray")}
+    rows = 0
+    for first, band in images.image_bands(Document(page_file(b"")), Stream(bitmap, bytes((side - 1) * (side // 8)) + b"\xff" * (side // 8))):
+        assert first == rows and len(band) <= images.BAND // side and band.shape[1:] == (side, 4)
+        rows += len(band)
+    assert rows == side and (band[-1] == 255).all() and side * side > 128 << 20
+
+
+def test_images_by_bands_equal_whole_ones(monkeypatch):
+    from quire.sources.pdf import images
+
+    doc = Document(page_file(b""))
+    mask = Stream({"Subtype": Name("Image"), "Width": 2, "Height": 2, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, bytes([0, 90, 180, 255]))
+    image = Stream({"Subtype": Name("Image"), "Width": 3, "Height": 7, "BitsPerComponent": 4, "ColorSpace": Name("DeviceRGB"), "SMask": mask}, bytes(range(35)))
+    whole = images.decode_image(doc, image)
+    monkeypatch.setattr(images, "BAND", 5)
+    assert (images.decode_image(doc, image) == whole).all() and whole.shape == (7, 3, 4)
+
+
+def test_wide_ranges_are_kept():
+    cmap = parse_cmap(b"1 begincodespacerange <00000000> <ffffffff> endcodespacerange 2 begincidrange <00000000> <00ffffff> 5 <00000010> <00000011> 900 endcidrange 1 beginbfrange <00000000> <0001ffff> <0041> endbfrange")
+    assert [cmap.cid(n.to_bytes(4, "big")) for n in (0, 0x10, 0x11, 0x12, 0xFFFFFF, 0x1000000)] == [5, 900, 901, 23, 0xFFFFFF + 5, 0]
+    assert [cmap.text_of(n.to_bytes(4, "big")) for n in (0, 1, 0x20000)] == ["A", "B", None]
+    child = {"Subtype": Name("CIDFontType2"), "DW": 100, "W": [0, 200_000, 700, 7, [300], 70_000, 70_001, 400]}
+    own = {"Subtype": Name("Type0"), "BaseFont": Name("X"), "DescendantFonts": [child]}
+    font = Font(Document(page_file(b"")), own | {"Encoding": Stream({}, b"1 begincodespacerange <000000> <ffffff> endcodespacerange 1 begincidrange <000000> <ffffff> 0 endcidrange")})
+    assert [g.width for n in (7, 8, 70_000, 200_000, 200_001) for g in font.decode(n.to_bytes(3, "big"))] == pytest.approx([0.3, 0.7, 0.4, 0.7, 0.1])
+    unknown = Font(Document(page_file(b""), "", True), own | {"Encoding": Name("UniGB-UCS2-H")})
+    assert [(g.code, g.cid, g.gid, g.text) for g in unknown.decode(b"\x4e\x00")] == [(0x4E00, None, None, "")]
+    with pytest.raises(PdfError):
+        Font(Document(page_file(b"")), own | {"Encoding": Name("UniGB-UCS2-H")})
+
+
+def test_ranges_of_which_the_last_holds():
+    import random
+
+    from quire.sources.pdf.fonts import Ranges
+
+    rng = random.Random(1)
+    for _ in range(200):
+        declared = [(a, a + rng.randint(0, 20), i) for i in range(rng.randint(0, 12)) for a in [rng.randint(0, 60)]]
+        held = Ranges(declared)
+        for n in range(-1, 85):
+            assert held.at(n) == next((v for low, high, v in reversed(declared) if low <= n <= high), None)
+
+
+def test_compacted_text_looks_the_same():
+    """Random content: text, its matrices and modes, and the clips stay; objects in clipping modes are not joined."""
+    import random
+
+    rng = random.Random(7)
+    joined = kept = 0
+    for _ in range(150):
+        parts, depth = [], 0
+        for _ in range(rng.randint(2, 10)):
+            roll = rng.random()
+            if roll < 0.15:
+                parts.append("q")
+                depth += 1
+            elif roll < 0.25 and depth:
+                parts.append("Q")
+                depth -= 1
+            elif roll < 0.4:
+                parts.append(f"{rng.randint(0, 7)} Tr")
+            else:
+                first = f"1 0 0 1 {rng.randint(0, 50)} {rng.randint(0, 50)} Tm " if rng.random() < 0.8 else ""
+                parts.append(f"BT {first}/F 9 Tf {rng.choice(['', '7 Tr ', '0 Tr '])}({chr(97 + len(parts))}) Tj ET")
+        content = "\n".join(parts + ["Q"] * depth).encode()
+        small = compact_text(content)
+        look = lambda c: [(k, m.get("glyphs"), m.get("matrix"), m.get("mode"), m.get("segments"), len(m.get("text_ords") or ())) for p in Document(page_file(c)).pages() for k, m in Interpreter(Document(page_file(c)), p).run()]
+        assert look(small) == look(content), content
+        joined += small.count(b"BT") < content.count(b"BT")
+    assert joined > 20
+    for mode, count in ((0, 1), (3, 1), (4, 2), (7, 2)):
+        assert compact_text(b"BT /F 9 Tf %d Tr (a) Tj ET BT 1 0 0 1 5 5 Tm (b) Tj ET" % mode).count(b"BT") == count
+    assert compact_text(b"q 7 Tr Q BT (a) Tj ET BT 1 0 0 1 5 5 Tm (b) Tj ET").count(b"BT") == 1
+
+
+def test_a_direct_information_dictionary_is_edited():
+    data = page_file(b"", Info={"Title": b"old", "Author": b"me"})
+    doc = Document(rewrite(Document(data), Edits(info={"Title": "new"}))[0])
+    assert doc.info() == {"Title": "new", "Author": "me"}
