@@ -93,8 +93,9 @@ def format_chat(turns: DataFrame, content: Column | None = None) -> DataFrame:
     """
     flat = flatten_parts(text_part(F.col("text")) if content is None else content)
     rows = turns.select("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"), "turn", F.coalesce("role", F.lit("")).alias("role"), flat.alias("flat"))
-    nth = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "flat.body")) - 1
-    chunks = rows.withColumn("part", F.floor(nth / CHUNK)).groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "flat"))).alias("t"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", unescape(F.col("flat.body")))) - 1
+    placed = rows.withColumn("nth", nth).withColumn("part", F.floor(F.col("nth") / CHUNK))
+    chunks = placed.groupBy("conv_id", "chunk", "part").agg(F.sort_array(F.collect_list(F.struct("nth", "role", "flat"))).alias("t"))
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     tail = END + "\n"
     place = F.aggregate(
