@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, native.
 
 Each rule is a boolean expression over a document's measures. On a bounded
-random sample the cascade times every rule and counts what it rejects, then
+random sample the cascade times every rule, on the measures it will be given, and counts what it rejects, then
 orders the rules by rejection per cost and chains them in one CASE, so a
 document stops at the first rule that rejects it and later measures are not
 taken. A text is split into words once for all rules. The order never changes a
@@ -19,16 +19,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.text import indexes, let, words_of
 
-#: The sample that orders the rules: rows expected (at most four times as many are read), seed, and bytes of a text in it.
+#: The sample that orders the rules: rows expected (at most four times as many are read), seed, and bytes of a text in it; and how often a rule is timed.
 SAMPLE_ROWS = 256
 SAMPLE_SEED = 11
 SAMPLE_TEXT_BYTES = 64 << 10
+TIMES = 3
 
 WINDOW = 3
 
@@ -95,26 +97,36 @@ def rules(min_words: int = 50) -> tuple[Rule, ...]:
 RULES = rules()
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prepared: dict[str, Column] | None = None, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds, share rejected) on a random sample of about ``rows`` texts from all partitions.
 
     The sample is seeded, holds at most ``4 * rows`` texts of at most
-    ``SAMPLE_TEXT_BYTES``, orders rules and decides nothing else. A rule's
-    seconds are those beyond splitting the words, which all share.
+    ``SAMPLE_TEXT_BYTES``, orders rules and decides nothing else. A rule's seconds are the median of ``TIMES`` runs, beyond what
+    all rules share (reading, and splitting the words unless measures are
+    prepared); prepared measures are timed as ready columns.
     """
+    prepared = prepared or {}
     total = docs.count()
     if total == 0:
         return [(r.name, 1.0, 0.0) for r in rules]
     drawn = docs.select("text").sample(min(1.0, rows / total), SAMPLE_SEED) if total > rows else docs.select("text")
     sample = drawn.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES).limit(4 * rows).collect()
     local = docs.sparkSession.createDataFrame([(r[0],) for r in sample], "text string").coalesce(1)
+    if prepared:
+        taken = measures(F.col("text"), words_of(F.col("text")))
+        ready = local.select("text", *[taken[n].alias(f"_{n}") for n in prepared])
+        local = docs.sparkSession.createDataFrame([tuple(r) for r in ready.collect()], ready.schema).coalesce(1)
+    known = {n: F.col(f"_{n}") for n in prepared}
 
     def timed(fails: Callable[[dict[str, Column]], Column]) -> tuple[float, int]:
-        query = local.select(F.count_if(let(words_of(F.col("text")), lambda w: fails(measures(F.col("text"), w)))).alias("n"))
+        query = local.select(F.count_if(_with_words(known, lambda w: fails(measures(F.col("text"), w) | known))).alias("n"))
         query.collect()
-        began = time.perf_counter()
-        n = query.collect()[0][0]
-        return time.perf_counter() - began, n
+        took = []
+        for _ in range(TIMES):
+            began = time.perf_counter()
+            n = query.collect()[0][0]
+            took.append(time.perf_counter() - began)
+        return median(took), n
 
     least, _ = timed(lambda m: m["n_words"] < 0)
     out = []
@@ -124,9 +136,15 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPL
     return out
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
+def _with_words(known: dict[str, Column], judge: Callable[[Column], Column]) -> Column:
+    """``judge`` of the text's words, which are split only if a measure of them is not known."""
+    split = not known.keys() >= {"n_words", "word_chars", "n_repeat_words"}  # the others read the text
+    return let(words_of(F.col("text")), judge) if split else judge(F.array().cast("array<string>"))
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prepared: dict[str, Column] | None = None) -> tuple[Rule, ...]:
     """The rules by rejection per cost, best first; ties keep the given order."""
-    rate = {name: share / seconds for name, seconds, share in estimate(docs, rules)}
+    rate = {name: share / seconds for name, seconds, share in estimate(docs, rules, prepared)}
     return tuple(sorted(rules, key=lambda r: -rate[r.name]))
 
 
@@ -143,10 +161,8 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prepared: di
 
     ``prepared`` names measures that ``docs`` already has as columns.
     """
-    order, known = ordered(docs, rules), prepared or {}
-    judge = lambda w: cascade(order, measures(F.col("text"), w) | known)
-    split = not known.keys() >= {"n_words", "word_chars", "n_repeat_words"}  # the others read the text
-    return docs.withColumn(column, let(words_of(F.col("text")), judge) if split else judge(F.array().cast("array<string>")))
+    order, known = ordered(docs, rules, prepared), prepared or {}
+    return docs.withColumn(column, _with_words(known, lambda w: cascade(order, measures(F.col("text"), w) | known)))
 
 
 def drop_rejected(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
