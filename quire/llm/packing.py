@@ -50,8 +50,8 @@ CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Encoded words a worker keeps; the store is emptied when full.
-WORDS_KEPT = 120_000
+#: Bytes of encoded words a worker keeps, and what a word takes beside its text and ids; the store is emptied when full.
+KEPT_BYTES, WORD_BYTES = 24 << 20, 200
 #: Most that one round of multiplicative weights covers of a length's count.
 STEP = 0.05
 #: Weight below which a length is left out of the knapsack.
@@ -102,6 +102,7 @@ class WordCache:
     def __init__(self, path: str, ranks_path: str | None = None):
         self.path = path
         self.kept: dict[str, bytes] = {}  # ids of a word after a space
+        self.kept_bytes = 0
         self.quick = quick_encoder(ranks_path) if ranks_path else None
 
     @functools.cached_property
@@ -129,8 +130,9 @@ class WordCache:
         out: list[bytes | None] = [None] * len(texts)
         words: dict[int, list[str]] = {}
         missing: set[str] = set()
-        if len(self.kept) > WORDS_KEPT:
+        if self.kept_bytes > KEPT_BYTES:
             self.kept.clear()
+            self.kept_bytes = 0
         kept = self.kept
         for i, text in enumerate(texts):
             if _DOUBLE.search(text) and _UNSAFE.search(text):
@@ -139,7 +141,9 @@ class WordCache:
             words[i] = split = text.split(" ")
             missing.update(set(split[1:]).difference(kept))
         new = list(missing)
-        kept.update(zip(new, self._encode_words([" " + w for w in new]), strict=True))
+        for word, ids in zip(new, self._encode_words([" " + w for w in new]), strict=True):
+            kept[word] = ids
+            self.kept_bytes += len(word) + len(ids) + WORD_BYTES
         firsts = list({split[0]: None for split in words.values() if split[0]})
         first = {"": b""} | dict(zip(firsts, self._encode_words(firsts), strict=True))
         known = kept.__getitem__
