@@ -354,7 +354,9 @@ def filter_by_table(pages: DataFrame, hosts: tuple[HostRule, ...], patterns: tup
         .agg(F.min(F.when(F.col("token").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("least"))
     )
     index = cut_lineage(rules.drop("tokens").join(filed, "rule_id").select("kind", "means", "body", "prefix", "name", F.col("least.token").alias("token")))
-    fetched = url_tokens(rows, "rid", "url").join(index, "token").select("rid", "url", "kind", "means", "body", "prefix", "name")
+    # tokens travel with the row's number alone; only rows that fetch a rule bring their URL
+    met = url_tokens(rows, "rid").join(index, "token").select("rid", "kind", "means", "body", "prefix", "name")
+    fetched = met.join(rows.select("rid", "url"), "rid")
 
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = functools.lru_cache(maxsize=4096)(re.compile)
