@@ -239,3 +239,56 @@ def test_repair_query_returns_conversations_without_rows(spark, tmp_path):
     found = {r["conv_id"]: r.asDict() for r in QUERIES["op13_conversation_repair"](spark, str(tmp_path)).collect()}
     assert set(found) == {gone, None}
     assert found[gone] == {"conv_id": gone, "gaps": 0, "blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "cost": 0, "audit": "", "repaired_sha256": H("")}
+
+
+# ---------------------------------------------------------------- earlier operators on ties, prepared measures and long texts
+
+
+def test_rows_of_one_turn_are_ordered_by_their_text(spark):
+    from quire.llm import chat
+
+    rows = [(1, 0, "user", x) for x in ("<b", "1a", "&c", "zz", "<b")]
+    found = chat.digest(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2))).collect()[0]
+    assert found["turns_sha256"] == H("".join(f"user\n{x}\n" for x in sorted(r[3] for r in rows)))
+
+
+def test_prepared_measures_are_timed_as_they_are_used(spark):
+    from quire.llm import quality
+
+    docs = spark.createDataFrame([(i, ("same words here " if i % 2 else "one two # three ") * 40) for i in range(50)], "doc_id long, text string")
+    known = docs.withColumn("known", quality.measured(F.col("text"), ("n_words", "n_repeat_words", "word_chars")))
+    prepared = {n: F.col("known")[n] for n in ("n_words", "n_repeat_words", "word_chars")}
+    plain, ready = quality.estimate(docs), quality.estimate(known, prepared=prepared)
+    assert [(n, share) for n, _, share in plain] == [(n, share) for n, _, share in ready]
+    judged = [r["failed_rule"] for r in quality.judge_quality(known, prepared=prepared).orderBy("doc_id").collect()]
+    assert [x is None for x in judged] == [x["failed_rule"] is None for x in quality.judge_quality(docs).orderBy("doc_id").collect()]
+
+
+def test_kept_words_are_bounded_by_bytes(monkeypatch):
+    from quire.llm import packing
+
+    monkeypatch.setattr(packing, "KEPT_BYTES", 10_000)
+    cache, plain = packing.WordCache(packing.vocabulary_path()), packing.WordCache(packing.vocabulary_path())
+    texts = [f"a {'long' * 2000}{i} b{i}" for i in range(8)]
+    for t in texts:
+        assert cache.encode([t]) == plain.encode([t])
+        assert sum(len(w) for w in cache.kept) <= 10_000 + len(t)
+
+
+@pytest.mark.parametrize("long", [2_000_000])
+def test_texts_of_megabytes(spark, long):
+    """Every operator over documents with one very long text among short ones."""
+    from quire.llm import mixing, packing, quality, secrets, sharding, simhash, winnowing
+
+    words = " ".join(f"w{i % 977}x{i % 13}" for i in range(long // 8)) + " password=hunter2hunter2."
+    rows = [(1, words, "en", "s", len(words)), (2, "Short text.", "en", "s", 11), (3, None, "de", None, None), (4, words, "en", "t", len(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert near[1] == near[4] == 1 and near[2] == 2
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    assert [(s["kind"], s["start"]) for s in spans[1]] == [("assign", words.index("password"))]
+    assert {r["doc_id"]: r["size"] for r in sharding.assign_shards(docs, 24).collect()}[1] == len(words) + 8
+    assert winnowing.fingerprint_documents(docs).count() == 4 and quality.judge_quality(docs).count() == 4
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()}[1] == len(words.split())
+    packed = packing.pack(docs, packing.vocabulary_path(), ranks_path=packing.vocabulary_path(packing.RANKS)).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 1) == sum(r["length"] for r in packed if r["doc_id"] == 4) > 100_000
