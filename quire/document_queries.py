@@ -451,7 +451,6 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt(q), 6) AS root
 def calculator_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calculator operators compiled to columns."""
     q, d, p, n = F.col("l_quantity"), F.col("l_discount"), F.col("l_partkey") % 1000, F.col("l_linenumber")
-    run = lambda text, *inputs: r6(calculator.compile_columns(calculator.parse(text), list(inputs))[-1])
     programs = {
         "root": ("{ sqrt }", q), "nat": ("{ ln }", q), "dec": ("{ log }", q), "sine": ("{ sin }", q), "cosine": ("{ cos }", q), "angle": ("{ atan }", q, n), "square": ("{ 2 exp }", q),
         "up": ("{ 4 div ceiling }", q), "down": ("{ 4 div floor }", q), "near": ("{ 4 div round }", q), "cut": ("{ neg 4 div truncate }", q), "away": ("{ 0.05 sub abs }", d),
@@ -460,7 +459,9 @@ def calculator_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
         "branch": ("{ dup 500 lt { pop pop pop } { dup 700 le { pop pop exch pop } { pop 3 1 roll pop pop } ifelse } ifelse }", q, d, n, p),
         "rolled": ("{ 3 1 roll 100 mul exch 10 mul add add 0 index exch pop }", q, d, n),
     }
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[run(*v).alias(k) for k, v in programs.items()])
+    parsed = {k: (calculator.parse(text), list(inputs)) for k, (text, *inputs) in programs.items()}
+    found = calculator.with_programs(spread(table(spark, sf_dir, "lineitem")), parsed)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[r6(F.col(k)).alias(k) for k in programs])
 
 
 __all__ = ["ORACLES", "QUERIES"]

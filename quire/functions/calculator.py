@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STACK = 100
@@ -216,6 +217,7 @@ class Symbol:
     column: Column
     literal: object = None
     value: Column | None = None
+    level: int = 0  # of the projection that holds it
 
     @property
     def real(self) -> Column:
@@ -312,8 +314,41 @@ def _either(test: Column, a: Symbol, b: Symbol) -> Symbol:
     return Symbol("real", pick(a.real, b.real))
 
 
-def compile_columns(program: list, inputs: list[Column]) -> list[Column]:
-    """Columns of the program's results; stack operators need literal counts."""
+def with_programs(df: DataFrame, programs: dict[str, tuple[list, list[Column]]]) -> DataFrame:
+    """``df`` with a column for each program (its topmost result, over the given inputs).
+
+    Every intermediate value is a column of a projection of its own level, so an
+    operand is computed once however many operators, branches and forms (whole or
+    real) use it, and the plan grows with the program, not with its paths.
+    """
+    levels: list[dict[str, Column]] = []
+
+    def bind(s: Symbol, level: int) -> Symbol:
+        while len(levels) <= level:
+            levels.append({})
+
+        def put(c: Column) -> Column:
+            name = f"_v{level}_{len(levels[level])}"
+            levels[level][name] = c
+            return F.col(name)
+
+        return Symbol(s.kind, put(s.column), s.literal, None if s.value is None else put(s.value), level + 1)
+
+    last = {name: compile_columns(program, inputs, bind)[-1] for name, (program, inputs) in programs.items()}
+    out = df
+    for level in levels:
+        out = out.withColumns(level)
+    return out.select(*df.columns, *[c.alias(name) for name, c in last.items()])
+
+
+def compile_columns(program: list, inputs: list[Column], bind: Callable[[Symbol, int], Symbol] | None = None) -> list[Column]:
+    """Columns of the program's results; stack operators need literal counts.
+
+    ``bind`` may give each new value a name, at the level after its operands'.
+    """
+
+    def held(s: Symbol, *operands: Symbol) -> Symbol:
+        return s if bind is None or s.literal is not None else bind(s, max((o.level for o in operands), default=0))
 
     def literal(stack: list[Symbol]) -> int:
         v = stack.pop().literal
@@ -328,12 +363,13 @@ def compile_columns(program: list, inputs: list[Column]) -> list[Column]:
             if not isinstance(op, str):
                 stack.append(_known(op))
             elif op in ("if", "ifelse"):
-                test = stack.pop().column
+                asked = stack.pop()
+                test = asked.column
                 yes = run(block[at - (2 if op == "ifelse" else 1)], list(stack))
                 no = run(block[at - 1], list(stack)) if op == "ifelse" else stack
                 if len(yes) != len(no):
                     raise CalculatorError("branches leave different stacks")
-                stack = [a if a is b else _either(test, a, b) for a, b in zip(yes, no, strict=True)]
+                stack = [a if a is b else held(_either(test, a, b), asked, a, b) for a, b in zip(yes, no, strict=True)]
             elif op == "pop":
                 stack.pop()
             elif op == "dup":
@@ -352,10 +388,11 @@ def compile_columns(program: list, inputs: list[Column]) -> list[Column]:
                 by %= n or 1
                 stack[len(stack) - n :] = top[n - by :] + top[: n - by]
             elif op in _ONE_OPERAND:
-                stack.append(operation(op, stack.pop()))
+                a = stack.pop()
+                stack.append(held(operation(op, a), a))
             else:
                 b, a = stack.pop(), stack.pop()
-                stack.append(operation(op, a, b))
+                stack.append(held(operation(op, a, b), a, b))
         return stack
 
-    return [s.real for s in run(program, [Symbol("real", c.cast("double")) for c in inputs])]
+    return [s.real for s in run(program, [held(Symbol("real", c.cast("double"))) for c in inputs])]

@@ -12,16 +12,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.scans import let
+
+#: What is read of an annotation's dictionary, in one pass.
+HELD = "AP string, BS struct<W:double,S:struct<`$n`:string>>, Border array<double>, IC array<double>, QuadPoints array<double>, Vertices array<double>, L array<double>, InkList array<array<double>>"
 PATH = "struct<segments:array<struct<op:string,points:array<double>>>,fill:boolean,stroke:boolean,width:double>"
 #: Distance of a Bezier curve's inner points that makes it a quarter of a circle, by radius.
 ROUND = 4 / 3 * (math.sqrt(2) - 1)
 MARKUPS = ("Highlight", "Underline", "StrikeOut", "Squiggly")
 
 
-def _held(key: str, kind: str = "array<double>") -> Column:
-    return F.from_json(F.get_json_object("dict_json", f"$.{key}"), kind)
-
-
 def _step(op: str, *values: Column) -> Column:
     points = F.array(*[v.cast("double") for v in values]) if values else F.array().cast("array<double>")
     return F.struct(F.lit(op).alias("op"), points.alias("points"))
@@ -38,81 +38,104 @@ def _joined(points: Column) -> Column:
     return F.when(F.size(points) >= 2, F.transform(places, step))
 
 
-def border_width() -> Column:
-    """``BS.W``, else the third number of ``Border``, else 1."""
-    return F.coalesce(F.get_json_object("dict_json", "$.BS.W").cast("double"), F.get(_held("Border"), F.lit(2)), F.lit(1.0))
+def _box(rect: Column, width: Column) -> Column:
+    """x0, y0, x1, y1 of the rectangle, half a border inside."""
+    x0, y0, x1, y1 = (F.get(rect, F.lit(i)) for i in range(4))
+    inset = F.struct(F.least(width / 2, (x1 - x0) / 2).alias("x"), F.least(width / 2, (y1 - y0) / 2).alias("y"))
+    return let(inset, lambda d: F.struct((x0 + d["x"]).alias("x0"), (y0 + d["y"]).alias("y0"), (x1 - d["x"]).alias("x1"), (y1 - d["y"]).alias("y1")))
+
 
+def _rectangle(box: Column) -> Column:
+    x0, y0, x1, y1 = (box[c] for c in ("x0", "y0", "x1", "y1"))
+    return F.array(_step("M", x0, y0), _step("L", x1, y0), _step("L", x1, y1), _step("L", x0, y1), _step("Z"))
 
-def _box(width: Column) -> tuple[Column, Column, Column, Column]:
-    """The rectangle, half a border inside."""
-    x0, y0, x1, y1 = (F.get("rect", F.lit(i)) for i in range(4))
-    dx, dy = F.least(width / 2, (x1 - x0) / 2), F.least(width / 2, (y1 - y0) / 2)
-    return x0 + dx, y0 + dy, x1 - dx, y1 - dy
 
+def _ellipse(box: Column) -> Column:
+    x0, y0, x1, y1 = (box[c] for c in ("x0", "y0", "x1", "y1"))
+    held = F.struct(((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), ((x1 - x0) / 2 * ROUND).alias("kx"), ((y1 - y0) / 2 * ROUND).alias("ky"))
 
-def _rectangle(width: Column) -> Column:
-    x0, y0, x1, y1 = _box(width)
-    return F.array(_step("M", x0, y0), _step("L", x1, y0), _step("L", x1, y1), _step("L", x0, y1), _step("Z"))
+    def curves(m: Column) -> Column:
+        cx, cy, kx, ky = (m[c] for c in ("cx", "cy", "kx", "ky"))
+        return F.array(
+            _step("M", x1, cy), _step("C", x1, cy + ky, cx + kx, y1, cx, y1), _step("C", cx - kx, y1, x0, cy + ky, x0, cy),
+            _step("C", x0, cy - ky, cx - kx, y0, cx, y0), _step("C", cx + kx, y0, x1, cy - ky, x1, cy), _step("Z"),
+        )
 
+    return let(held, curves)
 
-def _ellipse(width: Column) -> Column:
-    x0, y0, x1, y1 = _box(width)
-    cx, cy, kx, ky = (x0 + x1) / 2, (y0 + y1) / 2, (x1 - x0) / 2 * ROUND, (y1 - y0) / 2 * ROUND
-    quarter = lambda ax, ay, bx, by, x, y: _step("C", ax, ay, bx, by, x, y)
-    return F.array(
-        _step("M", x1, cy), quarter(x1, cy + ky, cx + kx, y1, cx, y1), quarter(cx - kx, y1, x0, cy + ky, x0, cy),
-        quarter(x0, cy - ky, cx - kx, y0, cx, y0), quarter(cx + kx, y0, x1, cy - ky, x1, cy), _step("Z"),
-    )
 
+def _corners(q: Column) -> Column:
+    """The corners a to d of a quadrilateral from its lower left round, given so or row by row from its upper left."""
+    p = [(F.get(q, F.lit(2 * i)), F.get(q, F.lit(2 * i + 1))) for i in range(4)]
+    by_rows = (p[1][0] - p[0][0]) * (p[3][0] - p[2][0]) + (p[1][1] - p[0][1]) * (p[3][1] - p[2][1]) > 0
+    put = lambda order: F.struct(*[p[at][i].alias(f"{n}{'xy'[i]}") for n, at in zip("abcd", order, strict=True) for i in (0, 1)])
+    return F.when(by_rows, put((2, 3, 1, 0))).otherwise(put((0, 1, 2, 3)))
 
-def _markup(q: Column) -> Column:
-    """The path of one quadrilateral, given round from its lower left or row by row from its upper left."""
-    p = [(q[2 * i], q[2 * i + 1]) for i in range(4)]
-    rows = (p[1][0] - p[0][0]) * (p[3][0] - p[2][0]) + (p[1][1] - p[0][1]) * (p[3][1] - p[2][1]) > 0
-    pick = lambda by_rows, around: tuple(F.when(rows, p[by_rows][i]).otherwise(p[around][i]) for i in (0, 1))
-    (ax, ay), (bx, by), (cx, cy), (dx, dy) = pick(2, 0), pick(3, 1), pick(1, 2), pick(0, 3)
-    length = F.sqrt((bx - ax) ** 2 + (by - ay) ** 2)
+
+# A markup's line is a twelfth of its height and at most 1 wide; a wave's step is two widths along and two off.
+LINE_SHARE, LINE_MOST, WAVE = 12, 1.0, 2
+
+
+def _markup(kind: Column, c: Column) -> Column:
+    """The path of one quadrilateral by its corners."""
+    ax, ay, bx, by, cx, cy, dx, dy = (c[f"{n}{z}"] for n in "abcd" for z in "xy")
     lift = lambda x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-    width = F.least(F.lit(1.0), (lift(cx, cy) + lift(dx, dy)) / (2 * length) / 12)
-    filled = F.array(_step("M", ax, ay), _step("L", bx, by), _step("L", cx, cy), _step("L", dx, dy), _step("Z"))
-    through = F.array(_step("M", (ax + dx) / 2, (ay + dy) / 2), _step("L", (bx + cx) / 2, (by + cy) / 2))
-    steps = F.ceil(length / (2 * width)).cast("int")
+    length = F.sqrt((bx - ax) ** 2 + (by - ay) ** 2)
+    measured = let(length, lambda n: F.struct(n.alias("length"), F.least(F.lit(LINE_MOST), (lift(cx, cy) + lift(dx, dy)) / (2 * n) / LINE_SHARE).alias("width")))
+    none = F.array().cast("array<struct<op:string,points:array<double>>>")
 
-    def wave(j: Column) -> Column:
-        along, off = j * length / steps, (j % 2) * 2 * width
-        x, y = ax + (along * (bx - ax) - off * (by - ay)) / length, ay + (along * (by - ay) + off * (bx - ax)) / length
-        return _step("L", x, y)
+    def path(m: Column) -> Column:
+        length, width = m["length"], m["width"]
+        steps = F.ceil(length / (WAVE * width)).cast("int")
 
-    waves = F.concat(F.array(_step("M", ax, ay)), F.when(steps > 1, F.transform(F.sequence(F.lit(1), steps - 1), wave)).otherwise(F.array().cast("array<struct<op:string,points:array<double>>>")), F.array(_step("L", bx, by)))
-    kind = F.col("subtype")
-    line = F.when(kind == "Underline", F.array(_step("M", ax, ay), _step("L", bx, by))).when(kind == "StrikeOut", through).otherwise(waves)
-    high = kind == "Highlight"
-    return _path(F.when(high, filled).otherwise(line), high, ~high, F.when(~high, width))
+        def wave(n: Column) -> Column:
+            def at(j: Column) -> Column:
+                off = (j % 2) * WAVE * width
+                return let(F.struct((j * length / n).alias("along"), off.alias("off")), lambda w: _step("L", ax + (w["along"] * (bx - ax) - w["off"] * (by - ay)) / length, ay + (w["along"] * (by - ay) + w["off"] * (bx - ax)) / length))
+
+            return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), at)).otherwise(none)
+
+        segments = (
+            F.when(kind == "Highlight", F.array(_step("M", ax, ay), _step("L", bx, by), _step("L", cx, cy), _step("L", dx, dy), _step("Z")))
+            .when(kind == "Underline", F.array(_step("M", ax, ay), _step("L", bx, by)))
+            .when(kind == "StrikeOut", F.array(_step("M", (ax + dx) / 2, (ay + dy) / 2), _step("L", (bx + cx) / 2, (by + cy) / 2)))
+            .otherwise(F.concat(F.array(_step("M", ax, ay)), let(steps, wave), F.array(_step("L", bx, by))))
+        )
+        high = kind == "Highlight"
+        return _path(segments, high, ~high, F.when(~high, width))
+
+    return let(measured, path)
 
 
 def drawn_annotations(annotations: DataFrame) -> DataFrame:
     """doc_id, page_index, index, part, segments, fill, stroke, width: the paths of annotations of the covered kinds without ``AP``.
 
-    Defined cases: missing or too few points give no path; a border of no width
-    and no interior colour gives none; other kinds give none.
+    The border is ``BS.W``, else the third number of ``Border``, else 1 wide. An
+    annotation's dictionary is parsed once; width and box are columns of their own,
+    and corners are bound before they are used, so the plan does not grow with the
+    number of uses. Defined cases: missing or too few points give no path; a border
+    of no width and no interior colour gives none; other kinds give none.
     """
-    width, kind = border_width(), F.col("subtype")
-    stroke, inside = width > 0, F.coalesce(F.size(_held("IC")) > 0, F.lit(False))
+    kind = F.col("subtype")
+    read = annotations.where(kind.isin("Link", "Square", "Circle", "Polygon", "PolyLine", "Line", "Ink", *MARKUPS)).select("doc_id", "page_index", "index", "subtype", "rect", F.from_json("dict_json", HELD).alias("d"))
+    sized = read.where("d.AP IS NULL").withColumn("width", F.coalesce("d.BS.W", F.get("d.Border", F.lit(2)), F.lit(1.0)))
+    boxed = sized.withColumn("box", _box(F.col("rect"), F.col("width")))
+    width, box = F.col("width"), F.col("box")
+    stroke, inside = width > 0, F.coalesce(F.size("d.IC") > 0, F.lit(False))
     one = lambda segments, fill: F.array(_path(segments, fill, stroke, width))
     none, closed = F.lit(False), F.array(_step("Z"))
-    underlined = F.array(_step("M", _box(width)[0], _box(width)[1]), _step("L", _box(width)[2], _box(width)[1]))
-    quads = _held("QuadPoints")
-    each = F.transform(F.sequence(F.lit(0), F.floor(F.size(quads) / 8).cast("int") - 1), lambda i: _markup(F.slice(quads, 8 * i + 1, 8)))
+    underlined = F.array(_step("M", box["x0"], box["y0"]), _step("L", box["x1"], box["y0"]))
+    quads, vertices = F.col("d.QuadPoints"), F.col("d.Vertices")
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.size(quads) / 8).cast("int") - 1), lambda i: let(_corners(F.slice(quads, 8 * i + 1, 8)), lambda c: _markup(kind, c)))
     paths = (
-        F.when(kind == "Link", one(F.when(F.get_json_object("dict_json", "$.BS.S.$n") == "U", underlined).otherwise(_rectangle(width)), none))
-        .when(kind == "Square", one(_rectangle(width), inside))
-        .when(kind == "Circle", one(_ellipse(width), inside))
-        .when((kind == "Polygon") & (F.size(_held("Vertices")) >= 6), one(F.concat(_joined(_held("Vertices")), closed), inside))
-        .when((kind == "PolyLine") & (F.size(_held("Vertices")) >= 4), one(_joined(_held("Vertices")), none))
-        .when((kind == "Line") & (F.size(_held("L")) == 4), one(_joined(_held("L")), none))
-        .when(kind == "Ink", F.transform(_held("InkList", "array<array<double>>"), lambda p: _path(_joined(p), none, stroke, width)))
+        F.when(kind == "Link", one(F.when(F.col("d.BS.S.$n") == "U", underlined).otherwise(_rectangle(box)), none))
+        .when(kind == "Square", one(_rectangle(box), inside))
+        .when(kind == "Circle", one(_ellipse(box), inside))
+        .when((kind == "Polygon") & (F.size(vertices) >= 6), one(F.concat(_joined(vertices), closed), inside))
+        .when((kind == "PolyLine") & (F.size(vertices) >= 4), one(_joined(vertices), none))
+        .when((kind == "Line") & (F.size("d.L") == 4), one(_joined(F.col("d.L")), none))
+        .when(kind == "Ink", F.transform("d.InkList", lambda p: _path(_joined(p), none, stroke, width)))
         .when(kind.isin(*MARKUPS) & (F.size(quads) >= 8), each)
     )
-    bare = annotations.where(F.get_json_object("dict_json", "$.AP").isNull())
-    out = bare.select("doc_id", "page_index", "index", F.posexplode(paths).alias("part", "path")).select("doc_id", "page_index", "index", "part", "path.*")
+    out = boxed.select("doc_id", "page_index", "index", F.posexplode(paths).alias("part", "path")).select("doc_id", "page_index", "index", "part", "path.*")
     return out.where("(fill OR stroke) AND segments IS NOT NULL")

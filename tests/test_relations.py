@@ -215,3 +215,19 @@ def test_intervals_equal_comparing_each(spark, monkeypatch):
         assert got[i] == ((best[1], best[2], best[4]) if best else (None, None, None)), (font, code)
     empty = in_intervals(df, spark.createDataFrame([], "font long, low long, high long, ord long, name string"), ["font"], "code")
     assert empty.where("name IS NULL").count() == len(points)
+
+
+def test_plans_stay_small(spark):
+    """Plans grow with what is computed, not with how often it is used."""
+    from quire.functions import calculator
+    from quire.operators.appearances import drawn_annotations
+
+    none = spark.createDataFrame([], "doc_id long, page_index int, index int, num long, subtype string, rect array<double>, flags long, contents string, dict_json string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    shown = plan(drawn_annotations(none.union(spark.createDataFrame([(1, 0, 0, 1, "Link", [0.0, 0.0, 1.0, 1.0], 0, "", "{}")], none.schema)).repartition(2)))
+    assert shown.count("from_json") <= 4 and len(shown) < 60_000
+    program = calculator.parse("{ " + "dup mul dup add " * 12 + "}")
+    df = calculator.with_programs(spark.range(5).withColumn("x", F.col("id") / 100), {"y": (program, [F.col("x")])})
+    assert len(plan(df.repartition(2))) < 40_000
+    for r in df.collect():
+        assert r["y"] == pytest.approx(calculator.evaluate(program, [r["x"]])[-1])
