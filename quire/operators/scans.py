@@ -33,30 +33,25 @@ def let2(a: Column, b: Column, body: Combine) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), lambda x: body(x["a"], x["b"]))
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality of all keys, nulls included."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def _before(nodes: DataFrame, by: list[str], combine: Combine) -> DataFrame:
     """``nodes`` (by, place, item, value) with ``before``: the combination of all earlier values of the group, null for its first."""
     # the last of the array so far is what the next value is combined with
     onto = lambda held, v: F.concat(held, F.array(let2(F.get(held, F.size(held) - 1), v, lambda a, b: F.when(a.isNull(), b).otherwise(combine(a, b)))))
-    held = F.sort_array(F.collect_list(F.struct("place", "value", "item")))
-    kind = nodes.schema["value"].dataType.simpleString()
-    blocks = nodes.groupBy(*by, F.floor(F.col("place") / BLOCK).alias("block")).agg(held.alias("held"))
-    blocks = cut_lineage(blocks.withColumn("sums", F.aggregate("held.value", F.array().cast(f"array<{kind}>"), onto)))
+    held = F.sort_array(F.collect_list(F.struct("_place", "_value", "_item")))
+    kind = nodes.schema["_value"].dataType.simpleString()
+    blocks = nodes.groupBy(*by, F.floor(F.col("_place") / BLOCK).alias("_block")).agg(held.alias("_held"))
+    blocks = cut_lineage(blocks.withColumn("_sums", F.aggregate("_held._value", F.array().cast(f"array<{kind}>"), onto)))
     if (blocks.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > 1:
-        totals = blocks.select(*by, F.col("block").alias("place"), F.col("block").alias("item"), F.element_at("sums", -1).alias("value"))
-        carried = _before(totals, by, combine).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("item").alias("_block"), F.col("before").alias("carry"))
-        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)], F.col("block") == F.col("_block"))
-        blocks = blocks.join(carried, on, "left").drop("_block", *[f"_{i}" for i in range(len(by))])
+        totals = blocks.select(*by, F.col("_block").alias("_place"), F.col("_block").alias("_item"), F.element_at("_sums", -1).alias("_value"))
+        carried = _before(totals, by, combine).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_item").alias("_run"), F.col("_before").alias("_carry"))
+        on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)], F.col("_block") == F.col("_run"))
+        blocks = blocks.join(carried, on, "left").drop("_run", *[f"_{i}" for i in range(len(by))])
     else:
-        blocks = blocks.withColumn("carry", F.lit(None).cast(kind))
-    each = blocks.select(*by, "carry", "sums", F.posexplode("held").alias("nth", "x"))
-    own = F.get("sums", F.col("nth") - 1)
-    before = F.when(own.isNull(), F.col("carry")).when(F.col("carry").isNull(), own).otherwise(let2(F.col("carry"), own, combine))
-    return each.select(*by, F.col("x.place").alias("place"), F.col("x.item").alias("item"), F.col("x.value").alias("value"), before.alias("before"))
+        blocks = blocks.withColumn("_carry", F.lit(None).cast(kind))
+    each = blocks.select(*by, "_carry", "_sums", F.posexplode("_held").alias("_nth", "_x"))
+    own = F.get("_sums", F.col("_nth") - 1)
+    before = F.when(own.isNull(), F.col("_carry")).when(F.col("_carry").isNull(), own).otherwise(let2(F.col("_carry"), own, combine))
+    return each.select(*by, F.col("_x._place").alias("_place"), F.col("_x._item").alias("_item"), F.col("_x._value").alias("_value"), before.alias("_before"))
 
 
 def segmented_scan(rows: DataFrame, by: list[str], order: str, value: Column, combine: Combine, name: str = "scanned", before: str | None = None) -> DataFrame:
@@ -69,8 +64,26 @@ def segmented_scan(rows: DataFrame, by: list[str], order: str, value: Column, co
     leaves the scan as it is. ``before``: a column for the combination that leaves the
     row itself out, null where nothing comes before.
     """
-    nodes = rows.select(*by, F.col(order).cast("long").alias("place"), F.struct(*rows.columns).alias("item"), value.alias("value"))
+    nodes = rows.select(*by, F.col(order).cast("long").alias("_place"), F.struct(*rows.columns).alias("_item"), value.alias("_value"))
     either = lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(combine(a, b))
     found = _before(nodes, by, either)
-    out = [let2(F.col("before"), F.col("value"), either).alias(name)] + ([F.col("before").alias(before)] if before else [])
-    return found.select("item.*", *out)
+    out = [let2(F.col("_before"), F.col("_value"), either).alias(name)] + ([F.col("_before").alias(before)] if before else [])
+    return found.select("_item.*", *out)
+
+
+def segmented_reduce(rows: DataFrame, by: list[str], order: str, value: Column, combine: Combine) -> DataFrame:
+    """by and ``value``: the combination of all values of each group, in order; one row a group.
+
+    The associative ``combine(earlier, later)`` runs inside runs of ``BLOCK`` places, then
+    over the runs' results, and so on, so a group of any size is as many rows as it
+    asks for. Null values leave the result as it is.
+    """
+    nodes = rows.select(*by, F.col(order).cast("long").alias("_place"), value.alias("_value")).where("_value IS NOT NULL")
+    while True:
+        held = F.sort_array(F.collect_list(F.struct("_place", "_value")))
+        blocks = nodes.groupBy(*by, F.floor(F.col("_place") / BLOCK).alias("_place")).agg(held.alias("_held"))
+        onto = lambda a, b: F.when(a.isNull(), b).otherwise(combine(a, b))
+        total = F.aggregate("_held._value", F.lit(None).cast(nodes.schema["_value"].dataType), lambda a, b: let2(a, b, onto))
+        nodes = cut_lineage(blocks.select(*by, "_place", total.alias("_value")))
+        if (nodes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= 1:
+            return nodes.drop("_place").withColumnRenamed("_value", "value")

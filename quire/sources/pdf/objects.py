@@ -239,6 +239,27 @@ def to_json(v: object) -> str:
     return json.dumps(to_plain(v), ensure_ascii=False, separators=(",", ":"))
 
 
+def from_json(text: str) -> object:
+    """The value that ``to_json`` shows; a stream's is its dictionary."""
+
+    def back(v: object) -> object:
+        if isinstance(v, list):
+            return [back(x) for x in v]
+        if not isinstance(v, dict):
+            return v
+        if len(v) == 1:
+            ((key, held),) = v.items()
+            if key == "$n":
+                return Name(held)
+            if key == "$s":
+                return bytes.fromhex(held)
+            if key == "$r":
+                return Ref(*held)
+        return {k: back(x) for k, x in v.items()}
+
+    return back(json.loads(text))
+
+
 def references_in(v: object, path: str = "") -> list[tuple[str, Ref]]:
     """(path, reference) of every reference inside a value, dictionary keys in order."""
     if isinstance(v, Ref):

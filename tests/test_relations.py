@@ -231,3 +231,117 @@ def test_plans_stay_small(spark):
     assert len(plan(df.repartition(2))) < 40_000
     for r in df.collect():
         assert r["y"] == pytest.approx(calculator.evaluate(program, [r["x"]])[-1])
+
+
+@pytest.fixture(scope="module")
+def small_files(spark):
+    from quire.functions.filters import flate_encode
+    from quire.sources.pdf.objects import Name, Ref, Stream
+    from quire.sources.pdf.write import text_document, write_file
+
+    font = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Courier"), "Encoding": Name("WinAnsiEncoding")}
+    content = b"BT /F 9 Tf 5 50 Td (shown) Tj ET " * 40
+    objects = {
+        1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3, 0), Ref(13, 0)], "Count": 2, "MediaBox": [0, 0, 99, 99]},
+        3: {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(4, 0), "Resources": {"Font": {"F": Ref(5, 0)}}}, 4: Stream({}, content), 5: font | {"ToUnicode": Ref(6, 0)}, 6: Stream({"Filter": Name("FlateDecode")}, flate_encode(b"1 begincodespacerange <00> <ff> endcodespacerange")),
+        13: {"Type": Name("Page"), "Parent": Ref(2, 0), "Contents": Ref(14, 0), "Resources": {"Font": {"F": Ref(15, 0)}}}, 14: Stream({}, content), 15: font | {"ToUnicode": Ref(16, 0)}, 16: Stream({"Filter": Name("FlateDecode")}, flate_encode(b"1 begincodespacerange <00> <ff> endcodespacerange")),
+        5000: Stream({"StructParent": 1}, b"nobody refers to this"), 9000: {"Odd(name": b"\xff\x00", "r": 0.25, "n": None, "t": True},
+    }
+    rows = [(1, write_file(objects, {"Root": Ref(1, 0), "Info": Ref(9000, 0)})), (2, text_document([[f"line {i} of page {p}" for i in range(50)] for p in range(130)])), (3, b"not a document")]
+    return spark.createDataFrame(rows, "doc_id long, content binary").repartition(3)
+
+
+@pytest.mark.parametrize("optimise", [True, False])
+def test_documents_rewritten_by_relations_read_back_equal(spark, small_files, optimise, tmp_path):
+    from quire.operators import serialise
+    from quire.sources.tables import scan, scan_together
+
+    held = scan_together(small_files, serialise.TABLES)
+    progress = serialise.Progress()
+    parts = serialise.rewritten_parts(held, optimise, progress).persist()
+    rows = sorted((r["doc_id"], r["ord"], r["offset"], bytes(r["data"])) for r in parts.collect())
+    for before, after in zip(rows, rows[1:], strict=False):
+        assert after[2] == (before[2] + len(before[3]) if after[0] == before[0] else 0)
+    again = serialise.assembled(parts)
+    assert {r["doc_id"] for r in again.collect()} == {1, 2}
+    for table in ("pages", "text_marks"):
+        columns = [c for c in scan(small_files, table).columns if c != "font_num"]
+        read = lambda files: sorted(map(str, scan(files, table, "FAILFAST").select(*columns).collect()))  # noqa: B023, E731
+        assert read(again) == read(small_files.where("doc_id < 3")), table
+    assert scan(again, "diagnostics").count() == 0
+    nums = {r["num"] for r in scan(again, "objects").where("doc_id = 1").collect()}
+    assert nums == ({1, 2, 3, 4, 5, 6, 13, 9000} if optimise else {1, 2, 3, 4, 5, 6, 13, 14, 15, 16, 9000})
+    report = progress.report()
+    assert report["write"]["bytes"] == sum(len(r[3]) for r in rows) and report["write"]["rows"] == len(rows)
+    assert report["merge"]["rows"] == (3 if optimise else 0) and (report["compress"]["compressed"] > 0) == optimise
+    assert report["scan"]["rows"] == report["compress"]["rows"] + report["merge"]["rows"]
+
+    written = serialise.write_parts(parts, tmp_path.as_uri(), part_bytes=20_000).collect()
+    for doc in (1, 2):
+        files = sorted((tmp_path / str(doc)).iterdir())
+        assert b"".join(f.read_bytes() for f in files) == b"".join(r[3] for r in rows if r[0] == doc)
+    assert len([w for w in written if w["doc_id"] == 2]) > 2
+
+
+def painted_over(below, element, base, knockout):
+    """One element on (premultiplied colours, opacity); ``base`` is what lay below a knockout group."""
+    colors, alpha, mode, shape, on = element
+    blend = {"Normal": lambda b, s: s, "Multiply": lambda b, s: b * s, "Screen": lambda b, s: b + s - b * s, "Exclusion": lambda b, s: b + s - 2 * b * s, "HardLight": lambda b, s: 2 * b * s if s <= 0.5 else 1 - 2 * (1 - b) * (1 - s)}[mode]
+    c0, a0 = base if knockout else below
+    over = []
+    for c, s, paint in zip(c0, colors, on, strict=True):
+        b = c / a0 if a0 else 0.0
+        s, mixed = (s, blend(b, s)) if paint else (0.0, b)
+        over.append((1 - alpha) * c + alpha * (1 - a0) * s + alpha * a0 * mixed)
+    result = over, a0 + alpha - a0 * alpha
+    if not knockout:
+        return result
+    # inside the shape the element stands on what lay below the group, outside on what is there
+    c, a = below
+    return [(1 - shape) * x + y - (1 - shape) * z for x, y, z in zip(c, result[0], c0, strict=True)], (1 - shape) * a + result[1] - (1 - shape) * a0
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_painting_equals_a_fold(spark, monkeypatch, block):
+    from quire.operators import compositing, scans
+
+    monkeypatch.setattr(scans, "BLOCK", block)
+    rng = random.Random(block)
+    groups = {1: (None, 7, True, False, 0.8, "Multiply"), 2: (None, 20, False, False, 0.5, "Normal"), 3: (1, 4, True, True, 0.9, "Screen"), 4: (2, 3, False, True, 0.7, "Normal"), 5: (3, 2, True, False, 1.0, "Normal")}
+    paints = {}
+    for place in range(12):
+        for grp in (None, 1, 2, 3, 4, 5):
+            for ord_ in rng.sample([o for o in range(30) if o not in (2, 3, 4, 7, 20)], rng.randint(0, 6)):
+                alpha = rng.choice([0.0, 0.25, 0.5, 1.0])
+                paints[place, grp, ord_] = ([rng.random() for _ in range(3)], alpha, rng.choice(["Normal", "Multiply", "Screen", "Exclusion", "HardLight"]), rng.choice([1.0, max(alpha, 0.5)]), [rng.random() < 0.8 for _ in range(3)])
+
+    def run(place, grp, state, knockout):
+        base = state
+        items = [(o, "paint", e) for (p, g, o), e in paints.items() if p == place and g == grp] + [(v[1], "group", g) for g, v in groups.items() if v[0] == grp]
+        for _, kind, x in sorted(items, key=lambda i: i[0]):
+            if kind == "paint":
+                state = painted_over(state, x, base, knockout)
+            elif any(p == place and inside(g, x) for p, g, _ in paints):
+                _, _, isolated, ko, fade, mode = groups[x]
+                if isolated:
+                    c, a = run(place, x, ([0.0] * 3, 0.0), ko)
+                    state = painted_over(state, ([v / a if a else 0.0 for v in c], a * fade, mode, 1.0 if a > 0 else 0.0, [True] * 3), base, knockout)
+                else:
+                    c, a = run(place, x, state, ko)
+                    state = [(1 - fade) * v + fade * w for v, w in zip(state[0], c, strict=True)], (1 - fade) * state[1] + fade * a
+        return state
+
+    def inside(g, x):
+        while g is not None and g != x:
+            g = groups[g][0]
+        return g == x
+
+    df = spark.createDataFrame([(p, g, o, *e) for (p, g, o), e in paints.items()], "place int, grp int, ord int, colors array<double>, alpha double, mode string, shape double, painted array<boolean>").repartition(5)
+    rules = spark.createDataFrame([(g, *v) for g, v in groups.items()], "grp int, parent int, ord int, isolated boolean, knockout boolean, alpha double, mode string")
+    found = compositing.composited(df, rules, ["place"])
+    got = {r["place"]: r["x"] for r in found.select("place", compositing.applied(F.col("paint"), F.array(F.lit(1.0), F.lit(0.5), F.lit(0.25)), F.lit(0.6)).alias("x")).collect()}
+    for place in {p for p, _, _ in paints}:
+        c, a = run(place, None, ([0.6, 0.3, 0.15], 0.6), False)
+        assert got[place]["alpha"] == pytest.approx(a) and list(got[place]["colors"]) == pytest.approx([v / a for v in c])
+    with pytest.raises(Exception, match="not linear"):
+        compositing.composited(df.withColumn("mode", F.lit("SoftLight")), rules, ["place"]).collect()
