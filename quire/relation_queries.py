@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import graphs, intervals, placement
-from quire.queries import query, table
-from quire.sources.tables import scan
+from quire.functions import samples
+from quire.operators import compositing, graphs, intervals, links, placement, serialise
+from quire.plans.session import spread
+from quire.queries import query, r6, table
+from quire.sources.tables import scan, scan_together
 
 
 def _mul(m: str, n: str) -> str:
@@ -134,3 +136,100 @@ def visibility_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = orders.select(F.col("o_custkey").alias("tree"), name.alias("node"), F.lit("c").alias("parent"), op.alias("op"), F.lit(None).cast("boolean").alias("state"))
     leaves = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("tree"), F.concat(F.lit("l"), "id").alias("node"), name.alias("parent"), F.lit(None).cast("string").alias("op"), "state")
     return graphs.evaluated_expressions(roots.union(inner).union(leaves), ["tree"]).where("NOT startswith(node, 'l')")
+
+
+@query("""WITH RECURSIVE l AS (
+  SELECT l_partkey AS k, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber, l_suppkey) AS n, l_discount * 10 AS c0, l_tax * 12.5 AS c1, l_quantity / 100 AS a, l_linenumber % 5 AS m FROM lineitem),
+s AS (
+  SELECT DISTINCT k, 0::BIGINT AS n, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS o FROM l
+  UNION ALL
+  SELECT s.k, l.n,
+         (1 - a) * x + a * (1 - o) * c0 + a * CASE m WHEN 0 THEN o * c0 WHEN 1 THEN x * c0 WHEN 2 THEN x + o * c0 - x * c0 WHEN 3 THEN x + o * c0 - 2 * x * c0 ELSE CASE WHEN c0 <= 0.5 THEN 2 * x * c0 ELSE o - 2 * (o - x) * (1 - c0) END END,
+         (1 - a) * y + a * (1 - o) * c1 + a * CASE m WHEN 0 THEN o * c1 WHEN 1 THEN y * c1 WHEN 2 THEN y + o * c1 - y * c1 WHEN 3 THEN y + o * c1 - 2 * y * c1 ELSE CASE WHEN c1 <= 0.5 THEN 2 * y * c1 ELSE o - 2 * (o - y) * (1 - c1) END END,
+         o + a - o * a
+  FROM s JOIN l ON l.k = s.k AND l.n = s.n + 1)
+SELECT k AS l_partkey, round(arg_max(x / o, n), 6) + 0.0 AS red, round(arg_max(y / o, n), 6) + 0.0 AS green, round(arg_max(o, n), 6) AS opacity FROM s WHERE n > 0 GROUP BY k""")
+def composited_paints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's order lines painted over each other in five modes, as one ordered aggregate."""
+    modes = F.array(*map(F.lit, ("Normal", "Multiply", "Screen", "Exclusion", "HardLight")))
+    paints = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.lit(None).cast("int").alias("grp"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("ord"), F.array(F.col("l_discount") * 10, F.col("l_tax") * 12.5).alias("colors"),
+        (F.col("l_quantity") / 100).alias("alpha"), F.get(modes, F.col("l_linenumber") % 5).alias("mode"),
+    )
+    none = spark.createDataFrame([], "grp int, parent int, ord int, isolated boolean, knockout boolean, alpha double, mode string")
+    found = compositing.composited(paints, none, ["l_partkey"])
+    seen = compositing.applied(F.col("paint"), F.array(F.lit(0.0), F.lit(0.0)), F.lit(0.0))
+    return found.select("l_partkey", seen.alias("x")).select("l_partkey", r6(F.get("x.colors", F.lit(0))).alias("red"), r6(F.get("x.colors", F.lit(1))).alias("green"), F.round("x.alpha", 6).alias("opacity"))
+
+
+_GRID = [(37 * i * i + 11 * i) % 256 for i in range(64)]
+
+
+def _interpolated(table: str, at: str, n: int, cubic: bool) -> str:
+    """SQL of a list of ``n`` values, each between four of ``table`` along one dimension at ``at``."""
+    low, t = f"least(floor({at}), 2)::INT", f"({at} - least(floor({at}), 2))"
+    v = f"list_transform(range({n}), lambda k: [2 * {table}[4*k+1] - {table}[4*k+2], {table}[4*k+1], {table}[4*k+2], {table}[4*k+3], {table}[4*k+4], 2 * {table}[4*k+4] - {table}[4*k+3]])"
+    a, b, c, d = (f"e[{low} + {i}]" for i in (1, 2, 3, 4))
+    inner = f"{b} + {t} / 2 * ({c} - {a} + {t} * (2 * {a} - 5 * {b} + 4 * {c} - {d} + {t} * (3 * ({b} - {c}) + {d} - {a})))" if cubic else f"{b} + {t} * ({c} - {b})"
+    return f"list_transform({v}, lambda e: {inner})"
+
+
+def _grid_sql(cubic: bool) -> str:
+    x, y, z = "l_quantity * 3 / 50", "l_discount * 30", "l_tax * 37.5"
+    return f"""WITH g AS (SELECT *, {_interpolated(f"{_GRID}::DOUBLE[]", x, 16, cubic).replace(f"{_GRID}::DOUBLE[]", "grid")} AS p FROM (SELECT *, {_GRID}::DOUBLE[] AS grid FROM lineitem)),
+h AS (SELECT *, {_interpolated("p", y, 4, cubic)} AS q FROM g), i AS (SELECT *, {_interpolated("q", z, 1, cubic)} AS r FROM h)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(greatest(r[1] / 255, 0), 1), 6) + 0.0 AS value FROM i"""
+
+
+def _grid(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    inputs = [F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5]
+    (value,) = samples.sampled(inputs, [4, 4, 4], _GRID, 1, [0.0, 1.0] * 3, [0.0, 1.0], order=order)
+    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(value).alias("value"))
+
+
+@query(_grid_sql(False))
+def sampled_three_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled function of three inputs, linear between its samples."""
+    return _grid(spark, sf_dir, 1)
+
+
+@query(_grid_sql(True))
+def sampled_three_inputs_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same samples joined by cubics."""
+    return _grid(spark, sf_dir, 3)
+
+
+@query(_grid_sql(False))
+def sampled_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same function, its samples a table that is joined."""
+    held = table(spark, sf_dir, "lineitem")
+    inputs = [F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5]
+    grid = spark.range(64).select(F.col("id").alias("at"), F.array(((37 * F.col("id") * F.col("id") + 11 * F.col("id")) % 256).cast("double")).alias("values"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    found = samples.sampled_by_table(held, key, inputs, [4, 4, 4], grid, ["value"], [0.0, 1.0] * 3, [0.0, 1.0])
+    return found.select(*key, r6(F.col("value")).alias("value"))
+
+
+@query(r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS reference FROM pages),
+r AS (SELECT page_id, reference, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || reference AS target FROM h),
+p AS (SELECT min(page_id) AS target_id, url FROM pages GROUP BY url)
+SELECT page_id, reference, target, target_id, count(*) AS n FROM r LEFT JOIN p ON p.url = target GROUP BY ALL""")
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all pages, resolved against their places, with the page that is there."""
+    pages = table(spark, sf_dir, "pages")
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1))
+    refs = pages.select(F.col("page_id").alias("doc_id"), F.explode(found).alias("reference"))
+    met = links.linked(refs, pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("place")))
+    return met.groupBy(F.col("doc_id").alias("page_id"), "reference", "target", "target_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l)
+SELECT doc_id, (i // 60)::INT AS page_index, count(*) FILTER (WHERE line <> '') AS n_marks, sum(length(line))::BIGINT AS n_glyphs FROM e GROUP BY ALL HAVING sum(length(line)) > 0""")
+def rewritten_text_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rewritten object by object over all tasks, put together and read back: lines and glyphs of each page."""
+    from quire.queries import _pdfs
+
+    again = serialise.assembled(serialise.rewritten_parts(scan_together(_pdfs(spark, sf_dir), serialise.TABLES)))
+    marks = scan(again, "text_marks", "FAILFAST")
+    return marks.groupBy("doc_id", "page_index").agg(F.count("*").alias("n_marks"), F.sum(F.length("text")).alias("n_glyphs"))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -345,3 +346,61 @@ def test_painting_equals_a_fold(spark, monkeypatch, block):
         assert got[place]["alpha"] == pytest.approx(a) and list(got[place]["colors"]) == pytest.approx([v / a for v in c])
     with pytest.raises(Exception, match="not linear"):
         compositing.composited(df.withColumn("mode", F.lit("SoftLight")), rules, ["place"]).collect()
+
+
+@pytest.mark.parametrize("sizes,order", [([5], 1), ([5], 3), ([3, 4], 1), ([4, 5, 4], 3), ([2, 3, 4], 1), ([1, 4, 3], 3)])
+def test_sampled_functions_of_several_inputs(spark, sizes, order):
+    import math
+
+    from quire.functions import samples
+    from quire.sources.pdf.color import read_function
+    from quire.sources.pdf.document import Document
+    from quire.sources.pdf.objects import Name, Stream
+    from quire.sources.pdf.write import text_document
+
+    rng = random.Random(len(sizes) * 10 + order)
+    m, n = len(sizes), 2
+    domain, bounds, encode, decode = [-1.0, 2.0] * m, [0.0, 9.0] * n, [v for s in sizes for v in (0.25, s - 1.5)], [-2.0, 10.0, 9.0, 0.0]
+    raw = bytes(rng.randrange(256) for _ in range(math.prod(sizes) * n))
+    own = {"FunctionType": 0, "Domain": domain, "Range": bounds, "Size": sizes, "BitsPerSample": 8, "Encode": encode, "Decode": decode, "Order": order}
+    plain = read_function(Document(text_document([["x"]])), Stream(own | {"Length": len(raw)}, raw))
+    points = [tuple(rng.uniform(-1.5, 2.5) for _ in range(m)) for _ in range(40)] + [tuple([2.0] * m), tuple([-1.0] * m)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(99, *[None] * m)], "id long, " + ", ".join(f"x{i} double" for i in range(m)))
+    xs = [F.col(f"x{i}") for i in range(m)]
+    columns = samples.sampled(xs, sizes, list(raw), n, domain, bounds, 8, encode, decode, order)
+    got = {r["id"]: (r["a"], r["b"]) for r in df.select("id", columns[0].alias("a"), columns[1].alias("b")).collect()}
+    table = spark.createDataFrame([(i, [float(v) for v in raw[n * i : n * i + n]]) for i in range(math.prod(sizes))], "at long, values array<double>")
+    joined = samples.sampled_by_table(df, ["id"], xs, sizes, table, ["a", "b"], domain, bounds, 8, encode, decode, order)
+    also = {r["id"]: (r["a"], r["b"]) for r in joined.collect()}
+    for i, p in enumerate(points):
+        assert got[i] == pytest.approx(plain(list(p))) and also[i] == pytest.approx(plain(list(p)))
+    assert got[99] == also[99] == (None, None)
+    with pytest.raises(ValueError):
+        samples.sampled([F.lit(0.0)], [5000], [0] * 5000, 1, [0.0, 1.0], [0.0, 1.0])
+
+
+def test_references_between_documents(spark, monkeypatch):
+    from urllib.parse import urldefrag, urljoin
+
+    from quire.operators.links import linked, missed, normalised
+    from quire.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    monkeypatch.setattr(skew, "HOT_SHARE", 5)
+    places = {1: "http://a.example/x/y.html", 2: "http://a.example/x/z.html?q=1", 3: "https://B.example", 4: None, 5: "http://a.example/"}
+    references = ["z.html?q=1", "/", "../", "./y.html#part", "//b.example/k", "https://b.example/", "", "#top", "?q=2", "../../x/y.html", "HTTP://A.example:80/x/./y.html", "y%2Ehtml", "none.html", "g/", "..", None]
+    links = spark.createDataFrame([(d, r, 1) for d in (1, 2, 3, 4, 77) for r in references], "doc_id long, reference string, place int")
+    found = linked(links, spark.createDataFrame(list(places.items()), "doc_id long, place string"))
+    fixed = lambda u: urldefrag(u)[0].replace("http://A.example:80", "http://a.example").replace("HTTP://A.example:80", "http://a.example").replace("B.example", "b.example").replace("y%2Ehtml", "y.html").replace("/./", "/")
+    at = {"http://a.example/x/y.html": 1, "http://a.example/x/z.html?q=1": 2, "https://b.example/": 3, "http://a.example/": 5}
+    rows = found.collect()
+    assert len(rows) == 5 * len(references)
+    for r in rows:
+        base = places.get(r["doc_id"])
+        want = None if base is None or r["reference"] is None else fixed(urljoin(base, r["reference"]))
+        want = want and re.sub(r"^(https?://[^/?]+)(\?|$)", r"\1/\2", want)
+        assert r["target"] == want, (base, r["reference"])
+        assert r["target_id"] == at.get(want)
+    gone = {r["target"]: r["n"] for r in missed(found).collect()}
+    assert gone["http://a.example/x/none.html"] == 2 and not set(gone) & set(at)
+    assert spark.range(1).select(normalised(F.lit("HTTP://X.org:80/a/../b%7e%2f?c#d"))).first()[0] == "http://x.org/b~%2F?c"
