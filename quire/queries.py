@@ -325,15 +325,6 @@ def text_extract_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.groupBy("doc_id", "page_index").agg(F.count("*").alias("n_marks"), F.sum(F.length("text")).alias("n_glyphs"))
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x0A\\x20-\\x7E]*$')),
-e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM l)
-SELECT doc_id, (i // 60)::INT AS page_index, (i % 60)::INT AS line_index, line AS text, (768 - 12 * (i % 60))::DOUBLE AS y FROM e WHERE line <> ''""")
-def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every shown line of the plain texts with its place on the page."""
-    plain = table(spark, sf_dir, "documents").where(F.coalesce("text", F.lit("")).rlike(r"^[\x0A\x20-\x7E]*\z"))
-    return _placed_lines(from_text(plain))
-
-
 def _placed_lines(files: DataFrame) -> DataFrame:
     marks = scan(files, "text_marks", "FAILFAST")
     y = F.get("matrix", F.lit(5))
@@ -390,14 +381,6 @@ def xref_newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.newest_entries(entries, ["num"], age).select("num", "position", "kind")
 
 
-@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0),
-o AS (SELECT DISTINCT o_orderkey FROM orders JOIN c ON o_custkey = c_custkey),
-p AS (SELECT DISTINCT l_partkey FROM lineitem JOIN o ON l_orderkey = o_orderkey)
-SELECT 'c' || c_custkey AS num, 0 AS depth FROM c UNION ALL SELECT 'o' || o_orderkey, 1 FROM o UNION ALL SELECT 'p' || l_partkey, 2 FROM p""")
-def object_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reached(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"))
-
-
 def _reached(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     edge = lambda t, a, b: table(spark, sf_dir, t).select(F.lit(0).alias("doc_id"), a.alias("src"), b.alias("dst"))
@@ -521,14 +504,6 @@ def sampled_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*_KEY, r6(value).alias("value"))
 
 
-@query("""SELECT p_partkey, round((p_size * 3.0 + (p_partkey % 50) * 4.0) / 25, 6) AS axial,
-  round((sqrt(p_size * p_size + (p_partkey % 50) * (p_partkey % 50)) - 5) / 95, 6) + 0.0 AS radial FROM part WHERE sqrt(p_size * p_size + (p_partkey % 50) * (p_partkey % 50)) BETWEEN 5.001 AND 99.999""")
-def gradient_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = F.col("p_size") * 1.0, (F.col("p_partkey") % 50) * 1.0
-    distance = F.sqrt(x * x + y * y)
-    return _gradients(table(spark, sf_dir, "part").where((distance >= 5.001) & (distance <= 99.999)))
-
-
 def _gradients(points: DataFrame) -> DataFrame:
     x, y = F.col("p_size") * 1.0, (F.col("p_partkey") % 50) * 1.0
     return points.select("p_partkey", r6(shading.axial_position(x, y, 0, 0, 3, 4)).alias("axial"), r6(shading.radial_position(x, y, (0, 0, 5), (0, 0, 100))).alias("radial"))

@@ -294,6 +294,7 @@ class Font:
         self.composite = self.subtype == "Type0"
         self.vertical = False
         self.known = True
+        self._quick: tuple[list[str], list[float]] | None = None
         self.maps: dict = {}
         self.symbolic = False
         self.names: dict[int, str] = {}
@@ -397,6 +398,13 @@ class Font:
                 break
         self.width_ranges = Ranges(ranges)
 
+    def quick(self) -> tuple[list[str], list[float]]:
+        """Texts and widths by code of a simple font, as ``decode`` gives them."""
+        if self._quick is None:
+            glyphs = [self.decode(bytes([c]))[0] for c in range(256)]
+            self._quick = [g.text for g in glyphs], [g.width for g in glyphs]
+        return self._quick
+
     def decode(self, data: bytes) -> list[Glyph]:
         """Text comes from the Unicode map first, then from the code's glyph name or encoding."""
         out, at = [], 0

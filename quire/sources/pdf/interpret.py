@@ -37,6 +37,7 @@ PAINTS = {
 }
 
 
+SPACE = 32
 KINDS = frozenset(("text", "path", "image", "group", "content", "clip", "shading", "pattern"))
 INTENTS = frozenset(("AbsoluteColorimetric", "RelativeColorimetric", "Saturation", "Perceptual"))
 DEVICE = {"g": "DeviceGray", "rg": "DeviceRGB", "k": "DeviceCMYK"}
@@ -82,8 +83,9 @@ class State:
 class Interpreter:
     """Runs one page and yields (kind, mark) pairs of the wanted kinds; ``ord`` numbers all marks."""
 
-    def __init__(self, doc: Document, page: Page, kinds: frozenset[str] = KINDS):
-        self.doc, self.page, self.kinds = doc, page, kinds
+    def __init__(self, doc: Document, page: Page, kinds: frozenset[str] = KINDS, detailed: bool = True):
+        """``detailed``: whether marks of text hold their glyphs; those of simple fonts are not made otherwise."""
+        self.doc, self.page, self.kinds, self.detailed = doc, page, kinds, detailed
         self.fonts: dict = {}
         self.spaces: dict = {}
         self.content: list[dict] = []
@@ -408,11 +410,21 @@ class Interpreter:
             self.doc.fault("text is shown without a font")
             return None, text
         x = y = 0.0
+        quick = None if self.detailed or font.composite or font.subtype == "Type3" else font.quick()
+        texts, n = [], 0
         for item in items:
             if isinstance(item, (int, float)):
                 shift = -item / 1000 * state.size
                 x, y = (x, y + shift) if font.vertical else (x + shift * state.h_scale, y)
                 continue
+            if quick:
+                shown, widths = quick
+                size, char, word, h_scale = state.size, state.char_space, state.char_space + state.word_space, state.h_scale
+                for c in item:
+                    x += (widths[c] * size + (word if c == SPACE else char)) * h_scale
+                texts.append("".join([shown[c] for c in item]))
+                n += len(item)
+                continue
             for g in font.decode(item):
                 glyphs.append({"code": g.code, "text": g.text, "cid": g.cid, "gid": g.gid, "width": g.width, "x": x, "y": y, "word_space": g.space})
                 extra = state.char_space + (state.word_space if g.space else 0.0)
@@ -420,8 +432,8 @@ class Interpreter:
                     y += -state.size + extra
                 else:
                     x += (g.width * state.size + extra) * state.h_scale
-        mark = self._mark("text", state, font_num=font.num, font=font.name, matrix=list(multiply(state.ctm, multiply(text, (1, 0, 0, 1, 0, state.rise)))), size=state.size, h_scale=state.h_scale, mode=state.mode, glyphs=glyphs, style=state.style)
-        return mark if glyphs else None, multiply(text, (1, 0, 0, 1, x, y))
+        mark = self._mark("text", state, font_num=font.num, font=font.name, matrix=list(multiply(state.ctm, multiply(text, (1, 0, 0, 1, 0, state.rise)))), size=state.size, h_scale=state.h_scale, mode=state.mode, glyphs=glyphs, text="".join(texts) if quick else "".join([g["text"] for g in glyphs]), style=state.style)
+        return mark if glyphs or n else None, multiply(text, (1, 0, 0, 1, x, y))
 
     def _xobject(self, resources: dict, name: object, state: State, depth: int, path: tuple) -> Iterator[tuple[str, dict]]:
         doc = self.doc

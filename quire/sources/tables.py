@@ -141,10 +141,11 @@ class Marks:
 def marks_of(doc: Document, wanted: dict[str, Marks]) -> Iterator[tuple[str, tuple]]:
     """(table, row) of all wanted tables of marks, running every page once."""
     kinds = frozenset(m.kind for m in wanted.values())
+    detailed = any(m is _glyphs for m in wanted.values())
     for p in doc.pages():
         done = dict.fromkeys(kinds, 0)
         try:
-            for kind, mark in Interpreter(doc, p, kinds).run():
+            for kind, mark in Interpreter(doc, p, kinds, detailed).run():
                 done[kind] += 1
                 yield from _mark_rows(doc, p, kind, mark, wanted)
         except FAULTS:
@@ -152,7 +153,7 @@ def marks_of(doc: Document, wanted: dict[str, Marks]) -> Iterator[tuple[str, tup
                 raise
             # what one kind of marks stumbles over must not cost the others theirs: each goes on alone
             for kind in sorted(kinds):
-                rest = itertools.islice(Interpreter(doc, p, frozenset({kind})).run(), done[kind], None)
+                rest = itertools.islice(Interpreter(doc, p, frozenset({kind}), detailed).run(), done[kind], None)
                 yield from _isolated(doc, f"page {p.index}, {kind} marks", (row for k, mark in rest for row in _mark_rows(doc, p, k, mark, wanted)))
 
 
@@ -361,7 +362,7 @@ TABLES: dict[str, tuple[str, Callable[[Document], Iterator[tuple]]]] = {
     "streams": ("num long, gen long, dict_json string, filters array<string>, image_filter string, raw binary, decoded binary, sha256 string", _streams),
     "pages": ("page_index int, num long, media_box array<double>, crop_box array<double>, rotation int, user_unit double, struct_parents long", _pages),
     "operations": ("page_index int, ord int, operator string, operands_json string, offset long", _operations),
-    "text_marks": (f"page_index int, ord int, text string, font_num long, font string, {_MATRIX}, size double, h_scale double, mode int, replacement string, mcid long, style_json string", _marks("text", lambda m: ("".join(g["text"] for g in m["glyphs"]), m["font_num"], m["font"], m["matrix"], m["size"], m["h_scale"], m["mode"], m["replacement"], m["mcid"], _style(m)))),
+    "text_marks": (f"page_index int, ord int, text string, font_num long, font string, {_MATRIX}, size double, h_scale double, mode int, replacement string, mcid long, style_json string", _marks("text", lambda m: (m["text"], m["font_num"], m["font"], m["matrix"], m["size"], m["h_scale"], m["mode"], m["replacement"], m["mcid"], _style(m)))),
     "glyphs": ("page_index int, ord int, i int, code long, text string, cid int, gid int, width double, x double, y double, word_space boolean", _glyphs),
     "path_marks": ("page_index int, ord int, segments array<struct<op:string,points:array<double>>>, even_odd boolean, fill boolean, stroke boolean, mcid long, style_json string, fill_rgb array<double>, stroke_rgb array<double>, clips array<int>", _marks("path", lambda m: (_segments(m), m["even_odd"], m["fill"], m["stroke"], m["mcid"], _style(m), m["fill_rgb"], m["stroke_rgb"], m["clips"]))),
     "clip_paths": ("page_index int, ord int, segments array<struct<op:string,points:array<double>>>, even_odd boolean, text_ords array<int>, clips array<int>", _marks("clip", lambda m: (_segments(m), m["even_odd"], m["text_ords"], m["clips"]))),
