@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import samples
-from quire.operators import compositing, graphs, intervals, links, placement, serialise
+from quire.operators import compositing, graphs, intervals, links, meshes, placement, serialise
 from quire.plans.session import spread
 from quire.queries import query, r6, table
 from quire.sources.tables import scan, scan_together
@@ -233,3 +233,18 @@ def rewritten_text_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = serialise.assembled(serialise.rewritten_parts(scan_together(_pdfs(spark, sf_dir), serialise.TABLES)))
     marks = scan(again, "text_marks", "FAILFAST")
     return marks.groupBy("doc_id", "page_index").agg(F.count("*").alias("n_marks"), F.sum(F.length("text")).alias("n_glyphs"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 5 AS mesh, p_size / 12.5 AS x, (p_partkey % 50) / 12.5 AS y FROM part),
+c AS (SELECT *, least(floor(x), 3)::INT AS i, least(floor(y), 3)::INT AS j FROM p),
+k AS (SELECT *, x - i AS fx, y - j AS fy, (5*j+i)*(5*j+i) AS a, (5*j+i+1)*(5*j+i+1) AS b, (5*j+i+5)*(5*j+i+5) AS d, (5*j+i+6)*(5*j+i+6) AS e FROM c)
+SELECT p_partkey, mesh::BIGINT AS mesh, round((mesh + 1) * CASE WHEN fx + fy <= 1 THEN a + fx * (b - a) + fy * (d - a) ELSE e + (1 - fx) * (d - e) + (1 - fy) * (b - e) END, 5) + 0.0 AS color FROM k""")
+def mesh_painted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of the parts' places in lattices, one for each region, by the triangles that hold them."""
+    n = F.col("n")
+    lattice = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("mesh"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("n"))
+    vertices = lattice.select("mesh", n.alias("ord"), (n % 5 * 12.5).alias("x"), (F.floor(n / 5) * 12.5).alias("y"), F.array((n * n * (F.col("mesh") + 1)).cast("double")).alias("color"))
+    triangles = meshes.lattice_triangles(vertices, ["mesh"], F.lit(5))
+    points = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("mesh"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 50).cast("double").alias("y"))
+    found = meshes.painted_points(points, triangles, ["mesh"], ["p_partkey"])
+    return found.select("p_partkey", "mesh", (F.round(F.get("color", F.lit(0)), 5) + 0.0).alias("color"))
