@@ -10,8 +10,9 @@ together with headings that lead up to it.
 What the markup says beforehand enters as weights. Page furniture (``nav``,
 ``aside``, ``form``, scripts and so on, elements whose role or class names say so,
 and hidden ones) has no lines. Where a page declares its article (``article``, else
-``main``), lines inside weigh more than a surge, so all of them stay however short,
-and lines outside weigh nothing; where it declares none, lengths decide.
+``main``, else an element named so that holds half of the text or more), lines inside
+weigh more than a surge, so all of them stay however short, and lines outside weigh
+nothing; where it declares none, lengths decide.
 
 One page is one string in, one string out, inside a task; the work is linear in its
 length. Defined cases: null html is the empty page, with empty text; unclosed and
@@ -69,8 +70,14 @@ NAMES = frozenset(
     cookie cookies consent gdpr notice notices notification notifications alert popup popups modal overlay lightbox
     nav navbar navigation menu menus submenu breadcrumb breadcrumbs toolbar topbar masthead header footer copyright colophon
     sidebar sidebars aside widget widgets related recommended recommendations trending teaser teasers
-    comment comments commentlist disqus respond reply replies responses discussion
-    share sharing social follow newsletter subscribe subscription signup login signin search pagination pager skip tags""".split()
+    comment comments commentlist disqus respond reply replies responses discussion discussions feedback guestbook
+    share sharing social follow newsletter subscribe subscription signup login signin search pagination pager skip tags
+    announcement announcements disclaimer topnav bottombar toast paywall outbrain taboola""".split()
+)
+#: Class names and ids by which a page that has no element for it names its main text.
+DECLARING = frozenset(
+    """content main maincontent main-content main_content page-content site-content article article-body article-content article-text articlebody articletext
+    post post-body post-content entry entry-content story story-body body-text bodytext text-body""".split()
 )
 #: Words beside which a name above says how a page is laid out, not what the element is.
 LAYOUT = frozenset("no not has have with without layout enabled disabled open".split())
@@ -82,7 +89,7 @@ RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", r
 class Line(NamedTuple):
     text: str
     weight: int
-    declared: int  # 2 inside an article, 1 inside main, 0 elsewhere
+    declared: int  # 3 inside an article, 2 inside main, 1 inside an element named so, 0 elsewhere
     heading: bool
 
 
@@ -110,7 +117,7 @@ def _is_furniture(name: str, values: dict[str, str], inside: bool) -> bool:
         return True
     if values.get("role", "").strip().lower() in ROLES:
         return True
-    called = f"{values.get('class', '')} {values.get('id', '')}".split()
+    called = [*f"{values.get('class', '')} {values.get('id', '')}".split(), values.get("aria-label", "")]
     if name in ("main", "article"):
         return name == "article" and not REMARKS.isdisjoint(c.lower() for c in called)
     for c in called:
@@ -120,6 +127,15 @@ def _is_furniture(name: str, values: dict[str, str], inside: bool) -> bool:
     return False
 
 
+def _declares(name: str, values: dict[str, str]) -> int:
+    """How surely a start tag opens the page's main text."""
+    if name == "article" or "articlebody" in values.get("itemprop", "").lower():
+        return 3
+    if name == "main" or values.get("role") == "main":
+        return 2
+    return int(name in ("div", "section", "td") and not DECLARING.isdisjoint(f"{values.get('class', '')} {values.get('id', '')}".lower().split()))
+
+
 class _Strip:
     """Strips one page to its lines."""
 
@@ -199,14 +215,14 @@ class _Strip:
             if name in ("br", "hr"):
                 self.flush()
             return
-        furniture = _is_furniture(name, values, self.top.declared > 0)
+        furniture = _is_furniture(name, values, self.top.declared > 1)
         if name in INLINE:
             # only inline furniture, and its namesakes within, need to be kept track of
             if furniture or (self.furniture and self.top.name == name):
                 self.push(name, furniture, 0)
             return
-        declared = 0 if furniture else 2 if name == "article" else 1 if name == "main" or values.get("role") == "main" else 0
-        if declared and self.furniture and self.open[at := self.furniture[-1]].name == "form":
+        declared = 0 if furniture else _declares(name, values)
+        if declared > 1 and self.furniture and self.open[at := self.furniture[-1]].name == "form":
             self.furniture.pop()  # a form around the whole page
             self.open[at] = self.open[at]._replace(furniture=False)
         self.push(name, furniture, declared)
@@ -269,6 +285,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page, blocks joined by one space."""
     lines = strip_markup(page or "")
     declared = max((x.declared for x in lines), default=0)
+    if declared == 1 and 2 * sum(x.weight for x in lines if x.declared) < sum(x.weight for x in lines):
+        declared = 0
+        lines = [x._replace(declared=0) for x in lines]
     lines = [x if x.declared == declared else EMPTY for x in lines]
     weights = [max(x.weight, SURGE + 1) if declared and x.text else x.weight for x in lines]
     out = []
