@@ -96,6 +96,10 @@ PAGES = [
     ("<form id=aspnet><article><p>Inside.</p></article></form>", "Inside."), ("<p>Kept.</p><script>never closed <p>x", "Kept."), ("<p>Kept.<!-- open <p>x", "Kept."),
     ("<article><p title='a>b' class=\"x\">Quoted.</p><span class=ad>Ad <span>in</span> it</span> tail<p style='display: none'>hid</p></article>", "Quoted. tail"),
     ("<article><ul><li>One<li>Two <ul><li>Deep</ul><li>Three</ul><table><tr><td>a<td>b<tr><td>c</table></article>", "One Two Deep Three a b c"),
+    ("<div class=tagline>News.</div><div id=content><p>Tiny.</p><div class='promo-box'>Buy</div><p>End.</p></div><section aria-label='Reader comments'><p>First!</p></section>", "Tiny. End."),
+    ("<div class=box><div class=content>Small.</div></div><div class=text><p>" + "Long text goes on. " * 20 + "</p></div>", "Long text goes on. " * 20),
+    ("<main><h1>T</h1><div itemprop='articleBody'><p>Body.</p></div><div class='comments-area'><p>Me too.</p></div></main>", "Body."),
+    ("<article><p>A</p><!-- x --><script>1<2</script><aside>s</aside><div class='ad-slot'>ad</div><footer>f</footer><table><tr><td>c</td></tr></table><pre>p  q</pre><blockquote>b</blockquote>z &amp;lt; y</article>", "A c p q b z &lt; y"),
     ("<article><div class=entry-header><h1>H</h1></div><div role=navigation>n</div>x</article>", "H x"),
 ]
 
