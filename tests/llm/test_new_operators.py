@@ -144,7 +144,7 @@ def test_extraction_keeps_rows_and_columns(spark):
 
 def plain_repair(rows):
     """(cost, audit, repaired) by trying every sequence of edits; rows: (role, text, fault)."""
-    best = None
+    best = (3 * len(rows), "D" * len(rows), [])
     word = {"u": "user", "a": "assistant"}
 
     def ok(roles):
@@ -153,10 +153,10 @@ def plain_repair(rows):
 
     def walk(i, cost, audit, made, inserts):
         nonlocal best
-        if best and cost > best[0]:
+        if cost > best[0]:
             return
         if i == len(rows) and ok("".join(r[:1] if r else "?" for r, _ in made)):
-            best = min(best, (cost, audit, list(made))) if best else (cost, audit, list(made))
+            best = min(best, (cost, audit, list(made)))
         if inserts < 2:
             for r in "ua":
                 walk(i, cost + 2, audit + "I", [*made, (word[r], "")], inserts + 1)
