@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from quire.plans.session import cut_lineage
 
 MAX_DEPTH = 8192
+#: Fronts of a search that are kept as tables of their own.
+FRONTS = 8
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes (``doc_id``, ``num``) that ``roots`` lead to, with their least distance.
 
     ``edges``: doc_id, src, dst. Breadth first; each round joins only the
-    nodes met last, removes those known before, and writes what is new: the
-    fronts are united only in the result.
+    nodes met last, removes those known before, and writes what is new. Fronts are
+    put into one table after every ``FRONTS`` rounds, so that a long way does not
+    read ever more of them.
     """
     fronts = [cut_lineage(roots.select("doc_id", "num").distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, MAX_DEPTH):
@@ -26,6 +29,8 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         front = cut_lineage(met.join(known, ["doc_id", "num"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return reduce(DataFrame.union, fronts)
+        if len(fronts) >= FRONTS:
+            fronts = [cut_lineage(reduce(DataFrame.union, fronts))]
         fronts.append(front)
     raise RuntimeError(f"nodes beyond depth {MAX_DEPTH}")
 

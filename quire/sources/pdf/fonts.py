@@ -98,6 +98,15 @@ def standard_widths(name: str) -> tuple[dict[str, float], float] | None:
     return known, known["0"]
 
 
+#: Glyph names of further letters, ligatures and mathematical signs; two Greek names mean signs.
+LETTERS = {
+    "dcroat": "đ", "Dcroat": "Đ", "hbar": "ħ", "Hbar": "Ħ", "tbar": "ŧ", "Tbar": "Ŧ", "eng": "ŋ", "Eng": "Ŋ", "ij": "ĳ", "IJ": "Ĳ", "ldot": "ŀ", "Ldot": "Ŀ", "kgreenlandic": "ĸ", "napostrophe": "ŉ", "longs": "ſ",
+    "ff": "ﬀ", "ffi": "ﬃ", "ffl": "ﬄ", "Delta": "\u2206", "Omega": "\u2126", "lambda": "λ", "Lambda": "Λ", "sigma1": "ς", "theta1": "ϑ", "phi1": "ϕ", "omega1": "ϖ", "Upsilon1": "ϒ",
+    "notequal": "≠", "lessequal": "≤", "greaterequal": "≥", "infinity": "∞", "partialdiff": "∂", "summation": "∑", "product": "∏", "integral": "∫", "radical": "√", "approxequal": "≈", "lozenge": "◊", "arrowleft": "←",
+    "arrowup": "↑", "arrowright": "→", "arrowdown": "↓", "element": "∈", "universal": "∀", "existential": "∃", "emptyset": "∅", "gradient": "∇", "intersection": "∩", "union": "∪", "equivalence": "≡", "similar": "∼", "angle": "∠",
+}
+
+
 def glyph_text(name: str) -> str | None:
     """Text of a glyph name; parts are joined by ``_`` and end at the first dot."""
     name = name.split(".", 1)[0]
@@ -112,6 +121,14 @@ def glyph_text(name: str) -> str | None:
         if mark := ACCENTS.get(m[2]):
             text = unicodedata.normalize("NFC", m[1][:1].replace("d", "i" if m[1] == "dotlessi" else "d") + mark)
             return text if len(text) == 1 else None
+    if name in LETTERS:
+        return LETTERS[name]
+    if re.fullmatch(r"[A-Z]?[a-z]{2,7}", name):
+        case = "CAPITAL" if name[0].isupper() else "SMALL"
+        try:
+            return unicodedata.lookup(f"GREEK {case} LETTER {name.upper()}")
+        except KeyError:
+            return None
     if m := re.fullmatch(r"uni((?:[0-9A-F]{4})+)", name):
         codes = [int(m[1][i : i + 4], 16) for i in range(0, len(m[1]), 4)]
         return None if any(0xD800 <= c <= 0xDFFF for c in codes) else "".join(map(chr, codes))

@@ -639,3 +639,8 @@ def test_a_direct_information_dictionary_is_edited():
     data = page_file(b"", Info={"Title": b"old", "Author": b"me"})
     doc = Document(rewrite(Document(data), Edits(info={"Title": "new"}))[0])
     assert doc.info() == {"Title": "new", "Author": "me"}
+
+
+def test_names_of_greek_letters_ligatures_and_signs():
+    want = {"alpha": "α", "Omega": "\u2126", "Delta": "\u2206", "dcroat": "đ", "ff": "ﬀ", "ffi": "ﬃ", "lambda": "λ", "Psi": "Ψ", "infinity": "∞", "eacute": "é", "uni03B1": "α", "f_f": "ff", "nonsense": None, "ogonek_": None}
+    assert {n: glyph_text(n) for n in want} == want

@@ -404,3 +404,12 @@ def test_references_between_documents(spark, monkeypatch):
     gone = {r["target"]: r["n"] for r in missed(found).collect()}
     assert gone["http://a.example/x/none.html"] == 2 and not set(gone) & set(at)
     assert spark.range(1).select(normalised(F.lit("HTTP://X.org:80/a/../b%7e%2f?c#d"))).first()[0] == "http://x.org/b~%2F?c"
+
+
+def test_reach_over_a_long_way(spark, monkeypatch):
+    from quire.operators import relations as R
+
+    monkeypatch.setattr(R, "FRONTS", 3)
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(10)] + [(1, 4, 0), (2, 3, 3)], "doc_id long, src long, dst long")
+    found = R.reachable(edges, spark.createDataFrame([(1, 0), (2, 3), (1, 0)], "doc_id long, num long"))
+    assert sorted(map(tuple, found.collect())) == [*[(1, i, i) for i in range(11)], (2, 3, 0)]
