@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from quire.functions import filters
@@ -52,6 +52,7 @@ class Document:
         self._inside: dict[int, dict[int, bytes]] = {}
         self._busy: set[int] = set()
         self._dests: dict[bytes, object] | None = None
+        self.wanted_page: Callable[[int], bool] = lambda index: True  # pages that tables by page are asked for
         self.version = self._version()
         try:
             self._load_xref()

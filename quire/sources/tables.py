@@ -86,7 +86,8 @@ class ByPage:
 
     def __call__(self, doc: Document) -> Iterator[tuple]:
         for p in doc.pages():
-            yield from _isolated(doc, f"page {p.index}", self.rows(doc, p))
+            if doc.wanted_page(p.index):
+                yield from _isolated(doc, f"page {p.index}", self.rows(doc, p))
 
 
 def _objects(doc: Document) -> Iterator[tuple]:
@@ -143,6 +144,8 @@ def marks_of(doc: Document, wanted: dict[str, Marks]) -> Iterator[tuple[str, tup
     kinds = frozenset(m.kind for m in wanted.values())
     detailed = any(m is _glyphs for m in wanted.values())
     for p in doc.pages():
+        if not doc.wanted_page(p.index):
+            continue
         done = dict.fromkeys(kinds, 0)
         try:
             for kind, mark in Interpreter(doc, p, kinds, detailed).run():
