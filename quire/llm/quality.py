@@ -113,8 +113,8 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prepared: dict[st
     sample = drawn.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES).limit(4 * rows).collect()
     local = docs.sparkSession.createDataFrame([(r[0],) for r in sample], "text string").coalesce(1)
     if prepared:
-        taken = measures(F.col("text"), words_of(F.col("text")))
-        ready = local.select("text", *[taken[n].alias(f"_{n}") for n in prepared])
+        taken = local.select("text", measured(F.col("text"), tuple(prepared)).alias("m"))
+        ready = taken.select("text", *[F.col(f"m.{n}").alias(f"_{n}") for n in prepared])
         local = docs.sparkSession.createDataFrame([tuple(r) for r in ready.collect()], ready.schema).coalesce(1)
     known = {n: F.col(f"_{n}") for n in prepared}
 
