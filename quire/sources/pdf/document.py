@@ -441,7 +441,7 @@ class Document:
             color = [float(self.resolve(c)) for c in self.get(node, "C", list, [0, 0, 0])]
             yield {
                 "level": level, "title": filters.decode_text(self.get(node, "Title", bytes, b"")), "expanded": count > 0,
-                "italic": bool(flags & 1), "bold": bool(flags & 2), "color": color, "dict": node,
+                "italic": bool(flags & 1), "bold": bool(flags & 2), "color": color, "dict": node, "ref": ref,
                 "destination": node.get("Dest", self.get(node.get("A"), "D")),
             }
             pending.append((node.get("Next"), level))

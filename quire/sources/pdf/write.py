@@ -254,8 +254,9 @@ def _edit(doc: Document, out: dict[int, object], trailer: dict, edits: Edits, ch
     titles = edits.outline_titles
     for i, item in enumerate(doc.outlines()) if titles else ():
         if i in titles:
-            own = next(v for v in out.values() if isinstance(v, dict) and v == with_references(item["dict"], change))
-            own["Title"] = encode_text(titles[i])
+            if not isinstance(item["ref"], Ref):
+                raise PdfError(f"outline item {i} is no object of its own")
+            out[change(item["ref"]).num]["Title"] = encode_text(titles[i])
     _edit_pages(doc, out, edits, change, fresh)
     for num, pixels in sorted(edits.images.items()):
         to = change(Ref(num, 0))

@@ -644,3 +644,10 @@ def test_a_direct_information_dictionary_is_edited():
 def test_names_of_greek_letters_ligatures_and_signs():
     want = {"alpha": "α", "Omega": "\u2126", "Delta": "\u2206", "dcroat": "đ", "ff": "ﬀ", "ffi": "ﬃ", "lambda": "λ", "Psi": "Ψ", "infinity": "∞", "eacute": "é", "uni03B1": "α", "f_f": "ff", "nonsense": None, "ogonek_": None}
     assert {n: glyph_text(n) for n in want} == want
+
+
+def test_titles_of_equal_outline_items_are_edited_by_place():
+    items = {10: {"First": Ref(11, 0), "Last": Ref(13, 0)}, 11: {"Title": b"same", "Parent": Ref(10, 0), "Next": Ref(12, 0)}, 12: {"Title": b"same", "Parent": Ref(10, 0), "Next": Ref(13, 0)}, 13: {"Title": b"same", "Parent": Ref(10, 0)}}
+    data = page_file(b"", None, {1: {"Outlines": Ref(10, 0)}, **items})
+    doc = Document(rewrite(Document(data), Edits(outline_titles={1: "other"}))[0])
+    assert [o["title"] for o in doc.outlines()] == ["same", "other", "same"]
