@@ -201,9 +201,9 @@ class _Strip:
     def start(self, name: str, rest: str) -> None:
         if self.counts.get("head") and name not in IN_HEAD:
             self.pop(next(at for at, e in enumerate(self.open) if e.name == "head"))
-        closed = self.last({"p"}) if name in CLOSES_P else self.last(SIBLINGS[name]) if name in SIBLINGS else None
-        if closed is not None:
-            self.pop(closed)
+        for closed in ({"p"} if name in CLOSES_P else None, SIBLINGS.get(name)):
+            if closed and (at := self.last(closed)) is not None:
+                self.pop(at)
         if name in INLINE and (not rest or name == "wbr" or name == "img"):
             if self.furniture and self.top.name == name:
                 self.push(name, False, 0)
