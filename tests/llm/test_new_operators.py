@@ -116,7 +116,8 @@ def test_main_text_is_linear_and_whole():
 
     many = "".join(f"<p>para {i}</p>" for i in range(200_000))
     assert main_text(f"<article>{many}</article>") == " ".join(f"para {i}" for i in range(200_000))
-    for nasty in ("<div>" * 50_000 + "x", "<p a='" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "</p>" * 50_000, "<a href=x>" * 50_000, "<h1>" * 50_000 + "x", "&" * 200_000):
+    assert main_text("<article><h1>a<p>b<h2>c<p>d<li>e<h1>f</article>") == "a b c d e f"
+    for nasty in ("<h1><p>" * 50_000, "<li><p>" * 50_000, "<td><tr><li>" * 30_000, "<div>" * 50_000 + "x", "<p a='" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "</p>" * 50_000, "<a href=x>" * 50_000, "<h1>" * 50_000 + "x", "&" * 200_000):
         main_text(nasty)
 
 
