@@ -35,7 +35,8 @@ def blocks_of(low: Column, high: Column) -> Column:
         a = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k)
         return let(F.struct(a.alias("a"), F.call_function("shiftright", stop, k).alias("b")), ends)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BITS)), at))
+    # no block is larger than the range
+    return F.when(high >= low, F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(high - low + 1))), at))).otherwise(F.array().cast(item))
 
 
 def in_intervals(points: DataFrame, ranges: DataFrame, by: list[str], value: str, low: str = "low", high: str = "high", order: str = "ord") -> DataFrame:
@@ -56,7 +57,7 @@ def in_intervals(points: DataFrame, ranges: DataFrame, by: list[str], value: str
     cut = cut.select(*by, F.explode(blocks_of(F.col(low).cast("long"), F.col(high).cast("long"))).alias("b"), kept.alias("range"))
     blocks = cut_lineage(cut.groupBy(*by, F.col("b.level").alias("level"), F.col("b.block").alias("block")).agg(F.max("range").alias("range")))
     levels = sorted(r[0] for r in blocks.select("level").distinct().collect())  # at most BITS + 1
-    asked = points.select(*by, F.col(value).cast("long").alias("_value")).where(F.col("_value").between(0, (1 << BITS) - 1)).distinct()
+    asked = cut_lineage(points.select(*by, F.col(value).cast("long").alias("_value")).where(F.col("_value").between(0, (1 << BITS) - 1)).distinct())
     places = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("_value", k).alias("block")) for k in levels]) if levels else F.array().cast("array<struct<level:int,block:bigint>>")
     found = lookup(asked.select("*", F.explode(places).alias("p")).select(*by, "_value", "p.level", "p.block"), blocks, [*by, "level", "block"])
     answers = found.groupBy(*by, "_value").agg(F.max("range").alias("_range"))
