@@ -50,13 +50,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when fewer partitions than they are hold rows.
+#: Most rows, and bytes of strings, that one task of costly per-row work is given.
+SPREAD_ROWS = 100_000
+SPREAD_BYTES = 2 << 20
 
-    For costly per-row work on a small input, such as one file of one row group;
-    an input of many partitions passes as it is. Counting the partitions reads no
-    column (of Parquet files only the footers).
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS, size: int = SPREAD_BYTES) -> DataFrame:
+    """``df`` over all cores, and in as many partitions as its rows and bytes ask for.
+
+    For costly per-row work: a partition holds about ``rows`` rows and ``size`` bytes of
+    strings at most (a single row may be larger), so a larger input means more tasks
+    and not longer ones. An input that is dealt so already passes as it is. Counting
+    reads the columns of strings only (without any, of Parquet files the footers).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    held = df.select(F.spark_partition_id().alias("p")).distinct().count()
-    return df.repartition(2 * cores) if held < cores else df
+    held = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0)).cast("long")
+    parts = df.select(F.spark_partition_id().alias("p"), held.alias("b")).groupBy("p").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    some, n, b, most_n, most_b = parts.agg(F.count("*"), F.sum("n"), F.sum("b"), F.max("n"), F.max("b")).first()
+    if not some or (some >= cores and most_n <= 2 * rows and most_b <= 2 * size):
+        return df
+    return df.repartition(max(2 * cores, -(-n // rows), -(-b // size)))
