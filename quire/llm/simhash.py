@@ -114,7 +114,8 @@ def hamming_links(distinct: DataFrame) -> DataFrame:
     chained = F.lit(False)
     for i in range(SEGMENTS):
         chained = chained | ((start == i) & _chain_holds(diff, i))
-    return index.join(probes, "k").where((F.col("a") < F.col("b")) & chained & (F.bit_count(diff) <= MAX_BITS)).select("a", "b").distinct()
+    # an explode is taken for as large as its input, so a side of 68 rows a number would seem small enough to broadcast
+    return index.hint("merge").join(probes.hint("merge"), "k").where((F.col("a") < F.col("b")) & chained & (F.bit_count(diff) <= MAX_BITS)).select("a", "b").distinct()
 
 
 def _labelled(docs: DataFrame) -> DataFrame:

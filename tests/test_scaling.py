@@ -24,3 +24,12 @@ def test_every_part_is_work_for_some_task(spark, tmp_path):
     spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("a b").alias("p_name")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     found = glyph_advance(spark, str(tmp_path))
     assert "RoundRobinPartitioning" in found._jdf.queryExecution().toString()
+
+
+def test_probes_are_not_broadcast(spark):
+    from quire.llm.simhash import hamming_links
+    from quire.plans.session import cut_lineage
+
+    distinct = cut_lineage(spark.range(100_000).select(F.xxhash64("id").alias("fp")))
+    plan = hamming_links(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
