@@ -461,7 +461,7 @@ def calculator_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rolled": ("{ 3 1 roll 100 mul exch 10 mul add add 0 index exch pop }", q, d, n),
     }
     parsed = {k: (calculator.parse(text), list(inputs)) for k, (text, *inputs) in programs.items()}
-    found = calculator.with_programs(spread(table(spark, sf_dir, "lineitem")), parsed)
+    found = calculator.with_programs(spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")), parsed)
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[r6(F.col(k)).alias(k) for k in programs])
 
 

@@ -3,8 +3,8 @@
 An input point lies in a cell of the grid; its value is a weighted sum of the cell's
 corners (two a dimension), or for order 3 of four points a dimension on a cubic that
 goes on in a straight line beyond the ends. The weights of a point are the products of
-those of its dimensions, made by nested transforms, so the expression grows with the
-number of inputs and not with that of corners.
+those of its dimensions, so the work grows with the corners and the expression does not. Places
+are columns; a literal table's corners are summed by numpy, a batch of rows at a time.
 
 Up to ``LITERAL`` values the table is a literal of the plan. A larger one (a colour
 profile's, say) is a table: each point's corners are joined with it (``sampled_by_table``).
@@ -12,8 +12,11 @@ profile's, say) is a table: each point's corners are joined with it (``sampled_b
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,19 +66,60 @@ def _crossed(some: Column, more: Column, stride: int) -> Column:
     return let(both, lambda z: F.flatten(F.transform(z["a"], lambda p: F.transform(z["b"], lambda q: _corner(p["at"] + q["at"] * stride, p["w"] * q["w"])))))
 
 
-def corners(inputs: list[Column], sizes: list[int], domain: list[float], encode: list[float] | None = None, order: int = 1) -> Column:
-    """array of (at, w): the samples a point is made of, by their number in the table (the first input varies fastest), and their weights."""
+def _places(inputs: list[Column], sizes: list[int], domain: list[float], encode: list[float] | None) -> list[Column]:
+    """Where a point lies along each dimension, from 0 to size - 1."""
     encode = encode or [v for s in sizes for v in (0.0, s - 1.0)]
-    out, stride = None, 1
+    out = []
     for i, (x, size) in enumerate(zip(inputs, sizes, strict=True)):
         d0, d1, e0, e1 = *domain[2 * i : 2 * i + 2], *encode[2 * i : 2 * i + 2]
-        place = clamp(interpolate(clamp(x.cast("double"), d0, d1), d0, d1, e0, e1) if d1 > d0 else F.lit(float(e0)), 0, size - 1)
+        out.append(clamp(interpolate(clamp(x.cast("double"), d0, d1), d0, d1, e0, e1) if d1 > d0 else F.lit(float(e0)), 0, size - 1))
+    return out
+
+
+def corners(inputs: list[Column], sizes: list[int], domain: list[float], encode: list[float] | None = None, order: int = 1) -> Column:
+    """array of (at, w): the samples a point is made of, by their number in the table (the first input varies fastest), and their weights."""
+    out, stride = None, 1
+    for place, size in zip(_places(inputs, sizes, domain, encode), sizes, strict=True):
         own = _placed(place, size, order == 3)
         out = own if out is None else _crossed(out, own, stride)
         stride *= size
     return out
 
 
+def _weights(at: np.ndarray, size: int, cubic: bool) -> list[tuple[np.ndarray | int, np.ndarray | float]]:
+    """(index, weight) of each corner along one dimension, as ``_along`` has them, for a batch of places."""
+    if size == 1:
+        return [(0, 1.0)]
+    low = np.minimum(np.floor(at), size - 2).astype(np.int64)
+    t = at - low
+    if not (cubic and size >= 4):
+        return [(low, 1 - t), (low + 1, t)]
+    a, d = -t / 2 + t * t - t * t * t / 2, -t * t / 2 + t * t * t / 2
+    b, c = 1 - 2.5 * t * t + 1.5 * t * t * t, t / 2 + 2 * t * t - 1.5 * t * t * t
+    first, last = low == 0, low == size - 2
+    b_all = b + np.where(first, 2 * a, 0.0) - np.where(last, d, 0.0)
+    c_all = c - np.where(first, a, 0.0) + np.where(last, 2 * d, 0.0)
+    return [(np.maximum(low - 1, 0), np.where(first, 0.0, a)), (low, b_all), (low + 1, c_all), (np.minimum(low + 2, size - 1), np.where(last, 0.0, d))]
+
+
+def _summed(places: list[Column], sizes: list[int], samples: np.ndarray, cubic: bool) -> Column:
+    """The weighted sum of the corners of every point, in the order of ``corners``."""
+    strides = [math.prod(sizes[:i]) for i in range(len(sizes))]
+
+    @F.pandas_udf("double")
+    def run(*at: pd.Series) -> pd.Series:
+        own = [_weights(x.to_numpy(dtype=np.float64), size, cubic) for x, size in zip(at, sizes, strict=True)]
+        total = np.zeros(len(at[0]))
+        for met in itertools.product(*own):
+            where, weight = 0, 1.0
+            for (index, w), stride in zip(met, strides, strict=True):
+                where, weight = where + index * stride, weight * w
+            total += weight * samples[where]
+        return pd.Series(total)
+
+    return run(*places)
+
+
 def decoded(value: Column, bits: int, low: float, high: float, bounds: tuple[float, float] | None = None) -> Column:
     """A sum of samples in the function's range."""
     y = low + value * ((high - low) / (2**bits - 1))
@@ -93,14 +137,15 @@ def sampled(inputs: list[Column], sizes: list[int], samples: list[int], outputs:
     if len(samples) > LITERAL:
         raise ValueError(f"{len(samples)} samples are no literal: use sampled_by_table")
     decode = decode or bounds
-    table = F.array(*[F.lit(float(s)) for s in samples])
+    table = np.array(samples, dtype=np.float64)
     known = F.lit(True)
     for x in inputs:
         known = known & x.isNotNull()
-    held = F.when(known, corners(inputs, sizes, domain, encode, order))
+    # a null place would reach the batch as a NaN
+    places = [F.coalesce(p, F.lit(0.0)) for p in _places(inputs, sizes, domain, encode)]
 
     def output(j: int) -> Column:
-        total = F.aggregate(held, F.lit(0.0), lambda y, c: y + c["w"] * F.get(table, (c["at"] * outputs + j).cast("int")))
+        total = F.when(known, _summed(places, sizes, table[j::outputs], order == 3))
         return decoded(total, bits, *decode[2 * j : 2 * j + 2], tuple(bounds[2 * j : 2 * j + 2]))
 
     return [output(j) for j in range(outputs)]

@@ -33,3 +33,13 @@ def test_probes_are_not_broadcast(spark):
     distinct = cut_lineage(spark.range(100_000).select(F.xxhash64("id").alias("fp")))
     plan = hamming_links(distinct)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_sampled_functions_run_by_batches(spark):
+    from quire.functions.samples import sampled
+
+    x = F.col("id") / 99
+    (value,) = sampled([x, x, F.when(F.col("id") != 7, x)], [4, 4, 4], [k * k % 256 for k in range(64)], 1, [0.0, 1.0] * 3, [0.0, 1.0], order=3)
+    found = spark.range(100).select("id", value.alias("v"))
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["id"] for r in found.where("v IS NULL").collect()] == [7]
