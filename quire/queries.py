@@ -17,7 +17,7 @@ from quire.functions import calculator, filters, geometry, labels, shading, view
 from quire.functions.dates import format_date, parse_date
 from quire.functions.spot import SPOTS, spot
 from quire.operators import relations as R
-from quire.plans.session import spread
+from quire.plans.session import cut_lineage, spread
 from quire.sources.pdf.fonts import HELVETICA
 from quire.sources.tables import from_text, rewritten, scan
 
@@ -352,7 +352,8 @@ def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, ((len(string_split(coalesce(text, ''), chr(10))) + 59) // 60)::BIGINT AS n_pages, 0::BIGINT AS n_faults, true AS smaller FROM documents")
 def optimised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written, optimised and read again."""
-    out = rewritten(_pdfs(spark, sf_dir))
+    # written once, then read for its counters and for its pages
+    out = cut_lineage(rewritten(_pdfs(spark, sf_dir)))
     pages = scan(out, "pages", "FAILFAST").groupBy("doc_id").agg(F.count("*").alias("n_pages"))
     told = out.select("doc_id", F.col("fault").isNotNull().cast("long").alias("n_faults"), (F.col("bytes_out") <= F.col("bytes_in") + 64).alias("smaller"))
     return told.join(pages, "doc_id").select("doc_id", "n_pages", "n_faults", "smaller")
