@@ -66,3 +66,12 @@ def test_documents_are_optimised_once(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     plan = optimised_documents(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_a_lookup_without_hot_keys_reads_its_rows_once(spark):
+    from quire.plans.skew import lookup
+
+    rows = spark.range(1000).select((F.col("id") % 10).alias("k"))
+    found = lookup(rows, spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), ["k"])
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("v = 2 * k").count() == 1000
