@@ -75,3 +75,24 @@ def test_a_lookup_without_hot_keys_reads_its_rows_once(spark):
     found = lookup(rows, spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), ["k"])
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.where("v = 2 * k").count() == 1000
+
+
+def test_small_groups_of_sparse_places_take_no_rounds(spark, monkeypatch):
+    from quire.operators import scans
+
+    cuts = []
+    monkeypatch.setattr(scans, "cut_lineage", lambda df: cuts.append(1) or df)
+    df = spark.range(600).select((F.col("id") % 50).alias("g"), (F.col("id") * 10**12).alias("at"), F.lit(1).alias("v"))
+    assert {tuple(r) for r in scans.segmented_reduce(df, ["g"], "at", F.col("v"), lambda a, b: a + b).collect()} == {(g, 12) for g in range(50)}
+    found = scans.segmented_scan(df, ["g"], "at", F.col("v"), lambda a, b: a + b, "n").where("n <> floor(at / 50e12) + 1")
+    assert found.count() == 0 and len(cuts) == 2  # the groups are counted, nothing else is written
+
+
+def test_large_groups_of_sparse_places_beside_small_ones(spark, monkeypatch):
+    from quire.operators import scans
+
+    monkeypatch.setattr(scans, "BLOCK", 8)
+    df = spark.range(400).select(F.when(F.col("id") % 4 > 0, -1).otherwise(F.col("id") % 100).alias("g"), (F.col("id") * 1000).alias("at"), F.format_string("%03d", "id").alias("v"))
+    whole = {r["g"]: r["value"] for r in scans.segmented_reduce(df, ["g"], "at", F.col("v"), lambda a, b: F.concat(a, b)).collect()}
+    for g in {i % 100 for i in range(0, 400, 4)} | {-1}:
+        assert whole[g] == "".join(f"{i:03d}" for i in range(400) if (i % 4 > 0) == (g < 0) and (g < 0 or i % 100 == g))
