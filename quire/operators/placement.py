@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.scans import let2, segmented_scan
+from quire.operators.scans import large_groups, let2, segmented_scan
 from quire.plans.session import cut_lineage
 
 PARTS = "abcdef"
@@ -65,12 +65,12 @@ def _line(earlier: Column, later: Column) -> Column:
     return F.when(later["kind"] == 2, later).when(later["kind"] == 1, moved).otherwise(advanced)
 
 
-def depths(operations: DataFrame, by: list[str]) -> DataFrame:
-    """``operations`` with ``depth``: how many ``q`` are open after each; a ``Q`` without one is ignored."""
+def depths(operations: DataFrame, by: list[str], large: DataFrame | bool | None = True) -> DataFrame:
+    """``operations`` with ``depth``: how many ``q`` are open after each; a ``Q`` without one is ignored. ``large``: as of ``segmented_scan``."""
     step = F.when(F.col("operator") == "q", 1).when(F.col("operator") == "Q", -1).otherwise(0).cast("long")
     value = F.struct(step.alias("s"), F.least(step, F.lit(0)).cast("long").alias("low"))
     both = lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), F.least(a["low"], a["s"] + b["low"]).alias("low"))
-    found = segmented_scan(operations, by, "ord", value, both, "_d")
+    found = segmented_scan(operations, by, "ord", value, both, "_d", large=large)
     return found.select(*operations.columns, (F.col("_d.s") - F.col("_d.low")).alias("depth"))
 
 
@@ -89,12 +89,17 @@ def placed_operations(operations: DataFrame, by: tuple[str, ...] = ("doc_id", "p
     ops = operations.select(*by, F.col("ord").cast("long").alias("ord"), "operator", args.alias("args"), (F.lit(0.0) if advance is None else F.coalesce(advance.cast("double"), F.lit(0.0))).alias("shown"))
     zero = lambda at: F.coalesce(_number(at), F.lit(0.0))
     op = F.col("operator")
-    held = depths(ops, by)
+    # dealt by group once; every group of the scans is a part of one
+    ops = cut_lineage(ops.repartition(*by))
+    large = large_groups(ops, by)
+    held = depths(ops, by, large)
 
     # frames: the q that last opened the depth an operation acts at; a q itself acts outside what it opens
-    opened = held.where(op == "q").select(*by, "depth", "ord", F.lit(None).cast(held.schema["args"].dataType).alias("args"), F.lit(None).cast("string").alias("operator"), F.lit(None).cast("double").alias("shown"), F.col("ord").alias("opens"))
-    acting = held.select(*by, F.when(op == "q", F.col("depth") - 1).otherwise(F.col("depth")).alias("depth"), "ord", "args", "operator", "shown", F.lit(None).cast("long").alias("opens"))
-    framed = segmented_scan(opened.unionByName(acting), [*by, "depth"], "ord", F.col("opens"), lambda _, b: b, "frame").where("operator IS NOT NULL").withColumn("frame", F.coalesce("frame", F.lit(-1)))
+    acts = lambda depth, opens: F.struct(depth.alias("depth"), opens.cast("long").alias("opens"))
+    acting, opening = acts(F.col("depth") - 1, F.lit(None)), acts(F.col("depth"), F.col("ord"))
+    both = F.when(op == "q", F.array(opening, acting)).otherwise(F.array(acts(F.col("depth"), F.lit(None))))
+    acted = held.select(*by, "ord", "args", "operator", "shown", F.explode(both).alias("_a")).select(*by, "ord", "args", "operator", "shown", "_a.*")
+    framed = segmented_scan(acted, [*by, "depth"], "ord", F.col("opens"), lambda _, b: b, "frame", large=large).where("opens IS NULL").withColumn("frame", F.coalesce("frame", F.lit(-1)))
 
     settings = {f: [] for f in INITIAL}
     for name, (field, at) in SETS.items():
@@ -104,7 +109,7 @@ def placed_operations(operations: DataFrame, by: tuple[str, ...] = ("doc_id", "p
     settings["char_space"].append((op == '"', zero(1)))
     chosen = [reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).cast("double").alias(f) for f, cases in settings.items()]
     concat = F.when(op == "cm", matrix(*map(zero, range(6)))).otherwise(matrix(*IDENTITY))
-    local = segmented_scan(framed, [*by, "frame"], "ord", F.struct(concat.alias("m"), *chosen), _compose, "local")
+    local = segmented_scan(framed, [*by, "frame"], "ord", F.struct(concat.alias("m"), *chosen), _compose, "local", large=large)
     local = cut_lineage(local.select(*by, "ord", "operator", "args", "shown", "depth", "frame", "local"))
 
     # what a frame starts with: the state at its q, composed with what that frame started with
@@ -129,7 +134,7 @@ def placed_operations(operations: DataFrame, by: tuple[str, ...] = ("doc_id", "p
     move = F.when(op == "Tm", matrix(*map(zero, range(6)))).when(op.isin("Td", "TD"), matrix(1, 0, 0, 1, zero(0), zero(1))).when(op.isin("T*", "'", '"'), down).otherwise(matrix(*IDENTITY))
     shown = F.when(is_show, F.col("shown")).otherwise(F.lit(0.0))
     value = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), move.alias("m"), shown.alias("shown")))
-    lines = segmented_scan(known, by, "ord", value, _line, "_line")
+    lines = segmented_scan(known, by, "ord", value, _line, "_line", large=large)
     start = matrix(1, 0, 0, 1, F.col("_line.shown") - shown, F.lit(0.0))
     text = F.when(F.col("_line.kind") == 2, let2(start, F.col("_line.m"), product))
     begun = F.col("_line.kind") == 2  # nothing is moved or shown before a text object begins
