@@ -32,18 +32,37 @@ def duplicate_classes(objects: DataFrame, references: DataFrame, across: bool =
     more classes than the one before. Classes only ever split, so that is the coarsest
     partition. Rounds are as many as the longest path it takes to tell two objects
     apart; a round moves digests only. An object's own references meet in one row,
-    as they do in the object itself.
+    as they do in the object itself. An object that no other has the shape of stays alone,
+    so rounds are only for the others and their references.
     """
+    single, shared = refined(objects, references, across)
+    classes = single.union(shared)
+    firsts = classes.groupBy("class").agg(F.min(F.struct(*NODE)).alias("canonical"))
+    return lookup(classes, firsts, ["class"]).select(*NODE, "class", "canonical")
+
+
+def refined(objects: DataFrame, references: DataFrame, across: bool = True) -> tuple[DataFrame, DataFrame]:
+    """doc_id, num, class as of ``duplicate_classes``: objects that are alone by their shape, and the others."""
     fixed = F.coalesce(F.col("fixed"), F.lit(False)) if "fixed" in objects.columns else F.lit(False)
     alone = F.concat_ws(":", F.lit("fixed"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("num").cast("string"))
     within = F.lit("") if across else F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     shape = F.when(fixed, alone).otherwise(F.concat(within, F.lit(":"), F.coalesce(F.concat(F.lit("s"), F.col("shape").cast("string")), F.lit("-"))))
     classes = cut_lineage(objects.select(*NODE, F.sha2(shape, 256).alias("class")))
-    edges = cut_lineage(references.select("doc_id", F.col("src_num").alias("src"), "path", F.col("dst_num").alias("num")))
+    counted = lookup(classes, classes.groupBy("class").agg(F.count("*").alias("_n")), ["class"])
+    single = classes.where("false")
+    if not counted.where("_n = 1").isEmpty():
+        counted = cut_lineage(counted)
+        single, classes = counted.where("_n = 1").select(*NODE, "class"), counted.where("_n > 1").select(*NODE, "class")
+        if classes.isEmpty():
+            return single, classes
+        classes = cut_lineage(classes)
+    held = classes.select(F.col("doc_id").alias("_doc"), F.col("num").alias("_num"))
+    edges = references.select("doc_id", F.col("src_num").alias("src"), "path", F.col("dst_num").alias("num"))
+    edges = cut_lineage(edges.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("src") == F.col("_num")), "left_semi"))
     hot = cut_lineage(hot_keys(edges, NODE))
     n = classes.select("class").distinct().count()
     while True:
-        seen = lookup(edges, classes, NODE, hot).select("doc_id", F.col("src").alias("num"), F.struct("path", F.coalesce("class", F.lit("missing")).alias("class")).alias("ref"))
+        seen = lookup(edges, single.union(classes), NODE, hot).select("doc_id", F.col("src").alias("num"), F.struct("path", F.coalesce("class", F.lit("missing")).alias("class")).alias("ref"))
         held = seen.groupBy(*NODE).agg(F.sort_array(F.collect_list("ref")).alias("refs"))
         signed = F.transform("refs", lambda r: F.concat(F.length(r["path"]), F.lit(":"), r["path"], r["class"]))
         met = classes.join(held.withColumnRenamed("doc_id", "_doc").withColumnRenamed("num", "_num"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("num") == F.col("_num")), "left")
@@ -51,8 +70,7 @@ def duplicate_classes(objects: DataFrame, references: DataFrame, across: bool =
         classes, before, n = after, n, after.select("class").distinct().count()
         if n == before:
             break
-    firsts = classes.groupBy("class").agg(F.min(F.struct(*NODE)).alias("canonical"))
-    return lookup(classes, firsts, ["class"]).select(*NODE, "class", "canonical")
+    return single, classes
 
 
 def aliases_of(classes: DataFrame) -> DataFrame:

@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 
 from quire.functions.filters import flate_encode
 from quire.operators import relations as R
-from quire.operators.graphs import aliases_of, duplicate_classes
+from quire.operators.graphs import aliases_of, refined
 from quire.operators.scans import segmented_scan
-from quire.plans.session import cut_lineage
+from quire.plans.session import cut_lineage, parts_for
 from quire.sources.pdf.objects import Name, Ref, Stream, from_json, write_value
 from quire.sources.pdf.write import IDENTITY_KEYS, with_references
 
 #: Numbers whose cross-references are one part.
 RUN = 4096
+#: Most objects that one task writes.
+OBJECTS = 20_000
 #: Types whose equal objects may stand for each other. Streams may unless they have an identity.
 MERGED_TYPES = ("Font", "FontDescriptor", "ExtGState", "Encoding", "XObject", "Pattern")
 REFERENCE = r'\{"\$r":\[\d+,\d+\]\}'
@@ -76,8 +78,8 @@ def merged_objects(objects: DataFrame, references: DataFrame) -> DataFrame:
         identity = identity | F.get_json_object("value_json", f"$.{key}").isNotNull()
     free = F.when(F.col("is_stream"), ~identity).otherwise(own.isin(*MERGED_TYPES) & ~identity)
     shape = F.concat_ws(" ", F.regexp_replace("value_json", REFERENCE, "R"), F.sha2("raw", 256))
-    classes = duplicate_classes(objects.select("doc_id", "num", shape.alias("shape"), (~F.coalesce(free, F.lit(False))).alias("fixed")), references, across=False)
-    return aliases_of(classes)
+    _, shared = refined(objects.select("doc_id", "num", shape.alias("shape"), (~F.coalesce(free, F.lit(False))).alias("fixed")), references, across=False)
+    return aliases_of(shared)
 
 
 def _body(num: int, value: str, raw: bytes | None, alias: dict[int, int], packed: bool) -> tuple[bytes, bool]:
@@ -102,6 +104,8 @@ def coded(objects: DataFrame, aliases: DataFrame, references: DataFrame, compres
     changed = changed.agg(F.collect_set(F.struct(F.col("dst_num").alias("a"), F.col("canonical_num").alias("b"))).alias("alias"))
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("num") == F.col("_num"))
     left = objects.join(targets.withColumnRenamed("_dst", "_num"), on, "left_anti").join(changed, on, "left").select("doc_id", "num", "value_json", "raw", "alias")
+    # small objects are as much work as large ones, so partitions are not dealt by bytes alone
+    left = left.repartition(parts_for(objects, rows=OBJECTS))
     id_type = objects.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +167,8 @@ def rewritten_parts(held: dict[str, DataFrame], optimise: bool = True, progress:
     no parts.
     """
     watch = (progress or Progress()).watch
+    # what is read round after round is kept beside the streams, not among them
+    held = held | {t: cut_lineage(held[t]) for t in ("documents", "object_refs")}
     documents = held["documents"].where(F.get_json_object("trailer_json", "$.Root").isNotNull())
     objects = cut_lineage(watch(kept_objects(held), "scan", bytes=F.octet_length("raw")))
     references = held["object_refs"]

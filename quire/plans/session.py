@@ -55,6 +55,19 @@ SPREAD_ROWS = 100_000
 SPREAD_BYTES = 2 << 20
 
 
+def _dealt(df: DataFrame) -> tuple[int, int, int, int, int]:
+    """Partitions that hold rows, rows, bytes of strings, and the most of both in a partition."""
+    held = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0)).cast("long")
+    parts = df.select(F.spark_partition_id().alias("p"), held.alias("b")).groupBy("p").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    return tuple(x or 0 for x in parts.agg(F.count("*"), F.sum("n"), F.sum("b"), F.max("n"), F.max("b")).first())
+
+
+def parts_for(df: DataFrame, rows: int = SPREAD_ROWS, size: int = SPREAD_BYTES) -> int:
+    """As many partitions as the rows and bytes of ``df`` ask for, two a core at least."""
+    _, n, b, _, _ = _dealt(df)
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // rows), -(-b // size))
+
+
 def spread(df: DataFrame, rows: int = SPREAD_ROWS, size: int = SPREAD_BYTES) -> DataFrame:
     """``df`` over all cores, and in as many partitions as its rows and bytes ask for.
 
@@ -64,9 +77,7 @@ def spread(df: DataFrame, rows: int = SPREAD_ROWS, size: int = SPREAD_BYTES) ->
     reads the columns of strings only (without any, of Parquet files the footers).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    held = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0)).cast("long")
-    parts = df.select(F.spark_partition_id().alias("p"), held.alias("b")).groupBy("p").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
-    some, n, b, most_n, most_b = parts.agg(F.count("*"), F.sum("n"), F.sum("b"), F.max("n"), F.max("b")).first()
+    some, n, b, most_n, most_b = _dealt(df)
     if not some or (some >= cores and most_n <= 2 * rows and most_b <= 2 * size):
         return df
     return df.repartition(max(2 * cores, -(-n // rows), -(-b // size)))

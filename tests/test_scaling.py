@@ -96,3 +96,30 @@ def test_large_groups_of_sparse_places_beside_small_ones(spark, monkeypatch):
     whole = {r["g"]: r["value"] for r in scans.segmented_reduce(df, ["g"], "at", F.col("v"), lambda a, b: F.concat(a, b)).collect()}
     for g in {i % 100 for i in range(0, 400, 4)} | {-1}:
         assert whole[g] == "".join(f"{i:03d}" for i in range(400) if (i % 4 > 0) == (g < 0) and (g < 0 or i % 100 == g))
+
+
+def test_objects_alone_by_shape_take_no_rounds(spark, monkeypatch):
+    from quire.operators import graphs
+
+    cuts = []
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: cuts.append(1) or df)
+    objects = spark.range(40).select(F.lit(1).alias("doc_id"), F.col("id").alias("num"), F.col("id").cast("string").alias("shape"))
+    refs = spark.range(39).select(F.lit(1).alias("doc_id"), F.col("id").alias("src_num"), F.lit("/K").alias("path"), (F.col("id") + 1).alias("dst_num"))
+    found = graphs.duplicate_classes(objects, refs).collect()
+    assert len(found) == 40 and all(r["canonical"]["num"] == r["num"] for r in found) and len(cuts) == 2
+    # two of a shape, told apart by what objects without an equal are
+    twins = objects.withColumn("shape", F.when(F.col("num").isin(3, 4), "twin").when(F.col("num").isin(8, 9), "like").otherwise(F.col("shape")))
+    same = refs.withColumn("dst_num", F.when(F.col("src_num").isin(8, 9), 20).otherwise(F.col("dst_num")))
+    assert {r["num"]: r["canonical"]["num"] for r in graphs.duplicate_classes(twins, same).where("num <> canonical.num").collect()} == {9: 8}
+
+
+def test_rewritten_objects_are_dealt_by_rows(spark, monkeypatch):
+    from quire.operators import serialise
+    from quire.sources.tables import from_text, scan_together
+
+    monkeypatch.setattr(serialise, "OBJECTS", 10)
+    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    held = scan_together(from_text(texts), serialise.TABLES)
+    objects = serialise.kept_objects(held).localCheckpoint().coalesce(1)
+    none = objects.select("doc_id", "num", F.col("num").alias("canonical_num")).where("false")
+    assert serialise.coded(objects, none, held["object_refs"]).rdd.getNumPartitions() >= objects.count() // 10
