@@ -123,3 +123,18 @@ def test_rewritten_objects_are_dealt_by_rows(spark, monkeypatch):
     objects = serialise.kept_objects(held).localCheckpoint().coalesce(1)
     none = objects.select("doc_id", "num", F.col("num").alias("canonical_num")).where("false")
     assert serialise.coded(objects, none, held["object_refs"]).rdd.getNumPartitions() >= objects.count() // 10
+
+
+def test_font_tables_are_made_without_glyphs(monkeypatch):
+    from quire.sources.pdf import fonts
+    from quire.sources.pdf.document import Document
+    from quire.sources.pdf.objects import Name
+    from quire.sources.pdf.write import text_document
+
+    doc = Document(text_document([["a"]]), "", False)
+    for own in ({"BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}, {"BaseFont": Name("Times-Bold"), "Encoding": {"Differences": [65, Name("eacute"), Name("zero")]}}, {"BaseFont": Name("Courier")}):
+        font = fonts.Font(doc, own | {"Subtype": Name("Type1")})
+        glyphs = [font.decode(bytes([c]))[0] for c in range(256)]
+        monkeypatch.setattr(fonts.Font, "decode", lambda *_: 1 / 0)
+        assert font.quick() == ([g.text for g in glyphs], [g.width for g in glyphs])
+        monkeypatch.undo()
