@@ -139,21 +139,22 @@ def evaluated_expressions(nodes: DataFrame, by: list[str]) -> DataFrame:
     has one operand; an operator without operands is an error, as is a tree that
     contains itself.
     """
-    base = nodes.select(*by, "node", "parent", "op", "state")
-    n_kids = base.where("parent IS NOT NULL").groupBy(*by, F.col("parent").alias("_node")).agg(F.count("*").alias("waits"))
-    n_kids = n_kids.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_node", "waits")
+    base = cut_lineage(nodes.select(*by, "node", "parent", "op", "state"))
+    leaf, shown = F.col("op").isNull(), F.coalesce("state", F.lit(True))
+    # leaves hand their values on as their parents' operands are counted, and take part in no round
+    own = F.when(leaf, shown)
+    kids = base.where("parent IS NOT NULL").groupBy(*by, F.col("parent").alias("_node")).agg(F.count("*").alias("n"), F.count(own).alias("had"), F.bool_and(own).alias("every"), F.bool_or(own).alias("some"))
+    kids = kids.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_node", "n", "had", "every", "some")
     on = _same([*by, "node"], [*[f"_{i}" for i in range(len(by))], "_node"])
-    every, some = F.lit(True).alias("every"), F.lit(False).alias("some")
-    left = base.join(n_kids, on, "left").select(*by, "node", "parent", "op", "state", F.coalesce("waits", F.lit(0)).alias("waits"), every, some)
-    odd = left.where("op IS NOT NULL AND (waits = 0 OR (op = 'Not' AND waits <> 1))")
-    left = cut_lineage(left)
-    if not odd.isEmpty():
+    waits, every, some = F.coalesce(F.col("n") - F.col("had"), F.lit(0)).alias("waits"), F.coalesce("every", F.lit(True)).alias("every"), F.coalesce("some", F.lit(False)).alias("some")
+    left = cut_lineage(base.where(~leaf).join(kids, on, "left").select(*by, "node", "parent", "op", waits, every, some, F.coalesce("n", F.lit(0)).alias("n")))
+    if not left.where("n = 0 OR (op = 'Not' AND n <> 1)").isEmpty():
         raise ValueError("an operator with a wrong number of operands")
-    out = []
+    left, out = left.drop("n"), [base.where(leaf).select(*by, "node", shown.alias("value"))]
     while not left.isEmpty():
         op, waits = F.col("op"), F.col("waits") == 0
         value = (
-            F.when(op.isNull(), F.coalesce("state", F.lit(True))).when((op == "And") & ~F.col("every"), False).when((op == "Or") & F.col("some"), True)
+            F.when((op == "And") & ~F.col("every"), False).when((op == "Or") & F.col("some"), True)
             .when(waits & (op == "And"), True).when(waits & (op == "Or"), False).when(waits & (op == "Not"), ~F.col("every"))
         )
         valued = left.withColumn("value", value)
@@ -165,11 +166,11 @@ def evaluated_expressions(nodes: DataFrame, by: list[str]) -> DataFrame:
         handed = handed.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_node", "_n", "_every", "_some")
         left = cut_lineage(
             valued.where("value IS NULL").drop("value").join(handed, on, "left").select(
-                *by, "node", "parent", "op", "state", (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits"),
+                *by, "node", "parent", "op", (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits"),
                 (F.col("every") & F.coalesce("_every", F.lit(True))).alias("every"), (F.col("some") | F.coalesce("_some", F.lit(False))).alias("some"),
             )
         )
-    return _union(out) if out else left.select(*by, "node", F.lit(True).alias("value"))
+    return _union(out)
 
 
 def _same(left: list[str], right: list[str]) -> Column:

@@ -138,3 +138,15 @@ def test_font_tables_are_made_without_glyphs(monkeypatch):
         monkeypatch.setattr(fonts.Font, "decode", lambda *_: 1 / 0)
         assert font.quick() == ([g.text for g in glyphs], [g.width for g in glyphs])
         monkeypatch.undo()
+
+
+def test_leaves_of_expressions_take_no_round(spark, monkeypatch):
+    from quire.operators import graphs
+
+    sizes = []
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: sizes.append((df.columns, df.count())) or df)
+    rows = [(1, "r", None, "And", None), (1, "a", "r", "Or", None), (1, "b", "r", "Not", None)] + [(1, f"l{i}", "a", None, i == 7) for i in range(30)] + [(1, "x", "b", None, False), (None, "y", None, None, None)]
+    nodes = spark.createDataFrame(rows, "tree int, node string, parent string, op string, state boolean")
+    found = {(r["tree"], r["node"]): r["value"] for r in graphs.evaluated_expressions(nodes, ["tree"]).collect()}
+    assert len(found) == len(rows) and found[1, "r"] and found[1, "a"] and found[1, "b"] and found[None, "y"] and found[1, "l7"] and not found[1, "l8"]
+    assert [n for _, n in sizes if n > 3] == [35]  # the nodes are kept once, rounds hold operators only
