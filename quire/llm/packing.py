@@ -86,12 +86,25 @@ def quick_encoder(path: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def token_sizes(path: str) -> np.ndarray:
+    """Bytes of every token of a rank table."""
+    import base64
+
+    with open(path, "rb") as lines:
+        held = [(int(rank), len(base64.b64decode(word))) for word, rank in map(bytes.split, lines)]
+    sizes = np.zeros(max(rank for rank, _ in held) + 1, dtype=np.int64)
+    for rank, size in held:
+        sizes[rank] = size
+    return sizes
+
+
 class WordCache:
     """Byte-level BPE of whole texts, remembering the ids of space-separated words.
 
     New words go to the rank-table encoder of the same vocabulary, which is
     quicker on short strings, unless they hold a special token's opening or a
-    character from ``PLAIN_BELOW`` on; those go to the tokenizer itself.
+    character from ``PLAIN_BELOW`` on; those go to the tokenizer itself. Words
+    after a space are encoded as one text, and the ids dealt by their bytes.
 
     The pre-tokenizer never joins what stands on both sides of a space that no
     other white space precedes or follows in a run of three, or that ends no
@@ -104,6 +117,7 @@ class WordCache:
         self.kept: dict[str, bytes] = {}  # ids of a word after a space
         self.kept_bytes = 0
         self.quick = quick_encoder(ranks_path) if ranks_path else None
+        self.sizes = token_sizes(ranks_path) if ranks_path else None
 
     @functools.cached_property
     def tokenizer(self):
@@ -116,12 +130,28 @@ class WordCache:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         if not self.quick:
             return self._encode(words)
-        out: list[bytes | None] = [None if "<|" in w or (not w.isascii() and max(w) >= PLAIN_BELOW) else array("I", self.quick(w)).tobytes() for w in words]
+        out: list[bytes | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if "<|" not in w and (w.isascii() or max(w) < PLAIN_BELOW)]
+        for i, x in zip(plain, self._encode_plain([words[i] for i in plain]), strict=True):
+            out[i] = x
         slow = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(slow, self._encode([words[i] for i in slow]), strict=True):
             out[i] = x
         return out
 
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the rank table; those that all follow a space make a text that is encoded at once."""
+        whole = "".join(words)
+        if all(w[:1] == " " for w in words) and not (_DOUBLE.search(whole) and _UNSAFE.search(whole)):
+            ids = np.array(self.quick(whole), dtype="<u4")
+            stops = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+            at = np.cumsum(self.sizes[ids])
+            ends = np.searchsorted(at, stops)
+            if len(words) and len(at) and at[-1] == stops[-1] and (at[ends] == stops).all():
+                raw, ends = ids.tobytes(), (4 * (ends + 1)).tolist()
+                return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return [array("I", self.quick(w)).tobytes() for w in words]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [] if not texts else [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 

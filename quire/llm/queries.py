@@ -13,9 +13,13 @@ from quire.plans.session import spread
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Bytes of text a task is given; twice as many are not dealt anew, which would move the whole table.
+TASK_BYTES = 128 << 20
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table; one of fewer partitions than cores is dealt over all cores."""
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The whole table, over all cores and in as many partitions as its texts ask for."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=TASK_BYTES)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,7 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), size=TASK_BYTES)
     return html_extract.extract_main_text(pages.select("page_id", "url", "html"))
 
 

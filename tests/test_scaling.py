@@ -150,3 +150,25 @@ def test_leaves_of_expressions_take_no_round(spark, monkeypatch):
     found = {(r["tree"], r["node"]): r["value"] for r in graphs.evaluated_expressions(nodes, ["tree"]).collect()}
     assert len(found) == len(rows) and found[1, "r"] and found[1, "a"] and found[1, "b"] and found[None, "y"] and found[1, "l7"] and not found[1, "l8"]
     assert [n for _, n in sizes if n > 3] == [35]  # the nodes are kept once, rounds hold operators only
+
+
+def test_documents_of_some_megabytes_a_partition_are_not_moved(spark, tmp_path):
+    from quire.llm import queries
+
+    rows = spark.range(0, 80, numPartitions=8).select(F.col("id").alias("doc_id"), F.expr("repeat('a few words ', 50000)").alias("text"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = queries._documents(spark, str(tmp_path))
+    assert "Exchange" not in docs._jdf.queryExecution().toString() and docs.count() == 80
+
+
+def test_new_words_are_encoded_as_one_text(monkeypatch):
+    from quire.llm import packing
+
+    cache = packing.WordCache(packing.vocabulary_path(), packing.vocabulary_path(packing.RANKS))
+    calls, quick = [], cache.quick
+    cache.quick = lambda text: calls.append(text) or quick(text)
+    words = [f" w{i}é{i * i}" for i in range(300)] + [" ", " don't", " a\nb", " x.y", " 12345678", " Ünï"]
+    assert cache._encode_words(words) == cache._encode(words) and len(calls) == 1
+    odd = [" a\n", " ", " \nb", " <|im_end|>", " 漢字", " \n", " "]
+    assert cache._encode_words(odd) == cache._encode(odd)
+    assert cache._encode_words([]) == [] and cache._encode_words(["first"]) == cache._encode(["first"])
