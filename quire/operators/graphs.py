@@ -42,25 +42,25 @@ def duplicate_classes(objects: DataFrame, references: DataFrame, across: bool =
 
 
 def refined(objects: DataFrame, references: DataFrame, across: bool = True) -> tuple[DataFrame, DataFrame]:
-    """doc_id, num, class as of ``duplicate_classes``: objects that are alone by their shape, and the others."""
+    """doc_id, num, class as of ``duplicate_classes``: objects that are alone by their shape (where most are), and the others."""
     fixed = F.coalesce(F.col("fixed"), F.lit(False)) if "fixed" in objects.columns else F.lit(False)
     alone = F.concat_ws(":", F.lit("fixed"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("num").cast("string"))
     within = F.lit("") if across else F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     shape = F.when(fixed, alone).otherwise(F.concat(within, F.lit(":"), F.coalesce(F.concat(F.lit("s"), F.col("shape").cast("string")), F.lit("-"))))
     classes = cut_lineage(objects.select(*NODE, F.sha2(shape, 256).alias("class")))
-    counted = lookup(classes, classes.groupBy("class").agg(F.count("*").alias("_n")), ["class"])
+    sizes = classes.groupBy("class").agg(F.count("*").alias("_n"))
+    n, alone, total = (x or 0 for x in sizes.agg(F.count("*"), F.count_if(F.col("_n") == 1), F.sum("_n")).first())
     single = classes.where("false")
-    if not counted.where("_n = 1").isEmpty():
-        counted = cut_lineage(counted)
-        single, classes = counted.where("_n = 1").select(*NODE, "class"), counted.where("_n > 1").select(*NODE, "class")
-        if classes.isEmpty():
+    if 2 * alone >= total:  # fewer would not pay for setting them apart
+        counted = cut_lineage(lookup(classes, sizes, ["class"]))
+        single, classes, n = counted.where("_n = 1").select(*NODE, "class"), counted.where("_n > 1").select(*NODE, "class"), n - alone
+        if not n:
             return single, classes
         classes = cut_lineage(classes)
     held = classes.select(F.col("doc_id").alias("_doc"), F.col("num").alias("_num"))
     edges = references.select("doc_id", F.col("src_num").alias("src"), "path", F.col("dst_num").alias("num"))
     edges = cut_lineage(edges.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("src") == F.col("_num")), "left_semi"))
     hot = cut_lineage(hot_keys(edges, NODE))
-    n = classes.select("class").distinct().count()
     while True:
         seen = lookup(edges, single.union(classes), NODE, hot).select("doc_id", F.col("src").alias("num"), F.struct("path", F.coalesce("class", F.lit("missing")).alias("class")).alias("ref"))
         held = seen.groupBy(*NODE).agg(F.sort_array(F.collect_list("ref")).alias("refs"))
