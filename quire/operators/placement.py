@@ -9,6 +9,9 @@ of frames by doubling, so nesting of any depth takes the logarithm of it in roun
 Text lines are one more scan: ``BT`` and ``Tm`` set the line matrix, ``Td``, ``TD``,
 ``T*``, ``'`` and ``"`` move it, shown text advances from it.
 
+A group of at most ``BLOCK`` operations without ``q``, ``Q`` and ``cm`` has one frame and
+no products but of moves, which add up; running windows give all of it in one sort.
+
 A matrix is (a, b, c, d, e, f) for row vectors. Sums of doubles are associated as
 the scan has it, so the last bits may differ from a fold's.
 """
@@ -17,9 +20,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import scans
 from quire.operators.scans import large_groups, let2, segmented_scan
 from quire.plans.session import cut_lineage
 
@@ -30,6 +34,8 @@ SETS = {"TL": ("leading", 0), "Tc": ("char_space", 0), "Tw": ("word_space", 0),
 #: Values that a page begins with; a font size has none.
 INITIAL = {"leading": 0.0, "char_space": 0.0, "word_space": 0.0, "h_scale": 100.0, "rise": 0.0, "mode": 0.0, "size": None}
 SHOWS = ("Tj", "TJ", "'", '"')
+#: Operators whose operands are read; of all others, strings that are shown among them, none are kept.
+NUMBERS = ("cm", "Td", "TD", "Tm", '"', *SETS)
 
 
 def matrix(*parts: Column | float) -> Column:
@@ -85,12 +91,66 @@ def placed_operations(operations: DataFrame, by: tuple[str, ...] = ("doc_id", "p
     text objects has null lines.
     """
     by = list(by)
-    args = F.from_json("operands_json", "array<string>")
-    ops = operations.select(*by, F.col("ord").cast("long").alias("ord"), "operator", args.alias("args"), (F.lit(0.0) if advance is None else F.coalesce(advance.cast("double"), F.lit(0.0))).alias("shown"))
-    zero = lambda at: F.coalesce(_number(at), F.lit(0.0))
     op = F.col("operator")
+    args = F.when(op.isin(*NUMBERS), F.from_json("operands_json", "array<string>"))
+    ops = operations.select(*by, F.col("ord").cast("long").alias("ord"), "operator", args.alias("args"), (F.lit(0.0) if advance is None else F.coalesce(advance.cast("double"), F.lit(0.0))).alias("shown"))
     # dealt by group once; every group of the scans is a part of one
-    ops = cut_lineage(ops.repartition(*by))
+    whole = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    plain = (F.count("*").over(whole) <= scans.BLOCK) & ~F.coalesce(F.bool_or(op.isin("q", "Q", "cm")).over(whole), F.lit(False))
+    ops = cut_lineage(ops.repartition(*by).withColumn("_plain", plain))
+    rest = ops.where("NOT _plain").drop("_plain")
+    found = _in_windows(ops.where("_plain").drop("_plain"), by, advance is not None)
+    return found if rest.isEmpty() else found.unionByName(_in_scans(rest, by))
+
+
+def _settings() -> list[Column]:
+    """What an operation sets each field of the text state to, or null."""
+    cases = {f: [] for f in INITIAL}
+    for name, (field, at) in SETS.items():
+        cases[field].append((F.col("operator") == name, _zero(at)))
+    cases["leading"].append((F.col("operator") == "TD", -_zero(1)))
+    cases["word_space"].append((F.col("operator") == '"', _zero(0)))
+    cases["char_space"].append((F.col("operator") == '"', _zero(1)))
+    return [reduce(lambda c, x: c.when(*x), held[1:], F.when(*held[0])).cast("double").alias(f) for f, held in cases.items()]
+
+
+def _zero(at: int) -> Column:
+    return F.coalesce(_number(at), F.lit(0.0))
+
+
+def _in_windows(ops: DataFrame, by: list[str], advances: bool) -> DataFrame:
+    """``placed_operations`` of small groups without ``q``, ``Q`` and ``cm``; ``advances``: whether shown text moves."""
+    op = F.col("operator")
+    running = lambda *more: Window.partitionBy(*by, *more).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = running()
+    own = dict(zip(INITIAL, _settings(), strict=True))
+    state = ops.select("*", *[F.last(c, ignorenulls=True).over(so_far).alias(f) for f, c in own.items()])
+    sets, is_show = op.isin("BT", "Tm"), op.isin(*SHOWS)
+    moves = op.isin("Td", "TD", "T*", "'", '"')
+    down = -F.coalesce("leading", F.lit(INITIAL["leading"]))
+    x = F.when(op.isin("Td", "TD"), _zero(0)).otherwise(0.0)
+    y = F.when(op.isin("Td", "TD"), _zero(1)).when(moves, down).otherwise(0.0)
+    base = F.when(op == "Tm", matrix(*map(_zero, range(6)))).when(op == "BT", matrix(*IDENTITY))
+    held = state.select(
+        *by, "ord", "operator", *INITIAL, x.alias("_x"), y.alias("_y"), F.when(is_show, F.col("shown")).otherwise(0.0).alias("_own"), moves.alias("_moves"),
+        F.last(base, ignorenulls=True).over(so_far).alias("_base"), F.count_if(sets).over(so_far).alias("_set"),
+    )
+    # moves add up since the line was set; what is shown advances since it last moved
+    since = running("_set")
+    held = held.select("*", F.sum("_x").over(since).alias("_dx"), F.sum("_y").over(since).alias("_dy"), F.count_if("_moves").over(since).alias("_move"))
+    held = held.withColumn("_shown", F.sum("_own").over(running("_set", "_move")) - F.col("_own") if advances else F.lit(0.0))
+    moved = lambda x, y: product(matrix(1, 0, 0, 1, x, y), F.col("_base"))
+    begun = F.col("_base").isNotNull()
+    fields = [F.coalesce(F.col(f), F.lit(v).cast("double")).alias(f) for f, v in INITIAL.items()]
+    return held.select(
+        *by, "ord", "operator", F.lit(0).cast("long").alias("depth"), matrix(*IDENTITY).alias("ctm"), F.when(begun, moved(F.col("_dx"), F.col("_dy"))).alias("line"),
+        F.when(begun, moved(F.col("_dx") + F.col("_shown"), F.col("_dy"))).alias("text_matrix"), *fields,
+    )
+
+
+def _in_scans(ops: DataFrame, by: list[str]) -> DataFrame:
+    """``placed_operations`` of any groups, ``ops`` dealt by them."""
+    op = F.col("operator")
     large = large_groups(ops, by)
     held = depths(ops, by, large)
 
@@ -101,15 +161,8 @@ def placed_operations(operations: DataFrame, by: tuple[str, ...] = ("doc_id", "p
     acted = held.select(*by, "ord", "args", "operator", "shown", F.explode(both).alias("_a")).select(*by, "ord", "args", "operator", "shown", "_a.*")
     framed = segmented_scan(acted, [*by, "depth"], "ord", F.col("opens"), lambda _, b: b, "frame", large=large).where("opens IS NULL").withColumn("frame", F.coalesce("frame", F.lit(-1)))
 
-    settings = {f: [] for f in INITIAL}
-    for name, (field, at) in SETS.items():
-        settings[field].append((op == name, zero(at)))
-    settings["leading"].append((op == "TD", -zero(1)))
-    settings["word_space"].append((op == '"', zero(0)))
-    settings["char_space"].append((op == '"', zero(1)))
-    chosen = [reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).cast("double").alias(f) for f, cases in settings.items()]
-    concat = F.when(op == "cm", matrix(*map(zero, range(6)))).otherwise(matrix(*IDENTITY))
-    local = segmented_scan(framed, [*by, "frame"], "ord", F.struct(concat.alias("m"), *chosen), _compose, "local", large=large)
+    concat = F.when(op == "cm", matrix(*map(_zero, range(6)))).otherwise(matrix(*IDENTITY))
+    local = segmented_scan(framed, [*by, "frame"], "ord", F.struct(concat.alias("m"), *_settings()), _compose, "local", large=large)
     local = cut_lineage(local.select(*by, "ord", "operator", "args", "shown", "depth", "frame", "local"))
 
     # what a frame starts with: the state at its q, composed with what that frame started with
@@ -131,7 +184,7 @@ def placed_operations(operations: DataFrame, by: tuple[str, ...] = ("doc_id", "p
     down = matrix(1, 0, 0, 1, F.lit(0.0), -F.coalesce("state.leading", F.lit(INITIAL["leading"])))
     is_show = op.isin(*SHOWS)
     kind = F.when(op.isin("BT", "Tm"), 2).when(op.isin("Td", "TD", "T*", "'", '"'), 1).when(is_show, 0)
-    move = F.when(op == "Tm", matrix(*map(zero, range(6)))).when(op.isin("Td", "TD"), matrix(1, 0, 0, 1, zero(0), zero(1))).when(op.isin("T*", "'", '"'), down).otherwise(matrix(*IDENTITY))
+    move = F.when(op == "Tm", matrix(*map(_zero, range(6)))).when(op.isin("Td", "TD"), matrix(1, 0, 0, 1, _zero(0), _zero(1))).when(op.isin("T*", "'", '"'), down).otherwise(matrix(*IDENTITY))
     shown = F.when(is_show, F.col("shown")).otherwise(F.lit(0.0))
     value = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), move.alias("m"), shown.alias("shown")))
     lines = segmented_scan(known, by, "ord", value, _line, "_line", large=large)

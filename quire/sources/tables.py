@@ -33,6 +33,8 @@ from quire.sources.pdf.objects import Name, PdfError, Ref, Stream, references_in
 BATCH_ROWS = 4096
 #: Bytes of values after which a batch is cut; a single row may be larger.
 BATCH_BYTES = 16 << 20
+#: Bytes of documents made from texts after which a batch is cut.
+MADE_BYTES = 1 << 20
 FAULTS = (PdfError, FilterError, KeyError, TypeError, IndexError, ValueError, RecursionError, AttributeError)
 
 
@@ -435,8 +437,11 @@ def _size(v: object) -> int:
     """About how many bytes a value takes."""
     if isinstance(v, (bytes, str)):
         return len(v)
-    held = v.items() if isinstance(v, dict) else v if isinstance(v, (list, tuple)) else ()
-    return 8 + sum(map(_size, held))
+    held, size = v.items() if isinstance(v, dict) else v if isinstance(v, (list, tuple)) else (), 8
+    for x in held:
+        kind = type(x)
+        size += len(x) if kind is str or kind is bytes else 8 if kind is int or kind is float or x is None else _size(x)
+    return size
 
 
 def _read(files: DataFrame, tables: list[str], ddl: str, row_of: Callable[[str, tuple], tuple], mode: str, password: str) -> DataFrame:
@@ -446,10 +451,10 @@ def _read(files: DataFrame, tables: list[str], ddl: str, row_of: Callable[[str,
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for batch in batches:
-            for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     for name, row in rows_of(Document(content.as_py() or b"", password, lenient), tables):
-                        out.append((doc_id.as_py(), *row_of(name, row)))
+                        out.append((doc_id, *row_of(name, row)))
                         size += _size(row)
                         if len(out) >= BATCH_ROWS or size >= BATCH_BYTES:
                             yield _batch(out, schema)
@@ -458,7 +463,7 @@ def _read(files: DataFrame, tables: list[str], ddl: str, row_of: Callable[[str,
                     if not lenient:
                         raise
                     if "diagnostics" in tables:
-                        out.append((doc_id.as_py(), *row_of("diagnostics", (-1, getattr(e, "offset", -1), str(e) or type(e).__name__))))
+                        out.append((doc_id, *row_of("diagnostics", (-1, getattr(e, "offset", -1), str(e) or type(e).__name__))))
         if out:
             yield _batch(out, schema)
 
@@ -493,7 +498,10 @@ def _struct(columns: str) -> str:
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([_arrow(v) for v in column], f.type) for f, column in zip(schema, zip(*rows, strict=True), strict=True)], schema=schema)
+    # numbers and bytes need no look at each value
+    plain = [pa.types.is_primitive(f.type) or pa.types.is_binary(f.type) for f in schema]
+    columns = zip(schema, plain, zip(*rows, strict=True), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(column if same else [_arrow(v) for v in column], f.type) for f, same, column in columns], schema=schema)
 
 
 def _arrow(v: object) -> object:
@@ -508,10 +516,14 @@ def from_text(docs: DataFrame, lines_per_page: int = 60) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            made, size, first = [], 0, 0
             for at in range(batch.num_rows):
                 lines = (batch.column(1)[at].as_py() or "").split("\n")
-                pages = [lines[i : i + lines_per_page] for i in range(0, len(lines), lines_per_page)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, 1), "content": [text_document(pages)]})
+                made.append(text_document([lines[i : i + lines_per_page] for i in range(0, len(lines), lines_per_page)]))
+                size += len(made[-1])
+                if size >= MADE_BYTES or at == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(made)), pa.array(made, pa.binary())], names=["doc_id", "content"])
+                    made, size, first = [], 0, at + 1
 
     return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {id_type}, content binary")
 
