@@ -226,3 +226,26 @@ def test_made_documents_come_in_batches(spark, monkeypatch):
     monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, _: made.extend(f(iter(self.toArrow().to_batches()))) or self)
     tables.from_text(df)
     assert sum(b.num_rows for b in made) == 20 and 1 < len(made) < 20 and [i for b in made for i in b.column(0).to_pylist()] == list(range(20))
+
+
+def test_ranges_that_end_within_two_tiles_are_dealt_once(spark, monkeypatch):
+    from quire.operators import intervals
+    from quire.plans import skew
+
+    cuts = []
+    monkeypatch.setattr(intervals, "cut_lineage", lambda df: cuts.append(1) or df)
+    points = spark.range(3000).select((F.col("id") % 3).alias("font"), (F.col("id") % 700 - 20).alias("code"))
+    ranges = spark.range(300).select((F.col("id") % 2).alias("font"), (F.col("id") * 2).alias("low"), (F.col("id") * 2 + F.col("id") % 60).alias("high"), (F.col("id") * 7 % 300).alias("ord"))
+    found = intervals.values_in_intervals(points, ranges, ["font"], "code")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Broadcast" not in plan and not cuts
+    spans = [tuple(r) for r in ranges.collect()]
+    want = {}
+    for font, code in points.collect():
+        held = max((s for s in spans if s[0] == font and s[1] <= code <= s[2]), key=lambda s: s[3], default=(font, None, None, None))
+        want[font, code] = (want.get((font, code), (0,))[0] + 1, *held[1:])
+    assert {(r["font"], r["code"]): (r["n"], r["low"], r["high"], r["ord"]) for r in found.collect()} == want
+    # a group of many rows is reduced before it is dealt by tile
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    many = intervals.values_in_intervals(points, ranges, ["font"], "code")
+    assert {(r["font"], r["code"]): (r["n"], r["low"], r["high"], r["ord"]) for r in many.collect()} == want
