@@ -342,7 +342,9 @@ SELECT s_suppkey, font, list_aggregate(list_sort(list(DISTINCT c)), 'string_agg'
 def sample_glyph_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct codes that each font of a document shows, in order."""
     held = scan_together(_samples(spark, sf_dir, "faced"), ["text_marks", "glyphs"], "FAILFAST")
-    used = held["glyphs"].join(held["text_marks"].select("doc_id", "page_index", "ord", "font"), ["doc_id", "page_index", "ord"])
+    # a mark's codes become one row where they are read; a join by size on disk would send all glyphs to the driver
+    shown = held["glyphs"].groupBy("doc_id", "page_index", "ord").agg(F.collect_set("code").alias("shown"))
+    used = held["text_marks"].select("doc_id", "page_index", "ord", "font").join(shown.hint("merge"), ["doc_id", "page_index", "ord"]).select("doc_id", "font", F.explode("shown").alias("code"))
     return _told(used.groupBy("doc_id", "font").agg(F.array_join(F.transform(F.array_sort(F.collect_set("code")), lambda c: c.cast("string")), " ").alias("codes")), "font", "codes")
 
 

@@ -249,3 +249,13 @@ def test_ranges_that_end_within_two_tiles_are_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 100)
     many = intervals.values_in_intervals(points, ranges, ["font"], "code")
     assert {(r["font"], r["code"]): (r["n"], r["low"], r["high"], r["ord"]) for r in many.collect()} == want
+
+
+def test_glyphs_are_not_sent_to_the_driver(spark, tmp_path):
+    from quire.document_queries import sample_glyph_usage
+
+    spark.createDataFrame([(1, "ba b"), (2, "c")], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = sample_glyph_usage(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["s_suppkey"], r["font"]): r["codes"] for r in found.collect()}
+    assert len(rows) == 14 and rows[1, "Courier"] == "32 97 98" and rows[2, "Times-Roman"] == "99"
